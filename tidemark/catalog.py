@@ -1,0 +1,6 @@
+"""The engine's own queries and their DuckDB equivalents."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
