@@ -8,9 +8,9 @@ or more matter, so the suffix order is never made over all bytes. Runs are found
 1. Sparse suffixes. Each L-byte window names its minimiser (the smallest k-byte hash in it). Equal
    windows have equal minimisers, so a window whose minimiser occurs once starts no run. Windows in
    a row with one minimiser make an interval, and there are about 2 / (L - k + 2) intervals a byte.
-   Where all occurrences of a minimiser stand in equal intervals, all their windows are in runs.
-2. The rest (around the ends of copies) is compared in blocks of BLOCK windows by the bytes all of
-   them share, and what is still mixed then window by window, by a 64-bit hash of its L bytes.
+   Intervals that are alike (same bytes over all their windows) have all their windows in runs.
+2. Where intervals of one minimiser differ, around the ends of copies, one interval of each kind is
+   ordered window by window by a 64-bit hash of the L bytes.
 
 For each window in a run, the run's smallest position (the earliest copy) and its size are known:
 `keep="none"` removes every copy, `keep="first"` spares the bytes of each run's first position.
@@ -31,7 +31,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.components import cut
 from tidemark.llm.text import whole_text
 
 LENGTH = 200
@@ -39,8 +38,6 @@ LENGTH = 200
 GRAM = 100
 #: Bytes that are hashed at a time; a longer text is hashed alone.
 CHUNK = 1 << 20
-#: Windows that are compared together in the second step.
-BLOCK = 16
 
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(7).integers(1, 2**64 - 1, 256, dtype=np.uint64)
@@ -128,13 +125,10 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k0"), F.hash(text).alias("k1"), text.alias("text"))
 
 
-def _repeated(rows: DataFrame, key: str, spare_first: bool) -> DataFrame:
-    """The intervals (k0, k1, s, n, o) whose key occurs twice, with `mixed` (not all copies are alike) and `spared`."""
-    first = [F.min(F.struct("k0", "k1", "s")).alias("first")] * spare_first
-    groups = rows.groupBy(key).agg(F.count("*").alias("copies"), F.min("inside").alias("a"), F.max("inside").alias("b"), *first).where("copies > 1")
-    groups = groups.select(key, (F.col("a") != F.col("b")).alias("mixed"), *["first"] * spare_first)
-    spared = F.struct("k0", "k1", "s") == F.col("first") if spare_first else F.lit(False)
-    return rows.drop("inside").join(groups, key).select("k0", "k1", "s", "n", "o", "mixed", spared.alias("spared"))
+def _runs(rows: DataFrame) -> DataFrame:
+    """The rows whose key occurs twice; `mixed`: not all of them are alike inside."""
+    groups = rows.groupBy("key").agg(F.count("*").alias("copies"), F.min("inside").alias("a"), F.max("inside").alias("b"))
+    return rows.join(groups.where("copies > 1").select("key", (F.col("a") != F.col("b")).alias("mixed")), "key")
 
 
 def _starts(s: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -144,12 +138,11 @@ def _starts(s: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _columns(spans: pa.Array) -> list[np.ndarray]:
     flat = spans.flatten()
-    return [flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("s", "n", "o")]
+    return [flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("s", "n")]
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "none") -> DataFrame:
     """k0, k1 and spans (s, n): the windows that are removed, as n windows from byte s on."""
-    spare = keep == "first"
     kinds = "k0 long, k1 int, s int, n int, o int, key long, inside long"
 
     def batch_of(k0, k1, s, n, o, key, inside) -> pa.RecordBatch:
@@ -163,43 +156,29 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str
                 owner, s, n, o, name, inside = intervals(data, ends, length, gram)
                 yield batch_of(k0[owner + row], k1[owner + row], s, n, o, name, inside)
 
-    def each(batch: pa.RecordBatch) -> Iterator[tuple]:
-        for i in range(batch.num_rows):
-            hashes = Hashes(np.frombuffer(batch.column("text")[i].as_py().encode(), dtype=np.uint8))
-            s, n, o = _columns(batch.column("spans").slice(i, 1))
-            start = _starts(s, n)
-            offset = np.repeat(s + o, n) - start
-            yield batch.column("k0")[i].as_py(), batch.column("k1")[i].as_py(), hashes, start, offset, np.repeat(np.arange(len(s)), n)
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k0, k1, hashes, start, offset, interval in each(batch):
-                block = offset // BLOCK
-                new = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (interval[1:] != interval[:-1]))))
-                s, n, j = start[new], np.diff(np.concatenate((new, [len(start)]))), block[new]
-                core = hashes.of(s + offset[new] - BLOCK * j, length - BLOCK + 1) ^ _mix(j.astype(np.uint64))
-                inside = hashes.of(s, n + length - 1) ^ _mix((offset[new] * 1024 + n).astype(np.uint64))
-                yield batch_of(np.full(len(s), k0), np.full(len(s), k1), s, n, offset[new], core, inside)
-
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k0, k1, hashes, start, offset, _ in each(batch):
-                key = hashes.of(start, length)
-                yield batch_of(np.full(len(start), k0), np.full(len(start), k1), start, np.ones(len(start)), offset, key, np.zeros(len(start), dtype=np.uint64))
+            for i in range(batch.num_rows):
+                hashes = Hashes(np.frombuffer(batch.column("text")[i].as_py().encode(), dtype=np.uint8))
+                start = np.unique(_starts(*_columns(batch.column("spans").slice(i, 1))))
+                same = [np.full(len(start), batch.column(c)[i].as_py()) for c in ("k0", "k1")]
+                yield batch_of(*same, start, np.ones(len(start)), np.zeros(len(start)), hashes.of(start, length), np.zeros(len(start), dtype=np.uint64))
 
+    # No step is stored: within one plan Spark reuses the exchanges, of the texts above all.
     texts = keyed(docs).select("k0", "k1", "text")
-    found = texts.where(F.octet_length("text") >= length).mapInArrow(sparse, kinds)
-    sure = None
-    for finer in (blocks, windows, None):
-        runs = _repeated(found, "key", spare)
-        # A repeated row brings the same intervals; a set holds them once.
-        by_text = cut(runs.groupBy("k0", "k1").agg(F.collect_set(F.when(~F.col("mixed") & ~F.col("spared"), F.struct("s", "n"))).alias("sure"), F.collect_set(F.when(F.col("mixed"), F.struct("s", "n", "o"))).alias("spans")))
-        done = by_text.where(F.size("sure") > 0).select("k0", "k1", F.col("sure").alias("spans"))
-        sure = done if sure is None else sure.unionByName(done)
-        if finer is None:
-            return sure.groupBy("k0", "k1").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-        rest = by_text.where(F.size("spans") > 0).select("k0", "k1", "spans")
-        found = texts.join(rest, ["k0", "k1"]).mapInArrow(finer, kinds)
+    runs = _runs(texts.where(F.octet_length("text") >= length).mapInArrow(sparse, kinds))
+    place = F.struct("k0", "k1", "s", "n", "o")
+    alike = runs.groupBy("key", "inside").agg(F.count("*").alias("copies"), F.min(place).alias("first"), F.first("mixed").alias("mixed"))
+    copies = runs.join(alike.where("copies > 1").select("key", "inside", "first"), ["key", "inside"])
+    # Intervals that are alike need one of them to be looked into further.
+    open_ends = alike.where("mixed").select("first.*").groupBy("k0", "k1").agg(F.collect_set(F.struct("s", "n")).alias("spans"))
+    single = texts.join(open_ends, ["k0", "k1"]).mapInArrow(windows, kinds)
+    again = single.groupBy("key").agg(F.count("*").alias("copies"), F.min(place).alias("first")).where("copies > 1").select("key", "first")
+    sure = copies.select("k0", "k1", "s", "n", place.alias("place"), "first").unionByName(single.join(again, "key").select("k0", "k1", "s", "n", place.alias("place"), "first"))
+    if keep == "first":
+        sure = sure.where("place <> first")
+    # A repeated row brings the same intervals; a set holds them once.
+    return sure.groupBy("k0", "k1").agg(F.collect_set(F.struct("s", "n")).alias("spans"))
 
 
 def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "none") -> DataFrame:
