@@ -19,31 +19,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Edges a task works on, about; small graphs need few tasks a step.
+ROWS_A_TASK = 200_000
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the smallest node reachable.
 
-    Each round turns the edges into stars around smaller nodes; it ends when every edge joins a node
-    to the smallest node of its component. The grouping is a minimum a node, which Spark combines
-    before the shuffle, and a join; no neighbourhood is collected. Edges shrink to one a node.
+    Each round turns the edges into stars around smaller nodes; it ends when a round changes
+    nothing, and then every edge joins a node to the smallest node of its component. The grouping is
+    a minimum a node, which Spark combines before the shuffle, and a join; no neighbourhood is
+    collected. The edges shrink to one a node.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    before = None
     for _ in range(most_rounds):
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == before:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        before, tasks = state, 1 + state[0] // ROWS_A_TASK
         # Large star: each node's larger neighbours move to the smallest of its neighbours and itself.
-        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        now = now.coalesce(tasks)
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(tasks)
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(tasks)
         # Small star: each node and its smaller neighbours move to the smallest of these.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        after = cut(small)
-        # Done when every node has one edge and no centre hangs on another.
-        centres = after.select(F.col("v").alias("u")).distinct()
-        open_ends = after.join(centres, "u", "left_semi").limit(1).count()
-        several = after.groupBy("u").count().where("count > 1").limit(1).count()
-        now = after
-        if not open_ends and not several:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        low = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
+        moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = cut(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct().coalesce(tasks))
+    raise RuntimeError("components did not settle")
