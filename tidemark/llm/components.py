@@ -24,7 +24,7 @@ ROWS_A_TASK = 200_000
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of the edges (a, b): root is the smallest node reachable.
+    """(node, root) for every node of the edges (a, b) but the roots themselves: root is the smallest node reachable.
 
     Each round turns the edges into stars around smaller nodes; it ends when a round changes
     nothing, and then every edge joins a node to the smallest node of its component. The grouping is

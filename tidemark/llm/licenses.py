@@ -61,13 +61,13 @@ def votes(docs: DataFrame) -> DataFrame:
 
 
 def spans(voted: DataFrame) -> DataFrame:
-    """Verified spans: the columns of votes() with `start` and `score`; and rows without a span, with null score."""
+    """Verified spans, with `start` and `score`; and rows with null score, so that no text is lost."""
     base = voted.where("exact is null or exact").withColumns({"start": F.col("diagonal"), "score": F.expr("if(bit_count(places) = size, 1.0D, null)")})
     longer = voted.where("not exact")
     by = Window.partitionBy("row", "template").orderBy("diagonal")
     stepped = longer.withColumn("new", F.when(F.col("diagonal") - F.lag("diagonal").over(by) <= SLACK, 0).otherwise(1))
     merged = stepped.withColumn("group", F.sum("new").over(by)).groupBy("row", "doc_id", "n_words", "template", "label", "exact", "size", "group").agg(F.min("diagonal").alias("start"), F.expr("bit_or(places)").alias("places"))
-    verified = merged.withColumn("score", F.expr(f"if(bit_count(places) >= {COVERAGE} * size, bit_count(places) / size, null)")).where("score is not null")
+    verified = merged.withColumn("score", F.expr(f"if(bit_count(places) >= {COVERAGE} * size, bit_count(places) / size, null)"))
     same = ["row", "doc_id", "n_words", "label", "exact", "start", "score"]
     return base.select(same).unionByName(verified.select(same))
 
