@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, langid, licenses, lpf, quality_rules, simhash
+from tidemark.llm import decontaminate, langid, licenses, lpf, mixing, quality_rules, simhash
 from tidemark.llm.text import documents
 
 
@@ -36,12 +36,17 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit_documents(docs))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.scores(documents(spark, sf_dir))
+    return found.withColumn("bits_per_byte", -F.col("score") * F.log(2.0, F.lit(10.0)) / (F.col("n_bytes") + 1)).drop("n_bytes")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_suffix_dedup, op5_simhash, op6_quality_rules, op7_decontamination, op8_language_id, op10_license_scan)
+    found = (op2_suffix_dedup, op5_simhash, op6_quality_rules, op7_decontamination, op8_language_id, op9_lm_scores, op10_license_scan)
     return {f.__name__: f for f in found}
 
 
