@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, langid, licenses, lpf, mixing, quality_rules, simhash
+from tidemark.llm import decontaminate, langid, licenses, lpf, mixing, pii, quality_rules, simhash
 from tidemark.llm.text import documents
 
 
@@ -16,6 +16,15 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = pii.scan(docs, pii.fit(docs))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda x: x["kind"].isin(*pii.BASE))
+    return found.select("doc_id", *[count(kind) for kind in pii.BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), *[count(k) for k in pii.KINDS if k not in pii.BASE])
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lpf.remove(documents(spark, sf_dir))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -46,7 +55,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_suffix_dedup, op5_simhash, op6_quality_rules, op7_decontamination, op8_language_id, op9_lm_scores, op10_license_scan)
+    found = (op1_pii, op2_suffix_dedup, op5_simhash, op6_quality_rules, op7_decontamination, op8_language_id, op9_lm_scores, op10_license_scan)
     return {f.__name__: f for f in found}
 
 
