@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, langid, licenses, lpf, mixing, pii, quality_rules, simhash
+from tidemark.llm import decontaminate, kneser_ney, langid, licenses, lpf, mixing, pii, quality_rules, sentencepiece, simhash
 from tidemark.llm.text import documents
 
 
@@ -30,6 +30,14 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.encode(documents(spark, sf_dir), sentencepiece.load())
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(documents(spark, sf_dir), words=4, radius=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -55,7 +63,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_pii, op2_suffix_dedup, op5_simhash, op6_quality_rules, op7_decontamination, op8_language_id, op9_lm_scores, op10_license_scan)
+    found = (op1_pii, op2_suffix_dedup, op3_sentencepiece, op4_quality_classifier, op5_simhash, op6_quality_rules, op7_decontamination, op8_language_id, op9_lm_scores, op10_license_scan)
     return {f.__name__: f for f in found}
 
 
