@@ -1,6 +1,392 @@
-"""The engine's own queries and their DuckDB equivalents."""
+"""The engine's own queries over the test schema, and their DuckDB equivalents.
+
+Events stand in for timed frames, embeddings for hashed frames and documents for classified screens;
+thresholds are those that make each rule both hold and fail on these tables.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.operators import boundaries as B
+from tidemark.operators import classify as C
+from tidemark.operators import dedup as D
+from tidemark.operators import manifest as M
+from tidemark.operators import motion as Mo
+from tidemark.operators import segments as S
+from tidemark.operators import stability as St
+from tidemark.operators import timeline as T
+from tidemark.sources.tables import hashed_frames, screens, table, timed_frames
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+HOUR = 3_600_000
+MOTION = Mo.MotionConfig(fps=6, motion=37, anomaly=34)
+SEGMENTS = S.SegmentConfig(gap_ms=4 * HOUR, guard_ms=HOUR // 2, short_ms=HOUR)
+BOUNDS = B.BoundaryConfig(edge_ms=2 * HOUR, before_ms=8 * HOUR, after_ms=8 * HOUR, most=2)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql.strip()
+        return f
+
+    return add
+
+
+# Tables in SQL.
+TL = "tl AS (SELECT user_id AS job_id, event_id AS frame_id, epoch_us(ts) // 1000 AS ts_ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, event_type AS label, value FROM events)"
+SIG = """s0 AS (SELECT CAST(label AS BIGINT) AS job_id, vec_id AS frame_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+s1 AS (SELECT *, (list_sort(e)[32] + list_sort(e)[33]) / 2 AS mid FROM s0),
+sg AS (SELECT job_id, frame_id, row_number() OVER (PARTITION BY job_id ORDER BY frame_id) - 1 AS idx, list_transform(range(1, 65), lambda i: CASE WHEN e[i] > mid THEN 1 ELSE 0 END) AS b FROM s1)"""
+
+
+def ham(a: str, b: str, low: int = 1, high: int = 64) -> str:
+    return f"CAST(list_sum(list_transform(range({low}, {high + 1}), lambda i: abs({a}[i] - {b}[i]))) AS BIGINT)"
+
+
+MO = f"{SIG}, mo AS (SELECT * FROM (SELECT job_id, idx, {ham('b', 'nb')} AS m FROM (SELECT *, lead(b) OVER (PARTITION BY job_id ORDER BY idx) AS nb FROM sg) WHERE nb IS NOT NULL))"
+RUNS = f"""{MO}, sm AS (SELECT *, avg(m) OVER (PARTITION BY job_id ORDER BY idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS sm, lag(m) OVER (PARTITION BY job_id ORDER BY idx) AS prev FROM mo),
+isl AS (SELECT *, idx - row_number() OVER (PARTITION BY job_id ORDER BY idx) AS island FROM sm WHERE sm > {MOTION.motion}),
+runs AS (SELECT job_id, greatest(min(idx) - 1, 0) AS start_index, max(idx) + 1 AS end_index, arg_min(idx, (-m) * 100000 + idx) AS peak_index, max(m) AS score, 'multi' AS kind FROM isl GROUP BY job_id, island)"""
+ANOM = f"anom AS (SELECT job_id, greatest(idx - 1, 0) AS start_index, idx + 1 AS end_index, idx AS peak_index, greatest(prev, m) AS score, 'anomaly' AS kind FROM sm WHERE prev > {MOTION.anomaly} AND m > {MOTION.anomaly})"
+ZONES = f"""{RUNS}, {ANOM}, zz AS (SELECT *, start_index * 1000 // 6 AS start_ms, (end_index + 1) * 1000 // 6 AS end_ms, CASE kind WHEN 'multi' THEN 0 ELSE 1 END AS rk FROM (SELECT * FROM runs UNION ALL SELECT * FROM anom)),
+zp AS (SELECT *, max(end_ms) OVER (PARTITION BY job_id ORDER BY start_ms, rk, peak_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe, row_number() OVER (PARTITION BY job_id ORDER BY start_ms, rk, peak_index) AS place FROM zz),
+zg AS (SELECT *, sum(CASE WHEN start_ms - pe <= 166 THEN 0 ELSE 1 END) OVER (PARTITION BY job_id ORDER BY place) AS grp FROM zp),
+zones AS (SELECT job_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, min(start_index) AS start_index, max(end_index) AS end_index, arg_min(peak_index, (-score) * 100000 + place) AS peak_index, max(score) AS score, CASE WHEN min(rk) = 0 THEN 'multi' ELSE 'anomaly' END AS kind FROM zg GROUP BY job_id, grp)"""
+SEG = f"""{TL}, br AS (SELECT *, CASE WHEN ts_ms - lag(ts_ms) OVER (PARTITION BY job_id ORDER BY idx) <= {SEGMENTS.gap_ms} THEN 0 ELSE 1 END AS brk FROM tl),
+sgm AS (SELECT *, sum(brk) OVER (PARTITION BY job_id ORDER BY idx) AS seg FROM br)"""
+ROLL = f"{SEG}, roll AS (SELECT job_id, CAST(seg AS BIGINT) AS seg, min(idx) AS start_index, max(idx) AS end_index, min(ts_ms) AS start_ms, max(ts_ms) AS end_ms, count(*) AS n_frames FROM sgm GROUP BY job_id, seg)"
+REPS = f"""{SEG}, w0 AS (SELECT *, min(ts_ms) OVER w AS st, max(ts_ms) OVER w AS en, count(*) OVER w AS n, row_number() OVER (PARTITION BY job_id, seg ORDER BY idx) AS pos FROM sgm WINDOW w AS (PARTITION BY job_id, seg)),
+w1 AS (SELECT *, CASE WHEN ts_ms BETWEEN st + {SEGMENTS.guard_ms} AND en - {SEGMENTS.guard_ms} THEN 1 ELSE 0 END AS inn, abs(ts_ms - (st + en) // 2) AS far FROM w0),
+w2 AS (SELECT *, max(inn) OVER (PARTITION BY job_id, seg) AS any_inn FROM w1),
+w3 AS (SELECT *, row_number() OVER (PARTITION BY job_id, seg ORDER BY CASE WHEN n = 1 THEN 0 WHEN any_inn = 1 THEN 1 - inn WHEN n >= 3 AND (pos = 1 OR pos = n) THEN 1 ELSE 0 END, far, idx) AS rn FROM w2),
+reps AS (SELECT job_id, CAST(seg AS BIGINT) AS seg, frame_id, idx, ts_ms, st, en, n AS n_frames FROM w3 WHERE rn = 1)"""
+BND = f"bnd AS (SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY en, f) AS bnd, en AS start_ms, nx AS end_ms, (en + nx) // 2 AS peak_ms FROM (SELECT job_id, max(ts_ms) AS en, min(idx) AS f, lead(min(ts_ms)) OVER (PARTITION BY job_id ORDER BY seg) AS nx FROM sgm GROUP BY job_id, seg) WHERE nx IS NOT NULL)"
+TOUCH = f"tch AS (SELECT t.*, EXISTS (SELECT 1 FROM bnd b WHERE b.job_id = t.job_id AND t.ts_ms BETWEEN b.start_ms AND b.end_ms) AS inside, EXISTS (SELECT 1 FROM bnd b WHERE b.job_id = t.job_id AND (abs(t.ts_ms - b.start_ms) <= {BOUNDS.edge_ms} OR abs(t.ts_ms - b.end_ms) <= {BOUNDS.edge_ms})) AS near FROM sgm t)"
+GUARD = f"""{REPS}, {BND}, {TOUCH}, g0 AS (SELECT t.*, r.idx AS rep_idx, abs(t.ts_ms - (min(t.ts_ms) OVER w + max(t.ts_ms) OVER w) // 2) AS far, max(CASE WHEN t.idx = r.idx AND t.near THEN 1 WHEN t.idx = r.idx THEN 0 END) OVER w AS doubt FROM tch t JOIN reps r ON r.job_id = t.job_id AND r.seg = t.seg WINDOW w AS (PARTITION BY t.job_id, t.seg)),
+g1 AS (SELECT *, row_number() OVER (PARTITION BY job_id, seg ORDER BY CASE WHEN doubt = 0 THEN CASE WHEN idx = rep_idx THEN 0 ELSE 2 END WHEN idx = rep_idx THEN 1 WHEN near THEN 2 ELSE 0 END, far, idx) AS rn FROM g0),
+guarded AS (SELECT job_id, CAST(seg AS BIGINT) AS seg, frame_id, idx, ts_ms, near, idx <> rep_idx AS moved FROM g1 WHERE rn = 1)"""
+RECOV = f"""{GUARD}, c0 AS (SELECT t.job_id, b.bnd, t.frame_id, t.idx, t.ts_ms, CASE WHEN t.ts_ms BETWEEN b.start_ms - {BOUNDS.before_ms} AND b.start_ms - {BOUNDS.edge_ms} THEN 0 WHEN t.ts_ms BETWEEN b.end_ms + {BOUNDS.edge_ms} AND b.end_ms + {BOUNDS.after_ms} THEN 1 END AS side FROM tl t JOIN bnd b ON b.job_id = t.job_id WHERE NOT EXISTS (SELECT 1 FROM guarded g WHERE g.job_id = t.job_id AND g.idx = t.idx)),
+recov AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY job_id, bnd ORDER BY side, idx) AS rn FROM c0 WHERE side IS NOT NULL) WHERE rn <= {BOUNDS.most})"""
+FINAL = f"{RECOV}, fin AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts_ms, idx) AS place FROM (SELECT job_id, frame_id, idx, ts_ms, 0 AS times, NULL AS boundary FROM guarded UNION ALL SELECT job_id, frame_id, idx, ts_ms, count(*) AS times, max(bnd) AS boundary FROM recov GROUP BY ALL))"
+NB = f"""{SIG}, n0 AS (SELECT job_id, frame_id, idx, b, lag(b) OVER w AS pb, lead(b) OVER w AS nb, count(*) OVER (PARTITION BY job_id) AS n FROM sg WINDOW w AS (PARTITION BY job_id ORDER BY idx)),
+n1 AS (SELECT job_id, frame_id, idx, n, CASE WHEN pb IS NOT NULL THEN {ham('b', 'pb')} END AS prev, CASE WHEN nb IS NOT NULL THEN {ham('b', 'nb')} END AS nxt, CAST(list_sum(list_transform(range(1, 33), lambda i: abs(b[i] - b[i + 32]))) AS BIGINT) AS split FROM n0),
+nb AS (SELECT *, lag(prev) OVER (PARTITION BY job_id ORDER BY idx) AS prev2, lead(nxt) OVER (PARTITION BY job_id ORDER BY idx) AS nxt2 FROM n1)"""
+SCREENS = "sc AS (SELECT lang AS job_id, doc_id AS idx, lang || '/' || source AS label, string_split(text, chr(10))[1] AS key_text, text AS all_text, (doc_id % 100) / 100.0 AS conf, string_split(substring(text, 1, 40), ' ')[1:2] AS components FROM documents)"
+
+
+# Timelines (scans T1-T5, S4-S6, A1, J2).
+@query(f"WITH {TL} SELECT job_id, frame_id, idx, ts_ms, label FROM tl")
+def timeline_build(spark, d):
+    return timed_frames(spark, d).select("job_id", "frame_id", "idx", "ts_ms", "label")
+
+
+@query("SELECT event_id AS frame_id, event_id * 1000 // 4 AS ts_ms, 'frame_' || lpad(CAST(event_id + 1 AS VARCHAR), CAST(greatest(4, length(CAST(event_id + 1 AS VARCHAR))) AS INTEGER), '0') AS stem FROM events")
+def timestamp_from_filename(spark, d):
+    named = table(spark, d, "events").select(F.col("event_id").alias("frame_id"), F.format_string("some/folder/FRAME_%04d.JPG", F.col("event_id") + 1).alias("path"))
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    return named.select("frame_id", T.time_of_name(name, 4).alias("ts_ms"), F.lower(T.frame_id(F.col("path"))).alias("stem"))
+
+
+_KNOWN = "kn AS (SELECT job_id, frame_id, ts_ms + 5 AS known_ms FROM tl WHERE label = 'view')"
+
+
+def _overridden(spark, d):
+    frames = timed_frames(spark, d)
+    known = frames.where("label = 'view'").select("job_id", "frame_id", (F.col("ts_ms") + 5).alias("known_ms"))
+    return T.override_times(frames.withColumn("ts_ms", F.when(F.col("label") != "error", F.col("ts_ms"))), known)
+
+
+@query(f"WITH {TL}, {_KNOWN} SELECT t.job_id, t.frame_id, coalesce(known_ms, CASE WHEN label <> 'error' THEN ts_ms END) AS ts_ms, CASE WHEN known_ms IS NOT NULL THEN 'map' WHEN label <> 'error' THEN 'filename' ELSE 'unknown' END AS source FROM tl t LEFT JOIN kn k ON k.job_id = t.job_id AND k.frame_id = t.frame_id")
+def timestamp_override(spark, d):
+    return _overridden(spark, d).select("job_id", "frame_id", "ts_ms", "source")
+
+
+@query(f"WITH {TL} SELECT job_id, count(*) AS n_frames, count(*) FILTER (label IN ('purchase', 'signup')) AS n_final, count(*) FILTER (label = 'error') AS n_removed, CASE WHEN count(DISTINCT CASE label WHEN 'view' THEN 'map' WHEN 'error' THEN 'unknown' ELSE 'filename' END) = 1 THEN min(CASE label WHEN 'view' THEN 'map' WHEN 'error' THEN 'unknown' ELSE 'filename' END) ELSE 'mixed' END AS strategy FROM tl GROUP BY job_id")
+def timeline_summary(spark, d):
+    status = F.when(F.col("label").isin("purchase", "signup"), "final").when(F.col("label") == "error", "removed").otherwise("candidate")
+    return T.summary(_overridden(spark, d).withColumn("status", status))
+
+
+@query("SELECT d.doc_id, l.quality, l.toxic FROM documents d LEFT JOIN (SELECT doc_id, min(quality) AS quality, min(toxic) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)")
+def label_attach(spark, d):
+    return T.first_match(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").withColumn("o", F.col("quality")), ["doc_id"], "o")
+
+
+# Motion (W1, W2, W4, W8, W9, T6, J4, F8).
+@query(f"WITH {MO} SELECT job_id, idx, m FROM mo")
+def motion_series(spark, d):
+    return Mo.series(hashed_frames(spark, d)).withColumn("m", F.col("m").cast("long"))
+
+
+@query(f"WITH {RUNS} SELECT job_id, idx, sm FROM sm")
+def motion_smooth(spark, d):
+    return Mo.smooth(Mo.series(hashed_frames(spark, d)), MOTION).select("job_id", "idx", "sm")
+
+
+def _zone_columns(df, *more):
+    return df.select("job_id", *more, "start_index", "end_index", "peak_index", F.col("score").cast("long").alias("score"), "kind")
+
+
+@query(f"WITH {RUNS} SELECT job_id, start_index, end_index, peak_index, score, kind FROM runs")
+def motion_runs(spark, d):
+    return _zone_columns(Mo.runs(Mo.series(hashed_frames(spark, d)), MOTION))
+
+
+@query(f"WITH {RUNS}, {ANOM} SELECT job_id, start_index, end_index, peak_index, score, kind FROM anom")
+def motion_anomalies(spark, d):
+    return _zone_columns(Mo.anomalies(Mo.series(hashed_frames(spark, d)), MOTION))
+
+
+def _zones(spark, d):
+    return Mo.zones(Mo.series(hashed_frames(spark, d)), MOTION)
+
+
+@query(f"WITH {ZONES} SELECT job_id, 'motion_' || lpad(CAST(row_number() OVER (PARTITION BY job_id ORDER BY start_ms) AS VARCHAR), 4, '0') AS zone_id, start_ms, end_ms, start_index, end_index, peak_index, score, kind FROM zones")
+def motion_zones_merged(spark, d):
+    return _zone_columns(_zones(spark, d), "zone_id", "start_ms", "end_ms")
+
+
+@query(f"WITH {ZONES} SELECT job_id, start_ms, CASE WHEN end_ms - start_ms <= 400 THEN 30 WHEN end_ms - start_ms <= 1500 THEN 15 ELSE 8 END AS dense_fps FROM zones")
+def dense_fps_ladder(spark, d):
+    return _zones(spark, d).select("job_id", "start_ms", "dense_fps")
+
+
+_IN = "EXISTS (SELECT 1 FROM zones z WHERE z.job_id = sg.job_id AND sg.idx BETWEEN z.start_index AND z.end_index)"
+
+
+@query(f"WITH {ZONES} SELECT job_id, frame_id, idx FROM sg WHERE {_IN}")
+def in_zone_semi(spark, d):
+    return Mo.in_zone(hashed_frames(spark, d), _zones(spark, d)).select("job_id", "frame_id", "idx")
+
+
+@query(f"WITH {ZONES} SELECT job_id, frame_id, idx FROM sg WHERE NOT {_IN}")
+def out_of_zone_anti(spark, d):
+    return Mo.in_zone(hashed_frames(spark, d), _zones(spark, d), inside=False).select("job_id", "frame_id", "idx")
+
+
+def _flagged(spark, d):
+    frames = hashed_frames(spark, d)
+    inside = Mo.in_zone(frames, _zones(spark, d)).select("job_id", "idx", F.lit(True).alias("in_zone"))
+    return frames.join(inside, ["job_id", "idx"], "left").withColumn("in_zone", F.coalesce("in_zone", F.lit(False)))
+
+
+# Stability.
+@query(f"WITH {NB} SELECT job_id, frame_id, idx, CASE WHEN idx > 0 AND idx < n - 1 AND prev > 36 AND nxt > 36 THEN 'between_changes' WHEN idx > 0 AND idx < n - 1 AND least(prev, nxt) > 30 AND split > 17 THEN 'split' WHEN idx > 0 AND idx < n - 1 AND prev > 32 AND nxt <= 32 AND nxt2 > 32 AND split > 17 THEN 'late' WHEN idx > 0 AND idx < n - 1 AND prev <= 32 AND nxt > 32 AND prev2 > 32 AND split > 17 THEN 'early' WHEN idx = n - 1 AND n > 1 AND split > 17 THEN 'last_split' END AS rule FROM nb")
+def stability_rules(spark, d):
+    return St.verdicts(hashed_frames(spark, d), change=36, still=30, calm=32, split=17).select("job_id", "frame_id", "idx", "rule")
+
+
+@query(f"WITH {ZONES}, {NB[NB.index('n0 AS'):]} SELECT sg.job_id, sg.frame_id, sg.idx FROM sg JOIN nb ON nb.job_id = sg.job_id AND nb.idx = sg.idx WHERE NOT (NOT {_IN} AND coalesce(prev, -1) > 33 AND coalesce(nxt, -1) > 33)")
+def scout_filter(spark, d):
+    return St.scout(_flagged(spark, d), 33).select("job_id", "frame_id", "idx")
+
+
+@query(f"WITH {NB}, tt AS (SELECT *, coalesce(max(CASE WHEN prev <= 30 THEN idx END) OVER (PARTITION BY job_id), 0) AS last FROM nb) SELECT job_id, frame_id, idx FROM tt WHERE n < 3 OR idx <= last")
+def trailing_trim(spark, d):
+    return St.trim_tail(hashed_frames(spark, d), 30).select("job_id", "frame_id", "idx")
+
+
+# Deduplication.
+@query(f"WITH RECURSIVE {SIG}, walk AS (SELECT job_id, idx, b AS last, true AS keep FROM sg WHERE idx = 0 UNION ALL SELECT s.job_id, s.idx, CASE WHEN {ham('s.b', 'w.last')} >= 30 THEN s.b ELSE w.last END, {ham('s.b', 'w.last')} >= 30 FROM walk w JOIN sg s ON s.job_id = w.job_id AND s.idx = w.idx + 1) SELECT job_id, idx FROM walk WHERE keep")
+def dedup_consecutive(spark, d):
+    return D.consecutive(hashed_frames(spark, d), 30)
+
+
+@query(f"WITH RECURSIVE {ZONES}, fl AS (SELECT *, {_IN} AS inz FROM sg), walk AS (SELECT job_id, idx, CASE WHEN inz THEN NULL ELSE b END AS last, true AS keep FROM fl WHERE idx = 0 UNION ALL SELECT s.job_id, s.idx, CASE WHEN s.inz THEN NULL WHEN w.last IS NULL THEN s.b WHEN {ham('s.b', 'w.last')} >= 30 THEN s.b ELSE w.last END, CASE WHEN s.inz OR w.last IS NULL THEN true ELSE {ham('s.b', 'w.last')} >= 30 END FROM walk w JOIN fl s ON s.job_id = w.job_id AND s.idx = w.idx + 1) SELECT job_id, idx FROM walk WHERE keep")
+def dedup_consecutive_zone_reset(spark, d):
+    return D.consecutive_with_zones(_flagged(spark, d), 30)
+
+
+@query(f"WITH RECURSIVE {SIG}, walk AS (SELECT job_id, idx, [b] AS kept, true AS keep FROM sg WHERE idx = 0 UNION ALL SELECT job_id, idx, CASE WHEN far THEN list_append(kept, b) ELSE kept END, far FROM (SELECT s.job_id, s.idx, s.b, w.kept, list_bool_and(list_transform(w.kept, lambda k: list_sum(list_transform(range(1, 65), lambda i: abs(k[i] - s.b[i]))) >= 26)) AS far FROM walk w JOIN sg s ON s.job_id = w.job_id AND s.idx = w.idx + 1)) SELECT job_id, idx FROM walk WHERE keep")
+def dedup_global(spark, d):
+    return D.leaders(hashed_frames(spark, d), 26)
+
+
+@query(f"WITH {SIG} SELECT * FROM (SELECT x.job_id, x.idx AS a, y.idx AS b, {ham('x.b', 'y.b')} AS distance FROM sg x JOIN sg y ON x.job_id = y.job_id AND x.idx < y.idx) WHERE distance < 24")
+def near_dup_pairs(spark, d):
+    return D.near_pairs(hashed_frames(spark, d), 24).withColumn("distance", F.col("distance").cast("long"))
+
+
+@query(f"WITH {SCREENS} SELECT job_id, label, idx FROM sc QUALIFY row_number() OVER (PARTITION BY job_id, label, lower(regexp_replace(key_text, '^\\s+|\\s+$', '', 'g')), list_sort(components) ORDER BY idx) = 1")
+def semantic_dedup(spark, d):
+    return D.first_of_meaning(screens(spark, d)).select("job_id", "label", "idx")
+
+
+# Segments (W3, W10, T5, T7, A2, A8).
+@query(f"WITH {ROLL} SELECT job_id, 'segment_' || lpad(CAST(seg AS VARCHAR), 4, '0') AS segment_id, start_index, end_index, start_ms, end_ms, end_ms - start_ms AS duration_ms, n_frames, CASE WHEN n_frames = 1 THEN 'single_frame' WHEN end_ms - start_ms < {SEGMENTS.short_ms} THEN 'short_stable' ELSE 'stable' END AS segment_type FROM roll")
+def segments(spark, d):
+    return S.roll_up(timed_frames(spark, d), SEGMENTS).select("job_id", "segment_id", "start_index", "end_index", "start_ms", "end_ms", "duration_ms", "n_frames", "segment_type")
+
+
+@query(f"WITH {REPS} SELECT job_id, seg, frame_id, idx, ts_ms, st, en, n_frames FROM reps")
+def representatives(spark, d):
+    return S.representatives(timed_frames(spark, d), SEGMENTS).withColumn("seg", F.col("seg").cast("long"))
+
+
+@query(f"WITH {TL} SELECT job_id, idx, idx + 1 AS seg FROM tl")
+def index_fallback_segments(spark, d):
+    frames = timed_frames(spark, d).withColumn("ts_ms", F.when(F.col("idx") != 3, F.col("ts_ms")))
+    alone = frames.withColumn("ts_ms", F.when(F.col("idx") > 0, F.col("ts_ms")))
+    return S.assign(alone, SEGMENTS).select("job_id", "idx", F.col("seg").cast("long").alias("seg"))
+
+
+@query(f"WITH {REPS}, b AS (SELECT job_id, min(ts_ms) AS begin_ms FROM tl GROUP BY job_id) SELECT r.job_id, r.ts_ms - b.begin_ms > {2 * SEGMENTS.guard_ms} AS late_start, r.en - r.st < {SEGMENTS.short_ms} AND r.n_frames > 1 AS short_first FROM reps r JOIN b ON b.job_id = r.job_id WHERE r.seg = 1")
+def segment_warnings(spark, d):
+    return S.warnings(timed_frames(spark, d), SEGMENTS)
+
+
+# Boundaries.
+@query(f"WITH {SEG}, {BND} SELECT job_id, 'boundary_' || lpad(CAST(bnd AS VARCHAR), 4, '0') AS boundary_id, start_ms, end_ms, peak_ms FROM bnd")
+def boundaries(spark, d):
+    return B.between_segments(timed_frames(spark, d), SEGMENTS).select("job_id", "boundary_id", "start_ms", "end_ms", "peak_ms")
+
+
+def _touched(spark, d):
+    frames = timed_frames(spark, d)
+    return B.touched(frames, B.between_segments(frames, SEGMENTS), BOUNDS.edge_ms)
+
+
+@query(f"WITH {SEG}, {BND}, {TOUCH}, f AS (SELECT job_id, idx, inside, near, value > 60 AS hp, value > 80 AS hn, value < 5 AS bl FROM tch), s AS (SELECT *, least(100, CASE WHEN inside THEN 35 ELSE 0 END + CASE WHEN near THEN 25 ELSE 0 END + CASE WHEN hp THEN 20 ELSE 0 END + CASE WHEN hn THEN 20 ELSE 0 END + CASE WHEN hp AND hn THEN 15 ELSE 0 END + CASE WHEN bl THEN 10 ELSE 0 END) AS pts FROM f) SELECT job_id, idx, pts / 100.0::DOUBLE AS score, CASE WHEN pts >= 65 THEN 'contaminated' ELSE 'likely_stable_state' END AS class FROM s")
+def contamination_score(spark, d):
+    points = B.contamination(F.col("inside"), F.col("near"), F.col("value") > 60, F.col("value") > 80, F.col("value") < 5)
+    return _touched(spark, d).select("job_id", "idx", (points / 100).alias("score"), B.candidate_class(points, F.col("ts_ms").isNotNull()).alias("class"))
+
+
+@query(f"WITH {GUARD} SELECT job_id, seg, frame_id, idx, near, moved FROM guarded")
+def edge_guard(spark, d):
+    return B.guarded(timed_frames(spark, d), SEGMENTS, BOUNDS).select("job_id", F.col("seg").cast("long").alias("seg"), "frame_id", "idx", "near", "moved")
+
+
+@query(f"WITH {RECOV} SELECT job_id, bnd, frame_id, idx, side FROM recov")
+def recovery_candidates(spark, d):
+    return B.recovered(timed_frames(spark, d), SEGMENTS, BOUNDS).select("job_id", F.col("bnd").cast("long").alias("bnd"), "frame_id", "idx", F.col("side").cast("int").alias("side"))
+
+
+@query(f"WITH {RECOV} SELECT b.job_id, count(DISTINCT b.bnd) AS detected, count(r.frame_id) AS recovered, count(DISTINCT r.frame_id) AS frames FROM bnd b LEFT JOIN recov r ON r.job_id = b.job_id AND r.bnd = b.bnd GROUP BY b.job_id")
+def boundary_summary(spark, d):
+    frames = timed_frames(spark, d)
+    found = B.between_segments(frames, SEGMENTS).select("job_id", "bnd")
+    back = B.recovered(frames, SEGMENTS, BOUNDS).select("job_id", "bnd", "frame_id")
+    return found.join(back, ["job_id", "bnd"], "left").groupBy("job_id").agg(F.count_distinct("bnd").alias("detected"), F.count("frame_id").alias("recovered"), F.count_distinct("frame_id").alias("frames"))
+
+
+@query(f"WITH {FINAL} SELECT job_id, frame_id, times, boundary, place FROM fin")
+def final_merge(spark, d):
+    out = B.final(timed_frames(spark, d), SEGMENTS, BOUNDS)
+    return out.select("job_id", "frame_id", "times", F.col("boundary").cast("long").alias("boundary"), F.col("place").cast("long").alias("place"))
+
+
+@query(f"WITH {REPS}, l AS (SELECT r.job_id, r.seg, r.ts_ms, t.label FROM reps r JOIN tl t ON t.job_id = r.job_id AND t.idx = r.idx), p AS (SELECT *, lead(seg) OVER w AS next_seg, lead(ts_ms) OVER w AS nms, lead(label) OVER w AS nl FROM l WINDOW w AS (PARTITION BY job_id ORDER BY seg)) SELECT job_id, seg, next_seg, label FROM p WHERE nl = label AND nms - ts_ms <= {6 * HOUR}")
+def drift_pairs(spark, d):
+    frames = timed_frames(spark, d)
+    chosen = S.representatives(frames, SEGMENTS).join(frames.select("job_id", "idx", "label"), ["job_id", "idx"])
+    return B.drifting(chosen, 6 * HOUR).select("job_id", F.col("seg").cast("long").alias("seg"), F.col("next_seg").cast("long").alias("next_seg"), "label")
+
+
+@query(f"WITH {ROLL} SELECT job_id, seg FROM (SELECT *, max(seg) OVER (PARTITION BY job_id) AS last FROM roll) WHERE n_frames > 1 AND end_ms - start_ms < {SEGMENTS.short_ms} AND seg > 1 AND seg < last")
+def short_states(spark, d):
+    return B.short_states(S.roll_up(timed_frames(spark, d), SEGMENTS)).select("job_id", F.col("seg").cast("long").alias("seg"))
+
+
+# Classification.
+@query("SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events")
+def json_isolate(spark, d):
+    raw = table(spark, d, "events").select("event_id", F.concat(F.lit("Here you are:\n```json\n"), "props", F.lit("\n```\nBye {now}")).alias("raw"))
+    return raw.select("event_id", F.from_json(C.isolate(F.col("raw")), "k long")["k"].alias("k"))
+
+
+@query("SELECT event_id, 'home' AS label, CAST(props->>'$.k' AS DOUBLE) / 100 AS conf, 1 AS n_items FROM events")
+def answers_parsed(spark, d):
+    share = F.get_json_object("props", "$.k").cast("double") / 100
+    answer = F.concat(F.lit('Sure. {"screens": [{"label": "home", "conf": '), share.cast("string"), F.lit("}]} done"))
+    parsed = C.answers(table(spark, d, "events").select("event_id", answer.alias("raw")))
+    return parsed.select("event_id", F.col("items")[0]["label"].alias("label"), F.col("items")[0]["conf"].alias("conf"), F.size("items").alias("n_items"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'unsorted' WHEN doc_id % 3 = 1 THEN 'x' || source ELSE lang || '/' || source END AS label, CASE WHEN doc_id % 3 = 0 THEN 'unsorted' WHEN doc_id % 3 = 1 THEN 'x' || source ELSE lang END AS screen_type, least(1.0, doc_id / 500.0)::DOUBLE AS conf, doc_id % 2 = 0 AS is_scroll_state FROM documents")
+def classification_normalise(spark, d):
+    i = F.col("doc_id")
+    raw = table(spark, d, "documents").select("doc_id", F.when(i % 3 == 2, F.concat_ws("/", "lang", "source")).when(i % 3 == 1, F.lit("  ")).alias("label"), F.when(i % 3 == 1, F.concat(F.lit("x"), "source")).alias("screen_type"), (i / 500.0).alias("conf"), F.when(i % 2 == 0, "scrolled").alias("state"))
+    return C.normalise(raw).select("doc_id", "label", "screen_type", "conf", "is_scroll_state")
+
+
+_KINDS = "CASE doc_id % 6 WHEN 0 THEN 'paywall/x' WHEN 1 THEN 'onboarding' WHEN 2 THEN 'transition' WHEN 3 THEN 'checkout' WHEN 4 THEN 'login' ELSE 'home' END"
+
+
+def _any(words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains(low, '{w.replace(chr(39), chr(39) * 2)}')" for w in words) + ")"
+
+
+@query(f"""WITH {SCREENS}, k AS (SELECT idx AS doc_id, split_part({_KINDS.replace('doc_id', 'idx')}, '/', 1) AS kind, key_text, all_text, conf, lower(key_text || chr(10) || all_text) AS low FROM sc)
+SELECT doc_id, concat_ws('; ', CASE WHEN kind = 'paywall' AND NOT {_any(C.PRICING)} THEN 'paywall_without_pricing_text' END, CASE WHEN kind = 'onboarding' AND {_any(C.PRICING)} THEN 'onboarding_with_pricing_text' END,
+CASE WHEN kind = 'transition' AND length(regexp_replace(all_text, '^\\s+|\\s+$', '', 'g')) > 24 AND length(regexp_replace(key_text, '^\\s+|\\s+$', '', 'g')) > 2 THEN 'transition_with_content' END, CASE WHEN conf < 0.65 THEN 'low_confidence' END,
+CASE WHEN kind = 'checkout' AND NOT {_any(C.CHECKOUT)} THEN 'checkout_without_checkout_text' END, CASE WHEN kind = 'login' AND NOT {_any(C.SIGN_IN)} THEN 'auth_without_auth_text' END) AS review_reason FROM k""")
+def validate_rules(spark, d):
+    shown = screens(spark, d).withColumnRenamed("idx", "doc_id").withColumn("label", F.expr(_KINDS))
+    return C.rules(shown).select("doc_id", C.reasons(F.lit(None).cast("string"), F.col("warnings")).alias("review_reason"))
+
+
+# Roll-ups (A4-A7, W14-W16, S12, S13, S16, J9, F11-F13).
+_PLACED = "pl AS (SELECT *, row_number() OVER (PARTITION BY job_id, label ORDER BY idx) - 1 AS number FROM sc WHERE label NOT IN ('transition', 'system_tray', 'app_switcher', 'home_screen'))"
+
+
+@query(f"WITH {SCREENS}, {_PLACED} SELECT job_id, idx, number, replace(label, '/', '__') || '/' || lpad(CAST(number AS VARCHAR), 3, '0') || '.jpg' AS path FROM pl")
+def rank_in_label(spark, d):
+    return M.placed(screens(spark, d)).select("job_id", "idx", "number", "path")
+
+
+@query(f"WITH {SCREENS}, {_PLACED} SELECT job_id AS parent, count(*) AS n_images, string_agg(replace(label, '/', '__') || '/' || lpad(CAST(number AS VARCHAR), 3, '0') || '.jpg', ',' ORDER BY replace(label, '/', '__') || '/' || lpad(CAST(number AS VARCHAR), 3, '0') || '.jpg') AS paths FROM pl GROUP BY job_id")
+def sections_view(spark, d):
+    found = M.sections(M.tree(screens(spark, d)))
+    return found.select("parent", F.size("paths").cast("long").alias("n_images"), F.array_join("paths", ",").alias("paths"))
+
+
+@query(f"WITH {SCREENS}, {_PLACED}, n AS (SELECT job_id, split_part(label, '/', 2) AS child, count(*) AS c FROM pl GROUP BY ALL) SELECT job_id, child, c AS n_images FROM n")
+def manifest_tree(spark, d):
+    trees = M.tree(screens(spark, d)).select("job_id", F.explode("manifest").alias("parent", "node"))
+    return trees.select("job_id", F.explode("node.children").alias("child", "images")).select("job_id", "child", F.size("images").cast("long").alias("n_images"))
+
+
+_STEPS = "st AS (SELECT job_id, idx, CASE label WHEN 'purchase' THEN 'paywall/annual' WHEN 'signup' THEN 'onboarding' WHEN 'error' THEN 'transition' WHEN 'click' THEN 'special_offer' ELSE label END AS label FROM tl)"
+_FUNNEL = f"{TL}, {_STEPS}, sh AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY idx) - 1 AS place FROM st WHERE label NOT IN ('transition', 'system_tray', 'app_switcher')), fu AS (SELECT job_id, string_agg(label, '>' ORDER BY place) AS sequence, list(DISTINCT label) AS kinds, count(*) AS n, min(CASE WHEN label LIKE 'paywall%' THEN place END) AS paywall_position, count(*) FILTER (label LIKE 'onboarding%') AS onboarding_count, bool_or(label LIKE '%special_offer%') AS has_downsell FROM sh GROUP BY job_id)"
+
+
+def _profiles(spark, d):
+    step = F.expr("CASE label WHEN 'purchase' THEN 'paywall/annual' WHEN 'signup' THEN 'onboarding' WHEN 'error' THEN 'transition' WHEN 'click' THEN 'special_offer' ELSE label END")
+    return M.funnel(timed_frames(spark, d).withColumn("label", step))
+
+
+@query(f"WITH {_FUNNEL} SELECT job_id, sequence, paywall_position, onboarding_count, has_downsell FROM fu")
+def funnel_profile(spark, d):
+    return _profiles(spark, d).withColumn("sequence", F.array_join("sequence", ">"))
+
+
+@query(f"WITH {_FUNNEL} SELECT job_id, n AS steps, paywall_position IS NOT NULL AS has_paywall FROM fu")
+def session_list(spark, d):
+    return _profiles(spark, d).select("job_id", F.size("sequence").cast("long").alias("steps"), F.col("paywall_position").isNotNull().alias("has_paywall"))
+
+
+@query(f"WITH {_FUNNEL} SELECT a.job_id AS job_a, b.job_id AS job_b, a.n AS steps_a, b.n AS steps_b, CAST(len(list_intersect(a.kinds, b.kinds)) AS BIGINT) AS shared_kinds, b.paywall_position - a.paywall_position AS paywall_shift FROM fu a JOIN fu b ON b.job_id = a.job_id + 1")
+def session_compare(spark, d):
+    profiles = _profiles(spark, d)
+    return M.compare(profiles, profiles.select(F.col("job_id").alias("job_a"), (F.col("job_id") + 1).alias("job_b")))
+
+
+@query(f"WITH {TL}, n AS (SELECT *, count(*) OVER (PARTITION BY job_id) AS n FROM tl) SELECT job_id, idx FROM n WHERE n <= 20 OR list_contains(list_transform(range(0, 20), lambda i: i * n // 20), idx)")
+def even_subsample(spark, d):
+    return M.evenly(timed_frames(spark, d)).select("job_id", "idx")
+
+
+@query(f"WITH {SCREENS} SELECT idx, label NOT IN ('transition', 'system_tray', 'app_switcher', 'home_screen') AS image, split_part(label, '/', 1) NOT IN ('transition', 'system_tray', 'app_switcher', 'home_screen', 'unsorted') AS analysed, label NOT IN ('transition', 'system_tray', 'app_switcher') AS step FROM (SELECT idx, CASE idx % 4 WHEN 0 THEN 'home_screen' WHEN 1 THEN 'transition/x' WHEN 2 THEN 'unsorted' ELSE label END AS label FROM sc)")
+def junk_filters(spark, d):
+    label = F.col("label")
+    shown = screens(spark, d).withColumn("label", F.expr("CASE idx % 4 WHEN 0 THEN 'home_screen' WHEN 1 THEN 'transition/x' WHEN 2 THEN 'unsorted' ELSE label END"))
+    return shown.select("idx", (~label.isin(*M.NO_IMAGE)).alias("image"), (~M.parent(label).isin(*M.NO_ANALYSIS)).alias("analysed"), (~label.isin(*M.NO_STEP)).alias("step"))
