@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, kneser_ney, langid, licenses, lpf, mixing, pii, quality_rules, sentencepiece, simhash
+from tidemark.llm import decontaminate, kneser_ney, langid, licenses, lpf, mixing, pii, quality_rules, sentencepiece, simhash, sql
 from tidemark.llm.text import documents
 
 
@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.all_sql()
