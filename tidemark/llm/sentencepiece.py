@@ -26,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +35,16 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-HOT = 1 << 14
+HOT = 1 << 15
 #: Tasks that build their lattices; the words are few but each takes some steps.
 TASKS = 24
 #: Words whose codes a task remembers beyond the broadcast ones.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 
 _WORD = re.compile(r"\n| ?[^ \n]+| ")
 
 
-@dataclass(frozen=True)
+@dataclass
 class Pieces:
     """The piece table: ids and scores of pieces, the ids of bytes, and the score of a byte."""
 
@@ -52,6 +53,13 @@ class Pieces:
     byte_ids: list[int]
     byte_score: float
 
+    @cached_property
+    def table(self) -> dict[str, tuple[float, list[int]] | None]:
+        """Every beginning of a piece; with score and code where it is a piece itself."""
+        found: dict = {p[:k]: None for p in self.ids for k in range(1, len(p))}
+        found.update({p: (self.scores[p], [i]) for p, i in self.ids.items()})
+        return found
+
     @property
     def longest(self) -> int:
         return max(map(len, self.ids), default=1)
@@ -76,26 +84,32 @@ def lattice_form(word: str) -> str:
     return word.replace(SPACE, "\0").replace(" ", SPACE)
 
 
-def encode_word(word: str, pieces: Pieces, longest: int) -> list[int]:
+def encode_word(word: str, pieces: Pieces) -> list[int]:
     """The best path through the word's lattice."""
-    best: list[tuple[float, int, list[int]]] = [(0.0, 0, [])]
-    ids, scores, form = pieces.ids, pieces.scores, lattice_form(word)
-    for end in range(1, len(word) + 1):
-        top = None
-        for start in range(max(0, end - longest), end):
-            score = scores.get(form[start:end])
-            if score is not None and (top is None or best[start][0] + score > top[0]):
-                top = (best[start][0] + score, start, [ids[form[start:end]]])
-        if form[end - 1] not in scores:
-            code = [pieces.byte_ids[b] for b in word[end - 1].encode()]
-            total = best[end - 1][0] + len(code) * pieces.byte_score
-            if top is None or total > top[0]:
-                top = (total, end - 1, code)
-        best.append(top)
-    path, at = [], len(word)
+    form, n, table = lattice_form(word), len(word), pieces.table
+    score: list[float | None] = [0.0] + [None] * n
+    back: list = [None] * (n + 1)
+    for start in range(n):
+        base = score[start]
+        for end in range(start + 1, n + 1):
+            found = table.get(form[start:end], 0)
+            if found == 0:  # no piece begins so
+                break
+            if found is not None:
+                total, top = base + found[0], score[end]
+                if top is None or total > top:
+                    score[end] = total
+                    back[end] = (start, found[1])
+        if not table.get(form[start], 0):  # the character is no piece: its bytes
+            code = [pieces.byte_ids[b] for b in word[start].encode()]
+            total, top = base + len(code) * pieces.byte_score, score[start + 1]
+            if top is None or total > top:
+                score[start + 1] = total
+                back[start + 1] = (start, code)
+    path, at = [], n
     while at:
-        path.append(best[at][2])
-        at = best[at][1]
+        at, code = back[at]
+        path.append(code)
     return [i for code in reversed(path) for i in code]
 
 
@@ -167,7 +181,7 @@ def encode(docs: DataFrame, pieces: Pieces, hot: int = HOT) -> DataFrame:
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, own = shared.value
-        longest, names, rare = own.longest, piece_bytes(own), {}
+        names, rare = piece_bytes(own), {}
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -183,7 +197,7 @@ def encode(docs: DataFrame, pieces: Pieces, hot: int = HOT) -> DataFrame:
                     for word in words:
                         code = known.get(word) or rare.get(word)
                         if code is None:
-                            code = encode_word(word, own, longest)
+                            code = encode_word(word, own)
                             if len(rare) >= REMEMBERED:
                                 rare.clear()
                             rare[word] = code
