@@ -41,6 +41,8 @@ TASKS = 24
 #: Words whose codes a task remembers beyond the broadcast ones.
 REMEMBERED = 400_000
 
+PUNCTUATION = ".,!?;:|*$%&#"
+_CROSSING = re.compile(f"[A-Za-zÀ-ÖØ-öø-ÿ][{re.escape(PUNCTUATION)}]")
 _WORD = re.compile(r"\n| ?[^ \n]+| ")
 
 
@@ -60,6 +62,11 @@ class Pieces:
         found.update({p: (self.scores[p], [i]) for p, i in self.ids.items()})
         return found
 
+    @cached_property
+    def ends_apart(self) -> bool:
+        """Whether no piece reaches from a letter into punctuation, so that a word can be cut there."""
+        return not any(_CROSSING.search(p) for p in self.ids)
+
     @property
     def longest(self) -> int:
         return max(map(len, self.ids), default=1)
@@ -182,6 +189,18 @@ def encode(docs: DataFrame, pieces: Pieces, hot: int = HOT) -> DataFrame:
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, own = shared.value
         names, rare = piece_bytes(own), {}
+
+        def find(word: str) -> list[int]:
+            """The code of a word that is neither known nor remembered."""
+            bare = word.rstrip(PUNCTUATION)
+            if own.ends_apart and bare != word and _CROSSING.search(word[len(bare) - 1 : len(bare) + 1] if bare else ""):
+                end = word[len(bare) :]
+                return (known.get(bare) or rare.get(bare) or find(bare)) + (known.get(end) or rare.get(end) or find(end))
+            if len(rare) >= REMEMBERED:
+                rare.clear()
+            rare[word] = encode_word(word, own)
+            return rare[word]
+
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -195,13 +214,7 @@ def encode(docs: DataFrame, pieces: Pieces, hot: int = HOT) -> DataFrame:
                     ids: list[int] = []
                     words = cut_words(text) if text else []
                     for word in words:
-                        code = known.get(word) or rare.get(word)
-                        if code is None:
-                            code = encode_word(word, own)
-                            if len(rare) >= REMEMBERED:
-                                rare.clear()
-                            rare[word] = code
-                        ids += code
+                        ids += known.get(word) or rare.get(word) or find(word)
                     out.append(np.array(ids, dtype=np.int32))
                     sizes.append(len(words))
                     same.append(decode_ids(ids, names) == text)
