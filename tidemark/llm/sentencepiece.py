@@ -22,11 +22,13 @@ one; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -56,10 +58,14 @@ class Pieces:
     byte_score: float
 
     @cached_property
-    def table(self) -> dict[str, tuple[float, list[int]] | None]:
-        """Every beginning of a piece; with score and code where it is a piece itself."""
-        found: dict = {p[:k]: None for p in self.ids for k in range(1, len(p))}
-        found.update({p: (self.scores[p], [i]) for p, i in self.ids.items()})
+    def tree(self) -> dict:
+        """The pieces' beginnings as a tree: character -> (what follows, score and code where it is a piece)."""
+        found: dict = {}
+        for piece, i in self.ids.items():
+            node = found
+            for c in piece[:-1]:
+                node = node.setdefault(c, ({}, None, None))[0]
+            node[piece[-1]] = (node.get(piece[-1], ({},))[0], self.scores[piece], [i])
         return found
 
     @cached_property
@@ -93,24 +99,24 @@ def lattice_form(word: str) -> str:
 
 def encode_word(word: str, pieces: Pieces) -> list[int]:
     """The best path through the word's lattice."""
-    form, n, table = lattice_form(word), len(word), pieces.table
-    score: list[float | None] = [0.0] + [None] * n
+    form, n, tree = lattice_form(word), len(word), pieces.tree
+    score = [0.0] + [-math.inf] * n
     back: list = [None] * (n + 1)
     for start in range(n):
-        base = score[start]
-        for end in range(start + 1, n + 1):
-            found = table.get(form[start:end], 0)
-            if found == 0:  # no piece begins so
+        base, node, end = score[start], tree, start
+        for c in form[start:]:
+            found = node.get(c)
+            if found is None:  # no piece begins so
                 break
-            if found is not None:
-                total, top = base + found[0], score[end]
-                if top is None or total > top:
-                    score[end] = total
-                    back[end] = (start, found[1])
-        if not table.get(form[start], 0):  # the character is no piece: its bytes
+            end += 1
+            node, own, code = found
+            if code and base + own > score[end]:
+                score[end] = base + own
+                back[end] = (start, code)
+        if not tree.get(form[start], (0, 0, 0))[2]:  # the character is no piece: its bytes
             code = [pieces.byte_ids[b] for b in word[start].encode()]
-            total, top = base + len(code) * pieces.byte_score, score[start + 1]
-            if top is None or total > top:
+            total = base + len(code) * pieces.byte_score
+            if total > score[start + 1]:
                 score[start + 1] = total
                 back[start + 1] = (start, code)
     path, at = [], n
@@ -182,25 +188,32 @@ def piece_bytes(pieces: Pieces) -> dict[int, bytes]:
     return {i: p.replace(SPACE, " ").encode() for p, i in pieces.ids.items()} | {i: bytes([b]) for b, i in enumerate(pieces.byte_ids)}
 
 
+class Codes(dict):
+    """The codes of words: the broadcast ones, and those that this task has met (at most REMEMBERED)."""
+
+    def __init__(self, known: dict[str, list[int]], pieces: Pieces):
+        super().__init__(known)
+        self.known, self.pieces = known, pieces
+
+    def __missing__(self, word: str) -> list[int]:
+        bare = word.rstrip(PUNCTUATION)
+        if self.pieces.ends_apart and bare != word and _CROSSING.search(word[len(bare) - 1 : len(bare) + 1] if bare else ""):
+            return self[bare] + self[word[len(bare) :]]
+        if len(self) >= REMEMBERED + len(self.known):
+            self.clear()
+            self.update(self.known)
+        self[word] = encode_word(word, self.pieces)
+        return self[word]
+
+
 def encode(docs: DataFrame, pieces: Pieces, hot: int = HOT) -> DataFrame:
     """doc_id, ids, n_pieces, n_words and round_trip (decoding gives the text again) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast((hot_table(docs, pieces, hot), pieces))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, own = shared.value
-        names, rare = piece_bytes(own), {}
-
-        def find(word: str) -> list[int]:
-            """The code of a word that is neither known nor remembered."""
-            bare = word.rstrip(PUNCTUATION)
-            if own.ends_apart and bare != word and _CROSSING.search(word[len(bare) - 1 : len(bare) + 1] if bare else ""):
-                end = word[len(bare) :]
-                return (known.get(bare) or rare.get(bare) or find(bare)) + (known.get(end) or rare.get(end) or find(end))
-            if len(rare) >= REMEMBERED:
-                rare.clear()
-            rare[word] = encode_word(word, own)
-            return rare[word]
-
+        codes, names = Codes(known, own), piece_bytes(own)
+        code_of, bytes_of = codes.__getitem__, names.__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -211,13 +224,11 @@ def encode(docs: DataFrame, pieces: Pieces, hot: int = HOT) -> DataFrame:
                         sizes.append(0)
                         same.append(None)
                         continue
-                    ids: list[int] = []
                     words = cut_words(text) if text else []
-                    for word in words:
-                        ids += known.get(word) or rare.get(word) or find(word)
+                    ids = list(chain.from_iterable(map(code_of, words)))
                     out.append(np.array(ids, dtype=np.int32))
                     sizes.append(len(words))
-                    same.append(decode_ids(ids, names) == text)
+                    same.append(b"".join(map(bytes_of, ids)) == (" " + text if text else "").encode())
                 column = pa.array(out, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), column, pa.array([0 if x is None else len(x) for x in out], pa.int64()), pa.array(sizes, pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_pieces", "n_words", "round_trip"])
 
