@@ -34,6 +34,8 @@ SEED = 42
 CHUNK = 8192
 #: Codes that are compared without a tree.
 LEAF = 64
+#: Bits that the codes of a shard share at least, so that small and large tables are sharded alike.
+SHARED_BITS = 16
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -140,7 +142,7 @@ def _plan(radius: int, n: int) -> list[list[tuple[int, int]]]:
     for blocks in range(radius + 1, 2 * radius + 3):
         edges = [64 * i // blocks for i in range(blocks + 1)]
         bits = 64 * (blocks - radius) // blocks
-        if n <= 2**bits * 256 or blocks == 2 * radius + 2:
+        if SHARED_BITS <= bits and n <= 2**bits * 256 or blocks == 2 * radius + 2:
             return [[(edges[i], edges[i + 1] - edges[i]) for i in kept] for kept in combinations(range(blocks), blocks - radius)]
     raise AssertionError
 
