@@ -195,19 +195,3 @@ def classes(docs: DataFrame, words: int, radius: int) -> DataFrame:
     rooted = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return coded.join(rooted.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, words: int, radius: int) -> DataFrame:
-    """One row of each component, the one with the smallest doc_id (the first such row), with all columns.
-
-    Rows are told apart by their place in the input, so docs must be a table that reads alike twice.
-    """
-    placed = docs.withColumn("__row", F.monotonically_increasing_id())
-    coded = cut(fingerprints(placed.select(F.col("__row").alias("doc_id"), "text"), words).withColumnRenamed("doc_id", "__row").join(placed.select("__row", "doc_id"), "__row"))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")
-    own = cut(coded.groupBy("fp").agg(F.min(place).alias("first")))
-    roots = components(links(own.select("fp"), radius))
-    rooted = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("first", F.coalesce("root", "fp").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.__row")
-    dropped = coded.select("__row").join(kept, "__row", "left_anti")
-    return placed.join(dropped, "__row", "left_anti").select(*docs.columns)
