@@ -390,3 +390,18 @@ def test_queries_have_the_contract_columns(spark):
     }
     for name, columns in wanted.items():
         assert set(columns.split()) <= set(registry.queries()[name](spark, DATA).columns), name
+
+
+def test_mixer_tells_contexts_apart(spark):
+    """As many four-byte contexts as the text has, each followed by its own byte."""
+    ship(spark)
+    rng = np.random.default_rng(4)
+    made = {bytes(x): b for x, b in zip(rng.integers(97, 123, (12_000, 4), dtype=np.uint8), rng.integers(48, 58, 12_000).tolist())}
+    mixer = mixing.fit(spark.createDataFrame([(" ".join((k + bytes([b])).decode() for k, b in made.items()),)], "text string"))
+    keys = list(made)
+    gram = np.array([int.from_bytes(k + bytes([made[k]]), "big") for k in keys], dtype=np.uint64)
+    assert len(mixer.known[3]) >= len(keys)
+    odds = mixer.odds[3]
+    for node, bit in mixing.nodes(gram):
+        assert (np.sign(odds[mixer.bases(gram)[3] + node]) == 2 * bit - 1).all()
+    assert mixing.STEP == 1 << 17
