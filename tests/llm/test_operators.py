@@ -405,3 +405,17 @@ def test_mixer_tells_contexts_apart(spark):
     for node, bit in mixing.nodes(gram):
         assert (np.sign(odds[mixer.bases(gram)[3] + node]) == 2 * bit - 1).all()
     assert mixing.STEP == 1 << 17
+
+
+def test_a_bad_passage_in_a_long_text_is_caught(spark):
+    ship(spark)
+    rng = random.Random(8)
+    good = lambda n: " ".join(rng.choice(("the cat sat on a mat", "a dog ran to the house", "we saw the old tree")) for _ in range(n))
+    odd = lambda n: " ".join("".join(rng.choice("qxzjkw") for _ in range(7)) for _ in range(n))
+    rows = [(i, good(rng.randrange(40, 80)), "en") for i in range(300)] + [(1000, good(200) + " " + odd(40) + " " + good(200), "en"), (1001, good(60), "en"), (1002, odd(50), "en")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    found = {r.doc_id: r for r in kneser_ney.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).collect()}
+    assert not found[1000].kept and not found[1002].kept
+    assert sum(found[i].kept for i in range(300)) >= 285
+    unseen = sorted(r.perplexity for r in found.values() if r.doc_id < 300)
+    assert found[1000].threshold <= unseen[-1] and found[1000].worst > found[1000].perplexity
