@@ -419,3 +419,13 @@ def test_a_bad_passage_in_a_long_text_is_caught(spark):
     assert sum(found[i].kept for i in range(300)) >= 285
     unseen = sorted(r.perplexity for r in found.values() if r.doc_id < 300)
     assert found[1000].threshold <= unseen[-1] and found[1000].worst > found[1000].perplexity
+
+
+def test_texts_without_id_of_one_32_bit_hash_stay_apart(spark):
+    ship(spark)
+    one, other = ("abcdefghij" * 30 + end for end in ("336474", "345701"))
+    table = spark.createDataFrame([(None, one), (None, other), (5, one)], "doc_id long, text string")
+    assert table.select(F.hash("text")).distinct().count() == 1
+    found = sorted((r.n_removed, bytes(r.kept)) for r in lpf.remove(table).collect())
+    # The suffixes share their first digit, which is thus repeated.
+    assert found == [(301, b"45701"), (306, b""), (306, b"")]

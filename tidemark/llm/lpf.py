@@ -120,9 +120,9 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a key (k0, k1) that is never null: the id, and a hash that parts texts of one id."""
+    """doc_id, text and a key (k0, k1) that is never null: the id, and a 64-bit hash that parts texts of one id."""
     text = whole_text(F.col("text"))
-    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k0"), F.hash(text).alias("k1"), text.alias("text"))
+    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k0"), F.xxhash64(text).alias("k1"), text.alias("text"))
 
 
 def _runs(rows: DataFrame) -> DataFrame:
@@ -143,11 +143,11 @@ def _columns(spans: pa.Array) -> list[np.ndarray]:
 
 def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "none") -> DataFrame:
     """k0, k1 and spans (s, n): the windows that are removed, as n windows from byte s on."""
-    kinds = "k0 long, k1 int, s int, n int, o int, key long, inside long"
+    kinds = "k0 long, k1 long, s int, n int, o int, key long, inside long"
 
     def batch_of(k0, k1, s, n, o, key, inside) -> pa.RecordBatch:
-        small = [pa.array(np.asarray(x).astype(np.int32)) for x in (k1, s, n, o)]
-        return pa.RecordBatch.from_arrays([pa.array(k0), *small, pa.array(key.view(np.int64)), pa.array(inside.view(np.int64))], ["k0", "k1", "s", "n", "o", "key", "inside"])
+        small = [pa.array(np.asarray(x).astype(np.int32)) for x in (s, n, o)]
+        return pa.RecordBatch.from_arrays([pa.array(k0), pa.array(k1), *small, pa.array(key.view(np.int64)), pa.array(inside.view(np.int64))], ["k0", "k1", "s", "n", "o", "key", "inside"])
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
