@@ -92,7 +92,12 @@ def test_pii_finds_credentials(spark):
     assert [x.kind for x in pii.scan(planted, model).first().spans] == ["secret"] * 3
 
 
-def test_repeated_strings(docs, rows, empty):
+@pytest.mark.parametrize("hot", [False, True])
+def test_repeated_strings(docs, rows, empty, hot, monkeypatch):
+    if hot:  # every minimiser and core of more than one row is dealt over parts
+        for name, value in (("HOT_SHARE", 1), ("HOT_ROWS", 1), ("SALTS", 3)):
+            monkeypatch.setattr(lpf, name, value)
+
     def plain(texts, n=200):
         count = Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
         for t in texts:
@@ -111,7 +116,7 @@ def test_repeated_strings(docs, rows, empty):
     made += [(100 + i, word(50) + long[rng.randrange(300) : rng.randrange(400, 900)] + word(40)) for i in range(40)]
     made += [(200, "a" * 1000), (201, "ab" * 400), (202, None), (203, ""), (205, long), (205, long), (206, long[:199]), (207, long[:200]), (None, "q" * 250)]
     spark = docs.sparkSession
-    for table in (docs.where("doc_id is null or doc_id <> 9000007").select("doc_id", "text"), spark.createDataFrame(made, "doc_id long, text string")):
+    for table in (docs.select("doc_id", "text"), spark.createDataFrame(made, "doc_id long, text string")):
         source = table.collect()
         expected = {}
         for r, e in zip(source, plain([(r.text or "").encode() for r in source]), strict=True):
@@ -120,8 +125,13 @@ def test_repeated_strings(docs, rows, empty):
         assert len(found) == len(source)
         for r in found:
             assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) in expected[r.doc_id]
-    first = lpf.remove(spark.createDataFrame([(1, long), (2, "x" * 10 + long)], "doc_id long, text string"), keep="first").orderBy("doc_id").collect()
-    assert (first[0].n_removed, first[1].n_removed) == (0, len(long.encode()))
+    first = lpf.remove(spark.createDataFrame([(1, long), (2, "x" * 10 + long), (3, long), (None, long)], "doc_id long, text string"), keep="first").collect()
+    assert {r.doc_id: r.n_removed for r in first} == {1: 0, **dict.fromkeys((2, 3, None), len(long.encode()))}
+    if not hot:
+        very_long = word(400_000)
+        found = lpf.remove(spark.createDataFrame([(1, very_long), (2, "y" + very_long[1000:300_000])], "doc_id long, text string")).orderBy("doc_id").collect()
+        size = len(very_long[1000:300_000].encode())
+        assert [(r.n_removed, r.n_spans) for r in found] == [(size, 1), (size, 1)]
     assert lpf.remove(empty).count() == 0
 
 

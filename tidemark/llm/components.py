@@ -2,23 +2,46 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, stored in the folder of spark.checkpoint.dir; a folder of its own is set only where none is."""
+    """df, stored in the folder of spark.checkpoint.dir. Only a local session, as in tests, may do without that setting."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            import tempfile
-
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             folder = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
+#: Rows of one key that a task may join.
+HOT_ROWS = 10_000
+#: No more keys than this count as hot; their list is broadcast.
+HOT_KEYS = 100_000
+#: Parts that the rows of a hot key are dealt over.
+SALTS = 64
+
+
+def dealt_join(rows: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
+    """rows joined to a table with one row a key; the rows of a key that very many share are dealt over several tasks."""
+    most = max(HOT_ROWS, rows.count() // HOT_KEYS)
+    hot = cut(rows.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*key))
+    if hot.isEmpty():
+        return rows.join(table, key)
+    marked = hot.withColumn("hot", F.lit(True))
+    salted = rows.join(F.broadcast(marked), key, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = table.join(F.broadcast(marked), key, "left").withColumn("salt", F.explode(salts)).drop("hot")
+    return salted.join(spread, [*key, "salt"]).drop("salt")
+
+
 #: Edges a task works on, about; small graphs need few tasks a step.
 ROWS_A_TASK = 200_000
 

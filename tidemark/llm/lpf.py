@@ -1,25 +1,33 @@
-"""Suffix-array style removal of repeated byte strings: every L-byte string that starts twice.
-
-A suffix array of the corpus puts all suffixes that share their first L bytes into one run, and the
-longest-previous-factor of a position is at least L exactly when the run holds a smaller position
-(its previous or next smaller value in suffix order lies in the run). Only suffixes in runs of two
-or more matter, so the suffix order is never made over all bytes. Runs are found in two steps:
-
-1. Sparse suffixes. Each L-byte window names its minimiser (the smallest k-byte hash in it). Equal
-   windows have equal minimisers, so a window whose minimiser occurs once starts no run. Windows in
-   a row with one minimiser make an interval, and there are about 2 / (L - k + 2) intervals a byte.
-   Intervals that are alike (same bytes over all their windows) have all their windows in runs.
-2. Where intervals of one minimiser differ, around the ends of copies, one interval of each kind is
-   ordered window by window by a 64-bit hash of the L bytes.
-
-For each window in a run, the run's smallest position (the earliest copy) and its size are known:
-`keep="none"` removes every copy, `keep="first"` spares the bytes of each run's first position.
-The grouping is a count and two minima a key, combined before the shuffle, and joins that adaptive
-execution may split; no run is ever held in one task.
-
-Defined results: a null text is empty; texts under L bytes keep everything; repeated rows are copies
-of one another; a null doc_id is an id like any other; other columns are ignored; an empty table
-gives an empty result.
+"""Suffix-array removal of repeated byte strings: longest previous factors over the suffixes that can repeat.
+
+The suffix order is cut at L bytes: suffixes that share their first L bytes form a run, and ties in
+a run go by position. So the previous smaller position of a suffix in that order is its predecessor
+where both are in one run, no position after it in the run is smaller, and its longest previous
+factor reaches L exactly when it has a predecessor in its run. `keep="first"` removes those suffixes'
+first L bytes; `keep="none"` also those of the earliest suffix of each run of two or more.
+
+The order is never made over all bytes. It is refined in three levels, each of which settles most of
+what the level before left open:
+
+1. Texts. Equal texts are one text with a count.
+2. Sparse suffixes. Each window of L bytes names its minimiser, the place of the smallest hash of
+   GRAM bytes in it. Equal windows have equal minimisers, so a minimiser that occurs once starts no
+   run. Windows in a row with one minimiser make an interval; intervals of equal bytes are sorted
+   side by side, and all but the first have a predecessor. What stays open is the first interval of
+   each kind, where one minimiser has intervals of several kinds: around the ends of copies.
+3. Windows. Open intervals are cut into blocks of BLOCK windows at fixed distances from the
+   minimiser. The windows of a block share a core, so only blocks of one core can hold equal windows;
+   a block carries the few bytes on both sides of it. Blocks of a core are met in one task, which puts
+   their windows in suffix order and compares them byte for byte.
+
+Minimisers and cores that very many rows share are known from a fixed share of the texts (HOT_SHARE).
+They are not grouped whole: their rows are dealt over SALTS parts, where all but the first of a part
+are settled, and the firsts of the parts are met in a second step. That choice never changes a result.
+
+Defined results: a null text is empty; texts under L bytes keep everything; rows of equal text are
+copies of one another; with keep="first" the copy with the smallest doc_id stays, with all rows that
+repeat both its id and its text; a null doc_id comes last; a text of any length is taken whole, in
+one task; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,16 +36,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.components import cut, dealt_join
 from tidemark.llm.text import whole_text
 
 LENGTH = 200
-#: Bytes of the sparse suffixes that are compared first.
-GRAM = 100
+#: Bytes of a minimiser.
+GRAM = 48
+#: Windows of a block.
+BLOCK = 16
 #: Bytes that are hashed at a time; a longer text is hashed alone.
 CHUNK = 1 << 20
+#: One of so many texts is looked at to find hot minimisers and cores.
+HOT_SHARE = 16
+#: No more keys than this are hot; their list is broadcast.
+HOT_KEYS = 1_000_000
+#: A hot key has more sampled rows than this.
+HOT_ROWS = 512
+#: Parts that the rows of a hot key are dealt over.
+SALTS = 64
 
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(7).integers(1, 2**64 - 1, 256, dtype=np.uint64)
@@ -60,151 +80,350 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Hashes:
-    """Hashes of any substring of some bytes."""
-
-    def __init__(self, data: np.ndarray):
-        self.n = len(data)
-        power = _powers(self.n + 1)[0]
-        self.sums = np.zeros(self.n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[data] * power[: self.n], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-        return _mix((self.sums[start + length] - self.sums[start]) * _powers(self.n + 1)[1][start])
-
-    def all(self, length: int) -> np.ndarray:
-        count = self.n - length + 1
-        return _mix((self.sums[length:] - self.sums[:count]) * _powers(self.n + 1)[1][:count])
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of every `gram` bytes."""
+    power, inverse = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
+    count = len(data) - gram + 1
+    return _mix((sums[gram:] - sums[:count]) * inverse[:count])
 
 
 def intervals(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of texts laid end to end: document, first window, number of windows, bytes to the minimiser, its hash, and the interval's."""
+    """Of texts laid end to end: text, first window (in data), number of windows, bytes to the minimiser, its hash."""
     begins = np.concatenate(([0], ends[:-1]))
+    nothing = (np.zeros(0, dtype=np.int64),) * 4 + (np.zeros(0, dtype=np.uint64),)
     if len(data) < length:
-        return (np.zeros(0, dtype=np.int64),) * 4 + (np.zeros(0, dtype=np.uint64),) * 2
-    hashes = Hashes(data)
-    grams = hashes.all(gram)
-    place = np.uint64(max(1, len(grams) - 1).bit_length())
-    low = (np.uint64(1) << place) - np.uint64(1)
-    least = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
+        return nothing
+    grams = gram_hashes(data, gram)
+    # The upper half of the hash, then the place: equal windows choose alike wherever they stand.
+    least = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     width, reach = length - gram + 1, 1
     while 2 * reach <= width:
         least = np.minimum(least[:-reach], least[reach:])
         reach *= 2
     if width > reach:
         least = np.minimum(least[: len(least) - (width - reach)], least[width - reach :])
-    whole = np.zeros(len(data) + 1, dtype=np.int32)  # windows inside one document
+    whole = np.zeros(len(data) + 1, dtype=np.int32)  # windows inside one text
     long = ends - begins >= length
     np.add.at(whole, begins[long], 1)
     np.add.at(whole, ends[long] - length + 1, -1)
     start = np.flatnonzero(np.cumsum(whole[: len(least)]))
     if not len(start):
-        return (np.zeros(0, dtype=np.int64),) * 4 + (np.zeros(0, dtype=np.uint64),) * 2
-    at = (least[start] & low).astype(np.int64)
+        return nothing
+    at = (least[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     owner = np.searchsorted(ends, start, side="right")
     new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (owner[1:] != owner[:-1]))))
     first, n = start[new], np.diff(np.concatenate((new, [len(start)])))
-    inside = hashes.of(first, n + length - 1) ^ _mix(((at[new] - first) * 1024 + n).astype(np.uint64))
-    return owner[new], first - begins[owner[new]], n, at[new] - first, grams[at[new]], inside
+    return owner[new], first, n, at[new] - first, grams[at[new]]
+
 
+def _digests(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests as two signed numbers each."""
+    flat = np.frombuffer(b"".join(parts), dtype="<i8").reshape(-1, 2)
+    return flat[:, 0], flat[:, 1]
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """First row, bytes and ends of documents laid end to end, about CHUNK bytes at a time."""
+
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """First row, bytes and ends of texts laid end to end, about CHUNK bytes at a time."""
     held, size, first = [], 0, 0
-    for i, text in enumerate(batch.column("text")):
-        held.append(np.frombuffer(text.as_py().encode(), dtype=np.uint8))
+    for i, text in enumerate(texts):
+        held.append(text.as_py().encode())
         size += len(held[-1])
-        if size >= CHUNK or i == batch.num_rows - 1:
-            yield first, np.concatenate(held), np.cumsum([len(x) for x in held])
+        if size >= CHUNK or i == len(texts) - 1:
+            yield first, b"".join(held), np.cumsum([len(x) for x in held])
             held, size, first = [], 0, i + 1
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a key (k0, k1) that is never null: the id, and a 64-bit hash that parts texts of one id."""
-    text = whole_text(F.col("text"))
-    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k0"), F.xxhash64(text).alias("k1"), text.alias("text"))
+def _numbers(batch: pa.RecordBatch | pa.Table, *names: str) -> list[np.ndarray]:
+    return [batch.column(c).to_numpy().astype(np.int64, copy=False) for c in names]
 
 
-def _runs(rows: DataFrame) -> DataFrame:
-    """The rows whose key occurs twice; `mixed`: not all of them are alike inside."""
-    groups = rows.groupBy("key").agg(F.count("*").alias("copies"), F.min("inside").alias("a"), F.max("inside").alias("b"))
-    return rows.join(groups.where("copies > 1").select("key", (F.col("a") != F.col("b")).alias("mixed")), "key")
+def _batch(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], list(columns))
 
 
-def _starts(s: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Each window of the intervals, in order."""
-    return np.repeat(s, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+def _whole_groups(batches: Iterator[pa.RecordBatch], *key: str) -> Iterator[pa.Table]:
+    """Rows sorted by key, as tables that hold all rows of each of their keys."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, dtype=bool)
+        for column in _numbers(batch, *key):
+            new[1:] |= column[1:] != column[:-1]
+        new[0] = bool(held) and any(held[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in key)
+        cuts = np.flatnonzero(new)
+        if len(cuts):
+            yield pa.Table.from_batches([*held, batch.slice(0, cuts[-1])])
+            held = [batch.slice(cuts[-1])]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
 
 
-def _columns(spans: pa.Array) -> list[np.ndarray]:
-    flat = spans.flatten()
-    return [flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("s", "n")]
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where a row of sorted columns differs from the one before it."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "none") -> DataFrame:
-    """k0, k1 and spans (s, n): the windows that are removed, as n windows from byte s on."""
-    kinds = "k0 long, k1 long, s int, n int, o int, key long, inside long"
+def removable(run_starts: np.ndarray, keep: str) -> np.ndarray:
+    """Which suffixes, in suffix order and by position in each run, are removed.
 
-    def batch_of(k0, k1, s, n, o, key, inside) -> pa.RecordBatch:
-        small = [pa.array(np.asarray(x).astype(np.int32)) for x in (s, n, o)]
-        return pa.RecordBatch.from_arrays([pa.array(k0), pa.array(k1), *small, pa.array(key.view(np.int64)), pa.array(inside.view(np.int64))], ["k0", "k1", "s", "n", "o", "key", "inside"])
+    One that starts no run has the suffix before it as previous smaller position, and its longest
+    previous factor is L or more. With keep="none" it also gives its run's first suffix a later match.
+    """
+    has_earlier = ~run_starts
+    if keep == "first":
+        return has_earlier
+    has_later = np.concatenate((has_earlier[1:], [False])) if len(run_starts) else has_earlier
+    return has_earlier | has_later
 
-    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k0, k1 = batch.column("k0").to_numpy(), batch.column("k1").to_numpy()
-            for row, data, ends in _chunks(batch):
-                owner, s, n, o, name, inside = intervals(data, ends, length, gram)
-                yield batch_of(k0[owner + row], k1[owner + row], s, n, o, name, inside)
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: The text's place among all: its smallest doc_id, and 128 bits of the text.
+PLACE = ("f", "t0", "t1")
+_KIND = "g long, a long, b long, f long, t0 long, t1 long, s int, n int, o int"
+_SPAN = "f long, t0 long, t1 long, s int, n int"
+
+
+def text_key(text: Column) -> list[Column]:
+    """128 bits that tell texts apart."""
+    return [F.xxhash64(text).alias("t0"), F.xxhash64(F.lit(1), text).alias("t1")]
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    """t0, t1, f, m (rows of the text) and text of the distinct texts."""
+    text = whole_text(F.col("text"))
+    # Copies are combined before the shuffle, so one text of very many rows is no hot key.
+    return docs.select(*text_key(text), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("f"), text.alias("text")).groupBy("t0", "t1").agg(F.min("f").alias("f"), F.count("*").alias("m"), F.first("text").alias("text"))
+
+
+def sparse(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """The intervals of every text: minimiser g, digest a, b of the interval, place, windows (s, n) and bytes to the minimiser."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                hashes = Hashes(np.frombuffer(batch.column("text")[i].as_py().encode(), dtype=np.uint8))
-                start = np.unique(_starts(*_columns(batch.column("spans").slice(i, 1))))
-                same = [np.full(len(start), batch.column(c)[i].as_py()) for c in ("k0", "k1")]
-                yield batch_of(*same, start, np.ones(len(start)), np.zeros(len(start)), hashes.of(start, length), np.zeros(len(start), dtype=np.uint64))
-
-    # No step is stored: within one plan Spark reuses the exchanges, of the texts above all.
-    texts = keyed(docs).select("k0", "k1", "text")
-    runs = _runs(texts.where(F.octet_length("text") >= length).mapInArrow(sparse, kinds))
-    place = F.struct("k0", "k1", "s", "n", "o")
-    alike = runs.groupBy("key", "inside").agg(F.count("*").alias("copies"), F.min(place).alias("first"), F.first("mixed").alias("mixed"))
-    copies = runs.join(alike.where("copies > 1").select("key", "inside", "first"), ["key", "inside"])
-    # Intervals that are alike need one of them to be looked into further.
-    open_ends = alike.where("mixed").select("first.*").groupBy("k0", "k1").agg(F.collect_set(F.struct("s", "n")).alias("spans"))
-    single = texts.join(open_ends, ["k0", "k1"]).mapInArrow(windows, kinds)
-    again = single.groupBy("key").agg(F.count("*").alias("copies"), F.min(place).alias("first")).where("copies > 1").select("key", "first")
-    sure = copies.select("k0", "k1", "s", "n", place.alias("place"), "first").unionByName(single.join(again, "key").select("k0", "k1", "s", "n", place.alias("place"), "first"))
-    if keep == "first":
-        sure = sure.where("place <> first")
-    # A repeated row brings the same intervals; a set holds them once.
-    return sure.groupBy("k0", "k1").agg(F.collect_set(F.struct("s", "n")).alias("spans"))
+            keys = _numbers(batch, *PLACE)
+            for row, data, ends in _chunks(batch.column("text")):
+                owner, first, n, o, g = intervals(np.frombuffer(data, dtype=np.uint8), ends, length, gram)
+                seen = memoryview(data)
+                a, b = _digests([xxhash.xxh3_128_digest(seen[s : s + k + length - 1], k * 65536 + at) for s, k, at in zip(first.tolist(), n.tolist(), o.tolist(), strict=True)])
+                begins = np.concatenate(([0], ends[:-1]))
+                small = [np.asarray(x, dtype=np.int32) for x in (first - begins[owner], n, o)]
+                yield _batch(g=g.view(np.int64), a=a, b=b, **{c: k[owner + row] for c, k in zip(PLACE, keys, strict=True)}, s=small[0], n=small[1], o=small[2])
 
+    return texts.mapInArrow(found, _KIND)
 
-def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "none") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept (the bytes that remain) of every row."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+
+def blocks(open_texts: DataFrame, length: int) -> DataFrame:
+    """The blocks of the open intervals: digest a, b of the core, place, first window s, windows lo to hi, and the bytes beside the core."""
+    side = BLOCK - 1
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, rows, cores, starts, lows, highs, sides = _numbers(batch, *PLACE), [], [], [], [], [], []
+            for row, (text, spans) in enumerate(zip(batch.column("text"), batch.column("spans"), strict=True)):
+                data = text.as_py().encode()
+                for s, n, o in sorted({(x["s"], x["n"], x["o"]) for x in spans.as_py()}):
+                    gram_at = s + o
+                    for block in range((o - n + 1) // BLOCK, o // BLOCK + 1):
+                        start = gram_at - block * BLOCK - side
+                        low, high = max(0, s - start), min(side, s + n - 1 - start)
+                        left, right = data[start + low : start + side], data[start + length : start + length + high]
+                        cores.append(xxhash.xxh3_128_digest(data[start + side : start + length], block))
+                        sides.append(left.rjust(side, b"\0") + right.ljust(side, b"\0"))
+                        starts.append(start)
+                        lows.append(low)
+                        highs.append(high)
+                        rows.append(row)
+            a, b = _digests(cores)
+            own = np.array(rows, dtype=np.int64)
+            yield _batch(a=a, b=b, **{c: k[own] for c, k in zip(PLACE, keys, strict=True)}, s=pa.array(starts, pa.int32()), lo=pa.array(lows, pa.int32()), hi=pa.array(highs, pa.int32()), sides=pa.array(sides, pa.binary()))
+
+    return open_texts.mapInArrow(found, "a long, b long, f long, t0 long, t1 long, s int, lo int, hi int, sides binary")
+
+
+def _windows(sides: list[bytes], lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of some blocks as two numbers each, equal where j and all bytes beside the core are; and which exist."""
+    side = BLOCK - 1
+    flat = np.frombuffer(b"".join(sides), dtype=np.uint8).reshape(-1, 2 * side)
+    key = np.zeros((len(sides), BLOCK, BLOCK), dtype=np.uint8)
+    for j in range(BLOCK):
+        key[:, j, 0] = j
+        key[:, j, 1:] = flat[:, j : j + side]
+    place = np.arange(BLOCK)
+    return key.view(np.uint64).reshape(-1, BLOCK, 2), (place >= lo[:, None]) & (place <= hi[:, None])
+
+
+def _runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first column and number of each run of set flags in a row."""
+    edge = np.diff(np.pad(flags.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, first = np.nonzero(edge == 1)
+    _, after = np.nonzero(edge == -1)
+    return row, first, after - first
+
+
+def _hot(sampled: DataFrame, *key: str) -> DataFrame | None:
+    """The keys that very many of the sampled rows have: at most HOT_KEYS, or None if there are none."""
+    counted = cut(sampled.groupBy(*key).agg(F.count("*").alias("rows")))
+    total = counted.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    found = cut(counted.where(F.col("rows") > max(HOT_ROWS, total // HOT_KEYS)).select(*key))
+    return None if found.isEmpty() else found
+
+
+def _dealt_runs(rows: DataFrame, key: list[str], keep: str) -> DataFrame:
+    """Adds gone and first to rows whose runs (rows of one key) may be very large."""
+    salt = F.pmod(F.xxhash64(*PLACE, "s"), F.lit(SALTS)).cast("int")
+    part, order = Window.partitionBy(*key, "part"), [*PLACE, "s"]
+    dealt = rows.withColumn("part", salt).withColumns({"at": F.row_number().over(part.orderBy(*order)), "size": F.count("*").over(part)})
+    # A part's first row moves on to meet the firsts of the other parts; the rest are settled.
+    met = dealt.withColumn("part", F.when(F.col("at") == 1, -1).otherwise(F.col("part"))).withColumns({"among": F.row_number().over(part.orderBy(*order)), "run": F.sum("size").over(part)})
+    first = (F.col("at") == 1) & (F.col("among") == 1)
+    gone = ~first if keep == "first" else F.col("run") > 1
+    return met.withColumns({"gone": gone, "first": first}).drop("part", "at", "size", "among", "run")
+
+
+def _sparse_runs(rows: DataFrame, keep: str) -> DataFrame:
+    """Of intervals: those in a run (gone), and those whose windows are still open."""
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _whole_groups(batches, "g"):
+            g, a, b = _numbers(group, "g", "a", "b")
+            run = _starts(g, a, b)
+            number = np.cumsum(_starts(g))  # the minimiser
+            kinds = np.bincount(number[run])
+            is_open = run & (kinds[number] > 1)
+            gone = removable(run, keep)
+            shown = group.append_column("gone", pa.array(gone)).append_column("open", pa.array(is_open)).filter(pa.array(gone | is_open))
+            yield from shown.drop_columns(["g", "a", "b"]).combine_chunks().to_batches()
+
+    return rows.repartition("g").sortWithinPartitions("g", "a", "b", *PLACE, "s").mapInArrow(settle, _SPAN + ", o int, gone boolean, open boolean")
+
+
+def _window_runs(rows: DataFrame, keep: str) -> DataFrame:
+    """The removed windows of blocks, as spans; all blocks of a core meet in a task."""
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _whole_groups(batches, "a", "b"):
+            core = np.cumsum(_starts(*_numbers(group, "a", "b")))
+            several = np.bincount(core)[core] > 1
+            group, core = group.filter(pa.array(several)), core[several]
+            if not group.num_rows:
+                continue
+            windows, held = _windows(group.column("sides").to_pylist(), *_numbers(group, "lo", "hi"))
+            row, j = np.nonzero(held)
+            high, low = windows[row, j, 0], windows[row, j, 1]
+            order = np.lexsort((row, low, high, core[row]))  # rows are in order of their places
+            gone = np.zeros(held.shape, dtype=bool)
+            gone[row[order], j[order]] = removable(_starts(core[row[order]], high[order], low[order]), keep)
+            at, first, n = _runs_of(gone)
+            start = _numbers(group, "s")[0][at] + first
+            yield _batch(**{c: _numbers(group, c)[0][at] for c in PLACE}, s=start.astype(np.int32), n=n.astype(np.int32))
+
+    return rows.repartition("a", "b").sortWithinPartitions("a", "b", *PLACE, "s").mapInArrow(settle, _SPAN)
+
+
+def _single_windows(rows: DataFrame) -> DataFrame:
+    """Each window of blocks as a row, by a digest of its core and what stands beside it."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            windows, held = _windows(batch.column("sides").to_pylist(), *_numbers(batch, "lo", "hi"))
+            row, j = np.nonzero(held)
+            core = np.stack(_numbers(batch, "a", "b"), axis=1)[row]
+            a, b = _digests([xxhash.xxh3_128_digest(x.tobytes()) for x in np.concatenate((core.view(np.uint64), windows[row, j]), axis=1)])
+            yield _batch(a=a, b=b, **{c: k[row] for c, k in zip(PLACE, _numbers(batch, *PLACE), strict=True)}, s=(_numbers(batch, "s")[0][row] + j).astype(np.int32), n=np.ones(len(row), dtype=np.int32))
+
+    return rows.mapInArrow(split, "a long, b long, " + _SPAN)
+
+
+def repeated(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "none") -> DataFrame:
+    """t0, t1 and spans (s, n): the windows that are removed from distinct texts, as n windows from byte s on."""
+    span = [*PLACE, "s", "n"]
+    sample = texts.where(F.pmod("t0", F.lit(HOT_SHARE)) == 0)
+
+    def opened(found: DataFrame, own: DataFrame) -> DataFrame:
+        spans = found.groupBy("t0", "t1").agg(F.collect_list(F.struct("s", "n", "o")).alias("spans"))
+        return own.join(spans, ["t0", "t1"]).select("t0", "t1", "f", "m", "text", "spans")
+
+    def levels(own: DataFrame, hot: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """The settled intervals, and the blocks of the open ones."""
+        cutting = sparse(own, length, gram)
+        if hot is None:
+            found = _sparse_runs(cutting, keep)
+        else:
+            found = _sparse_runs(cutting.join(F.broadcast(hot), "g", "left_anti"), keep)
+            kinds = _dealt_runs(cutting.join(F.broadcast(hot), "g", "left_semi"), ["g", "a", "b"], keep).where("gone or first")
+            found = found.unionByName(kinds.select(*span, "o", "gone", F.col("first").alias("open")))
+        return found.where("gone").select(span), blocks(opened(found.where("open"), own), length)
+
+    hot_grams = _hot(sparse(sample, length, gram), "g")
+    hot_cores = _hot(levels(sample, hot_grams)[1], "a", "b")
+    found, open_blocks = levels(texts, hot_grams)
+    if hot_cores is None:
+        found = found.unionByName(_window_runs(open_blocks, keep))
+    else:
+        core = ["a", "b"]
+        singles = _dealt_runs(_single_windows(open_blocks.join(F.broadcast(hot_cores), core, "left_semi")), core, keep).where("gone").select(span)
+        found = found.unionByName(singles).unionByName(_window_runs(open_blocks.join(F.broadcast(hot_cores), core, "left_anti"), keep))
+    return found.groupBy("t0", "t1").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
+
+
+def clean(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "none") -> DataFrame:
+    """t0, t1, f, n_bytes, n_removed, n_spans, kept (the bytes that remain) and kept_sha256 of every distinct text.
+
+    kept is what stays of a text's first copy; with keep="first" nothing stays of the others.
+    """
 
     def dropped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, runs, kept = [], [], [], []
-            for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
+            for text, m, spans in zip(batch.column("text"), batch.column("m").to_pylist(), batch.column("spans"), strict=True):
                 data = text.as_py().encode()
-                sizes.append(len(data))
-                removed.append(0)
-                runs.append(0)
-                if spans.is_valid and len(spans):
-                    s, n = (spans.values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("s", "n"))
-                    edges = np.zeros(len(data) + 1, dtype=np.int32)
+                n, gone_bytes, n_runs = len(data), 0, 0
+                if n >= length and m > 1 and keep == "none":
+                    data, gone_bytes, n_runs = b"", n, 1
+                elif spans.is_valid and len(spans):
+                    s, k = (spans.values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("s", "n"))
+                    edges = np.zeros(n + 1, dtype=np.int32)
                     np.add.at(edges, s, 1)
-                    np.add.at(edges, s + n - 1 + length, -1)
+                    np.add.at(edges, s + k - 1 + length, -1)
                     gone = np.cumsum(edges[:-1]) > 0
-                    removed[-1] = int(gone.sum())
-                    runs[-1] = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+                    gone_bytes = int(gone.sum())
+                    n_runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                     data = np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()
+                sizes.append(n)
+                removed.append(gone_bytes)
+                runs.append(n_runs)
                 kept.append(data)
-            yield pa.RecordBatch.from_arrays([batch.column("k0"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], ["k0", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("t0", "t1", "f")], pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], ["t0", "t1", "f", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    # All readers of the texts take all their columns, so that Spark shuffles them once and reuses it.
+    texts = texts_of(docs)
+    rows = texts.join(repeated(texts, length, gram, keep), ["t0", "t1"], "left").select("t0", "t1", "f", "m", "text", "spans")
+    return rows.mapInArrow(dropped, "t0 long, t1 long, f long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def per_row(docs: DataFrame, found: DataFrame, length: int = LENGTH, keep: str = "none") -> DataFrame:
+    """doc_id of every row, with the columns of its text (t0, t1, f, n_bytes, ...)."""
+    rows = docs.select("doc_id", *text_key(whole_text(F.col("text"))), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("own"))
+    joined = dealt_join(rows, found, ["t0", "t1"])
+    if keep == "none":
+        return joined
+    later = (F.col("own") > F.col("f")) & (F.col("n_bytes") >= length)
+    empty = {"n_removed": F.col("n_bytes"), "n_spans": F.lit(1), "kept": F.lit("").cast("binary")}
+    return joined.withColumns({c: F.when(later, v).otherwise(F.col(c)) for c, v in empty.items()})
+
+
+def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "none") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept (the bytes that remain) of every row."""
+    return per_row(docs, clean(docs, length, gram, keep), length, keep).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
+
 
-    rows = keyed(docs).select("k0", "k1", "text").join(repeated(docs, length, gram, keep), ["k0", "k1"], "left")
-    out = rows.select("k0", "text", "spans").mapInArrow(dropped, "k0 long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return out.select(F.when(F.col("k0") != -(2**63), F.col("k0")).cast(kind).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
+def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """remove() with the hash kept_sha256 in place of the bytes, which then need not go with each copy."""
+    found = clean(docs, length, gram).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept", "f")
+    return per_row(docs, found, length).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -26,8 +26,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lpf.remove(documents(spark, sf_dir))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return lpf.digests(documents(spark, sf_dir))
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
