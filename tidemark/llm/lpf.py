@@ -41,6 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import cut, dealt_join
+from tidemark.llm.groups import whole_groups
 from tidemark.llm.text import whole_text
 
 LENGTH = 200
@@ -143,26 +144,6 @@ def _batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], list(columns))
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], *key: str) -> Iterator[pa.Table]:
-    """Rows sorted by key, as tables that hold all rows of each of their keys."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = np.zeros(batch.num_rows, dtype=bool)
-        for column in _numbers(batch, *key):
-            new[1:] |= column[1:] != column[:-1]
-        new[0] = bool(held) and any(held[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in key)
-        cuts = np.flatnonzero(new)
-        if len(cuts):
-            yield pa.Table.from_batches([*held, batch.slice(0, cuts[-1])])
-            held = [batch.slice(cuts[-1])]
-        else:
-            held.append(batch)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _starts(*columns: np.ndarray) -> np.ndarray:
     """Where a row of sorted columns differs from the one before it."""
     new = np.ones(len(columns[0]), dtype=bool)
@@ -185,7 +166,7 @@ def removable(run_starts: np.ndarray, keep: str) -> np.ndarray:
 
 #: The text's place among all: its smallest doc_id, and 128 bits of the text.
 PLACE = ("f", "t0", "t1")
-_KIND = "g long, a long, b long, f long, t0 long, t1 long, s int, n int, o int"
+_KIND = "g long, part int, a long, b long, f long, t0 long, t1 long, s int, n int, o int"
 _SPAN = "f long, t0 long, t1 long, s int, n int"
 
 
@@ -201,8 +182,9 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(*text_key(text), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("f"), text.alias("text")).groupBy("t0", "t1").agg(F.min("f").alias("f"), F.count("*").alias("m"), F.first("text").alias("text"))
 
 
-def sparse(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """The intervals of every text: minimiser g, digest a, b of the interval, place, windows (s, n) and bytes to the minimiser."""
+def sparse(texts: DataFrame, length: int, gram: int, hot: np.ndarray) -> DataFrame:
+    """The intervals of every text: minimiser g, part (-1 if g is not hot), digest a, b of the interval, place, windows (s, n) and bytes to g."""
+    shared = texts.sparkSession.sparkContext.broadcast(hot)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,14 +195,16 @@ def sparse(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 a, b = _digests([xxhash.xxh3_128_digest(seen[s : s + k + length - 1], k * 65536 + at) for s, k, at in zip(first.tolist(), n.tolist(), o.tolist(), strict=True)])
                 begins = np.concatenate(([0], ends[:-1]))
                 small = [np.asarray(x, dtype=np.int32) for x in (first - begins[owner], n, o)]
-                yield _batch(g=g.view(np.int64), a=a, b=b, **{c: k[owner + row] for c, k in zip(PLACE, keys, strict=True)}, s=small[0], n=small[1], o=small[2])
+                place, name = {c: k[owner + row] for c, k in zip(PLACE, keys, strict=True)}, g.view(np.int64)
+                part = np.where(_is_hot(name, shared.value), _salt(place["t0"], small[0]), np.int32(-1)).astype(np.int32)
+                yield _batch(g=name, part=part, a=a, b=b, **place, s=small[0], n=small[1], o=small[2])
 
     return texts.mapInArrow(found, _KIND)
 
 
-def blocks(open_texts: DataFrame, length: int) -> DataFrame:
-    """The blocks of the open intervals: digest a, b of the core, place, first window s, windows lo to hi, and the bytes beside the core."""
-    side = BLOCK - 1
+def blocks(open_texts: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
+    """The blocks of the open intervals: digest a, b of the core, whether it is hot, place, first window s, windows lo to hi, and the bytes beside the core."""
+    side, shared = BLOCK - 1, open_texts.sparkSession.sparkContext.broadcast(hot)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,9 +225,9 @@ def blocks(open_texts: DataFrame, length: int) -> DataFrame:
                         rows.append(row)
             a, b = _digests(cores)
             own = np.array(rows, dtype=np.int64)
-            yield _batch(a=a, b=b, **{c: k[own] for c, k in zip(PLACE, keys, strict=True)}, s=pa.array(starts, pa.int32()), lo=pa.array(lows, pa.int32()), hi=pa.array(highs, pa.int32()), sides=pa.array(sides, pa.binary()))
+            yield _batch(a=a, b=b, hot=_is_hot(a, shared.value), **{c: k[own] for c, k in zip(PLACE, keys, strict=True)}, s=pa.array(starts, pa.int32()), lo=pa.array(lows, pa.int32()), hi=pa.array(highs, pa.int32()), sides=pa.array(sides, pa.binary()))
 
-    return open_texts.mapInArrow(found, "a long, b long, f long, t0 long, t1 long, s int, lo int, hi int, sides binary")
+    return open_texts.mapInArrow(found, "a long, b long, hot boolean, f long, t0 long, t1 long, s int, lo int, hi int, sides binary")
 
 
 def _windows(sides: list[bytes], lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -266,48 +250,60 @@ def _runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, first, after - first
 
 
-def _hot(sampled: DataFrame, *key: str) -> DataFrame | None:
-    """The keys that very many of the sampled rows have: at most HOT_KEYS, or None if there are none."""
-    counted = cut(sampled.groupBy(*key).agg(F.count("*").alias("rows")))
+def _hot(sampled: DataFrame, key: str) -> np.ndarray:
+    """The keys that very many of the sampled rows have, sorted: at most HOT_KEYS, which is what reaches the driver."""
+    counted = cut(sampled.groupBy(key).agg(F.count("*").alias("rows")))
     total = counted.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    found = cut(counted.where(F.col("rows") > max(HOT_ROWS, total // HOT_KEYS)).select(*key))
-    return None if found.isEmpty() else found
+    return np.sort(counted.where(F.col("rows") > max(HOT_ROWS, total // HOT_KEYS)).select(key).toArrow().column(key).to_numpy())
+
+
+def _is_hot(keys: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    if not len(hot):
+        return np.zeros(len(keys), dtype=bool)
+    return hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys
 
 
-def _dealt_runs(rows: DataFrame, key: list[str], keep: str) -> DataFrame:
-    """Adds gone and first to rows whose runs (rows of one key) may be very large."""
-    salt = F.pmod(F.xxhash64(*PLACE, "s"), F.lit(SALTS)).cast("int")
-    part, order = Window.partitionBy(*key, "part"), [*PLACE, "s"]
-    dealt = rows.withColumn("part", salt).withColumns({"at": F.row_number().over(part.orderBy(*order)), "size": F.count("*").over(part)})
-    # A part's first row moves on to meet the firsts of the other parts; the rest are settled.
-    met = dealt.withColumn("part", F.when(F.col("at") == 1, -1).otherwise(F.col("part"))).withColumns({"among": F.row_number().over(part.orderBy(*order)), "run": F.sum("size").over(part)})
-    first = (F.col("at") == 1) & (F.col("among") == 1)
-    gone = ~first if keep == "first" else F.col("run") > 1
-    return met.withColumns({"gone": gone, "first": first}).drop("part", "at", "size", "among", "run")
+def _salt(t0: np.ndarray, s: np.ndarray) -> np.ndarray:
+    return (_mix(t0.view(np.uint64) + s.astype(np.uint64)) % np.uint64(SALTS)).astype(np.int32)
 
 
-def _sparse_runs(rows: DataFrame, keep: str) -> DataFrame:
-    """Of intervals: those in a run (gone), and those whose windows are still open."""
+def _runs(rows: DataFrame, keep: str, dealt: bool) -> DataFrame:
+    """Of intervals: those in a run (gone), and those whose windows are still open.
+
+    All intervals of a minimiser meet, or all of one of its parts. A part of a hot minimiser settles
+    all but the first of each kind; these meet the firsts of the other parts if dealt is set.
+    """
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _whole_groups(batches, "g"):
-            g, a, b = _numbers(group, "g", "a", "b")
-            run = _starts(g, a, b)
-            number = np.cumsum(_starts(g))  # the minimiser
+        for group in whole_groups(batches, "g", "part"):
+            g, part, a, b = _numbers(group, "g", "part", "a", "b")
+            hot = part >= 0
+            run = _starts(g, part, a, b)
+            number = np.cumsum(_starts(g, part))  # the minimiser
             kinds = np.bincount(number[run])
-            is_open = run & (kinds[number] > 1)
-            gone = removable(run, keep)
-            shown = group.append_column("gone", pa.array(gone)).append_column("open", pa.array(is_open)).filter(pa.array(gone | is_open))
-            yield from shown.drop_columns(["g", "a", "b"]).combine_chunks().to_batches()
-
-    return rows.repartition("g").sortWithinPartitions("g", "a", "b", *PLACE, "s").mapInArrow(settle, _SPAN + ", o int, gone boolean, open boolean")
+            is_open = run & ~hot & (kinds[number] > 1)
+            gone = np.where(hot, ~run, removable(run, keep))
+            rows_of = np.bincount(np.cumsum(run))[np.cumsum(run)]
+            size = np.where(hot & run, rows_of, 0)
+            shown = group.append_column("gone", pa.array(gone)).append_column("open", pa.array(is_open)).append_column("size", pa.array(size)).filter(pa.array(gone | is_open | (size > 0)))
+            yield from shown.drop_columns(["g", "part"]).combine_chunks().to_batches()
+
+    found = rows.repartition("g", "part").sortWithinPartitions("g", "part", "a", "b", *PLACE, "s").mapInArrow(settle, f"a long, b long, {_SPAN}, o int, gone boolean, open boolean, size long")
+    columns = [*PLACE, "s", "n", "o", "gone", "open"]
+    if not dealt:
+        return found.select(columns)
+    kind = Window.partitionBy("a", "b")  # at most SALTS rows
+    at = F.row_number().over(kind.orderBy(*PLACE, "s"))
+    met = found.where("size > 0").withColumns({"at": at, "run": F.sum("size").over(kind)})
+    gone = F.col("at") > 1 if keep == "first" else F.col("run") > 1
+    return found.where("size = 0").select(columns).unionByName(met.withColumns({"gone": gone, "open": F.col("at") == 1}).select(columns))
 
 
 def _window_runs(rows: DataFrame, keep: str) -> DataFrame:
     """The removed windows of blocks, as spans; all blocks of a core meet in a task."""
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _whole_groups(batches, "a", "b"):
+        for group in whole_groups(batches, "a", "b"):
             core = np.cumsum(_starts(*_numbers(group, "a", "b")))
             several = np.bincount(core)[core] > 1
             group, core = group.filter(pa.array(several)), core[several]
@@ -327,7 +323,7 @@ def _window_runs(rows: DataFrame, keep: str) -> DataFrame:
 
 
 def _single_windows(rows: DataFrame) -> DataFrame:
-    """Each window of blocks as a row, by a digest of its core and what stands beside it."""
+    """Each window of blocks as an interval of its own, dealt over parts, by a digest of its core and what stands beside it."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -335,40 +331,32 @@ def _single_windows(rows: DataFrame) -> DataFrame:
             row, j = np.nonzero(held)
             core = np.stack(_numbers(batch, "a", "b"), axis=1)[row]
             a, b = _digests([xxhash.xxh3_128_digest(x.tobytes()) for x in np.concatenate((core.view(np.uint64), windows[row, j]), axis=1)])
-            yield _batch(a=a, b=b, **{c: k[row] for c, k in zip(PLACE, _numbers(batch, *PLACE), strict=True)}, s=(_numbers(batch, "s")[0][row] + j).astype(np.int32), n=np.ones(len(row), dtype=np.int32))
+            place, s = {c: k[row] for c, k in zip(PLACE, _numbers(batch, *PLACE), strict=True)}, (_numbers(batch, "s")[0][row] + j).astype(np.int32)
+            ones = np.ones(len(row), dtype=np.int32)
+            yield _batch(g=a, part=_salt(place["t0"], s), a=a, b=b, **place, s=s, n=ones, o=0 * ones)
 
-    return rows.mapInArrow(split, "a long, b long, " + _SPAN)
+    return rows.mapInArrow(split, _KIND)
 
 
 def repeated(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "none") -> DataFrame:
     """t0, t1 and spans (s, n): the windows that are removed from distinct texts, as n windows from byte s on."""
     span = [*PLACE, "s", "n"]
     sample = texts.where(F.pmod("t0", F.lit(HOT_SHARE)) == 0)
+    nothing = np.zeros(0, dtype=np.int64)
 
-    def opened(found: DataFrame, own: DataFrame) -> DataFrame:
-        spans = found.groupBy("t0", "t1").agg(F.collect_list(F.struct("s", "n", "o")).alias("spans"))
-        return own.join(spans, ["t0", "t1"]).select("t0", "t1", "f", "m", "text", "spans")
-
-    def levels(own: DataFrame, hot: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    def levels(own: DataFrame, hot_grams: np.ndarray, hot_cores: np.ndarray) -> tuple[DataFrame, DataFrame]:
         """The settled intervals, and the blocks of the open ones."""
-        cutting = sparse(own, length, gram)
-        if hot is None:
-            found = _sparse_runs(cutting, keep)
-        else:
-            found = _sparse_runs(cutting.join(F.broadcast(hot), "g", "left_anti"), keep)
-            kinds = _dealt_runs(cutting.join(F.broadcast(hot), "g", "left_semi"), ["g", "a", "b"], keep).where("gone or first")
-            found = found.unionByName(kinds.select(*span, "o", "gone", F.col("first").alias("open")))
-        return found.where("gone").select(span), blocks(opened(found.where("open"), own), length)
-
-    hot_grams = _hot(sparse(sample, length, gram), "g")
-    hot_cores = _hot(levels(sample, hot_grams)[1], "a", "b")
-    found, open_blocks = levels(texts, hot_grams)
-    if hot_cores is None:
-        found = found.unionByName(_window_runs(open_blocks, keep))
-    else:
-        core = ["a", "b"]
-        singles = _dealt_runs(_single_windows(open_blocks.join(F.broadcast(hot_cores), core, "left_semi")), core, keep).where("gone").select(span)
-        found = found.unionByName(singles).unionByName(_window_runs(open_blocks.join(F.broadcast(hot_cores), core, "left_anti"), keep))
+        found = _runs(sparse(own, length, gram, hot_grams), keep, len(hot_grams) > 0)
+        spans = found.where("open").groupBy("t0", "t1").agg(F.collect_list(F.struct("s", "n", "o")).alias("spans"))
+        opened = own.join(spans, ["t0", "t1"]).select("t0", "t1", "f", "m", "text", "spans")
+        return found.where("gone").select(span), blocks(opened, length, hot_cores)
+
+    hot_grams = _hot(sparse(sample, length, gram, nothing), "g")
+    hot_cores = _hot(levels(sample, hot_grams, nothing)[1], "a")
+    found, open_blocks = levels(texts, hot_grams, hot_cores)
+    found = found.unionByName(_window_runs(open_blocks.where("not hot"), keep))
+    if len(hot_cores):
+        found = found.unionByName(_runs(_single_windows(open_blocks.where("hot")), keep, True).where("gone").select(span))
     return found.groupBy("t0", "t1").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
 
 
