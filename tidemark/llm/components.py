@@ -63,11 +63,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         before, tasks = state, 1 + state[0] // ROWS_A_TASK
         # Large star: each node's larger neighbours move to the smallest of its neighbours and itself.
         now = now.coalesce(tasks)
+        join = (lambda rows, table: dealt_join(rows, table, ["u"])) if state[0] > HOT_ROWS else (lambda rows, table: rows.join(table, "u"))
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(tasks)
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(tasks)
+        large = join(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(tasks)
         # Small star: each node and its smaller neighbours move to the smallest of these.
         low = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
-        moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = join(large, low).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct().coalesce(tasks))
     raise RuntimeError("components did not settle")

@@ -6,15 +6,16 @@ With full containment the necessary prefix of a window, in order of rarity, is i
 shingle. How often each shingle of the benchmark stands in the texts is counted over all texts; a
 window with a shingle that never does is dropped. Then all shingles of all texts are joined to the
 rarest ones. The shingle's place in the window gives where the window would start; starts before
-the text or ends beyond it are dropped (positional and length bounds). What is left is verified
-against the words of the text.
+the text or ends beyond it are dropped (positional and length bounds). What is left is verified:
+the window's words are compared with the words of the text.
 
 The benchmark side is broadcast if it has at most BROADCAST_ROWS rows, which is checked; beyond
 that Spark joins by shuffle.
 
 Defined results: a null or empty text has no words, a null or empty item no window; a null item_id
-is left out; rows that repeat both doc_id and text are one document; other columns are ignored; an
-empty benchmark leaves all texts clean; an empty table of texts gives an empty result.
+is left out; repeated rows each get a row; of shingles that are equally rare the first in the window
+is taken; a text of any length is shingled whole; other columns are ignored; an empty benchmark
+leaves all texts clean; an empty table of texts gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,17 +44,17 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _shingled(texts: DataFrame, single: bool) -> DataFrame:
-    """(k0, k1, doc_id, n_words, p, gram), at least one row a text. single: one-word windows exist, so words are shingles too."""
-    words = texts.select("k0", "k1", "doc_id", letter_words(F.col("text")).alias("w"))
-    rows = words.select("k0", "k1", "doc_id", F.size("w").cast("long").alias("n_words"), F.posexplode_outer(F.expr(_GRAMS)).alias("p", "gram"))
+    """(row, k0, k1, doc_id, n_words, p, gram), at least one row a text. single: one-word windows exist, so words are shingles too."""
+    words = texts.select(F.monotonically_increasing_id().alias("row"), "k0", "k1", "doc_id", letter_words(F.col("text")).alias("w"))
+    rows = words.select("row", "k0", "k1", "doc_id", F.size("w").cast("long").alias("n_words"), F.posexplode_outer(F.expr(_GRAMS)).alias("p", "gram"))
     if single:
-        rows = rows.unionByName(words.where("size(w) > 1").select("k0", "k1", "doc_id", F.size("w").cast("long").alias("n_words"), F.posexplode(F.transform("w", lambda x: F.xxhash64(x))).alias("p", "gram")))
+        rows = rows.unionByName(words.where("size(w) > 1").select("row", "k0", "k1", "doc_id", F.size("w").cast("long").alias("n_words"), F.posexplode(F.transform("w", lambda x: F.xxhash64(x))).alias("p", "gram")))
     return rows
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
     """Documents (k0, k1, doc_id, n_words, found: sorted (start, size, window) of verified windows), and (window, item)."""
-    cutting = cut(windows(benchmark, size).select("item", F.xxhash64("w").alias("window"), "w"))
+    cutting = cut(windows(benchmark, size).select("item", F.array_join("w", " ").alias("window"), "w"))
     items = cutting.select("window", "item").distinct()
     each = cut(cutting.dropDuplicates(["window"]).select("window", F.size("w").alias("size"), F.posexplode(F.expr(_GRAMS)).alias("place", "gram")))
     single = bool(each.where("size = 1").limit(1).count())
@@ -70,12 +71,12 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> tupl
     matched = shingles.join(_small(prefix), "gram", "left").where(fits | F.col("window").isNull() & (F.coalesce("p", F.lit(0)) == 0) | (F.col("p") == 0))
     held = F.collect_set(F.when(fits, F.struct(start.alias("start"), "size", "window")))
     # One row a text: n_words is the text's, so the grouping has a row for each text, and the set is bounded by its length.
-    by_text = cut(matched.groupBy("k0", "k1", "doc_id", "n_words").agg(held.alias("candidates")))
+    by_text = cut(matched.groupBy("row", "k0", "k1", "doc_id", "n_words").agg(held.alias("candidates")))
 
-    open_ends = by_text.where("size(candidates) > 0").select("k0", "k1", "candidates")
+    open_ends = by_text.where("size(candidates) > 0").select("k0", "k1", "candidates").dropDuplicates(["k0", "k1"])
     read = texts.select("k0", "k1", "text").join(open_ends, ["k0", "k1"]).select("k0", "k1", "candidates", letter_words(F.col("text")).alias("w"))
-    verified = read.select("k0", "k1", F.expr("sort_array(filter(candidates, c -> xxhash64(slice(w, c.start + 1, c.size)) = c.window))").alias("found")).where("size(found) > 0").dropDuplicates(["k0", "k1"])
-    return by_text.drop("candidates").join(verified, ["k0", "k1"], "left"), items
+    verified = read.select("k0", "k1", F.expr("sort_array(filter(candidates, c -> array_join(slice(w, c.start + 1, c.size), ' ') = c.window))").alias("found")).where("size(found) > 0").dropDuplicates(["k0", "k1"])
+    return by_text.drop("candidates", "row").join(verified, ["k0", "k1"], "left"), items
 
 
 #: Words covered by sorted intervals (start, size).
@@ -97,8 +98,6 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame
 def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """The rows that hold no window of an item, with all their columns."""
     found, _ = occurrences(docs, benchmark, size)
-    # Names that no column of docs is likely to have; they are dropped again.
-    text = whole_text(F.col("text"))
-    keyed = docs.withColumns({"__k0": F.coalesce("doc_id", F.lit(-(2**63))), "__k1": F.xxhash64(text)})
-    dirty = found.where("found is not null").select(F.col("k0").alias("__k0"), F.col("k1").alias("__k1"))
-    return keyed.join(dirty, ["__k0", "__k1"], "left_anti").select(*docs.columns)
+    dirty = found.where("found is not null").select("k0", "k1").distinct()
+    own = [F.coalesce("doc_id", F.lit(-(2**63))) == dirty["k0"], F.xxhash64(whole_text(F.col("text"))) == dirty["k1"]]
+    return docs.join(dirty, own, "left_anti")
