@@ -5,6 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
+from tidemark.llm import jaccard, simhash
 from tests.llm.test_operators import SPACE_WORD, groups, lower
 
 DATA = "/root/testdata/sf0.01"
@@ -59,3 +60,21 @@ def test_near_duplicates_by_similarity(spark, source):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == expected
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), DATA).count() == 0
+
+
+@pytest.mark.parametrize("pairs, shard", [(2, 8192), (8, 4)])
+def test_large_shards(spark, monkeypatch, pairs, shard):
+    """Every shard counts as large, or is cut in parts: no near copy of a text is lost, and none is made up."""
+    monkeypatch.setattr(simhash, "PAIRS", pairs)
+    monkeypatch.setattr(jaccard, "SHARD_TEXTS", shard)
+    rng = random.Random(2)
+    base = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 300):
+        other = list(base)
+        for at in rng.sample(range(200), rng.randrange(1, 5)):
+            other[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(other)))
+    rows += [(1000 + i, f"own{i} " + " ".join(base[:60]) + " " + " ".join(f"z{i}w{k}" for k in range(100))) for i in range(60)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == plain(rows) == [0, *range(1000, 1060)]

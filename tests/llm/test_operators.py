@@ -306,7 +306,7 @@ def test_decontamination(docs, rows, empty, more):
             windows.setdefault(tuple(words[i : i + 10]), set()).add(str(item.item_id))
     texts = {r.doc_id: r.text for r in rows}
     found = decontaminate.report(docs, bench).collect()
-    assert {r.doc_id for r in found} == set(texts)
+    assert Counter(r.doc_id for r in found) == Counter(r.doc_id for r in rows)
     for r in found:
         words, hit, items = LETTER_WORD.findall(lower(texts[r.doc_id])), set(), set()
         for n in {len(w) for w in windows}:

@@ -1,42 +1,41 @@
-"""Near copies by the Jaccard similarity of their word shingles, 4/5 or more, exactly.
+"""Shingle sets and their Jaccard similarity, compared exactly with 4/5.
 
-A text is the set of its shingles' 64-bit hashes; texts of one set are one code from the start. Two
-sets of similarity 4/5 or more miss at most e = n - ceil(4n/5) shingles of n in one another, which
-bounds the search in two steps that lose no pair:
+Two sets of similarity 4/5 or more miss at most spare(n) = n - ceil(4n/5) of n shingles in one
+another. So in any one order of all shingles, the first spare(n) + 1 of each set hold a common one.
+The order is: shingles that are not frequent, by their hash; then frequent ones, by their hash.
+Which shingles count as frequent is estimated from a sample of bounded size; any choice gives the
+same pairs, and a good one keeps passages that many texts share out of most prefixes.
 
-1. A share of the shingles, chosen by their hash and so alike in all texts, is counted. A set of
-   which more than e chosen shingles stand in no other text has no near copy and goes.
-2. The shingles of the sets that are left are ordered from rare to common, and a set's first e + 1
-   hold a first shingle of each near copy. Sets that share one are candidates and are compared.
-
-Candidates are met in two rounds, so that large groups of near copies make no pairs of all with all:
-first each set with the least one that shares the shingle, then those whose components still differ.
-
-Defined results: A-Z is lower-cased; a text of fewer words than a shingle is one shingle; texts
-without words are copies of one another.
+Defined results: A-Z is lower-cased; a text of fewer words than a shingle is one shingle; a null or
+empty text is the empty set. Sets are told apart by a 64-bit code, so among 10^10 texts some two
+different ones are expected to count as equal.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.components import components, cut
-from tidemark.llm.simhash import _FOLD, SEED
-
-#: One of so many shingles is counted in the first step.
-SHARE = 4
-#: Rows whose places are broadcast.
-BROADCAST_ROWS = 500_000
+SEED = 42
+_FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Texts that frequent shingles are estimated from, about; a sixteenth of the texts where that is less.
+SAMPLE_TEXTS = 500_000
+#: A shingle is frequent that stands in so many sampled texts.
+FREQUENT = 4
+#: The most frequent shingles that are broadcast.
+FREQUENT_KEYS = 1_000_000
+#: Texts of a shingle that meet in one task; the shards of more frequent ones are cut.
+SHARD_TEXTS = 8192
 
 
-def shingles(text: str | None, words: int) -> np.ndarray:
-    """The distinct hashes of the word shingles, sorted."""
+def hashes(text: str | None, words: int) -> np.ndarray:
+    """The 64-bit hashes of the word shingles, in order, repeats included."""
     found = (text or "").encode().translate(_FOLD).split()
     if not found:
         return np.zeros(0, dtype=np.uint64)
@@ -45,74 +44,74 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     k = min(words, len(found))
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends[k - 1 :].tolist(), strict=False)), dtype=np.uint64, count=len(found) - k + 1))
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends[k - 1 :].tolist(), strict=False)), dtype=np.uint64, count=len(found) - k + 1)
+
+
+def spare(n: int) -> int:
+    """How many of n shingles a near copy may lack."""
+    return n - (4 * n + 4) // 5
+
+
+def code_of(shingles: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
+
+
+@dataclass(frozen=True)
+class Frequent:
+    """Frequent shingles, sorted, and into how many parts the shard of each is cut."""
 
+    shingles: np.ndarray
+    parts: np.ndarray
 
-def _sets(rows: DataFrame, words: int, whole: bool) -> DataFrame:
-    """doc_id, __row, code (the hash of the set), n, and the shingles: all of them, or those of the first step."""
+    def place(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of some shingles are frequent, and the parts of their shards."""
+        if not len(self.shingles):
+            return np.zeros(len(shingles), dtype=bool), np.ones(len(shingles), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.shingles, shingles), len(self.shingles) - 1)
+        known = self.shingles[at] == shingles
+        return known, np.where(known, self.parts[at], 1)
+
+
+def frequent(docs: DataFrame, words: int) -> Frequent:
+    """The shingles that stand in many texts, from a sample."""
+    share = max(16, docs.count() // SAMPLE_TEXTS)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes(text.as_py(), words)).view(np.int64))], ["x"])
+
+    text = F.col("text").cast("string")
+    sample = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).distinct()
+    counted = sample.mapInArrow(each, "x long").groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    top = counted.orderBy(F.desc("n"), "x").limit(FREQUENT_KEYS).toArrow()
+    x, n = top["x"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    order = np.argsort(x)
+    return Frequent(x[order], 1 + n[order] * share // SHARD_TEXTS)
+
+
+def prefix(shingles: np.ndarray, known: Frequent) -> tuple[np.ndarray, np.ndarray, int]:
+    """The first shingles of a set in the common order, the parts of their shards, and the share of frequent ones in thousandths."""
+    often, parts = known.place(shingles)
+    order = np.argsort(often, kind="stable")[: spare(len(shingles)) + 1]
+    return shingles[order], parts[order], int(often.sum()) * 1000 // max(1, len(shingles))
+
+
+def sets(rows: DataFrame, words: int) -> DataFrame:
+    """code and shingles of each row's text."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(x.as_py(), words) for x in batch.column("text")]
-            code = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64)
-            size = pa.array([len(x) for x in sets], pa.int64())
-            held = [x if whole else x[x % np.uint64(SHARE) == 0] for x in sets]
-            ends = np.cumsum([0] + [len(x) for x in held]).astype(np.int32)
-            flat = np.concatenate([np.zeros(0, dtype=np.uint64), *held]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__row"), pa.array(code.view(np.int64)), size, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "__row", "code", "n", "shingles"])
+            found = [np.unique(hashes(x.as_py(), words)) for x in batch.column("text")]
+            code = np.array([code_of(x) for x in found], dtype=np.uint64)
+            ends = np.cumsum([0] + [len(x) for x in found]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, dtype=np.uint64), *found]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["code", "shingles"])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "__row", F.col("text").cast("string").alias("text")).mapInArrow(made, f"doc_id {kind}, __row long, code long, n long, shingles array<long>")
+    return rows.select(F.col("text").cast("string").alias("text")).mapInArrow(made, "code long, shingles array<long>")
 
 
-def _spare(n: Column) -> Column:
-    """How many of n shingles a near copy may lack."""
-    return n - F.floor((4 * n + 4) / 5)
-
-
-def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of a similarity of 4/5 or more."""
-    a, b = (sets.select(F.col("code").alias(c), F.col("n").alias(f"n{c}"), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    met = pairs.where("a <> b").distinct().join(b, "b").join(a, "a")
-    return met.where(F.size(F.array_intersect("sa", "sb")) * 9 >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
-
-
-def links(sets: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all near copies, of a stored table of distinct sets (code, n, shingles)."""
-    each = sets.select("code", "n", F.explode("shingles").alias("x"))
-    counted = each.join(each.groupBy("x").agg(F.count("*").alias("often")).where("often > 1"), "x")
-    own = counted.groupBy("code", "n").agg(F.array_sort(F.collect_list(F.struct("often", "x"))).alias("shared"))
-    # Shingles of one set alone come first in the order and meet nothing.
-    places = _spare(F.col("n")) + 1 - (F.col("n") - F.size("shared"))
-    first = cut(own.where(places > 0).select("code", "n", F.explode(F.slice("shared", F.lit(1), places.cast("int"))).alias("s")).select("code", "n", F.col("s.x").alias("x")))
-    least = first.groupBy("x").agg(F.min(F.struct("code", "n")).alias("a"))
-    stars = cut(_alike(first.join(least, "x").where("5 * least(n, a.n) >= 4 * greatest(n, a.n)").select(F.col("a.code").alias("a"), F.col("code").alias("b")), sets))
-    roots = components(stars).withColumnRenamed("node", "code")
-    rooted = first.join(roots, "code", "left").select("x", "code", "n", F.coalesce("root", "code").alias("root"))
-    mixed = rooted.groupBy("x").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("x")
-    left = cut(rooted.join(mixed, "x"))
-    a, b = (left.select("x", *[F.col(c).alias(c + side) for c in ("code", "n", "root")]) for side in "ab")
-    met = a.join(b, "x").where("codea < codeb and roota <> rootb and 5 * least(na, nb) >= 4 * greatest(na, nb)")
-    return stars.unionByName(_alike(met.select(F.col("codea").alias("a"), F.col("codeb").alias("b")), sets))
-
-
-def keep_one(docs: DataFrame, words: int) -> DataFrame:
-    """One row of each component of near copies, the one with the smallest doc_id (the first such row), with all columns.
-
-    Rows are told apart by their place in the input, so docs must be a table that reads alike twice.
-    """
-    placed = docs.withColumn("__row", F.monotonically_increasing_id())
-    coded = cut(_sets(placed, words, whole=False))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")
-    own = cut(coded.groupBy("code").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first(F.size("shingles")).alias("chosen")))
-    # Of one set alone are the shingles whose least and greatest set are the same.
-    holders = coded.select("code", F.explode("shingles").alias("x")).groupBy("x").agg(F.min("code").alias("code"), F.max("code").alias("high"))
-    alone = holders.where("code = high").groupBy("code").agg(F.count("*").alias("alone"))
-    open_rows = cut(own.join(alone, "code", "left").where(F.coalesce("alone", F.lit(0)) <= _spare(F.col("n"))).select("first.__row"))
-    few = F.broadcast(open_rows) if open_rows.count() <= BROADCAST_ROWS else open_rows
-    sets = cut(_sets(placed.join(few, "__row", "left_semi"), words, whole=True).drop("doc_id", "__row"))
-    roots = components(links(sets))
-    rooted = own.select("code", "first").join(roots.withColumnRenamed("node", "code"), "code", "left").select("first", F.coalesce("root", "code").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.__row")
-    dropped = coded.select("__row").join(kept, "__row", "left_anti")
-    return placed.join(dropped, "__row", "left_anti").select(*docs.columns)
+def alike(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b, sa, sb) of a similarity of 4/5 or more, as (a, b)."""
+    common = F.size(F.array_intersect("sa", "sb"))
+    return pairs.where(common * 9 >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")

@@ -23,13 +23,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.components import components, cut
+from tidemark.llm import jaccard
+from tidemark.llm.components import components, cut, dealt_join
+from tidemark.llm.groups import whole_groups
+from tidemark.llm.jaccard import hashes
 
-SEED = 42
 #: Codes of a shard that one task holds; larger shards are cut into chunks of about half of it.
 CHUNK = 8192
 #: Codes that are compared without a tree.
@@ -37,20 +38,13 @@ LEAF = 64
 #: Bits that the codes of a shard share at least, so that small and large tables are sharded alike.
 SHARED_BITS = 16
 
-_FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-
-
 def fingerprint(text: str | None, words: int) -> int:
     """The 64-bit SimHash of the word shingles of A-Z lower-cased text, repeats included."""
-    found = (text or "").encode().translate(_FOLD).split()
-    if not found:
-        return 0
-    joined = b" ".join(found)
-    ends = np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) + 1) - 1
-    k = min(words, len(found))
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends[k - 1 :].tolist(), strict=False)), dtype=np.uint64, count=len(found) - k + 1)
+    return of_hashes(hashes(text, words))
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of some hashes."""
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 8192):
         counts += np.unpackbits(hashes[at : at + 8192].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
@@ -194,4 +188,141 @@ def classes(docs: DataFrame, words: int, radius: int) -> DataFrame:
     roots = components(links(own.select("fp"), radius))
     rooted = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return coded.join(rooted.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return dealt_join(coded, rooted.join(smallest, "root").select("fp", "component_id"), ["fp"]).select("doc_id", "fp", "component_id")
+
+
+#: Near copies of a similarity of 4/5 have fingerprints 10 +- 3 bits apart, unlike texts 32 +- 4.
+NEAR_BITS = 20
+#: Growing radii of the trees of large shards.
+RADII = (4, 10, NEAR_BITS)
+#: Texts of a shard that are compared all with all; larger shards are searched by trees.
+PAIRS = 48
+#: Rows whose places are broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def _profiles(rows: DataFrame, row: str, words: int) -> DataFrame:
+    """doc_id, row, the code of the shingle set, its size and the fingerprint of every row."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [hashes(x.as_py(), words) for x in batch.column("text")]
+            sets = [np.unique(x) for x in found]
+            code, fp = (np.array(x, dtype=np.uint64).view(np.int64) for x in ([jaccard.code_of(s) for s in sets], [of_hashes(h) for h in found]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column(row), pa.array(code), pa.array([len(s) for s in sets], pa.int32()), pa.array(fp)], ["doc_id", "row", "code", "n", "fp"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", row, F.col("text").cast("string").alias("text")).mapInArrow(made, f"doc_id {kind}, row long, code long, n int, fp long")
+
+
+def _shards(rows: DataFrame, words: int, known: jaccard.Frequent) -> DataFrame:
+    """A row for each shard (x, part) that a text is in: those of the prefix of its shingle set."""
+    shared = rows.sparkSession.sparkContext.broadcast(known)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[tuple[np.ndarray, ...]] = []
+            for text in batch.column("text"):
+                found = hashes(text.as_py(), words)
+                own = np.unique(found)
+                code, fp = (np.array(v, dtype=np.uint64) for v in (jaccard.code_of(own), of_hashes(found)))
+                x, parts, common = jaccard.prefix(own, shared.value)
+                part = (code % parts.astype(np.uint64)).astype(np.int32)
+                held.append((x.view(np.int64), part, *(np.full(len(x), v) for v in (code.view(np.int64), fp.view(np.int64))), *(np.full(len(x), v, dtype=np.int32) for v in (len(own), common))))
+            if held:
+                names = ["x", "part", "code", "fp", "n", "common"]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
+
+    return rows.select(F.col("text").cast("string").alias("text")).mapInArrow(dealt, "x long, part int, code long, fp long, n int, common int")
+
+
+def shard_pairs(code: np.ndarray, fp: np.ndarray, n: np.ndarray, common: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of candidate pairs, of rows in the order of their shards (group).
+
+    Small shards give all pairs whose sizes and fingerprints are near. Large ones give a star around
+    the text with most frequent shingles (the one that others were made from, if it is there), and
+    for growing radii the spanning links of a vantage-point tree: a number of links in proportion.
+    """
+    sizes = np.bincount(group)[group]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    small = np.flatnonzero((sizes > 1) & (sizes <= PAIRS))
+    for step in range(1, PAIRS):
+        small = small[small + step < len(group)]
+        small = small[group[small] == group[small + step]]
+        if not len(small):
+            break
+        found.append((small, small + step))
+    large = np.flatnonzero(sizes > PAIRS)
+    for own in np.split(large, np.flatnonzero(np.diff(group[large])) + 1) if len(large) else []:
+        centre = own[np.lexsort((code[own], -common[own]))[0]]
+        found.append((np.full(len(own), centre), own))
+        for radius in RADII:
+            links = np.array(vantage_links(fp[own].view(np.uint64), radius), dtype=np.int64).reshape(-1, 2)
+            found.append((own[links[:, 0]], own[links[:, 1]]))
+    if not found:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    near = (np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64)) <= NEAR_BITS) & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])) & (code[a] != code[b])
+    return a[near], b[near]
+
+
+def candidates(shards: DataFrame) -> DataFrame:
+    """Pairs (a, b) of codes to be compared."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "x", "part"):
+            code, fp, n, common = (table.column(c).to_numpy() for c in ("code", "fp", "n", "common"))
+            new = np.ones(len(code), dtype=bool)
+            new[1:] = np.logical_or(*(np.diff(table.column(c).to_numpy()) != 0 for c in ("x", "part")))
+            a, b = shard_pairs(code, fp, n, common, np.cumsum(new))
+            if len(a):
+                pairs = np.unique(np.sort(np.stack((code[a], code[b]), axis=1), axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return shards.repartition("x", "part").sortWithinPartitions("x", "part", "code").mapInArrow(search, "a long, b long").distinct()
+
+
+def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
+    """One row of each component of near copies, the one with the smallest doc_id (the first such row), with all columns.
+
+    Near copies have fingerprints at most NEAR_BITS apart and a Jaccard similarity of their shingle
+    sets of 4/5 or more, which is compared exactly. Shards hold the texts with a common shingle among
+    the first of their sets (see jaccard), so that no pair of that similarity is parted; inside a
+    shard the search is by fingerprint. Frequent shingles' shards are cut in parts, which are searched
+    one by one and meet through the star of the whole shard. In shards of over PAIRS texts not every
+    pair is compared: two texts there are linked by the star, by the trees' links, or by another shard.
+
+    Rows are told apart by their place in the input, so docs must be a table that reads alike twice.
+    """
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    placed = docs.withColumn(row, F.monotonically_increasing_id())
+    coded = cut(_profiles(placed, row, words))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    own = cut(coded.groupBy("code").agg(F.min(place).alias("first")))
+
+    def of_codes(codes: DataFrame) -> DataFrame:
+        """The first rows of some codes."""
+        firsts = codes.select(F.col("first.row").alias(row))
+        return placed.join(F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts, row, "left_semi")
+
+    known = jaccard.frequent(docs, words)
+    shards = _shards(of_codes(own), words, known)
+    pairs = candidates(shards)
+    if (known.parts > 1).any():
+        # The parts of a shard meet through its centre.
+        whole = shards.where(F.col("x").isin(known.shingles[known.parts > 1].view(np.int64).tolist()))
+        centres = whole.groupBy("x").agg(F.min_by(F.struct("code", "n"), F.struct(-F.col("common"), "code")).alias("c"))
+        met = whole.join(F.broadcast(centres), "x").where("code <> c.code and 5 * least(n, c.n) >= 4 * greatest(n, c.n)")
+        pairs = pairs.unionByName(met.select(F.least("code", "c.code").alias("a"), F.greatest("code", "c.code").alias("b"))).distinct()
+    pairs = cut(pairs)
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("code")).distinct()
+    sets = cut(jaccard.sets(of_codes(own.join(involved, "code", "left_semi")), words))
+    for side in "ab":
+        pairs = dealt_join(pairs, sets.select(F.col("code").alias(side), F.col("shingles").alias("s" + side)), [side])
+    roots = components(jaccard.alike(pairs))
+    rooted = own.join(roots.withColumnRenamed("node", "code"), "code", "left").select("first", F.coalesce("root", "code").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.row")
+    dropped = cut(coded.join(kept, "row", "left_anti").select(F.col("row").alias(row)))
+    return placed.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped, row, "left_anti").select(*docs.columns)
