@@ -339,6 +339,7 @@ def test_language_id(spark, docs, rows, empty):
 @pytest.mark.parametrize("hot", [mixing.HOT, 20])
 def test_mixing(docs, rows, empty, hot, monkeypatch):
     monkeypatch.setattr(mixing, "HOT", hot)
+    monkeypatch.setattr(mixing, "HOT_GRAMS", hot)
     words = lambda t: SPACE_WORD.findall(lower(t))
     out = lambda r: zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 5 == 1
     count, ends = Counter(), 0
@@ -359,13 +360,86 @@ def test_mixing(docs, rows, empty, hot, monkeypatch):
     assert bits < 3.2
     if hot == 20:
         assert mixing.scores(empty).count() == 0
+    else:  # any partitioning, and frequent grams broadcast or joined, gives the same scores
+        for n in (2, 7):
+            again = {(r.doc_id, r.n_bytes): r.score for r in mixing.scores(docs.repartition(n)).collect()}
+            assert again == pytest.approx({(r.doc_id, r.n_bytes): r.score for r in found}, rel=1e-9)
+        monkeypatch.setattr(mixing, "HOT_GRAMS", 50)
+        again = {(r.doc_id, r.n_bytes): r.score for r in mixing.scores(docs).collect()}
+        assert again == pytest.approx({(r.doc_id, r.n_bytes): r.score for r in found}, rel=1e-9)
 
 
-def test_mixer_is_a_distribution(docs):
-    mixer = mixing.fit(docs.select("text"))
-    for context in (0x20746865, 0, 0xFFFEFDFC):
-        next_bytes = np.array([(context << 8) | b for b in range(256)], dtype=np.uint64)
-        assert np.exp(mixer.cost(next_bytes)).sum() == pytest.approx(1)
+@pytest.fixture(scope="module")
+def costs(docs):
+    """cost() of a gram by the operator, and the counts of training rows by gram."""
+    rows = docs.select(mixing.held_out(F.col("doc_id")).alias("held_out"), "text")
+    counts = mixing.cut(mixing.gram_counts(rows))
+    return {r.gram: r.cost for r in mixing.fit(counts).collect()}, counts.collect(), rows.collect()
+
+
+def test_gram_counts(costs):
+    found, counts, rows = costs
+    plain, train = Counter(), Counter()
+    for r in rows:
+        data = b"\0" * mixing.ORDERS + lower(r.text).encode() + b"\0"
+        for i in range(mixing.ORDERS, len(data)):
+            gram = int.from_bytes(data[i - mixing.ORDERS : i + 1], "big")
+            plain[gram] += 1
+            train[gram] += not r.held_out
+    assert {r.gram: r.n for r in counts} == dict(plain) and set(found) == set(plain)
+    assert {r.gram: r.n_count + r.n_apart for r in counts} == {g: train[g] for g in plain}
+    assert 0 < sum(r.n_apart for r in counts) < sum(r.n_count for r in counts)
+
+
+def test_odds_are_those_of_the_counts(costs):
+    _, counts, _ = costs
+    n = {r.gram: r.n_count for r in counts}
+    gram = np.array([g for g in n if g >> 8 & 0xFFFF == 0x6520], dtype=np.uint64)
+    small = Counter()
+    for g, k in n.items():
+        small[g & 0xFFFF] += k
+    one = np.array(list(small), dtype=np.uint64), np.array(list(small.values()))
+    x, level = mixing.odds(gram, np.array([n[int(g)] for g in gram]), one)
+    for i in range(0, len(gram), 97):
+        g = int(gram[i])
+        for at in range(8):
+            met = 0
+            for order in range(1, mixing.ORDERS + 1):
+                mask, seen = (1 << 8 * order) - 1, [0, 0]
+                for h, k in n.items():
+                    if h >> 8 & mask == g >> 8 & mask and (256 | h & 255) >> 8 - at == (256 | g & 255) >> 8 - at:
+                        seen[h >> 7 - at & 1] += k
+                met += sum(seen) > 0
+                assert x[at, i, order - 1] == pytest.approx(math.log((seen[1] + 0.4) / (seen[0] + 0.4)), abs=1e-5)
+            assert level[at, i] == met
+
+
+def test_mixer_is_a_distribution():
+    rng = np.random.default_rng(3)
+    mixer = mixing.Mixer.new()
+    mixer.weights += rng.normal(0, 0.2, mixer.weights.shape)
+    mixer.table += rng.normal(0, 0.3, mixer.table.shape)
+    next_bytes = np.array([0x2074686500 | b for b in range(256)], dtype=np.uint64)
+    n = rng.integers(0, 5, 256)
+    one = np.sort(rng.choice(65536, 500, replace=False)).astype(np.uint64), rng.integers(0, 9, 500)
+    assert (10.0 ** mixer.cost(next_bytes, *mixing.odds(next_bytes, n, one))).sum() == pytest.approx(1)
+
+
+def test_mixer_trusts_the_predictor_that_is_right():
+    """Online steps move the weight to the order whose odds tell the bit."""
+    rng = np.random.default_rng(5)
+    mixer = mixing.Mixer.new()
+    gram = rng.integers(97, 123, 4000).astype(np.uint64)
+    x = rng.normal(0, 1, (8, 4000, mixing.ORDERS))
+    for at, _, bit in mixing.bits(gram):
+        x[at, :, 1] = 2.0 * (2 * bit - 1)
+    level = np.full((8, 4000), 3)
+    before = mixer.cost(gram, x, level).mean()
+    for s in range(0, 4000, 100):
+        mixer.learn(gram[s : s + 100], np.ones(100), x[:, s : s + 100], level[:, s : s + 100])
+    assert mixer.cost(gram, x, level).mean() > before + 0.3
+    used = np.unique(3 * 256 + np.concatenate([node for _, node, _ in mixing.bits(gram)]))
+    assert (mixer.weights[used].argmax(axis=1) == 1).mean() > 0.9
 
 
 def test_licenses(docs, rows, empty):
@@ -402,21 +476,6 @@ def test_queries_have_the_contract_columns(spark):
         assert set(columns.split()) <= set(registry.queries()[name](spark, DATA).columns), name
 
 
-def test_mixer_tells_contexts_apart(spark):
-    """As many four-byte contexts as the text has, each followed by its own byte."""
-    ship(spark)
-    rng = np.random.default_rng(4)
-    made = {bytes(x): b for x, b in zip(rng.integers(97, 123, (12_000, 4), dtype=np.uint8), rng.integers(48, 58, 12_000).tolist())}
-    mixer = mixing.fit(spark.createDataFrame([(" ".join((k + bytes([b])).decode() for k, b in made.items()),)], "text string"))
-    keys = list(made)
-    gram = np.array([int.from_bytes(k + bytes([made[k]]), "big") for k in keys], dtype=np.uint64)
-    assert len(mixer.known[3]) >= len(keys)
-    odds = mixer.odds[3]
-    for node, bit in mixing.nodes(gram):
-        assert (np.sign(odds[mixer.bases(gram)[3] + node]) == 2 * bit - 1).all()
-    assert mixing.STEP == 1 << 17
-
-
 def test_a_bad_passage_in_a_long_text_is_caught(spark):
     ship(spark)
     rng = random.Random(8)
