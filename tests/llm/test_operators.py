@@ -92,6 +92,30 @@ def test_pii_finds_credentials(spark):
     assert [x.kind for x in pii.scan(planted, model).first().spans] == ["secret"] * 3
 
 
+def test_labelers_are_told_apart(spark):
+    """Planted spans and chance ones: the check and the form are found reliable, and the classifier rejects what only looks alike."""
+    rng = random.Random(9)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card(start):
+        body = start + digits(15 - len(start))
+        return next(body + d for d in "0123456789" if sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(map(int, reversed(body + d)))) % 10 == 0)
+
+    texts = [f"pay with {card('4')} today" for _ in range(300)] + [f"number {digits(16)} of the list" for _ in range(300)]
+    texts += [f'token = "{rng.randrange(16**40):040x}" set' for _ in range(150)] + [f"the model {rng.choice('abcdefgh') * 9}{digits(4)} came" for _ in range(150)]
+    by_chance = card("7")
+    model = pii.fit(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    for name in ("check", "form", "context"):
+        true, false = model.reliability[name]
+        assert true > 0.8 and false < 0.3, (name, true, false)
+    asked = [f"pay with {card('4')} now", f"order {by_chance} of it", f'token = "{rng.randrange(16**40):040x}"', "the model ccccccccc1234 came", "secret: aaaabbbbcccc1"]
+    table = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    found = {r.doc_id: [x.kind for x in r.spans] for r in pii.scan(table, model).collect()}
+    assert (found[0], found[1], found[2], found[3]) == (["card"], ["card"], ["secret"], [])
+    masked = {r.doc_id: r.text for r in pii.mask(table, model).collect()}
+    assert masked[0] == "pay with [CARD] now" and masked[1] == asked[1] and masked[3] == asked[3] and "[SECRET]" in masked[2]
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_repeated_strings(docs, rows, empty, hot, monkeypatch):
     if hot:  # every minimiser and core of more than one row is dealt over parts

@@ -1,19 +1,23 @@
 """Personal data by weak supervision, in DataFrame expressions only.
 
-Base spans are exact: four patterns with a check each (see KINDS). Two more kinds are candidates that
-labelers vote on: credentials and social-security numbers. Labelers are regular expressions (the
-span's own form), a gazetteer (the word before it) and context (the characters before it); each says
-1, 0 or abstains. Expectation-maximisation over the counts of vote patterns (a table of at most
-3 ** len(LABELERS) rows) estimates how often each labeler says 1 of true and of false spans. The
-posteriors then weigh the counts of a naive Bayes span classifier over features with few values, and
-the classifier decides on the candidates of the added kinds. Base spans stay whatever it says.
+Candidates are all matches of six patterns. Base kinds (email, ip, card, phone) are those whose match
+passes an exact check, and stay whatever the method says; secrets and social-security numbers are
+kinds that the method adds. Matches that fail their check are candidates too: they are what false
+spans look like. Labelers vote on every candidate: regular expressions (the check, and the form that
+true ones mostly have), a gazetteer (the word before) and context (what stands before); each says 1
+or 0, or abstains where it has nothing to say. Expectation-maximisation over the counts of vote
+patterns (a table of at most 3 ** len(LABELERS) rows) estimates how often each labeler says 1 of true
+and of false spans. The posteriors then weigh the counts of a naive Bayes span classifier over
+features with few values. It decides on the added kinds, and in mask() on card numbers too, as one
+number in ten passes their check by chance.
 
 Both passes read the texts row by row: there is no join, and the only shuffles are those of the
 counts. Patterns use possessive repeats, so that a long run neither backtracks nor overflows.
 
-Defined results: a null text is empty and has no spans; repeated rows are scanned one by one; other
-columns are ignored (mask() keeps them); an empty table gives an empty result, and without any
-candidate the classifier keeps nothing beyond the base.
+Defined results: a null text is empty and has no spans; repeated rows are scanned one by one; spans
+that start together are in order of their kinds; a text of any length is scanned whole, with memory
+for its spans; other columns are ignored (mask() keeps them); an empty table gives an empty result,
+and without any candidate the classifier keeps nothing beyond the base.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.components import cut
 from tidemark.llm.text import whole_text
 
 #: Kinds in the order of the report, their patterns, and a character every match has.
@@ -37,7 +42,10 @@ KINDS = {
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-"),
 }
 BASE = ("email", "ip", "card", "phone")
-GAZETTEER = ("password", "passwd", "pwd", "pass", "token", "secret", "key", "apikey", "credential", "ssn", "auth", "bearer")
+#: Kinds that mask() hides without asking the classifier.
+SURE = ("email", "ip", "phone")
+#: Words that stand before a credential or a number of a person.
+GAZETTEER = ("password", "passwd", "pwd", "pass", "token", "secret", "key", "apikey", "credential", "ssn", "social", "auth", "bearer", "card", "visa", "mastercard")
 #: Characters before a span that labelers may look at.
 CONTEXT = 24
 ROUNDS = 8
@@ -56,16 +64,21 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string,before:string,valid:boolean>"
+
+
 def _found(kind: str, text: Column) -> Column:
-    """array<struct<start, rank, end, kind, value, before>> of a kind: code points, end exclusive."""
+    """array<SPAN> of a kind: code points, end exclusive; valid is whether it passes the kind's check."""
     pattern, must = KINDS[kind]
-    nothing = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string,before:string>>")
+    nothing = F.array().cast(f"array<{SPAN}>")
 
     def step(state: Column, pair: Column) -> Column:
         start = state["at"] + F.char_length(pair["piece"])
         end = start + F.char_length(pair["match"])
-        span = F.struct(start.alias("start"), F.lit(list(KINDS).index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), pair["match"].alias("value"), F.substring(pair["piece"], -CONTEXT, CONTEXT).alias("before"))
-        return F.struct(end.alias("at"), F.when(_valid(kind, pair["match"]), F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+        span = F.struct(start.alias("start"), F.lit(list(KINDS).index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), pair["match"].alias("value"), F.substring(pair["piece"], -CONTEXT, CONTEXT).alias("before"), F.coalesce(_valid(kind, pair["match"]), F.lit(False)).alias("valid"))
+        # Short numbers are no candidates of a card.
+        keep = F.length(F.regexp_replace(pair["match"], "[^0-9]", "")) >= 12 if kind == "card" else F.lit(True)
+        return F.struct(end.alias("at"), F.when(keep, F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
 
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern)
@@ -75,37 +88,58 @@ def _found(kind: str, text: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """All base spans and candidates of the added kinds, by start and kind."""
+    """All candidates, by start and kind."""
     return F.array_sort(F.concat(*[_found(kind, text) for kind in KINDS]))
 
 
+#: What the numbers of common card schemes begin with, and how long they are.
+ISSUERS = "^(?:4[0-9]{12}(?:[0-9]{3})?|5[1-5][0-9]{14}|2[2-7][0-9]{14}|3[47][0-9]{13}|6(?:011|5[0-9]{2})[0-9]{12})$"
+
+
 def _labelers(x: Column) -> dict[str, Column]:
     """name -> 1, 0 or null (abstains), of a span struct."""
-    value, before = x["value"], x["before"]
+    kind, value, before = x["kind"], x["value"], x["before"]
+    says = lambda c: F.when(c, 1).otherwise(0)
+    digits = F.regexp_replace(value, "[^0-9]", "")
     last = F.lower(F.regexp_extract(before, r"([A-Za-z]+)[^A-Za-z]*$", 1))
+    added = ~kind.isin(*BASE)
+    form = (
+        F.when(kind == "email", says(value.rlike(r"\.[A-Za-z]{2,}$")))
+        .when(kind == "ip", says(~value.rlike(r"(?:^|\.)0[0-9]")))
+        .when(kind == "card", says(digits.rlike(ISSUERS)))
+        .when(kind == "phone", says(F.length(digits).between(10, 13)))
+        .when(kind == "secret", says(value.rlike("^(?:AKIA|ASIA|ghp|gho|sk|pk|xox)[0-9A-Za-z]{12,}$") | value.rlike("^[0-9a-f]{16,64}$")))
+        .when(kind == "ssn", says(~value.rlike("^(?:000|666|9)|-00-|-0000$")))
+    )
     return {
-        "base_pattern": F.when(x["kind"].isin(*BASE), 1),
-        "key_pattern": F.when(value.rlike("^(?:AKIA|ASIA|ghp|gho|sk|pk|xox)[0-9A-Za-z]{12,}$"), 1).when(value.rlike("^[A-Za-z]+[0-9]{1,4}$"), 0),
-        "hex_pattern": F.when(value.rlike("^[0-9a-f]{16,64}$"), 1).when(value.rlike("[g-z]"), 0),
-        "gazetteer": F.when(last.isin(*GAZETTEER), 1),
-        "context": F.when(before.rlike(r"[=:][\x20]?[\x22\x27]?$"), 1),
-        "shape": F.when(x["kind"] == "secret", F.when(F.regexp_count(value, F.lit("[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])")) >= 3, 1).otherwise(0)),
+        "check": F.when(~added, says(x["valid"])),
+        "form": form,
+        "gazetteer": F.when(last.isin(*GAZETTEER), 1).when(added & (last != ""), 0),
+        "context": F.when(added, says(before.rlike(r"[=:][\x20]?[\x22\x27]?$"))),
+        "turns": F.when(kind == "secret", says(_turns(value) >= 3)),
     }
 
 
-LABELERS = ("base_pattern", "key_pattern", "hex_pattern", "gazetteer", "context", "shape")
+def _turns(value: Column) -> Column:
+    """How often letters and digits take turns."""
+    return F.regexp_count(value, F.lit("[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])"))
+
+
+LABELERS = ("check", "form", "gazetteer", "context", "turns")
 
 
 def _features(x: Column) -> dict[str, Column]:
     """name -> a value of few, of a span struct."""
     value = x["value"]
     labels = _labelers(x)
+    vote = lambda name: F.coalesce(labels[name].cast("string"), F.lit("-"))
     return {
         "kind": x["kind"],
         "length": F.least(F.floor(F.char_length(value) / 8), F.lit(5)).cast("string"),
         "letters": F.when(value.rlike("[A-Z]") & value.rlike("[a-z]"), "both").when(value.rlike("[A-Z]"), "upper").when(value.rlike("[a-z]"), "lower").otherwise("none"),
-        "turns": F.least(F.regexp_count(value, F.lit("[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])")), F.lit(6)).cast("string"),
-        "before": F.concat(F.coalesce(labels["gazetteer"], F.lit(0)).cast("string"), F.coalesce(labels["context"], F.lit(0)).cast("string")),
+        "turns": F.least(_turns(value), F.lit(6)).cast("string"),
+        "form": F.concat(vote("check"), vote("form")),
+        "before": F.concat(vote("gazetteer"), vote("context")),
     }
 
 
@@ -143,8 +177,8 @@ def fit(docs: DataFrame) -> Model:
     # Votes and features have few values each, so their counts are a small table.
     votes = [F.col(n) for n in LABELERS]
     counted = spans.select(*[labels[n].alias(n) for n in LABELERS], *[c.alias(f"f_{n}") for n, c in features.items()]).groupBy(*LABELERS, *[f"f_{n}" for n in features]).agg(F.count("*").alias("n"))
-    counted = counted.coalesce(1).cache()
-    patterns = counted.groupBy(*votes).agg(F.sum("n").alias("n")).coalesce(1).cache()
+    counted = cut(counted)
+    patterns = cut(counted.groupBy(*votes).agg(F.sum("n").alias("n")))
     model = Model(0.5, {n: (0.8, 0.2) for n in LABELERS}, 0.0, {})
     smooth = lambda part, whole: (part + 1.0) / (whole + 2.0)
     for _ in range(ROUNDS):
@@ -165,8 +199,6 @@ def fit(docs: DataFrame) -> Model:
     p = model.posterior({n: F.col(n) for n in LABELERS})
     each = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"f_{n}").alias("value")) for n in features])
     table = counted.select((p * F.col("n")).alias("true"), ((1 - p) * F.col("n")).alias("false"), F.explode(each).alias("e")).groupBy("e.feature", "e.value").agg(F.sum("true").alias("true"), F.sum("false").alias("false")).collect()
-    counted.unpersist()
-    patterns.unpersist()
     if not table:
         return Model(model.prior, model.reliability, -1.0, {})
     kinds = [r for r in table if r["feature"] == "kind"]
@@ -175,9 +207,9 @@ def fit(docs: DataFrame) -> Model:
     return Model(model.prior, model.reliability, math.log((true + 0.5) / (false + 0.5)), odds)
 
 
-def spans(text: Column, model: Model) -> Column:
-    """The base spans, and the candidates that the classifier accepts."""
-    return F.filter(candidates(text), lambda x: x["kind"].isin(*BASE) | (model.score(x) > ACCEPT))
+def spans(text: Column, model: Model, sure: tuple[str, ...] = BASE) -> Column:
+    """The valid candidates of the sure kinds, and of the others those that the classifier accepts."""
+    return F.filter(candidates(text), lambda x: x["valid"] & (x["kind"].isin(*sure) | (model.score(x) > ACCEPT)))
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
@@ -195,6 +227,6 @@ def mask(docs: DataFrame, model: Model) -> DataFrame:
 
     text = F.col("text").cast("string")
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), text.alias("text"))
-    found = spans(whole_text(text), model)
+    found = spans(whole_text(text), model, SURE)
     masked = F.aggregate(found, start, step, lambda s: F.concat(s["out"], F.substring(s["text"], s["at"] + 1, F.char_length(s["text"]))))
     return docs.withColumn("text", F.when(text.isNotNull(), masked))
