@@ -481,7 +481,16 @@ def test_licenses(docs, rows, empty):
         assert r.base_labels == ",".join(sorted(labels)) and labels <= set(r.labels.split(",")) | {""} and 0 <= r.score <= 1
     spark = docs.sparkSession
     edited = "redistribution and use in source and any binary forms with or without modification are permitted provided that these following conditions are met"
-    assert licenses.scan(spark.createDataFrame([(1, edited)], "doc_id long, text string")).first().labels == "bsd"
+    full = next(t for label, t in licenses.TEMPLATES if label == "mit" and len(t) > 500)
+    words = full.split()
+    changed = " ".join(w for i, w in enumerate(words) if i % 40 != 7)
+    cases = [
+        (1, edited, "bsd"), (2, "all rights all x rights reserved", ""), (3, "all rights reserved " * 3, "proprietary"), (4, "x " * 500 + full + " y" * 500, "mit"), (5, changed, "mit"),
+        (6, " ".join(words[:60][::-1]), ""), (7, " a b c d ".join(" ".join(words[i : i + 2]) for i in range(0, 28, 2)), ""), (8, "Licensed under the Apache-License, Version 2.0 (the", "apache"), (9, "all x rights reserved", ""),
+    ]
+    table = spark.createDataFrame([c[:2] for c in cases], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.scan(table).collect()} == {c[0]: c[2] for c in cases}
+    assert {r.doc_id: r.score for r in licenses.scan(table).collect()}[4] == 1.0
     assert licenses.scan(empty).count() == 0
 
 

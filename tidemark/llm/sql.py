@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm.licenses import COVERAGE, PHRASES, SLACK, TEMPLATES
+from tidemark.llm.licenses import COVERAGE, SLACK, STRETCH, rows_of_templates
 from tidemark.llm.quality_rules import RULES, STOP_WORDS
 
 _SPACE = r"[^\x20\x09-\x0D]+"
@@ -42,18 +42,23 @@ FROM d LEFT JOIN cov USING (r) LEFT JOIN its USING (r)"""
 
 
 def license_scan() -> str:
-    rows = ", ".join(f"({i}, '{label}', '{text}', {exact})" for i, (label, text, exact) in enumerate([(*p, "true") for p in PHRASES] + [(*t, "false") for t in TEMPLATES]))
+    rows = ", ".join(f"({i}, '{label}', '{text}', {str(exact).lower()})" for i, label, text, exact in rows_of_templates())
+    found = "r, template, label, exact, size"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_LETTERS}') AS w FROM documents),
-t AS (SELECT * FROM (VALUES {rows}) x(template, label, text, exact)),
-tp AS (SELECT template, label, exact, len(w) - 1 AS size, i - 1 AS place, w[i] AS a, w[i + 1] AS b FROM (SELECT *, string_split(text, ' ') AS w, unnest(range(1, len(string_split(text, ' ')))) AS i FROM t)),
+t AS (SELECT *, string_split(text, ' ') AS w FROM (VALUES {rows}) x(template, label, text, exact)),
+tp AS (SELECT template, label, exact, len(w) - 1 AS size, i - 1 AS place, w[i] AS a, w[i + 1] AS b FROM (SELECT *, unnest(range(1, len(w))) AS i FROM t)),
 p AS (SELECT r, i - 1 AS p, w[i] AS a, w[i + 1] AS b FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM d)),
-v AS (SELECT r, template, label, exact, size, p - place AS diagonal, list(DISTINCT place) AS places FROM p JOIN tp USING (a, b) GROUP BY ALL),
-base AS (SELECT r, label, exact, diagonal AS start, 1.0::DOUBLE AS score FROM v WHERE exact AND len(places) = size),
-st AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) <= {SLACK} THEN 0 ELSE 1 END AS new FROM v WHERE NOT exact),
-gr AS (SELECT *, sum(new) OVER (PARTITION BY r, template ORDER BY diagonal) AS grp FROM st),
-mg AS (SELECT r, label, exact, min(diagonal) AS start, len(list_distinct(flatten(list(places)))) AS got, size FROM gr GROUP BY r, template, label, exact, size, grp),
-s AS (SELECT * FROM base UNION ALL SELECT r, label, exact, start, got / size::DOUBLE FROM mg WHERE got >= {COVERAGE} * size),
+hit AS (SELECT {found}, place, p, p - place AS diagonal FROM p JOIN tp USING (a, b)),
+full_match AS (SELECT {found}, diagonal FROM hit GROUP BY ALL HAVING count(*) = size),
+loose AS (SELECT DISTINCT {found}, diagonal FROM hit h WHERE NOT exact AND NOT EXISTS (SELECT 1 FROM full_match f WHERE f.r = h.r AND f.template = h.template AND f.diagonal = h.diagonal)),
+st AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) <= {SLACK} THEN 0 ELSE 1 END AS new FROM loose),
+ch AS (SELECT *, sum(new) OVER (PARTITION BY r, template ORDER BY diagonal) AS chain FROM st),
+gr AS (SELECT *, (diagonal - min(diagonal) OVER (PARTITION BY r, template, chain)) // (greatest({SLACK}, size // {STRETCH}) + 1) AS part FROM ch),
+both_words AS (SELECT g.*, h.place, h.p FROM gr g JOIN hit h USING (r, template, diagonal)),
+mg AS (SELECT {found}, chain, part, min(diagonal) AS start, len(list_distinct(list_concat(list(place), list(place + 1)))) AS placed, len(list_distinct(list_concat(list(p), list(p + 1)))) AS stood, max(p) - min(p) + 2 AS stretch FROM both_words GROUP BY ALL),
+s AS (SELECT r, label, exact, diagonal AS start, 1.0::DOUBLE AS score FROM full_match
+UNION ALL SELECT r, label, exact, start, placed / (size + 1)::DOUBLE FROM mg WHERE placed / (size + 1)::DOUBLE >= {COVERAGE}::DOUBLE AND stood >= {COVERAGE}::DOUBLE * stretch),
 o AS (SELECT r, count(*) FILTER (exact) AS n_base, min(start) FILTER (exact) AS first_word, max(start) FILTER (exact) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM s GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM d LEFT JOIN o USING (r)"""
 
