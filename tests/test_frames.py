@@ -1,13 +1,16 @@
-"""Hand-derived cases, pixel features, providers and the whole recording plan."""
+"""Hand-derived cases of FIXTURES.md, pixel features, providers and the whole recording plan."""
+
+from itertools import product
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.functions import pixels
 from tidemark.functions.providers import classify
-from tidemark.operators import dedup, motion, segments, timeline
+from tidemark.operators import boundaries, dedup, manifest, motion, segments, stability, timeline
 from tidemark.operators import classify as answers
 from tidemark.plans import recording
+from tidemark.sources import sinks
 
 SECOND = segments.SegmentConfig()
 
@@ -44,9 +47,136 @@ def test_segments(spark):
 
 
 def test_recovery(spark):
-    final = recording.shown_frames(timed(spark, [0, 250, 500, 1100, 1350, 2500]), SECOND, recording.BoundaryConfig()).orderBy("place").collect()
+    """FX-B1."""
+    frames, bounds = timed(spark, [0, 250, 500, 1100, 1350, 2500]), recording.BoundaryConfig()
+    final = recording.shown_frames(frames, SECOND, bounds).orderBy("place").collect()
     assert [r.ts_ms for r in final] == [0, 250, 1100, 1350, 2500]
     assert [r.ts_ms for r in final if r.times] == [0, 1350]
+    found = boundaries.report(frames, SECOND, bounds).orderBy("bnd").collect()
+    assert [(r.start_ms, r.end_ms, r.peak_ms) for r in found] == [(500, 1100, 800), (1350, 2500, 1925)]
+    assert [(r.recovered, r.issue_type) for r in found] == [(["f0", "f4"], "skipped_pre_transition_state"), ([], None)]
+    points = {r.ts_ms: r.points for r in boundaries.scored(frames, boundaries.detect(frames, SECOND), bounds).collect()}
+    assert points == {0: 0, 250: 0, 500: 35, 1100: 35, 1350: 35, 2500: 35}
+    reps = boundaries.guarded(frames, SECOND, bounds).orderBy("seg").collect()
+    assert [(r.ts_ms, r.review) for r in reps] == [(250, None), (1100, boundaries.NEAR_REVIEW), (2500, boundaries.NEAR_REVIEW)]
+    total = boundaries.summary(frames, SECOND, bounds).first()
+    assert (total.boundaries_detected, total.issues_detected, total.recovered_states, total.candidates_rejected, total.edge_warnings, total.warnings) == (2, 1, 2, 0, 2, [])
+
+
+def test_contamination(spark):
+    """FX-C1: every combination of signs; exactly .65 counts."""
+    rows, expected = [], []
+    for i, (where, before, after, blurred) in enumerate(product((0, 1, 2, 3), (None, 0.5, 0.6), (None, 0.6), (None, 0.34, 0.35))):
+        # Two boundaries, 1000-2000 and 2100-2200: far, near one, inside one, inside one and near the other.
+        rows.append((i, f"f{i}", 0, (0, 900, 1500, 2000)[where], before, after, blurred))
+        high = (before == 0.6, after == 0.6)
+        expected.append(min(100, (0, 25, 35, 60)[where] + 20 * sum(high) + 15 * all(high) + 10 * (blurred == 0.34)))
+    frames = spark.createDataFrame(rows, "job_id long, frame_id string, idx long, ts_ms long, motion_prev double, motion_next double, sharpness double")
+    bounds = spark.createDataFrame([(i, s, e) for i in range(len(rows)) for s, e in ((1000, 2000), (2100, 2200))], "job_id long, start_ms long, end_ms long")
+    found = boundaries.scored(frames, bounds, boundaries.BoundaryConfig()).orderBy("job_id").collect()
+    assert [r.points for r in found] == expected
+    assert [(r.contaminated, r.hard) for r in found] == [(x >= 65, x >= 82) for x in expected] and 65 not in {x for x in expected if x < 65}
+    assert {r.reason for r in found if r.points == 0} == {"no_signal"}
+    odd = spark.createDataFrame([(0, None, 1000), (0, 3000, None), (0, 6000, 5000)], "job_id long, start_ms long, end_ms long")
+    at = spark.createDataFrame([(0, f"f{t}", t, t) for t in (900, 1100, 2900, 3100, 5100, 5500, 6100)] + [(0, "none", 9, None)], "job_id long, frame_id string, idx long, ts_ms long")
+    assert {r.ts_ms: (r.inside, r.near) for r in boundaries.touched(at, odd, 180).collect()} == {None: (False, False), 5500: (False, False)} | dict.fromkeys((900, 1100, 2900, 3100, 5100, 6100), (False, True))
+
+
+def test_rejected_candidates(spark):
+    """Contaminated candidates are listed up to the second recovered one; motion zones come among the gaps."""
+    times = [0, 100, 200, 300, 400, 1500]
+    rows = [(1, f"f{i}", i, t, 0.9 if t in (100, 200) else 0.0, 0.9 if t in (100, 200) else 0.0) for i, t in enumerate(times)]
+    frames = spark.createDataFrame(rows, "job_id long, frame_id string, idx long, ts_ms long, motion_prev double, motion_next double")
+    zones = spark.createDataFrame([(1, None, 150, 210, 180)], "job_id long, kind string, start_ms long, end_ms long, peak_ms long")
+    config = boundaries.BoundaryConfig(edge_ms=50, before_ms=500, after_ms=2000, most=1)
+    found = boundaries.report(frames, SECOND, config, zones).orderBy("bnd").collect()
+    assert [r.boundary_type for r in found] == ["transition", "segment_gap"] and [r.boundary_id for r in found] == ["boundary_0001", "boundary_0002"]
+    # 100 is contaminated by 25 + 55 points; the zone is near 100, holds 200.
+    assert (found[0].recovered, found[0].rejected) == (["f0"], [])
+    # The frame at 0 has 55 points for motion and 10 for blur, the one at 200 lies near the zone too; 100 is the representative.
+    rows = [(1, "f0", 0, 0, 0.9, 0.9, 0.1), (1, "f1", 1, 100, 0.0, 0.0, 0.9), (1, "f2", 2, 200, 0.9, 0.9, 0.9), (1, "f3", 3, 300, 0.0, 0.0, 0.9)]
+    frames = spark.createDataFrame(rows, "job_id long, frame_id string, idx long, ts_ms long, motion_prev double, motion_next double, sharpness double")
+    only = boundaries.report(frames, SECOND, config, spark.createDataFrame([(1, "multi", 250, 280, 265)], "job_id long, kind string, start_ms long, end_ms long, peak_ms long")).collect()
+    assert [(r.recovered, r.contaminated, r.rejected, r.issue_type, r.warnings) for r in only] == [([], ["f0", "f2"], ["f0", "f2"], boundaries.ONLY_CONTAMINATED, [boundaries.WARN_CONTAMINATED])]
+
+
+def test_meaning(spark):
+    """FX-S1, FX-S2, and screens that differ in state alone."""
+    rows = [(1, 0, "a", " Hi ", ["b", "a"], "x"), (1, 1, "a", "hi", ["a", "b"], "x"), (1, 2, "a", "hi", ["a", "b"], "y"), (1, 3, "b", "", [], ""), (1, 4, "b", None, [], ""), (1, 5, "b", "", ["p"], ""), (1, 6, "b", " ", ["p"], "")]
+    found = dedup.first_of_meaning(spark.createDataFrame(rows, "job_id long, idx long, label string, key_text string, components array<string>, state string"))
+    assert sorted(r.idx for r in found.collect()) == [0, 2, 3, 4, 5]
+
+
+def test_profile(spark):
+    """FX-P1."""
+    steps = spark.createDataFrame([(1, i, x) for i, x in enumerate(["onboarding/a", "transition", "paywall/annual", "special_offer"])] + [(2, 0, "paywall/special_offer")], "job_id long, idx long, label string")
+    one, two = manifest.funnel(steps).orderBy("job_id").collect()
+    assert (one.sequence, one.paywall_position, one.onboarding_count, one.has_downsell) == (["onboarding/a", "paywall/annual", "special_offer"], 1, 1, True)
+    assert two.has_downsell is False
+
+
+def test_validation(spark):
+    """FX-V1, FX-V2, and rules that look at the declared type."""
+    rows = [("paywall", "", "hello", 0.9, False), ("home", "", "", 0.5, False), ("home", "Trial_Offer", "hello", 0.9, False), ("onboarding", "", "trial week plan", 0.9, False), ("home", "", "x" * 30, 0.9, True)]
+    frames = spark.createDataFrame([(a, b, c, c, d, e) for a, b, c, d, e in rows], "label string, screen_type string, key_text string, all_text string, conf double, is_transition boolean")
+    assert [r.warnings for r in answers.rules(frames).collect()] == [["paywall_without_pricing_text"], ["low_confidence"], ["paywall_without_pricing_text"], [], ["transition_with_content"]]
+
+
+def test_stability(spark):
+    """Slides and fades drop a frame only after a kept one; base rules and edges always."""
+    far, kept = -1, 0
+    config = stability.StabilityConfig()
+    names = ["sig", "is_split", "left_hash", "right_hash", "edge_hash", "fade_error"]
+    six = lambda i: (0b111111 << 6 * i) & (2**62 - 1)  # noqa: E731  signatures six bits and six bits apart
+    rows = [(1, i, six(i), False, 0, 0, 0, 0.05) for i in range(9)]
+    rows += [(2, 0, 0, False, 0, 0, 0, 1.0), (2, 1, 2**20 - 1, False, 0, 0, 0, 1.0), (2, 2, 0, False, 0, 0, 0, 1.0), (2, 3, 0, True, 0, 0, 0, 1.0)]
+    rows += [(3, 0, 0, False, 0, 0, 0, 1.0), (3, 1, 1, False, 0, 0, 2**13 - 1, 1.0), (3, 2, 1, False, 0, 0, 0, 1.0)]
+    found = stability.verdicts(spark.createDataFrame(rows, "job_id long, idx long, " + ", ".join(f"{n} {'boolean' if n == 'is_split' else 'double' if n == 'fade_error' else 'long'}" for n in names)), config)
+    rules = {(r.job_id, r.idx): r.rule for r in found.collect()}
+    assert [rules[1, i] for i in range(9)] == [None, "slide", None, "slide", None, "slide", None, "slide", None]
+    assert [rules[2, i] for i in range(4)] == [None, "between_changes", None, "last_split"]
+    assert [rules[3, i] for i in range(3)] == [None, "edge", None]
+    assert far != kept
+
+
+def test_dense_times(spark):
+    zones = spark.createDataFrame([(1, "motion_0002", 100, 300, 30), (1, "motion_0003", 500, 500, 15), (1, "motion_0004", None, 5, 15)], "job_id long, zone_id string, start_ms long, end_ms long, dense_fps int")
+    found = motion.dense_times(zones).orderBy("zone_id", "ordinal").collect()
+    assert [r.ts_ms for r in found] == [100, 133, 166, 200, 233, 266, 500]
+    assert found[0].name == "frame_z0002_0001.jpg" and found[-1].name == "frame_z0003_0001.jpg"
+
+
+def test_sinks(spark, tmp_path):
+    frames = timed(spark, [0, 250, 500, 1100, 1350, 2500]).withColumns({"status": F.when(F.col("idx") < 2, "final").otherwise("removed"), "source": F.lit("filename")})
+    bounds = recording.BoundaryConfig()
+    screens = spark.createDataFrame([(1, 0, "paywall/annual", "Buy", ["cta"], ""), (1, 1, "paywall/annual", "Buy now", [], "x"), (1, 2, "home", "Hi", None, None), (1, 3, "transition", "", [], "")], "job_id long, idx long, label string, key_text string, components array<string>, state string")
+    analyses = spark.createDataFrame([(1, *"abcde")], "job_id long, " + ", ".join(f"{c} string" for c in sinks.ANALYSIS))
+    profiles = manifest.funnel(screens.unionByName(screens.withColumn("job_id", F.lit(2).cast("long"))))
+    written = {
+        "timeline": sinks.timeline_documents(frames, 4),
+        "segments": sinks.segment_documents(frames, SECOND),
+        "boundaries": sinks.boundary_documents(frames, SECOND, bounds),
+        "manifest": sinks.manifest_documents(manifest.tree(screens), analyses),
+        "sessions": sinks.session_documents(profiles, analyses),
+    }
+    read = {}
+    for name, documents in written.items():
+        sinks.write_documents(documents, str(tmp_path / name))
+        rows = spark.read.json(str(tmp_path / name)).collect()
+        assert [r.job_id for r in rows] == [1]  # job 2 has no analysis, and so no session
+        read[name] = rows[0]
+    line = read["timeline"]
+    assert (line.frame_count, line.final_count, line.summary.removed_count, line.summary.timestamp_strategy) == (6, 2, 4, "filename") and [x.ts_ms for x in line["items"]] == [0, 250, 500, 1100, 1350, 2500]
+    assert [(s.segment_id, s.representative_timestamp_ms) for s in read["segments"].segments] == [("segment_0001", 250), ("segment_0002", 1100), ("segment_0003", 2500)]
+    assert read["boundaries"].boundaries_detected == 2 and read["boundaries"].boundaries[0].recovered == ["f0", "f4"]
+    node = read["manifest"].manifest.paywall.children.annual
+    assert [(x.path, x.key_text, x.components, x.state) for x in node] == [("paywall__annual/000.jpg", "Buy", ["cta"], ""), ("paywall__annual/001.jpg", "Buy now", [], "x")]
+    assert read["manifest"].manifest.home.images[0].path == "home/000.jpg" and read["manifest"].analysis.competitive_tier == "b"
+    assert read["sessions"].funnel_sequence == ["paywall/annual", "paywall/annual", "home"] and read["sessions"].competitive_tier == "b"
+    shown = {r.parent: r for r in manifest.sections(manifest.tree(screens), "http://h").collect()}
+    assert [x.url for x in shown["paywall"].images] == ["http://h/images/1/paywall__annual/000.jpg", "http://h/images/1/paywall__annual/001.jpg"] and shown["home"].title == "Home"
+    sinks.write_images(manifest.placed(screens).withColumn("data", F.lit("x").cast("binary")), str(tmp_path / "images"))
+    assert {(r.folder, r.path) for r in spark.read.parquet(str(tmp_path / "images")).collect()} == {("paywall__annual", "paywall__annual/000.jpg"), ("paywall__annual", "paywall__annual/001.jpg"), ("home", "home/000.jpg")}
 
 
 def test_dedup(spark):
@@ -56,9 +186,26 @@ def test_dedup(spark):
 
 
 def test_json(spark):
-    raw = ['```json\n{"a": 1}\n```', 'Sure: {"a": {"b": 2}} ok', 'x [1, {"a": 2}] y', "nothing"]
+    """FX-J1, and a fence with words in it, brackets that do not close, an array after an object."""
+    raw = ['```json\n{"a": 1}\n```', 'Sure: {"a": {"b": 2}} ok', 'x [1, {"a": 2}] y', "nothing", '[x {"a":1}', '```\nsee {"a": 3} there\n``` {"b": 1}', "", " } { ", '{"a": [1]} [2]']
     found = [r[0] for r in spark.createDataFrame([(r,) for r in raw], "raw string").select(answers.isolate(F.col("raw"))).collect()]
-    assert found == ['{"a": 1}', '{"a": {"b": 2}}', '[1, {"a": 2}]', "nothing"]
+    assert found == ['{"a": 1}', '{"a": {"b": 2}}', '[1, {"a": 2}]', "nothing", '{"a":1}', '{"a": 3}', "", "} {", '{"a": [1]}']
+    wide = [r[0] for r in spark.createDataFrame([("a {1} {2} b",), ("none",)], "raw string").select(answers.first_object(F.col("raw"))).collect()]
+    assert wide == ["{1} {2}", None]
+
+
+def test_odd_answers(spark):
+    """Answers of every shape become as many rows as there are frames, typed whatever came."""
+    raw = ['[1, {"label": 5, "conf": "0.5", "components": 7, "needs_review": 1, "frame_index": "4"}]', '{"label": "", "screen_type": "home", "conf": true, "components": null, "state": "scrolled", "is_transition": "yes"}', '{"items": [], "frames": 3}', "[[]]", None]
+    table = spark.createDataFrame([(i, r, 2) for i, r in enumerate(raw)], "k long, raw string, expected int")
+    found = {(r.k, r.position): r for r in answers.normalise(answers.exactly(answers.answers(table), "expected")).collect()}
+    assert len(found) == 10
+    one = found[0, 1]
+    assert (one.label, one.conf, one.components, one.needs_review, one.frame_index) == ("5", 0.5, ["7"], True, 4)
+    assert (found[0, 0].uncertainty_reason, found[0, 0].review_reason, found[0, 0].frame_index) == ("item at index 0 was not an object", "classification_fallback", 1)
+    two = found[1, 0]
+    assert (two.label, two.screen_type, two.conf, two.components, two.is_scroll_state, two.is_transition) == ("home", "home", 1.0, [], True, True)
+    assert found[1, 1].uncertainty_reason == "missing item from Gemini response" and found[3, 0].needs_review and found[4, 1].label == "unsorted" and found[2, 0].label == "unsorted"
 
 
 def test_pixels_and_providers(spark):
@@ -74,6 +221,8 @@ def test_pixels_and_providers(spark):
     fade = spark.createDataFrame([((a * 0.5 + b * 0.5).tolist(), a.tolist(), b.tolist())], "t array<double>, p array<double>, n array<double>")
     assert fade.select(pixels.fade_error(F.col("t"), F.col("p"), F.col("n"))).first()[0] < 1e-9
     assert [r.label for r in classify(found, "pixels").orderBy("idx").collect()] == ["home", "unsorted", "home"]
+    assert [(r.label, r.conf) for r in pixels.local_class(found).orderBy("idx").collect()][1] == ("unsorted", 0.1)
+    assert len(rows[0].splits) == 3 and rows[0].content_hash == pixels.perceptual_hash(pixels.gray(bytes(images[0].tobytes()), 120, 80, 3)[60:])
     assert {r.label for r in classify(found, "no such provider").collect()} == {"unsorted"}
 
 

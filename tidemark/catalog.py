@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.expressions import half
 from tidemark.operators import boundaries as B
 from tidemark.operators import classify as C
 from tidemark.operators import dedup as D
@@ -19,6 +20,7 @@ from tidemark.operators import motion as Mo
 from tidemark.operators import segments as S
 from tidemark.operators import stability as St
 from tidemark.operators import timeline as T
+from tidemark.sources.sinks import classification_debug as classification_report
 from tidemark.sources.tables import hashed_frames, screens, table, timed_frames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,7 +29,8 @@ ORACLE_SQL: dict[str, str] = {}
 HOUR = 3_600_000
 MOTION = Mo.MotionConfig(fps=6, motion=37, anomaly=34)
 SEGMENTS = S.SegmentConfig(gap_ms=4 * HOUR, guard_ms=HOUR // 2, short_ms=HOUR)
-BOUNDS = B.BoundaryConfig(edge_ms=2 * HOUR, before_ms=8 * HOUR, after_ms=8 * HOUR, most=2)
+BOUNDS = B.BoundaryConfig(edge_ms=2 * HOUR, before_ms=30 * HOUR, after_ms=30 * HOUR, most=2, drift_ms=6 * HOUR)
+STABLE = St.StabilityConfig(change=36, split=17, still=30, large=32, small=32, blend=28, slide=16, fade=0.15, edge_next=31, edge=8)
 
 
 def query(sql: str | None = None):
@@ -68,18 +71,40 @@ w1 AS (SELECT *, CASE WHEN ts_ms BETWEEN st + {SEGMENTS.guard_ms} AND en - {SEGM
 w2 AS (SELECT *, max(inn) OVER (PARTITION BY job_id, seg) AS any_inn FROM w1),
 w3 AS (SELECT *, row_number() OVER (PARTITION BY job_id, seg ORDER BY CASE WHEN n = 1 THEN 0 WHEN any_inn = 1 THEN 1 - inn WHEN n >= 3 AND (pos = 1 OR pos = n) THEN 1 ELSE 0 END, far, idx) AS rn FROM w2),
 reps AS (SELECT job_id, CAST(seg AS BIGINT) AS seg, frame_id, idx, ts_ms, st, en, n AS n_frames FROM w3 WHERE rn = 1)"""
-BND = f"bnd AS (SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY en, f) AS bnd, en AS start_ms, nx AS end_ms, (en + nx) // 2 AS peak_ms FROM (SELECT job_id, max(ts_ms) AS en, min(idx) AS f, lead(min(ts_ms)) OVER (PARTITION BY job_id ORDER BY seg) AS nx FROM sgm GROUP BY job_id, seg) WHERE nx IS NOT NULL)"
-TOUCH = f"tch AS (SELECT t.*, EXISTS (SELECT 1 FROM bnd b WHERE b.job_id = t.job_id AND t.ts_ms BETWEEN b.start_ms AND b.end_ms) AS inside, EXISTS (SELECT 1 FROM bnd b WHERE b.job_id = t.job_id AND (abs(t.ts_ms - b.start_ms) <= {BOUNDS.edge_ms} OR abs(t.ts_ms - b.end_ms) <= {BOUNDS.edge_ms})) AS near FROM sgm t)"
-GUARD = f"""{REPS}, {BND}, {TOUCH}, g0 AS (SELECT t.*, r.idx AS rep_idx, abs(t.ts_ms - (min(t.ts_ms) OVER w + max(t.ts_ms) OVER w) // 2) AS far, max(CASE WHEN t.idx = r.idx AND t.near THEN 1 WHEN t.idx = r.idx THEN 0 END) OVER w AS doubt FROM tch t JOIN reps r ON r.job_id = t.job_id AND r.seg = t.seg WINDOW w AS (PARTITION BY t.job_id, t.seg)),
-g1 AS (SELECT *, row_number() OVER (PARTITION BY job_id, seg ORDER BY CASE WHEN doubt = 0 THEN CASE WHEN idx = rep_idx THEN 0 ELSE 2 END WHEN idx = rep_idx THEN 1 WHEN near THEN 2 ELSE 0 END, far, idx) AS rn FROM g0),
-guarded AS (SELECT job_id, CAST(seg AS BIGINT) AS seg, frame_id, idx, ts_ms, near, idx <> rep_idx AS moved FROM g1 WHERE rn = 1)"""
-RECOV = f"""{GUARD}, c0 AS (SELECT t.job_id, b.bnd, t.frame_id, t.idx, t.ts_ms, CASE WHEN t.ts_ms BETWEEN b.start_ms - {BOUNDS.before_ms} AND b.start_ms - {BOUNDS.edge_ms} THEN 0 WHEN t.ts_ms BETWEEN b.end_ms + {BOUNDS.edge_ms} AND b.end_ms + {BOUNDS.after_ms} THEN 1 END AS side FROM tl t JOIN bnd b ON b.job_id = t.job_id WHERE NOT EXISTS (SELECT 1 FROM guarded g WHERE g.job_id = t.job_id AND g.idx = t.idx)),
-recov AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY job_id, bnd ORDER BY side, idx) AS rn FROM c0 WHERE side IS NOT NULL) WHERE rn <= {BOUNDS.most})"""
-FINAL = f"{RECOV}, fin AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts_ms, idx) AS place FROM (SELECT job_id, frame_id, idx, ts_ms, 0 AS times, NULL AS boundary FROM guarded UNION ALL SELECT job_id, frame_id, idx, ts_ms, count(*) AS times, max(bnd) AS boundary FROM recov GROUP BY ALL))"
+GAPS = "SELECT job_id, 'segment_gap' AS boundary_type, en AS start_ms, nx AS end_ms, CASE WHEN nx <= en THEN en ELSE (en + nx) // 2 END AS peak_ms, 1 AS rk, seg AS before_seg, nseg AS after_seg, li AS start_index FROM (SELECT job_id, seg, max(ts_ms) AS en, max(idx) AS li, lead(min(ts_ms)) OVER (PARTITION BY job_id ORDER BY seg) AS nx, lead(seg) OVER (PARTITION BY job_id ORDER BY seg) AS nseg FROM sgm GROUP BY job_id, seg) WHERE nx IS NOT NULL"
+MOVED = f"SELECT job_id, 'multi' AS boundary_type, ts_ms - {HOUR // 2} AS start_ms, ts_ms + {HOUR // 2} AS end_ms, ts_ms AS peak_ms, 0 AS rk, NULL AS before_seg, NULL AS after_seg, NULL AS start_index FROM tl WHERE label = 'error'"
+
+
+def bounded(zones: bool) -> str:
+    """Boundaries, the points of frames, guarded representatives and candidates, in plain SQL."""
+    found = f"{GAPS} UNION ALL {MOVED}" if zones else GAPS
+    return f"""{REPS}, bnd AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY start_ms, coalesce(start_index, 0), rk, coalesce(before_seg, 0), end_ms, peak_ms) AS bnd FROM ({found})),
+t0 AS (SELECT t.*, EXISTS (SELECT 1 FROM bnd b WHERE b.job_id = t.job_id AND t.ts_ms BETWEEN b.start_ms AND b.end_ms) AS inside,
+EXISTS (SELECT 1 FROM bnd b WHERE b.job_id = t.job_id AND NOT t.ts_ms BETWEEN b.start_ms AND b.end_ms AND (abs(t.ts_ms - b.start_ms) <= {BOUNDS.edge_ms} OR abs(t.ts_ms - b.end_ms) <= {BOUNDS.edge_ms})) AS near, value / 100 >= 0.6 AS hp, (value - 20) / 100 >= 0.6 AS hn, value / 14 < 0.35 AS bl FROM sgm t),
+tch AS (SELECT *, least(100, CASE WHEN inside THEN 35 ELSE 0 END + CASE WHEN near THEN 25 ELSE 0 END + CASE WHEN hp THEN 20 ELSE 0 END + CASE WHEN hn THEN 20 ELSE 0 END + CASE WHEN hp AND hn THEN 15 ELSE 0 END + CASE WHEN bl THEN 10 ELSE 0 END) AS pts FROM t0),
+g0 AS (SELECT t.*, inside OR near AS doubtful, r.idx AS rep_idx, abs(t.ts_ms - (min(t.ts_ms) OVER w + max(t.ts_ms) OVER w) // 2) AS far, max(CASE WHEN t.idx = r.idx AND (inside OR near) THEN 1 WHEN t.idx = r.idx THEN 0 END) OVER w AS doubt FROM tch t JOIN reps r ON r.job_id = t.job_id AND r.seg = t.seg WINDOW w AS (PARTITION BY t.job_id, t.seg)),
+g1 AS (SELECT *, row_number() OVER (PARTITION BY job_id, seg ORDER BY CASE WHEN doubt = 0 THEN CASE WHEN idx = rep_idx THEN 0 ELSE 2 END WHEN idx = rep_idx THEN 1 WHEN doubtful OR pts >= 65 THEN 2 ELSE 0 END, far, value, idx) AS rn FROM g0),
+guarded AS (SELECT job_id, CAST(seg AS BIGINT) AS seg, frame_id, idx, ts_ms, label, doubtful AS near, idx <> rep_idx AS moved, CASE WHEN idx = rep_idx AND doubtful THEN '{B.NEAR_REVIEW}' END AS review FROM g1 WHERE rn = 1),
+c0 AS (SELECT t.job_id, b.bnd, t.frame_id, t.idx, t.ts_ms, t.pts >= 65 AS bad, CASE WHEN t.ts_ms BETWEEN b.start_ms - {BOUNDS.before_ms} AND b.start_ms - {BOUNDS.edge_ms} THEN 0 WHEN t.ts_ms BETWEEN b.end_ms + {BOUNDS.edge_ms} AND b.end_ms + {BOUNDS.after_ms} THEN 1 END AS side FROM tch t JOIN bnd b ON b.job_id = t.job_id WHERE NOT EXISTS (SELECT 1 FROM guarded g WHERE g.job_id = t.job_id AND g.idx = t.idx)),
+c1 AS (SELECT *, coalesce(sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY job_id, bnd ORDER BY side, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c0 WHERE side IS NOT NULL),
+looked AS (SELECT *, CASE WHEN bad THEN 'contaminated' ELSE 'recovered' END AS outcome FROM c1 WHERE before < {BOUNDS.most}),
+recov AS (SELECT * FROM looked WHERE outcome = 'recovered'),
+fin AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts_ms, idx) AS place FROM (SELECT job_id, frame_id, idx, ts_ms, 0 AS times, NULL AS boundary, review FROM guarded UNION ALL SELECT job_id, frame_id, idx, ts_ms, count(*) AS times, max(bnd) AS boundary, '{B.RECOVERED_REVIEW}' AS review FROM recov GROUP BY job_id, frame_id, idx, ts_ms)),
+r0 AS (SELECT job_id, bnd, string_agg(CAST(frame_id AS VARCHAR), ' ' ORDER BY side, idx) FILTER (outcome = 'recovered') AS recovered, string_agg(CAST(frame_id AS VARCHAR), ' ' ORDER BY side, idx) FILTER (outcome = 'contaminated') AS rejected, count(*) FILTER (outcome = 'recovered') AS nr, count(*) FILTER (outcome = 'contaminated') AS nc, first(ts_ms ORDER BY side, idx) FILTER (outcome = 'recovered') AS first_ms FROM looked GROUP BY job_id, bnd),
+dr AS (SELECT b.job_id, b.bnd, true AS drift FROM bnd b JOIN reps x ON x.job_id = b.job_id AND x.seg = b.before_seg JOIN reps y ON y.job_id = b.job_id AND y.seg = b.after_seg JOIN guarded g ON g.job_id = b.job_id AND g.idx = x.idx JOIN guarded h ON h.job_id = b.job_id AND h.idx = y.idx WHERE abs(h.ts_ms - g.ts_ms) <= {BOUNDS.drift_ms} AND g.label = h.label),
+rep AS (SELECT b.job_id, b.bnd, b.boundary_type, b.start_ms, coalesce(recovered, '') AS recovered, coalesce(rejected, '') AS rejected, coalesce(nr, 0) AS nr, coalesce(nc, 0) AS nc, coalesce(drift, false) AS drift,
+CASE WHEN nc > 0 AND nr = 0 THEN '{B.ONLY_CONTAMINATED}' WHEN nr > 0 AND first_ms <= b.start_ms THEN '{B.SKIPPED_BEFORE}' WHEN nr > 0 THEN '{B.SKIPPED_AFTER}' WHEN drift THEN '{B.REPEATED}' END AS issue_type,
+concat_ws('; ', CASE WHEN drift THEN '{B.WARN_DRIFT}' END, CASE WHEN nc > 0 AND nr = 0 THEN '{B.WARN_CONTAMINATED}' END) AS warnings FROM bnd b LEFT JOIN r0 USING (job_id, bnd) LEFT JOIN dr USING (job_id, bnd)),
+sm0 AS (SELECT job_id, count(*) AS boundaries_detected, count(issue_type) AS issues_detected, sum(nr) AS recovered_states, sum(nc) AS candidates_rejected, coalesce(min(bnd) FILTER (drift), 1000000) AS fd, coalesce(min(bnd) FILTER (nc > 0 AND nr = 0), 1000000) AS fc FROM rep GROUP BY job_id),
+summed AS (SELECT f.job_id, coalesce(boundaries_detected, 0) AS boundaries_detected, coalesce(issues_detected, 0) AS issues_detected, CAST(coalesce(recovered_states, 0) AS BIGINT) AS recovered_states, CAST(coalesce(candidates_rejected, 0) AS BIGINT) AS candidates_rejected, contaminated_frames, edge_warnings,
+CASE WHEN fd <= fc THEN concat_ws('; ', CASE WHEN fd < 1000000 THEN '{B.WARN_DRIFT}' END, CASE WHEN fc < 1000000 THEN '{B.WARN_CONTAMINATED}' END) WHEN fc < fd THEN concat_ws('; ', '{B.WARN_CONTAMINATED}', CASE WHEN fd < 1000000 THEN '{B.WARN_DRIFT}' END) ELSE '' END AS warnings
+FROM (SELECT job_id, count(*) FILTER (pts >= 65) AS contaminated_frames FROM tch GROUP BY job_id) f JOIN (SELECT job_id, count(review) AS edge_warnings FROM guarded GROUP BY job_id) g USING (job_id) LEFT JOIN sm0 USING (job_id))"""
+
+
 NB = f"""{SIG}, n0 AS (SELECT job_id, frame_id, idx, b, lag(b) OVER w AS pb, lead(b) OVER w AS nb, count(*) OVER (PARTITION BY job_id) AS n FROM sg WINDOW w AS (PARTITION BY job_id ORDER BY idx)),
 n1 AS (SELECT job_id, frame_id, idx, n, CASE WHEN pb IS NOT NULL THEN {ham('b', 'pb')} END AS prev, CASE WHEN nb IS NOT NULL THEN {ham('b', 'nb')} END AS nxt, CAST(list_sum(list_transform(range(1, 33), lambda i: abs(b[i] - b[i + 32]))) AS BIGINT) AS split FROM n0),
 nb AS (SELECT *, lag(prev) OVER (PARTITION BY job_id ORDER BY idx) AS prev2, lead(nxt) OVER (PARTITION BY job_id ORDER BY idx) AS nxt2 FROM n1)"""
-SCREENS = "sc AS (SELECT lang AS job_id, doc_id AS idx, lang || '/' || source AS label, string_split(text, chr(10))[1] AS key_text, text AS all_text, (doc_id % 100) / 100.0 AS conf, string_split(substring(text, 1, 40), ' ')[1:2] AS components FROM documents)"
+SCREENS = "sc AS (SELECT lang AS job_id, doc_id AS idx, lang || '/' || source AS label, string_split(text, chr(10))[1] AS key_text, text AS all_text, (doc_id % 100) / 100.0 AS conf, string_split(text, ' ')[1:2] AS components, CASE WHEN doc_id % 5 = 0 THEN 'scrolled' ELSE '' END AS state FROM documents)"
 
 
 # Timelines (scans T1-T5, S4-S6, A1, J2).
@@ -172,16 +197,45 @@ def out_of_zone_anti(spark, d):
     return Mo.in_zone(hashed_frames(spark, d), _zones(spark, d), inside=False).select("job_id", "frame_id", "idx")
 
 
+@query(f"""WITH {ZONES}, dz AS (SELECT *, 'motion_' || lpad(CAST(row_number() OVER (PARTITION BY job_id ORDER BY start_ms) AS VARCHAR), 4, '0') AS zone_id, CASE WHEN end_ms - start_ms <= 400 THEN 30 WHEN end_ms - start_ms <= 1500 THEN 15 ELSE 8 END AS fps FROM zones),
+e AS (SELECT *, unnest(range(0, CAST(ceil(greatest(end_ms - start_ms, 50) * fps / 1000.0) AS BIGINT))) AS i FROM dz)
+SELECT job_id, zone_id, i + 1 AS ordinal, 'frame_z' || zone_id[8:] || '_' || lpad(CAST(i + 1 AS VARCHAR), 4, '0') || '.jpg' AS name, start_ms + i * 1000 // fps AS ts_ms FROM e""")
+def dense_zone_scan(spark, d):
+    return Mo.dense_times(_zones(spark, d))
+
+
 def _flagged(spark, d):
     frames = hashed_frames(spark, d)
     inside = Mo.in_zone(frames, _zones(spark, d)).select("job_id", "idx", F.lit(True).alias("in_zone"))
     return frames.join(inside, ["job_id", "idx"], "left").withColumn("in_zone", F.coalesce("in_zone", F.lit(False)))
 
 
-# Stability.
-@query(f"WITH {NB} SELECT job_id, frame_id, idx, CASE WHEN idx > 0 AND idx < n - 1 AND prev > 36 AND nxt > 36 THEN 'between_changes' WHEN idx > 0 AND idx < n - 1 AND least(prev, nxt) > 30 AND split > 17 THEN 'split' WHEN idx > 0 AND idx < n - 1 AND prev > 32 AND nxt <= 32 AND nxt2 > 32 AND split > 17 THEN 'late' WHEN idx > 0 AND idx < n - 1 AND prev <= 32 AND nxt > 32 AND prev2 > 32 AND split > 17 THEN 'early' WHEN idx = n - 1 AND n > 1 AND split > 17 THEN 'last_split' END AS rule FROM nb")
+# Stability.
+_HALVES = f"""{SIG}, h0 AS (SELECT *, count(*) OVER (PARTITION BY job_id) AS n, lag(b) OVER w AS pb, lead(b) OVER w AS nb, lead(b, 2) OVER w AS nnb, lag(b, 2) OVER w AS ppb FROM sg WINDOW w AS (PARTITION BY job_id ORDER BY idx)),
+h1 AS (SELECT job_id, frame_id, idx, n, {ham('b', 'pb')} AS prev, {ham('b', 'nb')} AS nxt, {ham('nb', 'nnb')} AS nxt2, {ham('pb', 'ppb')} AS prev2, CAST(list_sum(list_transform(range(1, 33), lambda i: abs(b[i] - b[i + 32]))) AS BIGINT) AS sides,
+CAST(list_sum(list_transform(range(1, 33), lambda i: abs(b[i] - pb[i + 32]))) AS BIGINT) AS in_left, CAST(list_sum(list_transform(range(1, 33), lambda i: abs(b[i + 32] - nb[i]))) AS BIGINT) AS in_right, {ham('b', 'nb', 1, 16)} AS edge FROM h0)"""
+_INNER = "idx > 0 AND idx < n - 1"
+
+
+@query(f"""WITH RECURSIVE {_HALVES}, h2 AS (SELECT *, CASE WHEN idx = n - 1 AND idx > 0 AND sides > 17 THEN 'last_split' WHEN NOT ({_INNER}) THEN NULL WHEN prev > 36 AND nxt > 36 THEN 'between_changes' WHEN least(prev, nxt) > 30 AND sides > 17 THEN 'split' WHEN prev > 32 AND nxt <= 32 AND nxt2 > 32 AND sides > 17 THEN 'late' WHEN prev <= 32 AND nxt > 32 AND prev2 > 32 AND sides > 17 THEN 'early' END AS base,
+CASE WHEN {_INNER} AND prev > 28 AND nxt > 28 THEN CASE WHEN in_left <= 16 AND in_right <= 16 THEN 'slide' WHEN (idx % 7) / 10 < 0.15 THEN 'fade' END END AS blend, {_INNER} AND nxt <= 31 AND edge > 8 AS edged FROM h1),
+walk AS (SELECT job_id, frame_id, idx, base AS rule FROM h2 WHERE idx = 0 UNION ALL SELECT h.job_id, h.frame_id, h.idx, CASE WHEN h.base IS NOT NULL THEN h.base WHEN h.blend IS NOT NULL AND w.rule IS NULL THEN h.blend WHEN h.edged THEN 'edge' END FROM walk w JOIN h2 h ON h.job_id = w.job_id AND h.idx = w.idx + 1) SELECT job_id, frame_id, idx, rule FROM walk""")
 def stability_rules(spark, d):
-    return St.verdicts(hashed_frames(spark, d), change=36, still=30, calm=32, split=17).select("job_id", "frame_id", "idx", "rule")
+    return St.verdicts(_halved(spark, d), STABLE).select("job_id", "frame_id", "idx", "rule")
+
+
+def _halved(spark, d):
+    """Signatures whose halves stand in for those of images."""
+    sig = F.col("sig")
+    left, right = half(sig, False), half(sig, True)
+    splits = F.array(F.struct(left.alias("left"), right.alias("right")))
+    return hashed_frames(spark, d).withColumns({"is_split": St.is_split(splits, STABLE.split), "left_hash": left, "right_hash": right, "edge_hash": sig.bitwiseAND(F.lit(0xFFFF)), "fade_error": (F.col("idx") % 7) / 10})
+
+
+@query(f"WITH {_HALVES} SELECT job_id, frame_id, idx, coalesce(prev, -1) AS prev, coalesce(nxt, -1) AS next, sides FROM h1")
+def diffs_debug(spark, d):
+    found = St.diffs(_halved(spark, d))
+    return found.select("job_id", "frame_id", "idx", *[F.col(c).cast("long").alias(c) for c in ("prev", "next", "sides")])
 
 
 @query(f"WITH {ZONES}, {NB[NB.index('n0 AS'):]} SELECT sg.job_id, sg.frame_id, sg.idx FROM sg JOIN nb ON nb.job_id = sg.job_id AND nb.idx = sg.idx WHERE NOT (NOT {_IN} AND coalesce(prev, -1) > 33 AND coalesce(nxt, -1) > 33)")
@@ -210,12 +264,17 @@ def dedup_global(spark, d):
     return D.leaders(hashed_frames(spark, d), 26)
 
 
-@query(f"WITH {SIG} SELECT * FROM (SELECT x.job_id, x.idx AS a, y.idx AS b, {ham('x.b', 'y.b')} AS distance FROM sg x JOIN sg y ON x.job_id = y.job_id AND x.idx < y.idx) WHERE distance < 24")
+@query(f"WITH {SIG}, both_kinds AS (SELECT job_id, idx, b FROM sg UNION ALL SELECT job_id, idx + 1000000, list_transform(range(1, 65), lambda i: CASE WHEN i <= idx % 20 THEN 1 - b[i] ELSE b[i] END) FROM sg) SELECT * FROM (SELECT x.job_id, x.idx AS a, y.idx AS b, {ham('x.b', 'y.b')} AS distance FROM both_kinds x JOIN both_kinds y ON x.job_id = y.job_id AND x.idx < y.idx) WHERE distance < 16")
 def near_dup_pairs(spark, d):
-    return D.near_pairs(hashed_frames(spark, d), 24).withColumn("distance", F.col("distance").cast("long"))
+    frames = hashed_frames(spark, d).select("job_id", "idx", "sig")
+    # Copies with up to 19 of their bits turned over.
+    turned = F.col("sig").bitwiseXOR(F.expr("shiftleft(1L, cast(idx % 20 AS int)) - 1"))
+    copies = frames.withColumns({"sig": turned, "idx": F.col("idx") + 1_000_000})
+    return D.near_pairs(frames.unionByName(copies), 16).withColumn("distance", F.col("distance").cast("long"))
 
 
-@query(f"WITH {SCREENS} SELECT job_id, label, idx FROM sc QUALIFY row_number() OVER (PARTITION BY job_id, label, lower(regexp_replace(key_text, '^\\s+|\\s+$', '', 'g')), list_sort(components) ORDER BY idx) = 1")
+@query(f"""WITH {SCREENS}, k AS (SELECT job_id, label, idx, state, list_sort(components) AS parts, lower(regexp_replace(key_text, '^\\s+|\\s+$', '', 'g')) AS t FROM sc)
+SELECT job_id, label, idx FROM k QUALIFY row_number() OVER (PARTITION BY job_id, CASE WHEN t = '' AND len(parts) = 0 THEN 'path' || idx ELSE 'key' || label END, t, parts, state ORDER BY idx) = 1""")
 def semantic_dedup(spark, d):
     return D.first_of_meaning(screens(spark, d)).select("job_id", "label", "idx")
 
@@ -244,44 +303,75 @@ def segment_warnings(spark, d):
 
 
 # Boundaries.
-@query(f"WITH {SEG}, {BND} SELECT job_id, 'boundary_' || lpad(CAST(bnd AS VARCHAR), 4, '0') AS boundary_id, start_ms, end_ms, peak_ms FROM bnd")
+@query(f"WITH {bounded(False)} SELECT job_id, 'boundary_' || lpad(CAST(bnd AS VARCHAR), 4, '0') AS boundary_id, start_ms, end_ms, peak_ms FROM bnd")
 def boundaries(spark, d):
-    return B.between_segments(timed_frames(spark, d), SEGMENTS).select("job_id", "boundary_id", "start_ms", "end_ms", "peak_ms")
+    return B.detect(timed_frames(spark, d), SEGMENTS).select("job_id", "boundary_id", "start_ms", "end_ms", "peak_ms")
 
 
-def _touched(spark, d):
-    frames = timed_frames(spark, d)
-    return B.touched(frames, B.between_segments(frames, SEGMENTS), BOUNDS.edge_ms)
+def _moving(spark, d):
+    """Frames with signs of motion made from their values."""
+    value = F.col("value")
+    return timed_frames(spark, d).withColumns({"motion_prev": value / 100, "motion_next": (value - 20) / 100, "sharpness": value / 14})
+
+
+def _moved(spark, d):
+    at = F.col("ts_ms")
+    return timed_frames(spark, d).where("label = 'error'").select("job_id", F.lit("multi").alias("kind"), (at - HOUR // 2).alias("start_ms"), (at + HOUR // 2).alias("end_ms"), at.alias("peak_ms"))
 
 
-@query(f"WITH {SEG}, {BND}, {TOUCH}, f AS (SELECT job_id, idx, inside, near, value > 60 AS hp, value > 80 AS hn, value < 5 AS bl FROM tch), s AS (SELECT *, least(100, CASE WHEN inside THEN 35 ELSE 0 END + CASE WHEN near THEN 25 ELSE 0 END + CASE WHEN hp THEN 20 ELSE 0 END + CASE WHEN hn THEN 20 ELSE 0 END + CASE WHEN hp AND hn THEN 15 ELSE 0 END + CASE WHEN bl THEN 10 ELSE 0 END) AS pts FROM f) SELECT job_id, idx, pts / 100.0::DOUBLE AS score, CASE WHEN pts >= 65 THEN 'contaminated' ELSE 'likely_stable_state' END AS class FROM s")
+@query(f"WITH {bounded(False)} SELECT job_id, idx, pts / 100.0::DOUBLE AS score, CASE WHEN pts >= 65 THEN 'likely_transition_contaminated' ELSE 'likely_stable_state' END AS class FROM tch")
 def contamination_score(spark, d):
-    points = B.contamination(F.col("inside"), F.col("near"), F.col("value") > 60, F.col("value") > 80, F.col("value") < 5)
-    return _touched(spark, d).select("job_id", "idx", (points / 100).alias("score"), B.candidate_class(points, F.col("ts_ms").isNotNull()).alias("class"))
+    frames = _moving(spark, d)
+    kinds = S.assign(B.scored(frames, B.detect(frames, SEGMENTS), BOUNDS), SEGMENTS).join(S.roll_up(frames, SEGMENTS).select("job_id", "seg", "segment_type"), ["job_id", "seg"])
+    return kinds.select("job_id", "idx", (F.col("points") / 100).alias("score"), B.candidate_class(F.col("contaminated"), F.col("segment_type")).alias("class"))
 
 
-@query(f"WITH {GUARD} SELECT job_id, seg, frame_id, idx, near, moved FROM guarded")
+@query(f"WITH {bounded(False)} SELECT job_id, seg, frame_id, idx, near, moved, review FROM guarded")
 def edge_guard(spark, d):
-    return B.guarded(timed_frames(spark, d), SEGMENTS, BOUNDS).select("job_id", F.col("seg").cast("long").alias("seg"), "frame_id", "idx", "near", "moved")
+    return B.guarded(_moving(spark, d), SEGMENTS, BOUNDS).select("job_id", F.col("seg").cast("long").alias("seg"), "frame_id", "idx", "near", "moved", "review")
 
 
-@query(f"WITH {RECOV} SELECT job_id, bnd, frame_id, idx, side FROM recov")
+@query(f"WITH {bounded(False)} SELECT job_id, bnd, frame_id, idx, side FROM recov")
 def recovery_candidates(spark, d):
-    return B.recovered(timed_frames(spark, d), SEGMENTS, BOUNDS).select("job_id", F.col("bnd").cast("long").alias("bnd"), "frame_id", "idx", F.col("side").cast("int").alias("side"))
+    return B.recovered(_moving(spark, d), SEGMENTS, BOUNDS).select("job_id", F.col("bnd").cast("long").alias("bnd"), "frame_id", "idx", F.col("side").cast("int").alias("side"))
+
+
+@query(f"WITH {bounded(True)} SELECT job_id, 'boundary_' || lpad(CAST(bnd AS VARCHAR), 4, '0') AS boundary_id, boundary_type, start_ms, end_ms, peak_ms, CAST(before_seg AS BIGINT) AS before_seg, CAST(after_seg AS BIGINT) AS after_seg FROM bnd")
+def boundaries_mixed(spark, d):
+    found = B.detect(_moving(spark, d), SEGMENTS, _moved(spark, d))
+    return found.select("job_id", "boundary_id", "boundary_type", "start_ms", "end_ms", "peak_ms", F.col("before_seg").cast("long").alias("before_seg"), F.col("after_seg").cast("long").alias("after_seg"))
+
+
+@query(f"WITH {bounded(True)} SELECT job_id, bnd, frame_id, side, outcome FROM looked")
+def recovery_rejected(spark, d):
+    found = B.candidates(_moving(spark, d), SEGMENTS, BOUNDS, _moved(spark, d)).where("outcome is not null")
+    return found.select("job_id", F.col("bnd").cast("long").alias("bnd"), "frame_id", F.col("side").cast("int").alias("side"), "outcome")
 
 
-@query(f"WITH {RECOV} SELECT b.job_id, count(DISTINCT b.bnd) AS detected, count(r.frame_id) AS recovered, count(DISTINCT r.frame_id) AS frames FROM bnd b LEFT JOIN recov r ON r.job_id = b.job_id AND r.bnd = b.bnd GROUP BY b.job_id")
+@query(f"WITH {bounded(True)} SELECT job_id, bnd, boundary_type, recovered, rejected, issue_type, warnings FROM rep")
+def boundary_report(spark, d):
+    found = B.report(_moving(spark, d), SEGMENTS, BOUNDS, _moved(spark, d))
+    ids = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias(c)
+    return found.select("job_id", F.col("bnd").cast("long").alias("bnd"), "boundary_type", ids("recovered"), ids("rejected"), "issue_type", F.array_join("warnings", "; ").alias("warnings"))
+
+
+_SUMMED = "SELECT job_id, boundaries_detected, issues_detected, recovered_states, candidates_rejected, contaminated_frames, edge_warnings, warnings FROM summed"
+
+
+@query(f"WITH {bounded(False)} {_SUMMED}")
 def boundary_summary(spark, d):
-    frames = timed_frames(spark, d)
-    found = B.between_segments(frames, SEGMENTS).select("job_id", "bnd")
-    back = B.recovered(frames, SEGMENTS, BOUNDS).select("job_id", "bnd", "frame_id")
-    return found.join(back, ["job_id", "bnd"], "left").groupBy("job_id").agg(F.count_distinct("bnd").alias("detected"), F.count("frame_id").alias("recovered"), F.count_distinct("frame_id").alias("frames"))
+    return B.summary(_moving(spark, d), SEGMENTS, BOUNDS).withColumn("warnings", F.array_join("warnings", "; "))
+
 
+@query(f"WITH {bounded(True)} {_SUMMED}")
+def boundary_summary_mixed(spark, d):
+    return B.summary(_moving(spark, d), SEGMENTS, BOUNDS, _moved(spark, d)).withColumn("warnings", F.array_join("warnings", "; "))
 
-@query(f"WITH {FINAL} SELECT job_id, frame_id, times, boundary, place FROM fin")
+
+@query(f"WITH {bounded(True)} SELECT job_id, frame_id, times, boundary, review, place FROM fin")
 def final_merge(spark, d):
-    out = B.final(timed_frames(spark, d), SEGMENTS, BOUNDS)
-    return out.select("job_id", "frame_id", "times", F.col("boundary").cast("long").alias("boundary"), F.col("place").cast("long").alias("place"))
+    out = B.final(_moving(spark, d), SEGMENTS, BOUNDS, _moved(spark, d))
+    return out.select("job_id", "frame_id", "times", F.col("boundary").cast("long").alias("boundary"), "review", F.col("place").cast("long").alias("place"))
 
 
 @query(f"WITH {REPS}, l AS (SELECT r.job_id, r.seg, r.ts_ms, t.label FROM reps r JOIN tl t ON t.job_id = r.job_id AND t.idx = r.idx), p AS (SELECT *, lead(seg) OVER w AS next_seg, lead(ts_ms) OVER w AS nms, lead(label) OVER w AS nl FROM l WINDOW w AS (PARTITION BY job_id ORDER BY seg)) SELECT job_id, seg, next_seg, label FROM p WHERE nl = label AND nms - ts_ms <= {6 * HOUR}")
@@ -303,37 +393,60 @@ def json_isolate(spark, d):
     return raw.select("event_id", F.from_json(C.isolate(F.col("raw")), "k long")["k"].alias("k"))
 
 
-@query("SELECT event_id, 'home' AS label, CAST(props->>'$.k' AS DOUBLE) / 100 AS conf, 1 AS n_items FROM events")
+@query("""SELECT event_id, i AS position, CASE WHEN (event_id % 5 IN (0, 1) AND i < 2) OR (event_id % 5 = 2 AND i = 0) OR (event_id % 5 = 4 AND i = 1) THEN 'home/' || i ELSE 'unsorted' END AS label, CASE WHEN (event_id % 5 IN (0, 1) AND i < 2) OR (event_id % 5 = 2 AND i = 0) OR (event_id % 5 = 4 AND i = 1) THEN CAST(props->>'$.k' AS DOUBLE) / 50 ELSE 0 END AS conf,
+CASE WHEN event_id % 5 = 4 AND i = 0 THEN 'item at index 0 was not an object' WHEN (event_id % 5 IN (0, 1, 4) AND i < 2) OR (event_id % 5 = 2 AND i = 0) THEN '' ELSE 'missing item from Gemini response' END AS uncertainty_reason,
+CASE WHEN event_id % 5 = 1 AND i < 2 THEN 7 ELSE i + 1 END AS frame_index, CASE WHEN event_id % 5 = 0 AND i < 2 THEN 'a,1' WHEN event_id % 5 = 1 AND i < 2 THEN 'b' ELSE '' END AS components, event_id % 5 = 2 AND i = 0 AS is_transition FROM events, (SELECT unnest(range(0, 3)) AS i)""")
 def answers_parsed(spark, d):
-    share = F.get_json_object("props", "$.k").cast("double") / 100
-    answer = F.concat(F.lit('Sure. {"screens": [{"label": "home", "conf": '), share.cast("string"), F.lit("}]} done"))
-    parsed = C.answers(table(spark, d, "events").select("event_id", answer.alias("raw")))
-    return parsed.select("event_id", F.col("items")[0]["label"].alias("label"), F.col("items")[0]["conf"].alias("conf"), F.size("items").alias("n_items"))
-
-
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'unsorted' WHEN doc_id % 3 = 1 THEN 'x' || source ELSE lang || '/' || source END AS label, CASE WHEN doc_id % 3 = 0 THEN 'unsorted' WHEN doc_id % 3 = 1 THEN 'x' || source ELSE lang END AS screen_type, least(1.0, doc_id / 500.0)::DOUBLE AS conf, doc_id % 2 = 0 AS is_scroll_state FROM documents")
+    i, share = F.col("event_id") % 5, F.get_json_object("props", "$.k").cast("double") / 50
+    item = lambda n, more: F.concat(F.lit(f'{{"label": "home/{n}", "conf": '), share.cast("string"), F.lit(f"{more}}}"))
+    more = ', "components": ["a", "", null, 1]', ', "components": "b", "frame_index": 7', ', "is_transition": "Yes"'
+    listed = lambda x: F.concat(F.lit("["), item(0, x), F.lit(", "), item(1, x), F.lit("]"))
+    answer = (
+        F.when(i == 0, F.concat(F.lit('Sure:\n```json\nSee {"screens": '), listed(more[0]), F.lit("} .\n```\nBye")))
+        .when(i == 1, listed(more[1]))
+        .when(i == 2, F.concat(F.lit("It is [one "), item(0, more[2]), F.lit(" of them")))
+        .when(i == 3, F.lit("no answer"))
+        .otherwise(F.concat(F.lit('["x", '), item(1, ""), F.lit("]")))
+    )
+    parsed = C.answers(table(spark, d, "events").select("event_id", answer.alias("raw"), F.lit(3).alias("expected")))
+    rows = C.normalise(C.exactly(parsed, "expected"))
+    return rows.select("event_id", "position", "label", "conf", "uncertainty_reason", "frame_index", F.array_join("components", ",").alias("components"), "is_transition")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'unsorted' WHEN doc_id % 3 = 1 THEN 'x' || source ELSE lang || '/' || source END AS label, CASE WHEN doc_id % 3 = 0 THEN 'unsorted' WHEN doc_id % 3 = 1 THEN 'x' || source ELSE lang END AS screen_type, doc_id / 500.0::DOUBLE AS conf, doc_id % 2 = 0 AS is_scroll_state FROM documents")
 def classification_normalise(spark, d):
     i = F.col("doc_id")
-    raw = table(spark, d, "documents").select("doc_id", F.when(i % 3 == 2, F.concat_ws("/", "lang", "source")).when(i % 3 == 1, F.lit("  ")).alias("label"), F.when(i % 3 == 1, F.concat(F.lit("x"), "source")).alias("screen_type"), (i / 500.0).alias("conf"), F.when(i % 2 == 0, "scrolled").alias("state"))
+    item = F.struct(F.when(i % 3 == 2, F.concat_ws("/", "lang", "source")).when(i % 3 == 1, F.lit("")).alias("label"), F.when(i % 3 == 1, F.concat(F.lit("x"), "source")).alias("screen_type"), (i / 500.0).alias("conf"), F.when(i % 2 == 0, "scrolled").alias("state"))
+    raw = table(spark, d, "documents").select("doc_id", i.alias("position"), F.to_variant_object(item).alias("item"))
     return C.normalise(raw).select("doc_id", "label", "screen_type", "conf", "is_scroll_state")
 
 
-_KINDS = "CASE doc_id % 6 WHEN 0 THEN 'paywall/x' WHEN 1 THEN 'onboarding' WHEN 2 THEN 'transition' WHEN 3 THEN 'checkout' WHEN 4 THEN 'login' ELSE 'home' END"
+_KINDS = "CASE doc_id % 6 WHEN 0 THEN 'Paywall/x' WHEN 1 THEN 'onboarding' WHEN 2 THEN 'transition' WHEN 3 THEN 'checkout' WHEN 4 THEN 'login' ELSE 'home' END"
+_TYPES = "CASE doc_id % 16 WHEN 0 THEN 'Subscription' WHEN 1 THEN 'notification_prompt' WHEN 2 THEN 'sign_in_with_apple_google' WHEN 3 THEN 'cart' ELSE '' END"
 
 
 def _any(words: tuple[str, ...]) -> str:
-    return "(" + " OR ".join(f"contains(low, '{w.replace(chr(39), chr(39) * 2)}')" for w in words) + ")"
+    return "(" + " OR ".join(f"contains(low, '{w}')" for w in words) + ")"
 
 
-@query(f"""WITH {SCREENS}, k AS (SELECT idx AS doc_id, split_part({_KINDS.replace('doc_id', 'idx')}, '/', 1) AS kind, key_text, all_text, conf, lower(key_text || chr(10) || all_text) AS low FROM sc)
-SELECT doc_id, concat_ws('; ', CASE WHEN kind = 'paywall' AND NOT {_any(C.PRICING)} THEN 'paywall_without_pricing_text' END, CASE WHEN kind = 'onboarding' AND {_any(C.PRICING)} THEN 'onboarding_with_pricing_text' END,
-CASE WHEN kind = 'transition' AND length(regexp_replace(all_text, '^\\s+|\\s+$', '', 'g')) > 24 AND length(regexp_replace(key_text, '^\\s+|\\s+$', '', 'g')) > 2 THEN 'transition_with_content' END, CASE WHEN conf < 0.65 THEN 'low_confidence' END,
-CASE WHEN kind = 'checkout' AND NOT {_any(C.CHECKOUT)} THEN 'checkout_without_checkout_text' END, CASE WHEN kind = 'login' AND NOT {_any(C.SIGN_IN)} THEN 'auth_without_auth_text' END) AS review_reason FROM k""")
+@query(f"""WITH {SCREENS}, k AS (SELECT idx AS doc_id, CASE WHEN {_TYPES.replace('doc_id', 'idx')} <> '' THEN lower({_TYPES.replace('doc_id', 'idx')}) ELSE lower(split_part({_KINDS.replace('doc_id', 'idx')}, '/', 1)) END AS kind, idx % 7 = 0 AS moving, key_text, all_text, conf, lower(key_text || chr(10) || all_text) AS low FROM sc),
+v AS (SELECT *, length(regexp_replace(all_text, '^\\s+|\\s+$', '', 'g')) AS na, length(regexp_replace(key_text, '^\\s+|\\s+$', '', 'g')) AS nk FROM k)
+SELECT doc_id, concat_ws('; ', CASE WHEN kind IN ('paywall', 'special_offer', 'trial_offer', 'subscription') AND NOT {_any(C.PAYWALL_WORDS)} THEN 'paywall_without_pricing_text' END, CASE WHEN kind = 'onboarding' AND {_any(C.ONBOARDING_PRICE_WORDS)} THEN 'onboarding_with_pricing_text' END,
+CASE WHEN (kind = 'transition' OR moving) AND na > 24 AND nk > 2 THEN 'transition_with_content' END, CASE WHEN conf >= 0.65 AND na = 0 AND nk = 0 AND kind NOT IN ('transition', 'system_tray', 'app_switcher', 'home_screen', 'loading', 'splash') THEN 'empty_text_at_high_conf' END, CASE WHEN conf < 0.65 THEN 'low_confidence' END,
+CASE WHEN kind IN ('checkout', 'payment', 'cart') AND NOT {_any(C.CHECKOUT_WORDS)} THEN 'checkout_without_checkout_text' END, CASE WHEN kind IN ('auth', 'login', 'signup', 'otp_verification', 'sign_in_with_apple_google') AND NOT {_any(C.SIGN_IN_WORDS)} THEN 'auth_without_auth_text' END,
+CASE WHEN kind IN ('permission', 'notification_prompt') AND NOT {_any(C.PERMISSION_WORDS)} THEN 'permission_without_permission_text' END) AS review_reason FROM v""")
 def validate_rules(spark, d):
-    shown = screens(spark, d).withColumnRenamed("idx", "doc_id").withColumn("label", F.expr(_KINDS))
+    shown = screens(spark, d).withColumnRenamed("idx", "doc_id").withColumns({"label": F.expr(_KINDS), "screen_type": F.expr(_TYPES), "is_transition": F.col("doc_id") % 7 == 0})
     return C.rules(shown).select("doc_id", C.reasons(F.lit(None).cast("string"), F.col("warnings")).alias("review_reason"))
 
 
+@query(f"WITH {SCREENS} SELECT job_id, count(*) AS frame_count, count(*) FILTER (conf < 0.65) AS needs_review_count, count(*) FILTER (conf < 0.65) AS n_warned FROM sc GROUP BY job_id")
+def classification_debug(spark, d):
+    shown = screens(spark, d).withColumns({"needs_review": F.lit(False), "review_reason": F.lit("")})
+    found = classification_report(C.rules(shown.withColumns({"label": F.lit("home"), "all_text": F.lit("x")})))
+    return found.select("job_id", "frame_count", "needs_review_count", F.size("validation_warnings_by_frame").cast("long").alias("n_warned"))
+
+
 # Roll-ups (A4-A7, W14-W16, S12, S13, S16, J9, F11-F13).
 _PLACED = "pl AS (SELECT *, row_number() OVER (PARTITION BY job_id, label ORDER BY idx) - 1 AS number FROM sc WHERE label NOT IN ('transition', 'system_tray', 'app_switcher', 'home_screen'))"
 
@@ -343,10 +456,21 @@ def rank_in_label(spark, d):
     return M.placed(screens(spark, d)).select("job_id", "idx", "number", "path")
 
 
-@query(f"WITH {SCREENS}, {_PLACED} SELECT job_id AS parent, count(*) AS n_images, string_agg(replace(label, '/', '__') || '/' || lpad(CAST(number AS VARCHAR), 3, '0') || '.jpg', ',' ORDER BY replace(label, '/', '__') || '/' || lpad(CAST(number AS VARCHAR), 3, '0') || '.jpg') AS paths FROM pl GROUP BY job_id")
+@query(f"""WITH {SCREENS}, {_PLACED} SELECT job_id, job_id AS parent, upper(job_id[1]) || job_id[2:] AS title, 'http://host/images/' || job_id || '/' || replace(label, '/', '__') || '/' || lpad(CAST(number AS VARCHAR), greatest(3, length(CAST(number AS VARCHAR)))::INTEGER, '0') || '.jpg' AS url, job_id AS label, coalesce(key_text, '') AS key_text, array_to_string(components, ',') AS components, state FROM pl""")
 def sections_view(spark, d):
-    found = M.sections(M.tree(screens(spark, d)))
-    return found.select("parent", F.size("paths").cast("long").alias("n_images"), F.array_join("paths", ",").alias("paths"))
+    found = M.sections(M.tree(screens(spark, d)), "http://host").select("job_id", "parent", "title", F.explode("images").alias("x"))
+    return found.select("job_id", "parent", "title", "x.url", "x.label", "x.key_text", F.array_join("x.components", ",").alias("components"), "x.state")
+
+
+@query(f"WITH {SCREENS} SELECT job_id, string_agg(DISTINCT label, ',' ORDER BY label) AS sections FROM sc GROUP BY job_id")
+def section_names(spark, d):
+    return M.section_names(screens(spark, d)).withColumn("sections", F.array_join("sections", ","))
+
+
+@query(f"WITH {ZONES}, k AS (SELECT job_id, count(*) AS out_of FROM sg WHERE NOT {_IN} GROUP BY job_id) SELECT s.job_id, count(*) AS extracted, count(*) - coalesce(max(out_of), 0) AS dupes FROM sg s LEFT JOIN k ON k.job_id = s.job_id GROUP BY s.job_id")
+def job_counters(spark, d):
+    frames = hashed_frames(spark, d)
+    return M.counters(frames, Mo.in_zone(frames, _zones(spark, d), inside=False))
 
 
 @query(f"WITH {SCREENS}, {_PLACED}, n AS (SELECT job_id, split_part(label, '/', 2) AS child, count(*) AS c FROM pl GROUP BY ALL) SELECT job_id, child, c AS n_images FROM n")
@@ -355,13 +479,13 @@ def manifest_tree(spark, d):
     return trees.select("job_id", F.explode("node.children").alias("child", "images")).select("job_id", "child", F.size("images").cast("long").alias("n_images"))
 
 
-_STEPS = "st AS (SELECT job_id, idx, CASE label WHEN 'purchase' THEN 'paywall/annual' WHEN 'signup' THEN 'onboarding' WHEN 'error' THEN 'transition' WHEN 'click' THEN 'special_offer' ELSE label END AS label FROM tl)"
-_FUNNEL = f"{TL}, {_STEPS}, sh AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY idx) - 1 AS place FROM st WHERE label NOT IN ('transition', 'system_tray', 'app_switcher')), fu AS (SELECT job_id, string_agg(label, '>' ORDER BY place) AS sequence, list(DISTINCT label) AS kinds, count(*) AS n, min(CASE WHEN label LIKE 'paywall%' THEN place END) AS paywall_position, count(*) FILTER (label LIKE 'onboarding%') AS onboarding_count, bool_or(label LIKE '%special_offer%') AS has_downsell FROM sh GROUP BY job_id)"
+_STEP = "CASE WHEN label = 'purchase' THEN 'paywall/annual' WHEN label = 'signup' THEN 'onboarding' WHEN label = 'error' THEN 'transition' WHEN label = 'click' AND idx % 3 = 0 THEN 'special_offer' WHEN label = 'click' THEN 'paywall/special_offer' ELSE label END"
+_STEPS = f"st AS (SELECT job_id, idx, {_STEP} AS label FROM tl)"
+_FUNNEL = f"{TL}, {_STEPS}, sh AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY idx) - 1 AS place FROM st WHERE label NOT IN ('transition', 'system_tray', 'app_switcher')), fu AS (SELECT job_id, string_agg(label, '>' ORDER BY place) AS sequence, list(DISTINCT label) AS kinds, count(*) AS n, min(CASE WHEN label LIKE 'paywall%' THEN place END) AS paywall_position, count(*) FILTER (label LIKE 'onboarding%') AS onboarding_count, bool_or(label LIKE 'special_offer%') AS has_downsell FROM sh GROUP BY job_id)"
 
 
 def _profiles(spark, d):
-    step = F.expr("CASE label WHEN 'purchase' THEN 'paywall/annual' WHEN 'signup' THEN 'onboarding' WHEN 'error' THEN 'transition' WHEN 'click' THEN 'special_offer' ELSE label END")
-    return M.funnel(timed_frames(spark, d).withColumn("label", step))
+    return M.funnel(timed_frames(spark, d).withColumn("label", F.expr(_STEP)))
 
 
 @query(f"WITH {_FUNNEL} SELECT job_id, sequence, paywall_position, onboarding_count, has_downsell FROM fu")

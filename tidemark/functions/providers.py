@@ -23,7 +23,7 @@ class Unsorted:
 
 
 class ByBrightness:
-    """Labels from mean and spread of the pixels alone."""
+    """Labels from mean and spread of the pixels alone; functions.pixels.local_class has all rules."""
 
     def classify(self, frames: pd.DataFrame) -> list[tuple[str, float]]:
         return [("unsorted", 0.1) if m < 20 else ("loading", 0.55) if s < 35 else ("home", 0.25) for m, s in zip(frames["mean"], frames["std"], strict=True)]

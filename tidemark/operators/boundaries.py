@@ -1,18 +1,37 @@
-"""Boundaries between segments: frames near them are doubtful, and frames they swallowed are brought back.
+"""Boundaries between states: frames near them are doubtful, and frames they swallowed are brought back.
 
-Interval joins are equi joins on the job with a range as residual; a job has one boundary less than
-segments.
+A boundary is a motion zone or the gap between neighbouring segments. Whether a frame lies in or near
+one is an as-of question: intervals and frames of a job are put in one order of time, and the running
+maximum of the intervals' ends tells if one of them is still open. Frames meet the windows beside
+boundaries through bins of time in the join key. So neither grows with frames times boundaries.
+
+frames have job_id, frame_id, idx and ts_ms, and may have path, motion_prev, motion_next, sharpness,
+label and screen_type; a missing one counts as null (path as frame_id).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import ordinal_id
-from tidemark.operators.segments import SegmentConfig, assign, representatives
+from tidemark.operators.segments import SegmentConfig, assign, representatives, roll_up
+
+#: Names of issues, warnings and reasons.
+SKIPPED_BEFORE = "skipped_pre_transition_state"
+SKIPPED_AFTER = "skipped_post_transition_state"
+ONLY_CONTAMINATED = "possible_skipped_state_only_seen_as_transition_contaminated_frame"
+REPEATED = "duplicate_representative_after_boundary"
+WARN_CONTAMINATED = "Skipped recovery because only candidate was transition-contaminated"
+WARN_DRIFT = "adjacent_representatives_look_like_drift"
+NEAR_REVIEW = "representative_near_transition_boundary"
+RECOVERED_REVIEW = "possible_skipped_intermediate_state"
+STABLE_TYPES = ("stable", "short_stable", "single_frame")
+#: Points in hundredths for each sign that a frame shows two states at once, and the name of the sign.
+SIGNS = (("inside_transition_zone", 35), ("near_transition_edge", 25), ("high_motion_prev", 20), ("high_motion_next", 20), ("high_motion_prev_next", 15), ("low_sharpness", 10))
 
 
 @dataclass(frozen=True)
@@ -21,70 +40,197 @@ class BoundaryConfig:
     before_ms: int = 700
     after_ms: int = 700
     most: int = 2
-
-
-def between_segments(frames: DataFrame, config: SegmentConfig) -> DataFrame:
-    """(job_id, bnd, start_ms, end_ms, peak_ms, boundary_id): the gap after each segment but the last, by time."""
-    bounds = assign(frames, config).groupBy("job_id", "seg").agg(F.min("ts_ms").alias("st"), F.max("ts_ms").alias("en"), F.min("idx").alias("first"))
+    #: Points from which a frame is contaminated, and badly so.
+    contaminated: int = 65
+    hard: int = 82
+    high_motion: float = 0.6
+    low_sharpness: float = 0.35
+    #: Neighbouring representatives within this time that say the same have drifted.
+    drift_ms: int = 1200
+    reject_contaminated: bool = True
+
+
+def _with(frames: DataFrame) -> DataFrame:
+    """frames with all optional columns."""
+    kinds = {"path": "string", "motion_prev": "double", "motion_next": "double", "sharpness": "double", "label": "string", "screen_type": "string"}
+    missing = {c: (F.col("frame_id") if c == "path" else F.lit(None)).cast(t) for c, t in kinds.items() if c not in frames.columns}
+    return frames.withColumns(missing) if missing else frames
+
+
+def detect(frames: DataFrame, segments: SegmentConfig, zones: DataFrame | None = None) -> DataFrame:
+    """Boundaries in order of time, numbered by job: motion zones (job_id, start_ms, end_ms, peak_ms, kind) and the gaps between segments."""
+    rolled = roll_up(frames, segments).join(representatives(frames, segments).select("job_id", "seg", F.col("frame_id").alias("rep")), ["job_id", "seg"])
     by = Window.partitionBy("job_id").orderBy("seg")
-    gaps = bounds.withColumn("end_ms", F.lead("st").over(by)).where("end_ms is not null")
-    number = F.row_number().over(Window.partitionBy("job_id").orderBy("en", "first"))
-    return gaps.withColumn("bnd", number).select("job_id", "bnd", F.col("en").alias("start_ms"), "end_ms", F.floor((F.col("en") + F.col("end_ms")) / 2).alias("peak_ms"), ordinal_id("boundary", F.col("bnd")).alias("boundary_id"))
+    own = ["seg", "start_ms", "end_ms", "start_index", "end_index", "rep"]
+    pairs = rolled.select("job_id", *own, *[F.lead(c).over(by).alias(f"next_{c}") for c in own]).where("next_seg is not null")
+    start, end = F.col("end_ms"), F.col("next_start_ms")
+    gaps = pairs.select(
+        "job_id",
+        F.lit("segment_gap").alias("boundary_type"),
+        start.alias("start_ms"),
+        end.alias("end_ms"),
+        F.when(end <= start, start).otherwise(F.floor((start + end) / 2)).cast("long").alias("peak_ms"),
+        F.col("end_index").alias("start_index"),
+        F.col("next_start_index").alias("end_index"),
+        F.col("seg").alias("before_seg"),
+        F.col("next_seg").alias("after_seg"),
+        F.col("rep").alias("before_rep"),
+        F.col("next_rep").alias("after_rep"),
+    )
+    found = gaps.withColumn("rank", F.lit(1))
+    if zones is not None:
+        moved = zones.select("job_id", F.coalesce("kind", F.lit("transition")).alias("boundary_type"), "start_ms", "end_ms", "peak_ms", F.lit(0).alias("rank"))
+        found = moved.unionByName(found, allowMissingColumns=True)
+    # Of boundaries that start together zones come first, in their order.
+    order = [F.col("start_ms").isNull(), F.coalesce("start_ms", F.lit(0)), F.coalesce("start_index", F.lit(0)), "rank", F.coalesce("before_seg", F.lit(0)), "end_ms", "peak_ms"]
+    number = F.row_number().over(Window.partitionBy("job_id").orderBy(*order))
+    return found.withColumn("bnd", number).withColumn("boundary_id", ordinal_id("boundary", F.col("bnd"))).drop("rank")
 
 
 def touched(frames: DataFrame, bounds: DataFrame, edge_ms: int) -> DataFrame:
-    """Adds inside and near: whether any boundary of the job holds the frame's time, or has an end within edge_ms."""
-    b = bounds.select("job_id", F.col("start_ms").alias("b_start"), F.col("end_ms").alias("b_end"))
-    inside = F.col("ts_ms").between(F.col("b_start"), F.col("b_end"))
-    near = (F.abs(F.col("ts_ms") - F.col("b_start")) <= edge_ms) | (F.abs(F.col("ts_ms") - F.col("b_end")) <= edge_ms)
-    flags = frames.join(b, "job_id").groupBy("job_id", "idx").agg(F.bool_or(inside).alias("inside"), F.bool_or(near).alias("near"))
-    joined = frames.join(flags, ["job_id", "idx"], "left")
-    return joined.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("inside", "near")})
-
-
-def contamination(inside: Column, near: Column, high_prev: Column, high_next: Column, blurred: Column) -> Column:
-    """A score in hundredths, at most 100, of how likely a frame shows two states at once."""
-    part = lambda c, n: F.when(c, n).otherwise(0)
-    return F.least(part(inside, 35) + part(near, 25) + part(high_prev, 20) + part(high_next, 20) + part(high_prev & high_next, 15) + part(blurred, 10), F.lit(100))
-
-
-def candidate_class(score: Column, timed: Column) -> Column:
-    return F.when(score >= 65, "contaminated").when(~timed, "uncertain").otherwise("likely_stable_state")
-
-
-def guarded(frames: DataFrame, segments: SegmentConfig, config: BoundaryConfig) -> DataFrame:
-    """The representative of each segment, moved away from boundaries if its segment allows: adds near and moved."""
-    bounds = between_segments(frames, segments)
-    flagged = assign(touched(frames, bounds, config.edge_ms), segments)
+    """Adds inside (some boundary of the job holds the frame's time) and near (some other one has an end within edge_ms)."""
+    start, end = F.col("start_ms"), F.col("end_ms")
+    interval = lambda lo, hi, inner: F.struct(lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), F.lit(inner).alias("inner"))
+    whole = F.array(interval(start, end, True), interval(start - edge_ms, start - 1, False), interval(end + 1, end + edge_ms, False))
+    # A boundary without one of its ends, or with ends in the wrong order, holds nothing.
+    broken = F.array(interval(start - edge_ms, start + edge_ms, False), interval(end - edge_ms, end + edge_ms, False))
+    spans = bounds.select("job_id", F.explode(F.when(start <= end, whole).otherwise(broken)).alias("x")).where("x.lo is not null and x.lo <= x.hi")
+    row = F.struct(*[F.col(f"`{c}`") for c in frames.columns])
+    events = frames.select("job_id", F.col("ts_ms").alias("at"), F.lit(1).alias("turn"), row.alias("row"), F.lit(None).cast("long").alias("inner_end"), F.lit(None).cast("long").alias("near_end")).unionByName(
+        spans.select("job_id", F.col("x.lo").alias("at"), F.lit(0).alias("turn"), F.when(F.col("x.inner"), F.col("x.hi")).alias("inner_end"), F.when(~F.col("x.inner"), F.col("x.hi")).alias("near_end")), allowMissingColumns=True
+    )
+    so_far = Window.partitionBy("job_id").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    still = lambda c: F.coalesce(F.max(c).over(so_far) >= F.col("at"), F.lit(False))
+    met = events.withColumns({"inside": still("inner_end"), "near": still("near_end")}).where("turn = 1")
+    return met.select("row.*", "inside", "near")
+
+
+def scored(frames: DataFrame, bounds: DataFrame, config: BoundaryConfig) -> DataFrame:
+    """touched() with points (hundredths, at most 100), contaminated, hard and reason."""
+    found = touched(_with(frames), bounds, config.edge_ms)
+    high = [F.coalesce(F.col(c) >= config.high_motion, F.lit(False)) for c in ("motion_prev", "motion_next")]
+    signs = [F.col("inside"), F.col("near"), *high, high[0] & high[1], F.coalesce(F.col("sharpness") < config.low_sharpness, F.lit(False))]
+    points = F.least(reduce(Column.__add__, [F.when(c, n).otherwise(0) for c, (_, n) in zip(signs, SIGNS, strict=True)]), F.lit(100))
+    named = F.array_join(F.array_compact(F.array(*[F.when(c, name) for c, (name, _) in zip(signs, SIGNS, strict=True)])), "; ")
+    return found.withColumns({"points": points, "contaminated": points >= config.contaminated, "hard": points >= config.hard, "reason": F.when(named == "", "no_signal").otherwise(named)})
+
+
+def candidate_class(contaminated: Column, segment_type: Column) -> Column:
+    return F.when(contaminated, "likely_transition_contaminated").when(segment_type.isin(*STABLE_TYPES), "likely_stable_state").otherwise("uncertain")
+
+
+def guarded(frames: DataFrame, segments: SegmentConfig, config: BoundaryConfig, zones: DataFrame | None = None) -> DataFrame:
+    """The representative of each segment, moved away from boundaries if its segment allows.
+
+    Adds near (the chosen frame lies in or near a boundary), moved, and review, the reason to look at
+    one that had to stay.
+    """
+    flagged = assign(scored(frames, detect(frames, segments, zones), config), segments)
+    doubtful = F.col("inside") | F.col("near")
     seg = Window.partitionBy("job_id", "seg")
     chosen = representatives(frames, segments).select("job_id", "seg", F.col("idx").alias("rep_idx"))
-    middle = F.floor((F.min("ts_ms").over(seg) + F.max("ts_ms").over(seg)) / 2)
-    staged = flagged.withColumn("far", F.abs(F.col("ts_ms") - middle)).join(chosen, ["job_id", "seg"])
+    bounds_known = F.min(F.col("ts_ms").isNotNull()).over(seg) & F.col("__timed")
+    middle = F.when(bounds_known, F.floor((F.min("ts_ms").over(seg) + F.max("ts_ms").over(seg)) / 2))
+    staged = flagged.withColumns({"doubtful": doubtful, "far": F.coalesce(F.abs(F.col("ts_ms") - middle), F.lit(0)).cast("long"), "quiet": F.coalesce("motion_prev", F.lit(0.0))}).join(chosen, ["job_id", "seg"])
     rep = F.col("idx") == F.col("rep_idx")
-    doubtful = F.max(F.when(rep, F.col("near"))).over(seg)
-    # The representative itself if it is safe; else the nearest safe frame; else the representative.
-    tier = F.when(~doubtful, F.when(rep, 0).otherwise(2)).otherwise(F.when(rep, 1).when(F.col("near"), 2).otherwise(0))
-    best = F.row_number().over(Window.partitionBy("job_id", "seg").orderBy("tier", "far", "idx"))
+    stays = ~F.max(F.when(rep, F.col("doubtful"))).over(seg)
+    # A safe representative itself; else the safe frame nearest to the middle; else the representative.
+    tier = F.when(stays, F.when(rep, 0).otherwise(2)).otherwise(F.when(rep, 1).when(F.col("doubtful") | F.col("contaminated"), 2).otherwise(0))
+    best = F.row_number().over(Window.partitionBy("job_id", "seg").orderBy("tier", "far", "quiet", "idx"))
     picked = staged.withColumn("tier", tier).withColumn("__n", best).where("__n = 1")
-    return picked.select("job_id", "seg", "frame_id", "idx", "ts_ms", "near", (F.col("idx") != F.col("rep_idx")).alias("moved"))
-
-
-def recovered(frames: DataFrame, segments: SegmentConfig, config: BoundaryConfig) -> DataFrame:
-    """(job_id, bnd, frame_id, idx, side): the first frames in a boundary's windows that no segment chose, before the boundary first."""
-    bounds = between_segments(frames, segments)
-    rest = frames.join(guarded(frames, segments, config).select("job_id", "idx"), ["job_id", "idx"], "left_anti")
-    met = rest.join(bounds, "job_id")
-    pre = F.col("ts_ms").between(F.col("start_ms") - config.before_ms, F.col("start_ms") - config.edge_ms)
-    post = F.col("ts_ms").between(F.col("end_ms") + config.edge_ms, F.col("end_ms") + config.after_ms)
-    sided = met.withColumn("side", F.when(pre, 0).when(post, 1)).where("side is not null")
-    place = F.row_number().over(Window.partitionBy("job_id", "bnd").orderBy("side", "idx"))
-    return sided.withColumn("__n", place).where(F.col("__n") <= config.most).select("job_id", "bnd", "frame_id", "idx", "ts_ms", "side")
-
-
-def final(frames: DataFrame, segments: SegmentConfig, config: BoundaryConfig) -> DataFrame:
+    kept = F.col("idx") == F.col("rep_idx")
+    return picked.select("job_id", "seg", "frame_id", "idx", "ts_ms", "path", "label", "screen_type", F.col("doubtful").alias("near"), (~kept).alias("moved"), F.when(kept & F.col("doubtful"), NEAR_REVIEW).alias("review"))
+
+
+def candidates(frames: DataFrame, segments: SegmentConfig, config: BoundaryConfig, zones: DataFrame | None = None) -> DataFrame:
+    """(job_id, bnd, frame_id, idx, ts_ms, side, class, outcome) of the frames beside boundaries that no segment chose.
+
+    The frames before a boundary are looked at first, each side in order. outcome is recovered for the
+    first `most` stable ones of different paths, contaminated or rejected for others before the last
+    of these, and null for what was not looked at any more or repeats a path.
+    """
+    frames = _with(frames)
+    bounds = detect(frames, segments, zones)
+    kinds = roll_up(frames, segments).select("job_id", "seg", "segment_type")
+    # assign() numbers the rows by segment, roll_up() tells the kind of each.
+    rated = assign(scored(frames, bounds, config), segments).join(kinds, ["job_id", "seg"])
+    reps = guarded(frames, segments, config, zones).select("job_id", "idx", "path")
+    rest = rated.join(reps.select("job_id", "idx"), ["job_id", "idx"], "left_anti").join(reps.select("job_id", "path"), ["job_id", "path"], "left_anti")
+    rest = rest.select("job_id", "frame_id", "idx", "ts_ms", "path", candidate_class(F.col("contaminated"), F.col("segment_type")).alias("class"))
+    sides = F.array(
+        F.struct(F.lit(0).alias("side"), (F.col("start_ms") - config.before_ms).alias("lo"), (F.col("start_ms") - config.edge_ms).alias("hi")),
+        F.struct(F.lit(1).alias("side"), (F.col("end_ms") + config.edge_ms).alias("lo"), (F.col("end_ms") + config.after_ms).alias("hi")),
+    )
+    width = max(config.before_ms, config.after_ms) + 1
+    spans = bounds.select("job_id", "bnd", F.explode(sides).alias("x")).select("job_id", "bnd", "x.*").where("lo <= hi")
+    binned = spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
+    met = rest.withColumn("bin", F.floor(F.col("ts_ms") / width)).join(binned, ["job_id", "bin"]).where("ts_ms between lo and hi")
+    by, stable = Window.partitionBy("job_id", "bnd"), F.col("class") == "likely_stable_state"
+    first_of_path = F.row_number().over(Window.partitionBy("job_id", "bnd", "path", "class").orderBy("side", "idx"))
+    counted = met.withColumn("new", stable & (first_of_path == 1))
+    so_far = by.orderBy("side", "idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.sum(F.when(F.col("new"), 1).otherwise(0)).over(so_far) - F.when(F.col("new"), 1).otherwise(0)
+    # A path that has been recovered is not looked at again.
+    seen = F.max(F.when(F.col("new"), F.lit(True))).over(Window.partitionBy("job_id", "bnd", "path").orderBy("side", "idx").rowsBetween(Window.unboundedPreceding, -1))
+    staged = counted.withColumns({"before": before, "seen": F.coalesce(seen, F.lit(False))})
+    outcome = F.when((F.col("before") >= config.most) | F.col("seen"), None).when(F.col("new"), "recovered").when(F.col("class") == "likely_transition_contaminated", "contaminated").when(~stable, "rejected")
+    return staged.select("job_id", "bnd", "frame_id", "idx", "ts_ms", "side", "class", outcome.alias("outcome"))
+
+
+def recovered(frames: DataFrame, segments: SegmentConfig, config: BoundaryConfig, zones: DataFrame | None = None) -> DataFrame:
+    """(job_id, bnd, frame_id, idx, ts_ms, side) of the frames that are brought back."""
+    return candidates(frames, segments, config, zones).where("outcome = 'recovered'").select("job_id", "bnd", "frame_id", "idx", "ts_ms", "side")
+
+
+def report(frames: DataFrame, segments: SegmentConfig, config: BoundaryConfig, zones: DataFrame | None = None) -> DataFrame:
+    """The boundaries with what became of their candidates: ids, issue_detected, issue_type and warnings."""
+    frames = _with(frames)
+    looked = candidates(frames, segments, config, zones)
+    ids = lambda *which: F.transform(F.array_sort(F.collect_list(F.when(F.col("outcome").isin(*which), F.struct("side", "idx", "frame_id")))), lambda x: x["frame_id"])
+    rejected = ("rejected", "contaminated") if config.reject_contaminated else ("rejected",)
+    found = looked.groupBy("job_id", "bnd").agg(
+        ids("recovered").alias("recovered"),
+        ids(*rejected).alias("rejected"),
+        ids("contaminated").alias("contaminated"),
+        F.min_by("ts_ms", F.when(F.col("outcome") == "recovered", F.struct("side", "idx"))).alias("first_ms"),
+    )
+    reps = guarded(frames, segments, config, zones)
+    side = lambda name: reps.select("job_id", F.col("frame_id").alias(f"{name}_rep"), *[F.col(c).alias(f"{name}_{c}") for c in ("ts_ms", "path", "label", "screen_type")])
+    bounds = detect(frames, segments, zones).join(side("before"), ["job_id", "before_rep"], "left").join(side("after"), ["job_id", "after_rep"], "left")
+    close = (F.abs(F.col("after_ts_ms") - F.col("before_ts_ms")) <= config.drift_ms) & (F.col("before_label") == F.col("after_label"))
+    drift = F.coalesce((F.col("before_path") == F.col("after_path")) | close & (F.coalesce("before_screen_type", F.lit("")) == F.coalesce("after_screen_type", F.lit(""))), F.lit(False))
+    nothing = F.array().cast(f"array<{frames.schema['frame_id'].dataType.simpleString()}>")
+    joined = bounds.withColumn("drift", drift).join(found, ["job_id", "bnd"], "left").withColumns({c: F.coalesce(c, nothing) for c in ("recovered", "rejected", "contaminated")})
+    any_back, lost = F.size("recovered") > 0, (F.size("contaminated") > 0) & (F.size("recovered") == 0)
+    issue = F.when(lost, ONLY_CONTAMINATED).when(any_back & (F.col("first_ms") <= F.col("start_ms")), SKIPPED_BEFORE).when(any_back, SKIPPED_AFTER).when(F.col("drift"), REPEATED)
+    warned = F.array_compact(F.array(F.when(F.col("drift"), WARN_DRIFT), F.when(lost, WARN_CONTAMINATED)))
+    keep = ["job_id", "bnd", "boundary_id", "boundary_type", "start_ms", "end_ms", "peak_ms", "start_index", "end_index", "before_seg", "after_seg", "before_rep", "after_rep", "recovered", "rejected", "contaminated"]
+    return joined.select(*keep, issue.isNotNull().alias("issue_detected"), issue.alias("issue_type"), warned.alias("warnings"))
+
+
+def summary(frames: DataFrame, segments: SegmentConfig, config: BoundaryConfig, zones: DataFrame | None = None) -> DataFrame:
+    """One row a job: boundaries, issues, recovered and rejected candidates, contaminated frames, doubtful representatives, warnings."""
+    listed = report(frames, segments, config, zones)
+    each = listed.groupBy("job_id").agg(
+        F.count("*").alias("boundaries_detected"),
+        F.count_if("issue_detected").alias("issues_detected"),
+        F.sum(F.size("recovered")).alias("recovered_states"),
+        F.sum(F.size("rejected")).alias("candidates_rejected"),
+        # In order of the boundaries that first have them.
+        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("bnd", "warnings"))), lambda x: x["warnings"]))).alias("warnings"),
+    )
+    frames_of = scored(frames, detect(frames, segments, zones), config).groupBy("job_id").agg(F.count_if("contaminated").alias("contaminated_frames"))
+    doubtful = guarded(frames, segments, config, zones).groupBy("job_id").agg(F.count("review").alias("edge_warnings"))
+    joined = frames_of.join(doubtful, "job_id", "left").join(each, "job_id", "left")
+    counts = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("boundaries_detected", "issues_detected", "recovered_states", "candidates_rejected", "edge_warnings")}
+    return joined.withColumns(counts | {"warnings": F.coalesce("warnings", F.array().cast("array<string>"))})
+
+
+def final(frames: DataFrame, segments: SegmentConfig, config: BoundaryConfig, zones: DataFrame | None = None) -> DataFrame:
     """Representatives and recovered frames, once each, in time order; times counts how often one was recovered."""
-    back = recovered(frames, segments, config).groupBy("job_id", "frame_id", "idx", "ts_ms").agg(F.count("*").alias("times"), F.max("bnd").alias("boundary"))
-    kept = guarded(frames, segments, config).select("job_id", "frame_id", "idx", "ts_ms", F.lit(0).cast("long").alias("times"), F.lit(None).cast("int").alias("boundary"))
+    back = recovered(frames, segments, config, zones).groupBy("job_id", "frame_id", "idx", "ts_ms").agg(F.count("*").alias("times"), F.max("bnd").alias("boundary"))
+    back = back.withColumn("review", F.lit(RECOVERED_REVIEW))
+    kept = guarded(frames, segments, config, zones).select("job_id", "frame_id", "idx", "ts_ms", F.lit(0).cast("long").alias("times"), F.lit(None).cast("int").alias("boundary"), "review")
     place = F.row_number().over(Window.partitionBy("job_id").orderBy(F.coalesce("ts_ms", F.lit(10**12)), "idx"))
     return kept.unionByName(back).withColumn("place", place)
 

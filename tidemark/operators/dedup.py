@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.expressions import hamming
+from tidemark.functions.expressions import hamming, strip
 
 
 def _ordered(frames: DataFrame, *columns: str) -> DataFrame:
@@ -54,20 +54,38 @@ def leaders(frames: DataFrame, threshold: int) -> DataFrame:
 
 
 def near_pairs(frames: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of one job under threshold bits apart: they agree in one of `threshold` blocks, which is joined on."""
-    edges = [64 * i // threshold for i in range(threshold + 1)]
-    blocks = F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("sig", a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
-    keyed = frames.select("job_id", "idx", "sig", F.explode(blocks).alias("x")).select("job_id", "idx", "sig", "x.block", "x.bits")
-    left = keyed.select("job_id", "block", "bits", F.col("idx").alias("a"), F.col("sig").alias("sig_a"))
-    right = keyed.select("job_id", "block", "bits", F.col("idx").alias("b"), F.col("sig").alias("sig_b"))
+    """Pairs of one job under threshold bits apart.
+
+    Signatures that differ in fewer than t bits agree in at least b - t + 1 of b blocks. The join is on
+    all choices of two agreeing blocks of t + 1 (for t <= 16, of four bits or more each), so that
+    unlike signatures seldom meet; a pair is kept where its first agreeing choice is met, which needs
+    no distinct. Above 16 bits no blocks tell signatures apart: that is most of all pairs of a job.
+    """
+    if threshold > 16:
+        raise ValueError("near_pairs finds pairs up to 16 bits apart; leaders() has no such bound")
+    edges = [64 * i // (threshold + 1) for i in range(threshold + 2)]
+    spans = list(zip(edges, edges[1:], strict=False))
+    bits = lambda sig, a, b: F.shiftrightunsigned(sig, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
+    choices = [(i, j) for i in range(threshold + 1) for j in range(i)]
+    keys = F.array(*[F.struct(F.lit(n).alias("choice"), F.xxhash64(bits(F.col("sig"), *spans[i]), bits(F.col("sig"), *spans[j])).alias("bits")) for n, (i, j) in enumerate(choices)])
+    keyed = frames.select("job_id", "idx", "sig", F.explode(keys).alias("x")).select("job_id", "idx", "sig", "x.*")
+    left = keyed.select("job_id", "choice", "bits", F.col("idx").alias("a"), F.col("sig").alias("sig_a"))
+    right = keyed.select("job_id", "choice", "bits", F.col("idx").alias("b"), F.col("sig").alias("sig_b"))
     distance = hamming(F.col("sig_a"), F.col("sig_b"))
-    return left.join(right, ["job_id", "block", "bits"]).where("a < b").withColumn("distance", distance).where(F.col("distance") < threshold).select("job_id", "a", "b", "distance").distinct()
+    same = [bits(F.col("sig_a"), *s) == bits(F.col("sig_b"), *s) for s in spans]
+    first = F.coalesce(*[F.when(same[i] & same[j], F.lit(n)) for n, (i, j) in enumerate(choices)])
+    met = left.join(right, ["job_id", "choice", "bits"]).where("a < b").withColumn("distance", distance).where(F.col("distance") < threshold)
+    return met.where(F.col("choice") == first).select("job_id", "a", "b", "distance")
 
 
 def first_of_meaning(screens: DataFrame) -> DataFrame:
-    """The first screen of each label with the same text, components and state; without text or components, of the same path."""
-    text = F.lower(F.regexp_replace(F.coalesce("key_text", F.lit("")), r"^\s+|\s+$", ""))
-    parts = F.array_join(F.array_sort("components"), "\u0001")
-    key = F.when(text != "", F.concat_ws("\u0002", F.lit("t"), text, parts)).when(parts != "", F.concat_ws("\u0002", F.lit("c"), parts)).otherwise(F.concat_ws("\u0002", F.lit("p"), F.col("idx").cast("string")))
-    first = F.row_number().over(Window.partitionBy("job_id", "label", key).orderBy("idx"))
-    return screens.withColumn("__n", first).where("__n = 1").drop("__n")
+    """The first screen of each label with the same text, components and state; without text or components, each path's first."""
+    blank = F.lit("")
+    text, state = F.lower(strip(F.coalesce("key_text", blank))), F.coalesce("state", blank)
+    parts = F.array_sort(F.coalesce("components", F.array().cast("array<string>")))
+    path = F.col("path").cast("string") if "path" in screens.columns else F.col("idx").cast("string")
+    key = F.when(text != "", F.struct(F.lit("text").alias("by"), "label", text.alias("text"), parts.alias("parts"), state.alias("state"))).when(
+        F.size(parts) > 0, F.struct(F.lit("parts").alias("by"), "label", blank.alias("text"), parts.alias("parts"), state.alias("state"))
+    ).otherwise(F.struct(F.lit("path").alias("by"), blank.alias("label"), path.alias("text"), parts.alias("parts"), blank.alias("state")))
+    first = F.row_number().over(Window.partitionBy("job_id", "__key").orderBy("idx"))
+    return screens.withColumn("__key", key).withColumn("__n", first).where("__n = 1").drop("__n", "__key")

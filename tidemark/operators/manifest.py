@@ -25,21 +25,50 @@ def placed(screens: DataFrame) -> DataFrame:
     return screens.where(~F.col("label").isin(*NO_IMAGE)).withColumn("number", number.cast("long")).withColumn("path", F.concat(F.replace("label", F.lit("/"), F.lit("__")), F.lit("/"), F.format_string("%03d", "number"), F.lit(".jpg")))
 
 
+def _entry(screens: DataFrame) -> Column:
+    """What a manifest says of an image: where it is, and what it shows. Missing columns are empty."""
+    texts = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in screens.columns else F.lit("") for c in ("key_text", "state")}
+    parts = F.coalesce("components", F.array().cast("array<string>")) if "components" in screens.columns else F.array().cast("array<string>")
+    return F.struct("idx", "path", texts["key_text"].alias("key_text"), parts.alias("components"), texts["state"].alias("state"))
+
+
 def tree(screens: DataFrame) -> DataFrame:
     """One row a job: manifest, a map from parent to its own images and a map of its children's."""
-    rows = placed(screens).select("job_id", parent(F.col("label")).alias("parent"), child(F.col("label")).alias("child"), F.struct("idx", "path").alias("image"))
+    rows = placed(screens).select("job_id", parent(F.col("label")).alias("parent"), child(F.col("label")).alias("child"), _entry(screens).alias("image"))
     leaves = rows.groupBy("job_id", "parent", "child").agg(F.array_sort(F.collect_list("image")).alias("images"))
-    own = F.flatten(F.collect_list(F.when(F.col("child").isNull(), F.col("images"))))
-    children = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("child").isNotNull(), F.struct("child", "images")))))
+    own = F.flatten(F.collect_list(F.when(F.coalesce("child", F.lit("")) == "", F.col("images"))))
+    children = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("child") != "", F.struct("child", "images")))))
     parents = leaves.groupBy("job_id", "parent").agg(F.struct(own.alias("images"), children.alias("children")).alias("node"))
     return parents.groupBy("job_id").agg(F.map_from_entries(F.collect_list(F.struct("parent", "node"))).alias("manifest"))
 
 
-def sections(manifests: DataFrame) -> DataFrame:
-    """Back from trees to sections: a parent with a title and the paths of its own images and its children's."""
+def sections(manifests: DataFrame, base: str = "") -> DataFrame:
+    """Back from trees to sections: a parent with a title and its images, its own before its children's, with URLs."""
     shown = manifests.select("job_id", F.explode("manifest").alias("parent", "node")).where(~F.col("parent").startswith("_"))
+    # A map's values come in order of its keys, as tree() made it.
     nested = F.concat(F.col("node.images"), F.flatten(F.map_values("node.children")))
-    return shown.select("job_id", "parent", F.initcap(F.replace("parent", F.lit("_"), F.lit(" "))).alias("title"), F.array_sort(F.transform(nested, lambda x: x["path"])).alias("paths"))
+    url = lambda path: F.concat(F.lit(f"{base}/images/"), F.col("job_id").cast("string"), F.lit("/"), path)
+    images = F.transform(nested, lambda x: F.struct(url(x["path"]).alias("url"), F.col("parent").alias("label"), x["key_text"].alias("key_text"), x["components"].alias("components"), x["state"].alias("state")))
+    title = F.initcap(F.replace("parent", F.lit("_"), F.lit(" ")))
+    found = shown.select("job_id", "parent", title.alias("title"), images.alias("images"), F.array_sort(F.transform(nested, lambda x: x["path"])).alias("paths"))
+    return found.where(F.size("images") > 0)
+
+
+def section_names(screens: DataFrame) -> DataFrame:
+    """Per job: the sorted labels, without transitions and unsorted ones."""
+    return screens.where(~F.col("label").isin("transition", "unsorted")).groupBy("job_id").agg(F.array_sort(F.collect_set("label")).alias("sections"))
+
+
+def counters(frames: DataFrame, kept: DataFrame) -> DataFrame:
+    """Per job: frames extracted, and how many of them were duplicates."""
+    left = kept.groupBy("job_id").agg(F.count("*").alias("kept"))
+    counted = frames.groupBy("job_id").agg(F.count("*").alias("extracted")).join(left, "job_id", "left")
+    return counted.select("job_id", "extracted", (F.col("extracted") - F.coalesce("kept", F.lit(0))).alias("dupes"))
+
+
+def session_list(profiles: DataFrame) -> DataFrame:
+    """A line for each session: the beginning of its tier, the funnel's length, paywall and offer."""
+    return profiles.select("job_id", F.substring(F.coalesce("competitive_tier", F.lit("")), 1, 80).alias("competitive_tier"), F.size("funnel_sequence").alias("funnel_length"), "paywall_position", "has_downsell")
 
 
 def funnel(steps: DataFrame) -> DataFrame:
@@ -50,7 +79,7 @@ def funnel(steps: DataFrame) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("place", "label"))), lambda x: x["label"]).alias("sequence"),
         F.min(F.when(F.col("label").startswith("paywall"), F.col("place"))).alias("paywall_position"),
         F.count_if(F.col("label").startswith("onboarding")).alias("onboarding_count"),
-        F.bool_or(F.col("label").contains("special_offer") | F.col("label").contains("downsell")).alias("has_downsell"),
+        F.bool_or(F.col("label").startswith("special_offer")).alias("has_downsell"),
     )
 
 

@@ -38,7 +38,8 @@ def smooth(motion: DataFrame, config: MotionConfig) -> DataFrame:
 
 
 def _time(idx: Column, fps: int) -> Column:
-    return F.floor(idx * 1000 / fps).cast("long")
+    """Milliseconds of a frame's number; the number itself where the rate is no rate."""
+    return F.floor(idx * 1000 / fps).cast("long") if fps > 0 else idx.cast("long")
 
 
 _ZONE = ["job_id", "start_index", "end_index", "peak_index", "score", "kind"]
@@ -68,7 +69,7 @@ def zones(motion: DataFrame, config: MotionConfig) -> DataFrame:
     found = runs(motion, config).unionByName(anomalies(motion, config)).withColumns({"start_ms": _time(F.col("start_index"), config.fps), "end_ms": _time(F.col("end_index") + 1, config.fps), "rank": F.when(F.col("kind") == "multi", 0).otherwise(1)})
     order = Window.partitionBy("job_id").orderBy("start_ms", "rank", "peak_index")
     last = F.max("end_ms").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    grouped = found.withColumn("new", F.when(F.col("start_ms") - last <= 1000 // config.fps, 0).otherwise(1)).withColumn("group", F.sum("new").over(order)).withColumn("place", F.row_number().over(order))
+    grouped = found.withColumn("new", F.when(F.col("start_ms") - last <= 1000 // max(config.fps, 1), 0).otherwise(1)).withColumn("group", F.sum("new").over(order)).withColumn("place", F.row_number().over(order))
     merged = grouped.groupBy("job_id", "group").agg(
         F.min("start_ms").alias("start_ms"),
         F.max("end_ms").alias("end_ms"),
@@ -93,3 +94,14 @@ def in_zone(frames: DataFrame, zoned: DataFrame, inside: bool = True) -> DataFra
     spans = zoned.select(F.col("job_id").alias("z_job"), "start_index", "end_index")
     meets = (F.col("job_id") == F.col("z_job")) & F.col("idx").between(F.col("start_index"), F.col("end_index"))
     return frames.join(spans, meets, "left_semi" if inside else "left_anti")
+
+
+def dense_times(zoned: DataFrame, least_ms: int = 50) -> DataFrame:
+    """(job_id, zone_id, ordinal, name, ts_ms): the frames to be taken of each zone at its dense rate, zones of no length for least_ms."""
+    whole = zoned.where("start_ms is not null and end_ms is not null")
+    length = F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(least_ms))
+    count = F.ceil(length * F.col("dense_fps") / 1000).cast("int")
+    each = whole.select("job_id", "zone_id", "start_ms", "dense_fps", F.explode(F.sequence(F.lit(1), count)).alias("ordinal"))
+    ts = F.col("start_ms") + F.floor((F.col("ordinal") - 1) * 1000 / F.greatest("dense_fps", F.lit(1)))
+    name = F.format_string("frame_z%s_%04d.jpg", F.replace("zone_id", F.lit("motion_"), F.lit("")), "ordinal")
+    return each.select("job_id", "zone_id", F.col("ordinal").cast("long").alias("ordinal"), name.alias("name"), ts.cast("long").alias("ts_ms"))

@@ -15,7 +15,7 @@ def time_of_name(name: Column, fps: int) -> Column:
     """Milliseconds of a numbered frame file; null where the name has no number or the rate is no rate."""
     if fps <= 0:
         return F.lit(None).cast("long")
-    number = F.regexp_extract(name, r"(?i)^frame_(\d+)\.jpg$", 1)
+    number = F.regexp_extract(name, r"(?i)frame_(\d+)\.jpg$", 1)
     return F.when(number != "", F.floor((number.cast("long") - 1) * 1000 / fps).cast("long"))
 
 
@@ -45,3 +45,13 @@ def first_match(left: DataFrame, right: DataFrame, keys: list[str], order: str)
     """Left outer join with the first matching row of the right side only."""
     one = right.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("__n = 1").drop("__n", order)
     return left.join(one, keys, "left")
+
+
+def side_by_side(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of the same place in their job, as far as both sides reach; columns of both."""
+    return left.join(right, ["job_id", "idx"])
+
+
+def all_paths(first: DataFrame, more: DataFrame) -> DataFrame:
+    """The paths of either side, once each."""
+    return first.select("job_id", "path").union(more.select("job_id", "path")).distinct()

@@ -26,9 +26,9 @@ def hashed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def screens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """job_id, idx, label, key_text, all_text, conf and components: documents as classified screens, languages as jobs."""
+    """job_id, idx, label, key_text, all_text, conf, components and state: documents as classified screens, languages as jobs."""
     docs = table(spark, sf_dir, "documents")
-    words = F.split(F.substring("text", 1, 40), " ")
+    words = F.split("text", " ")
     named = docs.select(
         F.col("lang").alias("job_id"),
         F.col("doc_id").alias("idx"),
@@ -37,6 +37,7 @@ def screens(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("all_text"),
         (F.pmod("doc_id", F.lit(100)) / 100.0).alias("conf"),
         F.slice(words, 1, 2).alias("components"),
+        F.when(F.pmod("doc_id", F.lit(5)) == 0, "scrolled").otherwise("").alias("state"),
     )
     return named
 
