@@ -201,18 +201,24 @@ PAIRS = 48
 BROADCAST_ROWS = 500_000
 
 
-def _profiles(rows: DataFrame, row: str, words: int) -> DataFrame:
-    """doc_id, row, the code of the shingle set, its size and the fingerprint of every row."""
+def _profiles(rows: DataFrame, row: str, words: int, known: jaccard.Frequent) -> DataFrame:
+    """doc_id, row, the code of the shingle set, its size, its share of frequent shingles, and those of its prefix whose shards are cut."""
+    shared = rows.sparkSession.sparkContext.broadcast(known)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [hashes(x.as_py(), words) for x in batch.column("text")]
-            sets = [np.unique(x) for x in found]
-            code, fp = (np.array(x, dtype=np.uint64).view(np.int64) for x in ([jaccard.code_of(s) for s in sets], [of_hashes(h) for h in found]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column(row), pa.array(code), pa.array([len(s) for s in sets], pa.int32()), pa.array(fp)], ["doc_id", "row", "code", "n", "fp"])
+            code, n, common, cut_up = [], [], [], []
+            for text in batch.column("text"):
+                own = np.unique(hashes(text.as_py(), words))
+                x, parts, often = jaccard.prefix(own, shared.value)
+                code.append(jaccard.code_of(own))
+                n.append(len(own))
+                common.append(often)
+                cut_up.append(x[parts > 1].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column(row), pa.array(np.array(code, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(common, pa.int32()), pa.array(cut_up, pa.list_(pa.int64()))], ["doc_id", "row", "code", "n", "common", "cut_up"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", row, F.col("text").cast("string").alias("text")).mapInArrow(made, f"doc_id {kind}, row long, code long, n int, fp long")
+    return rows.select("doc_id", row, F.col("text").cast("string").alias("text")).mapInArrow(made, f"doc_id {kind}, row long, code long, n int, common int, cut_up array<long>")
 
 
 def _shards(rows: DataFrame, words: int, known: jaccard.Frequent) -> DataFrame:
@@ -227,7 +233,8 @@ def _shards(rows: DataFrame, words: int, known: jaccard.Frequent) -> DataFrame:
                 own = np.unique(found)
                 code, fp = (np.array(v, dtype=np.uint64) for v in (jaccard.code_of(own), of_hashes(found)))
                 x, parts, common = jaccard.prefix(own, shared.value)
-                part = (code % parts.astype(np.uint64)).astype(np.int32)
+                # A text meets other texts in the parts of other shards.
+                part = (((code ^ x) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % parts.astype(np.uint64)).astype(np.int32)
                 held.append((x.view(np.int64), part, *(np.full(len(x), v) for v in (code.view(np.int64), fp.view(np.int64))), *(np.full(len(x), v, dtype=np.int32) for v in (len(own), common))))
             if held:
                 names = ["x", "part", "code", "fp", "n", "common"]
@@ -298,21 +305,20 @@ def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
     while row in docs.columns:
         row += "_"
     placed = docs.withColumn(row, F.monotonically_increasing_id())
-    coded = cut(_profiles(placed, row, words))
+    known = jaccard.frequent(docs, words)
+    coded = cut(_profiles(placed, row, words, known))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
-    own = cut(coded.groupBy("code").agg(F.min(place).alias("first")))
+    own = cut(coded.groupBy("code").agg(F.min(place).alias("first"), *[F.first(c).alias(c) for c in ("n", "common", "cut_up")]))
 
     def of_codes(codes: DataFrame) -> DataFrame:
         """The first rows of some codes."""
         firsts = codes.select(F.col("first.row").alias(row))
         return placed.join(F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts, row, "left_semi")
 
-    known = jaccard.frequent(docs, words)
-    shards = _shards(of_codes(own), words, known)
-    pairs = candidates(shards)
+    pairs = candidates(_shards(of_codes(own), words, known))
     if (known.parts > 1).any():
-        # The parts of a shard meet through its centre.
-        whole = shards.where(F.col("x").isin(known.shingles[known.parts > 1].view(np.int64).tolist()))
+        # The parts of a shard meet through its centre, the text with most frequent shingles.
+        whole = own.select("code", "n", "common", F.explode("cut_up").alias("x"))
         centres = whole.groupBy("x").agg(F.min_by(F.struct("code", "n"), F.struct(-F.col("common"), "code")).alias("c"))
         met = whole.join(F.broadcast(centres), "x").where("code <> c.code and 5 * least(n, c.n) >= 4 * greatest(n, c.n)")
         pairs = pairs.unionByName(met.select(F.least("code", "c.code").alias("a"), F.greatest("code", "c.code").alias("b"))).distinct()
