@@ -192,6 +192,19 @@ def test_sentencepiece(docs, rows, empty):
     assert sentencepiece.encode(empty, pieces, hot=10).count() == 0
 
 
+def test_quality_classifier_by_labels(spark):
+    """Bad rows go and good ones stay, by the labels of a table of which the model has learned a part."""
+    ship(spark)
+    data = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    found = kneser_ney.judge(docs, labels).join(labels.dropDuplicates(["doc_id"]), "doc_id").collect()
+    kept = lambda q: [r.kept for r in found if r.quality == q and not r.toxic]
+    assert sum(kept(0)) <= 0.1 * len(kept(0)) and sum(kept(1)) >= 0.98 * len(kept(1))
+    for r in found:
+        assert r.kept == (r.threshold is None or r.perplexity <= r.threshold and r.worst <= r.worst_threshold)
+        assert r.perplexity == pytest.approx(10 ** (-r.log10_prob / r.n_tokens))
+
+
 def test_kneser_ney(spark, docs, empty):
     ship(spark)
     texts = ["a b a b c", "b c a", "a b d", "c c c a b a b", ""]
@@ -356,6 +369,30 @@ def test_language_id(spark, docs, rows, empty):
     assert all(odd[i].lang_pred == "und" and odd[i].score == 0 for i in (9000001, 9000002, 9000003))
     assert all(0 <= r.score <= 1 for r in odd.values())
     assert langid.keep_known(docs, model).columns == docs.columns
+    letters = spark.createDataFrame(list(enumerate(["\u00b2\u00bd 12", "\u00aa", "_ 3", "\u0660\u0661", "a", "\u6f22"])), "doc_id long, text string")
+    assert [r.lang_pred == "und" for r in langid.predict(letters, model).orderBy("doc_id").collect()] == [True, False, True, True, False, False]
+
+    # The prediction by its definition, in plain Python.
+    def grams(text):
+        folded = [c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalpha() else c for c in text.encode()]
+        padded, found = [32, *folded, 32], Counter()
+        for a, b, c in zip(padded, padded[1:], padded[2:]):
+            found[((a << 16 | b << 8 | c) * 2654435761 & 0xFFFFFFFF) >> 20] += 1
+        return found
+
+    training = [r for r in table.collect() if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    seen = Counter(slot for r in training for slot in grams(r.text))
+    assert model.idf == pytest.approx([math.log((len(training) + 1) / (seen[s] + 1)) + 0.05 for s in range(langid.DIMS)], rel=1e-5)
+    assert model.languages == sorted({r.lang for r in training}) and np.allclose(np.linalg.norm(model.centres, axis=1), 1, atol=1e-5)
+    for r in langid.predict(docs, model).collect():
+        text = next(x.text for x in rows if x.doc_id == r.doc_id)
+        if r.lang_pred == "und":
+            continue
+        vector = {s: (1 + math.log(k)) * model.idf[s] for s, k in grams(text).items()}
+        size = math.sqrt(sum(v * v for v in vector.values()))
+        cosines = [sum(v * c[s] for s, v in vector.items()) / size for c in model.centres]
+        assert r.score == pytest.approx(min(1, max(0, max(cosines))), abs=1e-4)
+        assert cosines[model.languages.index(r.lang_pred) * langid.CENTROIDS :][: langid.CENTROIDS].count(max(cosines)) or max(cosines[i] for i, o in enumerate(model.owner) if model.languages[o] == r.lang_pred) == pytest.approx(max(cosines), abs=1e-4)
     assert langid.predict(empty, langid.fit_documents(empty)).count() == 0
     assert {r.lang_pred for r in langid.predict(docs, langid.fit_documents(empty)).collect()} == {"und"}
 

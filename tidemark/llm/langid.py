@@ -2,13 +2,16 @@
 
 Texts are read whole. Bytes A-Z are lower-cased, other ASCII that is not a letter becomes a space,
 and trigrams of the remaining bytes are hashed into DIMS counts. Inverse document frequencies come
-from all training rows. Centroids come from spherical k-means over at most about SAMPLE rows a
-language, taken by a hash of the text (a documented bound). A text is given the language of its
+from all training rows. Centroids come from spherical k-means over at most about SAMPLE distinct texts
+a language, taken by a hash of the text (a documented bound). A text is given the language of its
 nearest centroid; it is rejected when even that one is farther than any training row by a margin.
 
 Defined results: a null text, or one without a letter, is `und` with score 0 and is rejected. So is
 every text when nothing was learned. Rows with null lang teach nothing. Repeated rows are predicted
-one by one. A null doc_id counts as an empty id. An empty table gives an empty result.
+one by one; as samples, rows of one language and text count once. Of centroids at the same distance the
+first is taken: languages are in order of their names. A very long text becomes one vector like any
+other. A null doc_id counts as an empty id. An empty table gives an empty result. The model holds every
+distinct lang of the training rows, so a column of free text is no lang.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ CENTROIDS = 4
 MARGIN = 0.25
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile(r"[A-Za-z]")
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[c for c in range(128) if not chr(c).isalpha()]] = 32
@@ -49,7 +52,8 @@ def trigram_counts(data: bytes) -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
-    return text is not None and _LETTER.search(text) is not None
+    """Letters are what Unicode calls so; digits and numbers like \u00b2 or \u00bd are none."""
+    return text is not None and (_ASCII_LETTER.search(text) is not None or any(map(str.isalpha, text)))
 
 
 def vectors(texts: list[str | None], idf: np.ndarray) -> np.ndarray:
@@ -141,10 +145,10 @@ def fit(training: DataFrame) -> Model:
         return Model([], np.zeros((0, DIMS)), np.zeros(0, dtype=int), np.zeros(0), idf)
 
     # About SAMPLE rows a language: those whose hash falls under the language's share of its range.
-    share = F.lit(None)
-    for lang, count in n.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, SAMPLE / count))).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003)
+    shares = rows.sparkSession.createDataFrame([(lang, min(1.0, SAMPLE / count)) for lang, count in sorted(n.items())], "lang string, share double")
+    drawn = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.col("share") * 1_000_003)
+    # All copies of a text are drawn together; one of them is enough.
+    sample = drawn.select("lang", "text").distinct()
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,7 +1,8 @@
 """Quality rules: a threshold table compiled into one projection of built-in functions.
 
 Defined results: a null or empty text has no words and fails; repeated rows are judged one by one;
-columns other than doc_id and text are ignored; an empty table gives an empty result.
+metrics that equal a bound hold; a text of any length is measured whole, with arrays of its words in
+memory; columns other than doc_id and text are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ class Rule:
 RULES = (
     Rule("mean_word_length", "word_chars / nullif(n_words, 0)", 2.0, 14.0),
     Rule("symbols_per_word", "n_symbols / nullif(n_words, 0)", None, 0.10),
-    Rule("stop_words", "n_stop_words", 1, None),
+    Rule("stop_word_ratio", "n_stop_words / nullif(n_words, 0)", 0.01, None),
     Rule("duplicate_lines", "n_dup_lines / nullif(n_lines, 0)", None, 0.50),
 )
 

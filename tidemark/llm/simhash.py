@@ -12,8 +12,9 @@ median distance, and across the split only codes within r of the boundary are co
 Links are kept as spanning forests, never as all pairs of a group. Components are found by stars.
 
 Defined results: a null or empty text has no shingle and fingerprint zero, which links like any
-other; repeated rows each get a result; a null doc_id never names a component; other columns of the
-input are ignored; an empty table gives an empty result.
+other; repeated rows each get a result; a null doc_id never names a component; a bit that is set in
+exactly half the shingles is 0; a text of any length is hashed whole, 8 bytes a shingle; other columns
+of the input are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
