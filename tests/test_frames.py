@@ -1,5 +1,7 @@
 """Hand-derived cases of FIXTURES.md, pixel features, providers and the whole recording plan."""
 
+import struct
+import zlib
 from itertools import product
 
 import numpy as np
@@ -233,3 +235,40 @@ def test_plan(spark):
     kept = recording.stable_frames(frames, motion.MotionConfig(), change=18, near=3, moving=15).orderBy("idx").collect()
     signatures = [r.sig for r in kept]
     assert len(signatures) == len(set(signatures)) and signatures[0] == states[0]
+
+
+def png(image):
+    """A gray image as a file."""
+    height, width = image.shape
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = b"".join(b"\0" + r.tobytes() for r in image)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")
+
+
+def test_scan(spark, tmp_path):
+    """Three screens, each held for some frames, with a fade between two of them and a blank frame."""
+    rng = np.random.default_rng(6)
+    screens = [np.kron(rng.integers(40, 216, (16, 10)), np.ones((12, 12))).astype(np.uint8) for _ in range(3)]
+    fade = (screens[0] * 0.5 + screens[1] * 0.5).astype(np.uint8)
+    shown = [screens[0]] * 3 + [fade] + [screens[1]] * 3 + [np.zeros_like(fade)] * 3 + [screens[2]] * 3 + [screens[0]] * 2
+    for i, image in enumerate(shown, 1):
+        (tmp_path / f"frame_{i:04d}.png").write_bytes(png(image))
+    frames = recording.scan(spark, str(tmp_path), 4)
+    rows = frames.orderBy("idx").collect()
+    assert [r.idx for r in rows] == list(range(len(shown))) and rows[0].frame_id == "frame_0001" and rows[0].ts_ms is None  # no .jpg
+    config = stability.StabilityConfig(split=64, edge_next=-1)
+    kept = recording.held_frames(frames, config, moving=15, near=3).orderBy("idx").collect()
+    assert [r.idx for r in kept] == [0, 4, 10]
+
+
+def test_leaders_keep_more_than_they_hold_at_first(spark):
+    rng = np.random.default_rng(8)
+    found = dedup.leaders(hashed(spark, [int(x) for x in rng.integers(-(2**63), 2**63, 200)] * 2), 3).collect()
+    assert sorted(r.idx for r in found) == list(range(200))
+
+
+def test_side_by_side(spark):
+    a, b = timed(spark, [0, 1, 2]), spark.createDataFrame([(1, i, f"l{i}") for i in range(2)], "job_id long, idx long, label string")
+    assert sorted(r.label for r in timeline.side_by_side(a, b).collect()) == ["l0", "l1"]
+    paths = spark.createDataFrame([(1, "p"), (1, "q")], "job_id long, path string")
+    assert timeline.all_paths(paths, paths.limit(1)).count() == 2

@@ -1,56 +1,98 @@
 """Near-duplicate removal over ordered signatures.
 
-The greedy rules look at what was kept before, so a job is folded in order; jobs run in parallel. A
-job is one recording, so its array is bounded by its length. near_pairs() is the way for signature
-sets without such a bound: it pairs by blocks and needs no job to fit a task.
+The greedy rules look at what was kept before, so the rows of a job go through one task in order. They
+stream: consecutive rules hold the last signature kept, leaders() those kept so far, whatever the
+length of the job. near_pairs() is the way for signature sets that no order ties together: it pairs by
+blocks and needs no job to fit a task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import hamming, strip
 
 
-def _ordered(frames: DataFrame, *columns: str) -> DataFrame:
-    return frames.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("idx", *columns))).alias("rows"))
+def _walk(frames: DataFrame, columns: list[str], rule: Callable[[], Callable[..., bool]]) -> DataFrame:
+    """job_id and idx of the rows that a rule keeps; each job gets a rule of its own, which sees its rows in order."""
+    kind = frames.schema["job_id"].dataType.simpleString()
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, keep = object(), None
+        for batch in batches:
+            chosen = []
+            for own, *values in zip(*(batch.column(c).to_pylist() for c in ("job_id", *columns)), strict=True):
+                if own != job:
+                    job, keep = own, rule()
+                chosen.append(keep(*values))
+            yield batch.select(["job_id", "idx"]).filter(pa.array(chosen, pa.bool_()))
+
+    ordered = frames.select("job_id", F.col("idx").cast("long").alias("idx"), *columns).repartition("job_id").sortWithinPartitions("job_id", "idx")
+    return ordered.mapInArrow(kept, f"job_id {kind}, idx long")
 
 
-def _empty(kind: str):
-    return F.array().cast(f"array<{kind}>")
+def _far(a: int, b: int, threshold: int) -> bool:
+    return ((a ^ b) & (2**64 - 1)).bit_count() >= threshold
 
 
 def consecutive(frames: DataFrame, threshold: int) -> DataFrame:
     """Keeps a frame at least threshold bits from the last one kept. Returns job_id and idx."""
 
-    def step(state, x):
-        keep = state["last"].isNull() | (hamming(state["last"], x["sig"]) >= threshold)
-        return F.struct(F.when(keep, x["sig"]).otherwise(state["last"]).alias("last"), F.when(keep, F.array_append(state["kept"], x["idx"])).otherwise(state["kept"]).alias("kept"))
+    def rule() -> Callable[[int], bool]:
+        last: list[int] = []
+
+        def keep(sig: int) -> bool:
+            if last and not _far(last[0], sig, threshold):
+                return False
+            last[:] = [sig]
+            return True
+
+        return keep
 
-    start = F.struct(F.lit(None).cast("long").alias("last"), _empty("bigint").alias("kept"))
-    return _ordered(frames, "sig").select("job_id", F.explode(F.aggregate("rows", start, step, lambda s: s["kept"])).alias("idx"))
+    return _walk(frames, ["sig"], rule)
 
 
 def consecutive_with_zones(frames: DataFrame, threshold: int) -> DataFrame:
     """As consecutive(), but a frame with in_zone set is kept and clears what was kept last."""
 
-    def step(state, x):
-        keep = x["in_zone"] | state["last"].isNull() | (hamming(state["last"], x["sig"]) >= threshold)
-        last = F.when(x["in_zone"], F.lit(None).cast("long")).when(keep, x["sig"]).otherwise(state["last"])
-        return F.struct(last.alias("last"), F.when(keep, F.array_append(state["kept"], x["idx"])).otherwise(state["kept"]).alias("kept"))
+    def rule() -> Callable[[int, bool], bool]:
+        last: list[int] = []
 
-    start = F.struct(F.lit(None).cast("long").alias("last"), _empty("bigint").alias("kept"))
-    return _ordered(frames, "sig", "in_zone").select("job_id", F.explode(F.aggregate("rows", start, step, lambda s: s["kept"])).alias("idx"))
+        def keep(sig: int, in_zone: bool) -> bool:
+            if not in_zone and last and not _far(last[0], sig, threshold):
+                return False
+            last[:] = [] if in_zone else [sig]
+            return True
+
+        return keep
+
+    return _walk(frames, ["sig", "in_zone"], rule)
 
 
 def leaders(frames: DataFrame, threshold: int) -> DataFrame:
     """Keeps a frame at least threshold bits from every frame kept before. Returns job_id and idx."""
 
-    def step(kept, x):
-        return F.when(F.forall(kept, lambda k: hamming(k["sig"], x["sig"]) >= threshold), F.array_append(kept, x)).otherwise(kept)
+    def rule() -> Callable[[int], bool]:
+        held, n = np.zeros(64, dtype=np.int64), 0
+
+        def keep(sig: int) -> bool:
+            nonlocal held, n
+            if n and (np.bitwise_count((held[:n] ^ sig).view(np.uint64)) < threshold).any():
+                return False
+            if n == len(held):
+                held = np.concatenate((held, np.zeros(n, dtype=np.int64)))
+            held[n] = sig
+            n += 1
+            return True
+
+        return keep
 
-    return _ordered(frames, "sig").select("job_id", F.explode(F.transform(F.aggregate("rows", _empty("struct<idx:bigint,sig:bigint>"), step), lambda k: k["idx"])).alias("idx"))
+    return _walk(frames, ["sig"], rule)
 
 
 def near_pairs(frames: DataFrame, threshold: int) -> DataFrame:
