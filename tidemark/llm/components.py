@@ -36,7 +36,7 @@ def dealt_join(rows: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
     if hot.isEmpty():
         return rows.join(table, key)
     marked = hot.withColumn("hot", F.lit(True))
-    salted = rows.join(F.broadcast(marked), key, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
+    salted = rows.join(F.broadcast(marked), key, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
     salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     spread = table.join(F.broadcast(marked), key, "left").withColumn("salt", F.explode(salts)).drop("hot")
     return salted.join(spread, [*key, "salt"]).drop("salt")
