@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -21,6 +22,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def least_count(counts: DataFrame, most: int) -> int:
+    """The least n that at most `most` rows of a table reach, so that no rows are sorted to find the most frequent.
+
+    Counts of like size (a sixteenth of a power of two) are taken together.
+    """
+    sizes = counts.groupBy(F.floor(F.log2("n") * 16).alias("size")).agg(F.count("*").alias("rows")).orderBy(F.desc("size")).collect()
+    total, least = 0, 2**62
+    for r in sizes:
+        total += r["rows"]
+        if total > most:
+            break
+        least = math.ceil(2 ** (r["size"] / 16) - 1e-6)
+    return least
+
+
 #: Rows of one key that a task may join.
 HOT_ROWS = 10_000
 #: No more keys than this count as hot; their list is broadcast.

@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.components import cut, least_count
+
 SEED = 42
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Texts that frequent shingles are estimated from, about; a sixteenth of the texts where that is less.
@@ -83,8 +85,8 @@ def frequent(docs: DataFrame, words: int) -> Frequent:
 
     text = F.col("text").cast("string")
     sample = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).distinct()
-    counted = sample.mapInArrow(each, "x long").groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
-    top = counted.orderBy(F.desc("n"), "x").limit(FREQUENT_KEYS).toArrow()
+    counted = cut(sample.mapInArrow(each, "x long").groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT))
+    top = counted.where(F.col("n") >= least_count(counted, FREQUENT_KEYS)).toArrow()
     x, n = top["x"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(x)
     return Frequent(x[order], 1 + n[order] * share // SHARD_TEXTS)

@@ -6,7 +6,7 @@ a piece, and for each character that is no piece an edge of its byte pieces. The
 sum of scores, ties to the longest last piece) is the word's encoding, and a text is the encodings
 of its words one after the other. Decoding undoes it exactly, whatever the text.
 
-Word counts are made over all texts. For the HOT most frequent words, which make up most
+Word counts are made over all texts. For the most frequent words (at most HOT), which make up most
 occurrences, the lattice is a Spark job: substrings are exploded, joined to the piece table
 (broadcast; its size is the model's), grouped by word and folded by the higher-order aggregate. The
 table that comes out is of bounded size and is broadcast to the tasks that write the texts' codes.
@@ -17,7 +17,7 @@ The path maximises the sum of the model's scores; a model that was trained for m
 words otherwise than its own library does.
 
 Defined results: a null text has null codes and an empty one none; repeated rows are coded one by
-one; other columns are ignored; an empty table gives an empty result.
+one; a text of any length is coded whole, with memory for its codes; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,9 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.components import cut, least_count
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-HOT = 1 << 15
+#: No more words than this are coded by the Spark lattice and broadcast.
+HOT = 1 << 16
 #: Tasks that build their lattices; the words are few but each takes some steps.
 TASKS = 24
 #: Words whose codes a task remembers beyond the broadcast ones.
@@ -173,7 +176,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def hot_table(docs: DataFrame, pieces: Pieces, hot: int = HOT) -> dict[str, list[int]]:
     """The codes of the most frequent words."""
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(hot).select("word").repartition(TASKS, "word")
+    counts = cut(word_counts(docs))
+    top = counts.where(F.col("n") >= least_count(counts, hot)).select("word").repartition(TASKS, "word")
     found = lattice(top, pieces).toArrow()
     return dict(zip(found["word"].to_pylist(), found["ids"].to_pylist(), strict=True))
 
