@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, kneser_ney, langid, licenses, lpf, mixing, pii, quality_rules, sentencepiece, simhash, sql
+from tidemark.llm import conversations, decontaminate, kmeans, kneser_ney, langid, licenses, lpf, mixing, pii, quality_rules, sentencepiece, simhash, sql, winnow
+from tidemark.llm.ship import ship
 from tidemark.llm.text import documents
 
 
@@ -61,8 +62,31 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.compared(documents(spark, sf_dir))
+
+
+def _damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults: by the checksum of its number a turn is dropped, emptied, cut short, repeated (copies) or given to the user."""
+    filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat_ws(":", filled("conv_id"), filled("turn"))) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.translate(filled("text"), ".!?", "")).otherwise(filled("text"))
+    return rows.select("conv_id", "turn", F.when(kind == 4, "user").otherwise(filled("role")).alias("role"), text.alias("text"), F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1).alias("copies"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversations.report_all(_damaged(rows), rows, copies="copies")
+
+
+def op13_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return kmeans.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_pii, op2_suffix_dedup, op3_sentencepiece, op4_quality_classifier, op5_simhash, op6_quality_rules, op7_decontamination, op8_language_id, op9_lm_scores, op10_license_scan)
+    found = (op1_pii, op2_suffix_dedup, op3_sentencepiece, op4_quality_classifier, op5_simhash, op6_quality_rules, op7_decontamination, op8_language_id, op9_lm_scores, op10_license_scan, op11_winnowing, op12_conversation_repair, op13_hamerly)
     return {f.__name__: f for f in found}
 
 

@@ -63,5 +63,25 @@ o AS (SELECT r, count(*) FILTER (exact) AS n_base, min(start) FILTER (exact) AS
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM d LEFT JOIN o USING (r)"""
 
 
+def clustering(rounds: int = 3, clusters: int = 16) -> str:
+    """Each round is a pair of tables: who is nearest to which centroid, and where the centroids go."""
+
+    def nearest(n: int) -> str:
+        away = "CAST(list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - c.v[i]) * (k.v[i] - c.v[i]))) AS BIGINT)"
+        return f"a{n} AS (SELECT r, vec_id, k.v, c, {away} AS d FROM k, c{n} c QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)"
+
+    def moved(n: int) -> str:
+        mean = "CAST((s - ((s % m) + m) % m) // m AS BIGINT)"
+        sums = f"s{n} AS (SELECT c, i, sum(v[i]) AS s, count(*) AS m FROM a{n}, range(1, 65) t(i) GROUP BY c, i)"
+        return f"{sums}, m{n} AS (SELECT c, list({mean} ORDER BY i) AS v FROM s{n} GROUP BY c), c{n + 1} AS (SELECT o.c, coalesce(w.v, o.v) AS v FROM c{n} o LEFT JOIN m{n} w ON w.c = o.c)"
+
+    steps = ", ".join(f"{nearest(n)}, {moved(n)}" for n in range(rounds))
+    return f"""
+WITH k AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v FROM k QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id), v) <= {clusters}),
+{steps}, {nearest(rounds)}
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON c.c = a.c"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality_rules(), "op7_decontamination": decontamination(), "op10_license_scan": license_scan()}
+    return {"op6_quality_rules": quality_rules(), "op7_decontamination": decontamination(), "op10_license_scan": license_scan(), "op13_hamerly": clustering()}
