@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import half
+from tidemark.operators import adaptive as Ad
 from tidemark.operators import boundaries as B
 from tidemark.operators import classify as C
 from tidemark.operators import dedup as D
@@ -75,7 +76,7 @@ GAPS = "SELECT job_id, 'segment_gap' AS boundary_type, en AS start_ms, nx AS end
 MOVED = f"SELECT job_id, 'multi' AS boundary_type, ts_ms - {HOUR // 2} AS start_ms, ts_ms + {HOUR // 2} AS end_ms, ts_ms AS peak_ms, 0 AS rk, NULL AS before_seg, NULL AS after_seg, NULL AS start_index FROM tl WHERE label = 'error'"
 
 
-def bounded(zones: bool) -> str:
+def bounded(zones: bool, selected: str = "true") -> str:
     """Boundaries, the points of frames, guarded representatives and candidates, in plain SQL."""
     found = f"{GAPS} UNION ALL {MOVED}" if zones else GAPS
     return f"""{REPS}, bnd AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY start_ms, coalesce(start_index, 0), rk, coalesce(before_seg, 0), end_ms, peak_ms) AS bnd FROM ({found})),
@@ -84,7 +85,7 @@ EXISTS (SELECT 1 FROM bnd b WHERE b.job_id = t.job_id AND NOT t.ts_ms BETWEEN b.
 tch AS (SELECT *, least(100, CASE WHEN inside THEN 35 ELSE 0 END + CASE WHEN near THEN 25 ELSE 0 END + CASE WHEN hp THEN 20 ELSE 0 END + CASE WHEN hn THEN 20 ELSE 0 END + CASE WHEN hp AND hn THEN 15 ELSE 0 END + CASE WHEN bl THEN 10 ELSE 0 END) AS pts FROM t0),
 g0 AS (SELECT t.*, inside OR near AS doubtful, r.idx AS rep_idx, abs(t.ts_ms - (min(t.ts_ms) OVER w + max(t.ts_ms) OVER w) // 2) AS far, max(CASE WHEN t.idx = r.idx AND (inside OR near) THEN 1 WHEN t.idx = r.idx THEN 0 END) OVER w AS doubt FROM tch t JOIN reps r ON r.job_id = t.job_id AND r.seg = t.seg WINDOW w AS (PARTITION BY t.job_id, t.seg)),
 g1 AS (SELECT *, row_number() OVER (PARTITION BY job_id, seg ORDER BY CASE WHEN doubt = 0 THEN CASE WHEN idx = rep_idx THEN 0 ELSE 2 END WHEN idx = rep_idx THEN 1 WHEN doubtful OR pts >= 65 THEN 2 ELSE 0 END, far, value, idx) AS rn FROM g0),
-guarded AS (SELECT job_id, CAST(seg AS BIGINT) AS seg, frame_id, idx, ts_ms, label, doubtful AS near, idx <> rep_idx AS moved, CASE WHEN idx = rep_idx AND doubtful THEN '{B.NEAR_REVIEW}' END AS review FROM g1 WHERE rn = 1),
+guarded AS (SELECT job_id, CAST(seg AS BIGINT) AS seg, frame_id, idx, ts_ms, label, doubtful AS near, idx <> rep_idx AS moved, CASE WHEN idx = rep_idx AND doubtful THEN '{B.NEAR_REVIEW}' END AS review FROM g1 WHERE rn = 1 AND {selected}),
 c0 AS (SELECT t.job_id, b.bnd, t.frame_id, t.idx, t.ts_ms, t.pts >= 65 AS bad, CASE WHEN t.ts_ms BETWEEN b.start_ms - {BOUNDS.before_ms} AND b.start_ms - {BOUNDS.edge_ms} THEN 0 WHEN t.ts_ms BETWEEN b.end_ms + {BOUNDS.edge_ms} AND b.end_ms + {BOUNDS.after_ms} THEN 1 END AS side FROM tch t JOIN bnd b ON b.job_id = t.job_id WHERE NOT EXISTS (SELECT 1 FROM guarded g WHERE g.job_id = t.job_id AND g.idx = t.idx)),
 c1 AS (SELECT *, coalesce(sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY job_id, bnd ORDER BY side, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c0 WHERE side IS NOT NULL),
 looked AS (SELECT *, CASE WHEN bad THEN 'contaminated' ELSE 'recovered' END AS outcome FROM c1 WHERE before < {BOUNDS.most}),
@@ -210,6 +211,54 @@ def _flagged(spark, d):
     return frames.join(inside, ["job_id", "idx"], "left").withColumn("in_zone", F.coalesce("in_zone", F.lit(False)))
 
 
+# The high-rate source of a recording: five frames for each of the sparse ones, with some bits turned over.
+_DENSE = f"""{ZONES}, dz AS (SELECT *, 'motion_' || lpad(CAST(row_number() OVER (PARTITION BY job_id ORDER BY start_ms) AS VARCHAR), 4, '0') AS zone_id, CASE WHEN end_ms - start_ms <= 400 THEN 30 WHEN end_ms - start_ms <= 1500 THEN 15 ELSE 8 END AS fps FROM zones),
+dt AS (SELECT job_id, zone_id, fps, 'frame_z' || zone_id[8:] || '_' || lpad(CAST(i + 1 AS VARCHAR), 4, '0') || '.jpg' AS path, start_ms + i * 1000 // fps AS ts_ms FROM (SELECT *, unnest(range(0, CAST(ceil(greatest(end_ms - start_ms, 50) * fps / 1000.0) AS BIGINT))) AS i FROM dz)),
+src AS (SELECT job_id, frame_id * 5 + j AS frame_id, (idx * 5 + j) * 1000 // 30 AS ts_ms, list_transform(range(1, 65), lambda i: CASE WHEN i <= j THEN 1 - b[i] ELSE b[i] END) AS b FROM sg, range(0, 5) t(j)),
+lo AS (SELECT d.*, s.ts_ms AS lo_ms, s.frame_id AS lo_id, s.b AS lo_b FROM dt d ASOF LEFT JOIN src s ON s.job_id = d.job_id AND d.ts_ms >= s.ts_ms),
+hi AS (SELECT d.*, s.ts_ms AS hi_ms, s.frame_id AS hi_id, s.b AS hi_b FROM lo d ASOF LEFT JOIN src s ON s.job_id = d.job_id AND d.ts_ms <= s.ts_ms),
+dn AS (SELECT job_id, path, ts_ms, CASE WHEN lo_id IS NOT NULL AND (hi_id IS NULL OR ts_ms - lo_ms <= hi_ms - ts_ms) THEN lo_id ELSE hi_id END AS taken, CASE WHEN lo_id IS NOT NULL AND (hi_id IS NULL OR ts_ms - lo_ms <= hi_ms - ts_ms) THEN lo_b ELSE hi_b END AS b FROM hi)"""
+_SCOUT = f"""fl0 AS (SELECT *, {_IN} AS inz, lag(b) OVER w AS pb, lead(b) OVER w AS nb FROM sg WINDOW w AS (PARTITION BY job_id ORDER BY idx)),
+fl AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY idx) - 1 AS pl FROM fl0 WHERE inz OR NOT (coalesce({ham('b', 'pb')}, -1) > 33 AND coalesce({ham('b', 'nb')}, -1) > 33)),
+walk AS (SELECT job_id, pl, idx, b, CASE WHEN inz THEN NULL ELSE b END AS last, true AS keep FROM fl WHERE pl = 0 UNION ALL SELECT s.job_id, s.pl, s.idx, s.b, CASE WHEN s.inz THEN NULL WHEN w.last IS NULL THEN s.b WHEN {ham('s.b', 'w.last')} >= 28 THEN s.b ELSE w.last END, CASE WHEN s.inz OR w.last IS NULL THEN true ELSE {ham('s.b', 'w.last')} >= 28 END FROM walk w JOIN fl s ON s.job_id = w.job_id AND s.pl = w.pl + 1),
+mg AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts_ms, path) - 1 AS idx FROM (SELECT job_id, path, ts_ms, 'dense' AS pass, b FROM dn UNION ALL SELECT job_id, 'frame_' || lpad(CAST(idx + 1 AS VARCHAR), greatest(4, length(CAST(idx + 1 AS VARCHAR)))::INTEGER, '0') || '.jpg', idx * 1000 // 6, 'scout', b FROM walk WHERE keep))"""
+
+
+def _recording(spark, d):
+    """The sparse frames with paths, and the high-rate source."""
+    scout = hashed_frames(spark, d).withColumn("path", F.format_string("frame_%04d.jpg", F.col("idx") + 1))
+    j = F.col("j").cast("long")
+    each = scout.select("job_id", "frame_id", "idx", "sig", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("j"))
+    turned = F.col("sig").bitwiseXOR(F.expr("shiftleft(1L, j) - 1"))
+    return scout, each.select("job_id", (F.col("frame_id") * 5 + j).alias("frame_id"), F.floor((F.col("idx") * 5 + j) * 1000 / 30).alias("ts_ms"), turned.alias("sig"))
+
+
+@query(f"WITH {_DENSE} SELECT job_id, path, ts_ms, taken FROM dn")
+def dense_frames_taken(spark, d):
+    _, source = _recording(spark, d)
+    return Ad.dense_frames(_zones(spark, d), source).select("job_id", "path", "ts_ms", F.col("frame.frame_id").alias("taken"))
+
+
+@query(f"WITH RECURSIVE {_DENSE}, {_SCOUT} SELECT job_id, path, ts_ms, pass, idx FROM mg")
+def adaptive_merge(spark, d):
+    scout, source = _recording(spark, d)
+    zones = _zones(spark, d)
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    kept = Ad.scouted(scout, zones, 33, 28).select("job_id", "path", T.time_of_name(name, MOTION.fps).alias("ts_ms"), F.lit("scout").alias("pass"), "sig")
+    dense = Ad.dense_frames(zones, source).select("job_id", "path", "ts_ms", F.lit("dense").alias("pass"), F.col("frame.sig").alias("sig"))
+    return Ad.merged(kept, dense).select("job_id", "path", "ts_ms", "pass", "idx")
+
+
+@query(f"WITH RECURSIVE {_DENSE}, {_SCOUT}, kw AS (SELECT job_id, path, ts_ms, idx, [b] AS kept, true AS keep FROM mg WHERE idx = 0 UNION ALL SELECT job_id, path, ts_ms, idx, CASE WHEN far THEN list_append(kept, b) ELSE kept END, far FROM (SELECT s.job_id, s.path, s.ts_ms, s.idx, s.b, w.kept, list_bool_and(list_transform(w.kept, lambda k: list_sum(list_transform(range(1, 65), lambda i: abs(k[i] - s.b[i]))) >= 3)) AS far FROM kw w JOIN mg s ON s.job_id = w.job_id AND s.idx = w.idx + 1)) SELECT job_id, path, ts_ms, idx FROM kw WHERE keep")
+def adaptive_frames(spark, d):
+    scout, source = _recording(spark, d)
+    zones = _zones(spark, d)
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    kept = Ad.scouted(scout, zones, 33, 28).select("job_id", "path", T.time_of_name(name, MOTION.fps).alias("ts_ms"), "sig")
+    both = Ad.merged(kept, Ad.dense_frames(zones, source).select("job_id", "path", "ts_ms", F.col("frame.sig").alias("sig")))
+    return both.join(D.leaders(both, 3), ["job_id", "idx"], "left_semi").select("job_id", "path", "ts_ms", "idx")
+
+
 # Stability.
 _HALVES = f"""{SIG}, h0 AS (SELECT *, count(*) OVER (PARTITION BY job_id) AS n, lag(b) OVER w AS pb, lead(b) OVER w AS nb, lead(b, 2) OVER w AS nnb, lag(b, 2) OVER w AS ppb FROM sg WINDOW w AS (PARTITION BY job_id ORDER BY idx)),
 h1 AS (SELECT job_id, frame_id, idx, n, {ham('b', 'pb')} AS prev, {ham('b', 'nb')} AS nxt, {ham('nb', 'nnb')} AS nxt2, {ham('pb', 'ppb')} AS prev2, CAST(list_sum(list_transform(range(1, 33), lambda i: abs(b[i] - b[i + 32]))) AS BIGINT) AS sides,
@@ -322,7 +371,7 @@ def _moved(spark, d):
 @query(f"WITH {bounded(False)} SELECT job_id, idx, pts / 100.0::DOUBLE AS score, CASE WHEN pts >= 65 THEN 'likely_transition_contaminated' ELSE 'likely_stable_state' END AS class FROM tch")
 def contamination_score(spark, d):
     frames = _moving(spark, d)
-    kinds = S.assign(B.scored(frames, B.detect(frames, SEGMENTS), BOUNDS), SEGMENTS).join(S.roll_up(frames, SEGMENTS).select("job_id", "seg", "segment_type"), ["job_id", "seg"])
+    kinds = B.judged(frames, SEGMENTS, BOUNDS)
     return kinds.select("job_id", "idx", (F.col("points") / 100).alias("score"), B.candidate_class(F.col("contaminated"), F.col("segment_type")).alias("class"))
 
 
@@ -355,7 +404,7 @@ def boundary_report(spark, d):
     return found.select("job_id", F.col("bnd").cast("long").alias("bnd"), "boundary_type", ids("recovered"), ids("rejected"), "issue_type", F.array_join("warnings", "; ").alias("warnings"))
 
 
-_SUMMED = "SELECT job_id, boundaries_detected, issues_detected, recovered_states, candidates_rejected, contaminated_frames, edge_warnings, warnings FROM summed"
+_SUMMED = "SELECT job_id, boundaries_detected, issues_detected, recovered_states, candidates_rejected, contaminated_frames, edge_warnings, CAST(0 AS BIGINT) AS short_state_preserved, warnings FROM summed"
 
 
 @query(f"WITH {bounded(False)} {_SUMMED}")
@@ -374,6 +423,50 @@ def final_merge(spark, d):
     return out.select("job_id", "frame_id", "times", F.col("boundary").cast("long").alias("boundary"), "review", F.col("place").cast("long").alias("place"))
 
 
+def _chosen_reps(spark, d):
+    """Two of three segments' representatives, as if other ones had not been selected."""
+    return S.representatives(_moving(spark, d), SEGMENTS).where("seg % 3 <> 0").select("job_id", "frame_id")
+
+
+_SELECTED = bounded(True, "seg % 3 <> 0")
+_SHORT = "sh AS (SELECT r.job_id, r.frame_id, r.idx, r.ts_ms FROM reps r JOIN tch t ON t.job_id = r.job_id AND t.idx = r.idx WHERE r.n_frames > 1 AND r.en - r.st < {short} AND r.seg > 1 AND r.seg < (SELECT max(seg) FROM reps l WHERE l.job_id = r.job_id) AND r.seg % 3 = 0 AND t.pts < 65)".format(short=SEGMENTS.short_ms)
+
+
+@query(f"""WITH {_SELECTED}, {_SHORT}, al AS (SELECT job_id, frame_id, times, boundary, review, idx, ts_ms, 0 AS stage FROM fin UNION ALL SELECT job_id, frame_id, 0, NULL, '{B.SHORT_REVIEW}', idx, ts_ms, 1 FROM sh),
+on1 AS (SELECT job_id, frame_id, max(times) AS times, max(boundary) AS boundary, arg_max(coalesce(review, ''), stage) AS review, any_value(idx) AS idx, any_value(ts_ms) AS ts_ms FROM al GROUP BY job_id, frame_id)
+SELECT job_id, frame_id, times, boundary, CASE WHEN review <> '' THEN review END AS review, row_number() OVER (PARTITION BY job_id ORDER BY ts_ms, idx) AS place FROM on1""")
+def short_states_kept(spark, d):
+    out = B.final(_moving(spark, d), SEGMENTS, BOUNDS, _moved(spark, d), _chosen_reps(spark, d))
+    return out.select("job_id", "frame_id", "times", F.col("boundary").cast("long").alias("boundary"), "review", F.col("place").cast("long").alias("place"))
+
+
+_CLASS = "y.label || '/' || (y.frame_id % 3)"
+
+
+@query(f"""WITH {bounded(True)}, bk AS (SELECT job_id, frame_id, max(bnd) AS bnd FROM recov GROUP BY job_id, frame_id),
+x AS (SELECT t.*, r.n_frames, r.en - r.st AS len, r.frame_id AS rep, t.frame_id = r.frame_id AS is_rep, coalesce(t.frame_id = g.frame_id, false) AS chosen, g.moved, k.bnd AS back FROM tch t JOIN reps r ON r.job_id = t.job_id AND r.seg = t.seg LEFT JOIN guarded g ON g.job_id = t.job_id AND g.seg = t.seg LEFT JOIN bk k ON k.job_id = t.job_id AND k.frame_id = t.frame_id),
+y AS (SELECT *, chosen OR back IS NOT NULL AS fnl, 'segment_' || lpad(CAST(seg AS VARCHAR), 4, '0') AS segment FROM x),
+c AS (SELECT y.job_id, y.frame_id, {_CLASS} AS lab, CASE WHEN y.frame_id % 2 = 0 THEN 'typed' END AS typ, f.place FROM y JOIN fin f ON f.job_id = y.job_id AND f.frame_id = y.frame_id),
+u AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY job_id, lab, frame_id % 7 ORDER BY place) = 1),
+z AS (SELECT y.*, u.lab, u.typ, u.frame_id IS NOT NULL AS told FROM y LEFT JOIN u ON u.job_id = y.job_id AND u.frame_id = y.frame_id)
+SELECT job_id, CAST(frame_id AS VARCHAR) AS frame_id, idx AS index, ts_ms AS timestamp_ms, 'in/frame_' || frame_id || '.jpg' AS path, 'frame_' || frame_id || '.jpg' AS filename, 'extracted' AS source, CASE WHEN fnl AND told THEN 'final' ELSE 'removed' END AS status,
+CASE WHEN NOT (fnl AND told) THEN NULL WHEN back IS NOT NULL THEN '{B.KEPT_RECOVERED}' WHEN moved OR n_frames > 1 THEN '{B.KEPT_STABLE}' ELSE '{B.KEPT_SINGLE}' END AS keep_reason,
+CASE WHEN fnl AND NOT told THEN '{B.REMOVED_DUPLICATE}' WHEN back IS NOT NULL THEN NULL WHEN is_rep AND moved THEN '{B.REMOVED_MOVED}' WHEN is_rep THEN NULL ELSE '{B.REMOVED_REST}' END AS remove_reason,
+fnl AND told AS is_final, false AS is_blank_removed, fnl AND NOT told AS is_duplicate_removed, lab AS label, CASE WHEN told THEN coalesce(typ, split_part(lab, '/', 1)) END AS screen_type, value / 100 AS motion_score_prev, (value - 20) / 100 AS motion_score_next, value / 14 AS sharpness_score, CAST(NULL AS DOUBLE) AS brightness_score, CAST(NULL AS DOUBLE) AS contrast_score, segment AS segment_id,
+'filename' AS timestamp_source, CASE WHEN n_frames = 1 THEN 'single_frame' WHEN len < {SEGMENTS.short_ms} THEN 'short_stable' ELSE 'stable' END AS segment_type, CASE WHEN is_rep OR chosen THEN segment END AS representative_for_segment, pts / 100.0::DOUBLE AS transition_contamination_score, pts >= 65 AS is_transition_contaminated,
+coalesce(nullif(concat_ws('; ', CASE WHEN inside THEN 'inside_transition_zone' END, CASE WHEN near THEN 'near_transition_edge' END, CASE WHEN hp THEN 'high_motion_prev' END, CASE WHEN hn THEN 'high_motion_next' END, CASE WHEN hp AND hn THEN 'high_motion_prev_next' END, CASE WHEN bl THEN 'low_sharpness' END), ''), 'no_signal') AS contamination_reason,
+CASE WHEN back IS NOT NULL OR (is_rep AND chosen AND (inside OR near)) THEN true END AS needs_review, CASE WHEN back IS NOT NULL THEN '{B.RECOVERED_REVIEW}' WHEN is_rep AND chosen AND (inside OR near) THEN '{B.NEAR_REVIEW}' END AS review_reason, CASE WHEN back IS NOT NULL THEN true END AS boundary_recovery, 'boundary_' || lpad(CAST(back AS VARCHAR), 4, '0') AS boundary_id, CASE WHEN chosen AND moved THEN CAST(rep AS VARCHAR) END AS replaced_representative_id FROM z""")
+def timeline_final(spark, d):
+    path = F.concat(F.lit("in/frame_"), F.col("frame_id"), F.lit(".jpg"))
+    frames = _moving(spark, d).withColumns({"path": path, "source": F.lit("filename")})
+    found = B.analyse(frames, SEGMENTS, BOUNDS, _moved(spark, d))
+    told = T.apply_changes(T.items(found.frames.withColumn("label", F.lit(None))), B.changes(found, BOUNDS))
+    label = F.concat("label", F.lit("/"), (F.col("frame_id") % 3).cast("string"))
+    shown = B.final_of(found, BOUNDS).select("job_id", "frame_id", "place").join(found.frames.select("job_id", "frame_id", "path", label.alias("label")), ["job_id", "frame_id"])
+    classes = shown.select("job_id", F.col("place").alias("idx"), "path", "label", F.when(F.col("frame_id") % 2 == 0, "typed").alias("screen_type"), (F.col("frame_id") % 7).cast("string").alias("key_text"), F.array().cast("array<string>").alias("components"), F.lit("").alias("state"))
+    return T.with_classes(told, D.first_of_meaning(classes), B.REMOVED_DUPLICATE, B.REMOVED_CONTAMINATED)
+
+
 @query(f"WITH {REPS}, l AS (SELECT r.job_id, r.seg, r.ts_ms, t.label FROM reps r JOIN tl t ON t.job_id = r.job_id AND t.idx = r.idx), p AS (SELECT *, lead(seg) OVER w AS next_seg, lead(ts_ms) OVER w AS nms, lead(label) OVER w AS nl FROM l WINDOW w AS (PARTITION BY job_id ORDER BY seg)) SELECT job_id, seg, next_seg, label FROM p WHERE nl = label AND nms - ts_ms <= {6 * HOUR}")
 def drift_pairs(spark, d):
     frames = timed_frames(spark, d)

@@ -7,6 +7,9 @@ boundaries through bins of time in the join key. So neither grows with frames ti
 
 frames have job_id, frame_id, idx and ts_ms, and may have path, motion_prev, motion_next, sharpness,
 label and screen_type; a missing one counts as null (path as frame_id).
+
+judged() has all that the other functions ask of a frame in one table, by windows over two exchanges by
+job; analyse() stores it, so that what forks from it does not scan the frames again.
 """
 
 from __future__ import annotations
@@ -18,7 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import ordinal_id
-from tidemark.operators.segments import SegmentConfig, assign, representatives, roll_up
+from tidemark.functions.store import stored
+from tidemark.operators.segments import SegmentConfig, described
 
 #: Names of issues, warnings and reasons.
 SKIPPED_BEFORE = "skipped_pre_transition_state"
@@ -29,6 +33,7 @@ WARN_CONTAMINATED = "Skipped recovery because only candidate was transition-cont
 WARN_DRIFT = "adjacent_representatives_look_like_drift"
 NEAR_REVIEW = "representative_near_transition_boundary"
 RECOVERED_REVIEW = "possible_skipped_intermediate_state"
+SHORT_REVIEW = "short_intermediate_state"
 STABLE_TYPES = ("stable", "short_stable", "single_frame")
 #: Points in hundredths for each sign that a frame shows two states at once, and the name of the sign.
 SIGNS = (("inside_transition_zone", 35), ("near_transition_edge", 25), ("high_motion_prev", 20), ("high_motion_next", 20), ("high_motion_prev_next", 15), ("low_sharpness", 10))
@@ -48,6 +53,8 @@ class BoundaryConfig:
     #: Neighbouring representatives within this time that say the same have drifted.
     drift_ms: int = 1200
     reject_contaminated: bool = True
+    preserve_short: bool = True
+    mark_recovered: bool = True
 
 
 def _with(frames: DataFrame) -> DataFrame:
@@ -57,11 +64,11 @@ def _with(frames: DataFrame) -> DataFrame:
     return frames.withColumns(missing) if missing else frames
 
 
-def detect(frames: DataFrame, segments: SegmentConfig, zones: DataFrame | None = None) -> DataFrame:
-    """Boundaries in order of time, numbered by job: motion zones (job_id, start_ms, end_ms, peak_ms, kind) and the gaps between segments."""
-    rolled = roll_up(frames, segments).join(representatives(frames, segments).select("job_id", "seg", F.col("frame_id").alias("rep")), ["job_id", "seg"])
+def _bounds(reps: DataFrame, zones: DataFrame | None) -> DataFrame:
+    """Boundaries from the representatives of described() frames, and zones."""
     by = Window.partitionBy("job_id").orderBy("seg")
     own = ["seg", "start_ms", "end_ms", "start_index", "end_index", "rep"]
+    rolled = reps.withColumn("rep", F.col("frame_id"))
     pairs = rolled.select("job_id", *own, *[F.lead(c).over(by).alias(f"next_{c}") for c in own]).where("next_seg is not null")
     start, end = F.col("end_ms"), F.col("next_start_ms")
     gaps = pairs.select(
@@ -87,6 +94,11 @@ def detect(frames: DataFrame, segments: SegmentConfig, zones: DataFrame | None =
     return found.withColumn("bnd", number).withColumn("boundary_id", ordinal_id("boundary", F.col("bnd"))).drop("rank")
 
 
+def detect(frames: DataFrame, segments: SegmentConfig, zones: DataFrame | None = None) -> DataFrame:
+    """Boundaries in order of time, numbered by job: motion zones (job_id, start_ms, end_ms, peak_ms, kind) and the gaps between segments."""
+    return _bounds(described(frames, segments).where("is_rep"), zones)
+
+
 def touched(frames: DataFrame, bounds: DataFrame, edge_ms: int) -> DataFrame:
     """Adds inside (some boundary of the job holds the frame's time) and near (some other one has an end within edge_ms)."""
     start, end = F.col("start_ms"), F.col("end_ms")
@@ -119,27 +131,64 @@ def candidate_class(contaminated: Column, segment_type: Column) -> Column:
     return F.when(contaminated, "likely_transition_contaminated").when(segment_type.isin(*STABLE_TYPES), "likely_stable_state").otherwise("uncertain")
 
 
+@dataclass(frozen=True)
+class Analysis:
+    """judged() frames, and the boundaries of their jobs."""
+
+    frames: DataFrame
+    bounds: DataFrame
+
+
+def judged(frames: DataFrame, segments: SegmentConfig, config: BoundaryConfig, zones: DataFrame | None = None, selected: DataFrame | None = None) -> DataFrame:
+    """described() and scored() frames, with what is chosen of each segment.
+
+    picked is a representative that was selected: all of them, or those in selected (job_id, frame_id).
+    chosen is the picked one, moved away from boundaries if its segment allows; moved and review (the reason to look
+    at one that had to stay) say how. free are frames that no chosen one, nor one of the same path, stands for.
+    """
+    based = described(_with(frames), segments)
+    picked = F.col("is_rep")
+    if selected is not None:
+        # Before the windows, so that they keep the exchange by job.
+        marked = _with(frames).join(selected.select("job_id", "frame_id", F.lit(True).alias("__handed")), ["job_id", "frame_id"], "left")
+        based, picked = described(marked, segments), picked & F.coalesce("__handed", F.lit(False))
+    bounds = _bounds(described(_with(frames), segments).where("is_rep"), zones)
+    rated = scored(based, bounds, config)
+    seg = Window.partitionBy("job_id", "seg")
+    doubtful = F.col("inside") | F.col("near")
+    middle = F.floor((F.col("start_ms") + F.col("end_ms")) / 2)
+    staged = rated.withColumns({"picked": picked, "doubtful": doubtful, "__far": F.coalesce(F.abs(F.col("ts_ms") - middle), F.lit(0)).cast("long"), "__quiet": F.coalesce("motion_prev", F.lit(0.0))})
+    stays = ~F.max(F.when(F.col("picked"), F.col("doubtful"))).over(seg)
+    # A safe representative itself; else the safe frame nearest to the middle; else the representative.
+    tier = F.when(stays, F.when(F.col("picked"), 0).otherwise(2)).otherwise(F.when(F.col("picked"), 1).when(F.col("doubtful") | F.col("contaminated"), 2).otherwise(0))
+    best = F.row_number().over(seg.orderBy("__tier", "__far", "__quiet", "idx")) == 1
+    held = staged.withColumns({"__tier": tier, "__held": F.max("picked").over(seg)}).withColumn("chosen", best & F.col("__held"))
+    paths = F.max("chosen").over(Window.partitionBy("job_id", "path"))
+    found = held.withColumns({
+        "moved": F.col("chosen") & ~F.col("picked"),
+        "review": F.when(F.col("chosen") & F.col("picked") & F.col("doubtful"), NEAR_REVIEW),
+        "free": ~F.col("chosen") & (F.col("path").isNull() | ~paths),
+    })
+    return found.drop("__far", "__quiet", "__tier", "__held", "__handed", "__timed")
+
+
+def analyse(frames: DataFrame, segments: SegmentConfig, config: BoundaryConfig, zones: DataFrame | None = None, selected: DataFrame | None = None) -> Analysis:
+    """judged() frames, stored, and the boundaries."""
+    kept = stored(judged(frames, segments, config, zones, selected))
+    return Analysis(kept, _bounds(kept.where("is_rep"), zones))
+
+
 def guarded(frames: DataFrame, segments: SegmentConfig, config: BoundaryConfig, zones: DataFrame | None = None) -> DataFrame:
     """The representative of each segment, moved away from boundaries if its segment allows.
 
     Adds near (the chosen frame lies in or near a boundary), moved, and review, the reason to look at
     one that had to stay.
     """
-    flagged = assign(scored(frames, detect(frames, segments, zones), config), segments)
-    doubtful = F.col("inside") | F.col("near")
-    seg = Window.partitionBy("job_id", "seg")
-    chosen = representatives(frames, segments).select("job_id", "seg", F.col("idx").alias("rep_idx"))
-    bounds_known = F.min(F.col("ts_ms").isNotNull()).over(seg) & F.col("__timed")
-    middle = F.when(bounds_known, F.floor((F.min("ts_ms").over(seg) + F.max("ts_ms").over(seg)) / 2))
-    staged = flagged.withColumns({"doubtful": doubtful, "far": F.coalesce(F.abs(F.col("ts_ms") - middle), F.lit(0)).cast("long"), "quiet": F.coalesce("motion_prev", F.lit(0.0))}).join(chosen, ["job_id", "seg"])
-    rep = F.col("idx") == F.col("rep_idx")
-    stays = ~F.max(F.when(rep, F.col("doubtful"))).over(seg)
-    # A safe representative itself; else the safe frame nearest to the middle; else the representative.
-    tier = F.when(stays, F.when(rep, 0).otherwise(2)).otherwise(F.when(rep, 1).when(F.col("doubtful") | F.col("contaminated"), 2).otherwise(0))
-    best = F.row_number().over(Window.partitionBy("job_id", "seg").orderBy("tier", "far", "quiet", "idx"))
-    picked = staged.withColumn("tier", tier).withColumn("__n", best).where("__n = 1")
-    kept = F.col("idx") == F.col("rep_idx")
-    return picked.select("job_id", "seg", "frame_id", "idx", "ts_ms", "path", "label", "screen_type", F.col("doubtful").alias("near"), (~kept).alias("moved"), F.when(kept & F.col("doubtful"), NEAR_REVIEW).alias("review"))
+    return chosen_of(judged(frames, segments, config, zones))
+
+
+def chosen_of(found: DataFrame) -> DataFrame:
+    return found.where("chosen").select("job_id", "seg", "frame_id", "idx", "ts_ms", "path", "label", "screen_type", F.col("doubtful").alias("near"), "moved", "review")
 
 
 def candidates(frames: DataFrame, segments: SegmentConfig, config: BoundaryConfig, zones: DataFrame | None = None) -> DataFrame:
@@ -149,25 +198,23 @@ def candidates(frames: DataFrame, segments: SegmentConfig, config: BoundaryConfi
     first `most` stable ones of different paths, contaminated or rejected for others before the last
     of these, and null for what was not looked at any more or repeats a path.
     """
-    frames = _with(frames)
-    bounds = detect(frames, segments, zones)
-    kinds = roll_up(frames, segments).select("job_id", "seg", "segment_type")
-    # assign() numbers the rows by segment, roll_up() tells the kind of each.
-    rated = assign(scored(frames, bounds, config), segments).join(kinds, ["job_id", "seg"])
-    reps = guarded(frames, segments, config, zones).select("job_id", "idx", "path")
-    rest = rated.join(reps.select("job_id", "idx"), ["job_id", "idx"], "left_anti").join(reps.select("job_id", "path"), ["job_id", "path"], "left_anti")
-    rest = rest.select("job_id", "frame_id", "idx", "ts_ms", "path", candidate_class(F.col("contaminated"), F.col("segment_type")).alias("class"))
+    return candidates_of(analyse(frames, segments, config, zones), config)
+
+
+def candidates_of(found: Analysis, config: BoundaryConfig) -> DataFrame:
+    rest = found.frames.where("free").select("job_id", "frame_id", "idx", "ts_ms", "path", candidate_class(F.col("contaminated"), F.col("segment_type")).alias("class"))
     sides = F.array(
         F.struct(F.lit(0).alias("side"), (F.col("start_ms") - config.before_ms).alias("lo"), (F.col("start_ms") - config.edge_ms).alias("hi")),
         F.struct(F.lit(1).alias("side"), (F.col("end_ms") + config.edge_ms).alias("lo"), (F.col("end_ms") + config.after_ms).alias("hi")),
     )
     width = max(config.before_ms, config.after_ms) + 1
-    spans = bounds.select("job_id", "bnd", F.explode(sides).alias("x")).select("job_id", "bnd", "x.*").where("lo <= hi")
+    spans = found.bounds.select("job_id", "bnd", F.explode(sides).alias("x")).select("job_id", "bnd", "x.*").where("lo <= hi")
     binned = spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
     met = rest.withColumn("bin", F.floor(F.col("ts_ms") / width)).join(binned, ["job_id", "bin"]).where("ts_ms between lo and hi")
+    # One exchange by boundary serves all three windows.
     by, stable = Window.partitionBy("job_id", "bnd"), F.col("class") == "likely_stable_state"
     first_of_path = F.row_number().over(Window.partitionBy("job_id", "bnd", "path", "class").orderBy("side", "idx"))
-    counted = met.withColumn("new", stable & (first_of_path == 1))
+    counted = met.repartition("job_id", "bnd").withColumn("new", stable & (first_of_path == 1))
     so_far = by.orderBy("side", "idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = F.sum(F.when(F.col("new"), 1).otherwise(0)).over(so_far) - F.when(F.col("new"), 1).otherwise(0)
     # A path that has been recovered is not looked at again.
@@ -184,8 +231,11 @@ def recovered(frames: DataFrame, segments: SegmentConfig, config: BoundaryConfig
 
 def report(frames: DataFrame, segments: SegmentConfig, config: BoundaryConfig, zones: DataFrame | None = None) -> DataFrame:
     """The boundaries with what became of their candidates: ids, issue_detected, issue_type and warnings."""
-    frames = _with(frames)
-    looked = candidates(frames, segments, config, zones)
+    return report_of(analyse(frames, segments, config, zones), config)
+
+
+def report_of(analysis: Analysis, config: BoundaryConfig) -> DataFrame:
+    looked = candidates_of(analysis, config)
     ids = lambda *which: F.transform(F.array_sort(F.collect_list(F.when(F.col("outcome").isin(*which), F.struct("side", "idx", "frame_id")))), lambda x: x["frame_id"])
     rejected = ("rejected", "contaminated") if config.reject_contaminated else ("rejected",)
     found = looked.groupBy("job_id", "bnd").agg(
@@ -194,12 +244,13 @@ def report(frames: DataFrame, segments: SegmentConfig, config: BoundaryConfig, z
         ids("contaminated").alias("contaminated"),
         F.min_by("ts_ms", F.when(F.col("outcome") == "recovered", F.struct("side", "idx"))).alias("first_ms"),
     )
-    reps = guarded(frames, segments, config, zones)
-    side = lambda name: reps.select("job_id", F.col("frame_id").alias(f"{name}_rep"), *[F.col(c).alias(f"{name}_{c}") for c in ("ts_ms", "path", "label", "screen_type")])
-    bounds = detect(frames, segments, zones).join(side("before"), ["job_id", "before_rep"], "left").join(side("after"), ["job_id", "after_rep"], "left")
+    # A representative counts on a boundary as long as the guard has not moved it.
+    stayed = analysis.frames.where("chosen and is_rep")
+    side = lambda name: stayed.select("job_id", F.col("frame_id").alias(f"{name}_rep"), *[F.col(c).alias(f"{name}_{c}") for c in ("ts_ms", "path", "label", "screen_type")])
+    bounds = analysis.bounds.join(side("before"), ["job_id", "before_rep"], "left").join(side("after"), ["job_id", "after_rep"], "left")
     close = (F.abs(F.col("after_ts_ms") - F.col("before_ts_ms")) <= config.drift_ms) & (F.col("before_label") == F.col("after_label"))
     drift = F.coalesce((F.col("before_path") == F.col("after_path")) | close & (F.coalesce("before_screen_type", F.lit("")) == F.coalesce("after_screen_type", F.lit(""))), F.lit(False))
-    nothing = F.array().cast(f"array<{frames.schema['frame_id'].dataType.simpleString()}>")
+    nothing = F.array().cast(f"array<{analysis.frames.schema['frame_id'].dataType.simpleString()}>")
     joined = bounds.withColumn("drift", drift).join(found, ["job_id", "bnd"], "left").withColumns({c: F.coalesce(c, nothing) for c in ("recovered", "rejected", "contaminated")})
     any_back, lost = F.size("recovered") > 0, (F.size("contaminated") > 0) & (F.size("recovered") == 0)
     issue = F.when(lost, ONLY_CONTAMINATED).when(any_back & (F.col("first_ms") <= F.col("start_ms")), SKIPPED_BEFORE).when(any_back, SKIPPED_AFTER).when(F.col("drift"), REPEATED)
@@ -208,10 +259,21 @@ def report(frames: DataFrame, segments: SegmentConfig, config: BoundaryConfig, z
     return joined.select(*keep, issue.isNotNull().alias("issue_detected"), issue.alias("issue_type"), warned.alias("warnings"))
 
 
-def summary(frames: DataFrame, segments: SegmentConfig, config: BoundaryConfig, zones: DataFrame | None = None) -> DataFrame:
-    """One row a job: boundaries, issues, recovered and rejected candidates, contaminated frames, doubtful representatives, warnings."""
-    listed = report(frames, segments, config, zones)
-    each = listed.groupBy("job_id").agg(
+def short_extra(found: Analysis, config: BoundaryConfig) -> DataFrame:
+    """Representatives of short segments between others that were not selected and are not contaminated."""
+    last = F.max("seg").over(Window.partitionBy("job_id"))
+    reps = found.frames.where("is_rep").withColumn("__last", last)
+    extra = reps.where((F.col("segment_type") == "short_stable") & (F.col("seg") > 1) & (F.col("seg") < F.col("__last")) & ~F.col("picked") & ~F.col("contaminated"))
+    return extra.drop("__last").where(F.lit(config.preserve_short))
+
+
+def summary(frames: DataFrame, segments: SegmentConfig, config: BoundaryConfig, zones: DataFrame | None = None, selected: DataFrame | None = None) -> DataFrame:
+    """One row a job: boundaries, issues, recovered and rejected candidates, contaminated frames, doubtful representatives, short states brought back, warnings."""
+    return summary_of(analyse(frames, segments, config, zones, selected), config)
+
+
+def summary_of(found: Analysis, config: BoundaryConfig, listed: DataFrame | None = None) -> DataFrame:
+    each = (report_of(found, config) if listed is None else listed).groupBy("job_id").agg(
         F.count("*").alias("boundaries_detected"),
         F.count_if("issue_detected").alias("issues_detected"),
         F.sum(F.size("recovered")).alias("recovered_states"),
@@ -219,20 +281,67 @@ def summary(frames: DataFrame, segments: SegmentConfig, config: BoundaryConfig,
         # In order of the boundaries that first have them.
         F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("bnd", "warnings"))), lambda x: x["warnings"]))).alias("warnings"),
     )
-    frames_of = scored(frames, detect(frames, segments, zones), config).groupBy("job_id").agg(F.count_if("contaminated").alias("contaminated_frames"))
-    doubtful = guarded(frames, segments, config, zones).groupBy("job_id").agg(F.count("review").alias("edge_warnings"))
-    joined = frames_of.join(doubtful, "job_id", "left").join(each, "job_id", "left")
-    counts = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("boundaries_detected", "issues_detected", "recovered_states", "candidates_rejected", "edge_warnings")}
+    of_frames = found.frames.groupBy("job_id").agg(F.count_if("contaminated").alias("contaminated_frames"), F.count("review").alias("edge_warnings"))
+    short = short_extra(found, config).groupBy("job_id").agg(F.count("*").alias("short_state_preserved"))
+    joined = of_frames.join(each, "job_id", "left").join(short, "job_id", "left")
+    counts = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("boundaries_detected", "issues_detected", "recovered_states", "candidates_rejected", "edge_warnings", "short_state_preserved")}
     return joined.withColumns(counts | {"warnings": F.coalesce("warnings", F.array().cast("array<string>"))})
 
 
-def final(frames: DataFrame, segments: SegmentConfig, config: BoundaryConfig, zones: DataFrame | None = None) -> DataFrame:
-    """Representatives and recovered frames, once each, in time order; times counts how often one was recovered."""
-    back = recovered(frames, segments, config, zones).groupBy("job_id", "frame_id", "idx", "ts_ms").agg(F.count("*").alias("times"), F.max("bnd").alias("boundary"))
-    back = back.withColumn("review", F.lit(RECOVERED_REVIEW))
-    kept = guarded(frames, segments, config, zones).select("job_id", "frame_id", "idx", "ts_ms", F.lit(0).cast("long").alias("times"), F.lit(None).cast("int").alias("boundary"), "review")
+def brought_back(found: Analysis, config: BoundaryConfig) -> DataFrame:
+    """Frames that are brought back by boundaries, once each: times, and the last boundary that does."""
+    looked = candidates_of(found, config).where("outcome = 'recovered'")
+    return looked.groupBy("job_id", "frame_id", "idx", "ts_ms").agg(F.count("*").alias("times"), F.max("bnd").alias("boundary"))
+
+
+def final(frames: DataFrame, segments: SegmentConfig, config: BoundaryConfig, zones: DataFrame | None = None, selected: DataFrame | None = None) -> DataFrame:
+    """Representatives, recovered frames and short states, once each, in time order; times counts how often one was recovered."""
+    return final_of(analyse(frames, segments, config, zones, selected), config)
+
+
+def final_of(found: Analysis, config: BoundaryConfig) -> DataFrame:
+    who = ["job_id", "frame_id", "idx", "ts_ms"]
+    none = {"times": F.lit(0).cast("long"), "boundary": F.lit(None).cast("int")}
+    kept = found.frames.where("chosen").withColumns(none).select(*who, "times", "boundary", "review", F.lit(0).alias("stage"))
+    back = brought_back(found, config).withColumn("review", F.lit(RECOVERED_REVIEW if config.mark_recovered else None).cast("string")).select(*who, "times", "boundary", "review", F.lit(1).alias("stage"))
+    short = short_extra(found, config).withColumns(none).select(*who, "times", "boundary", F.lit(SHORT_REVIEW).alias("review"), F.lit(2).alias("stage"))
+    # A short state that a boundary brings back too is there once; what is said last of it holds.
+    job = Window.partitionBy("job_id", "frame_id")
+    merged = kept.unionByName(back).unionByName(short).repartition("job_id").withColumns({"__n": F.row_number().over(job.orderBy(F.desc("stage"))), "times": F.max("times").over(job), "boundary": F.max("boundary").over(job)}).where("__n = 1")
     place = F.row_number().over(Window.partitionBy("job_id").orderBy(F.coalesce("ts_ms", F.lit(10**12)), "idx"))
-    return kept.unionByName(back).withColumn("place", place)
+    return merged.drop("__n", "stage").withColumn("place", place)
+
+
+#: Reasons to keep and to remove a frame.
+KEPT_STABLE, KEPT_SINGLE, KEPT_RECOVERED, KEPT_SHORT = "stable_segment_representative", "single_frame_segment", "recovered_boundary_state", "short_state_preserved"
+REMOVED_REST, REMOVED_MOVED, REMOVED_CONTAMINATED, REMOVED_DUPLICATE = "non_representative_segment_frame", "representative_replaced_near_transition_boundary", "transition_contaminated", "duplicate_removed_by_classifier"
+
+
+def changes(found: Analysis, config: BoundaryConfig) -> DataFrame:
+    """What segments, the edge guard, recovery and short states each say of frames (see timeline.apply_changes): stage 1 to 4."""
+    frames = found.frames
+    says = lambda **values: [F.struct(v.alias("value")).alias(c) for c, v in values.items()]
+    text = lambda v: F.lit(v).cast("string")
+    fate = lambda final, keep, remove: says(status=text("final" if final else "removed"), is_final=F.lit(final), keep_reason=keep, remove_reason=remove)
+    who = ["job_id", "frame_id"]
+    review = lambda reason: says(needs_review=F.lit(True), review_reason=reason)
+    segment = ordinal_id("segment", F.col("seg"))
+    of_segment = says(segment_id=segment, segment_type=F.col("segment_type"))
+    single = F.when(F.col("n_frames") == 1, KEPT_SINGLE).otherwise(KEPT_STABLE)
+    score = says(transition_contamination_score=F.col("points") / 100, is_transition_contaminated=F.col("contaminated"), contamination_reason=F.col("reason"))
+    stage = lambda n: F.lit(n).alias("stage")
+    reps = frames.where("is_rep").select(*who, stage(1), *fate(True, single, text(None)), *of_segment, *score, *says(representative_for_segment=segment))
+    others = frames.where("not is_rep").select(*who, stage(1), *fate(False, text(None), text(REMOVED_REST)), *of_segment, *score)
+    moved = F.max("moved").over(Window.partitionBy("job_id", "seg"))
+    rep = F.max(F.when(F.col("picked"), F.col("frame_id").cast("string"))).over(Window.partitionBy("job_id", "seg"))
+    guard = frames.withColumns({"__moved": moved, "__rep": rep})
+    # The one that takes over keeps the reason that it was removed for.
+    taken = guard.where("moved").select(*who, stage(2), *says(status=text("final"), is_final=F.lit(True), keep_reason=text(KEPT_STABLE), representative_for_segment=segment, replaced_representative_id=F.col("__rep")))
+    left = guard.where("picked and __moved").select(*who, stage(2), *fate(False, text(None), text(REMOVED_MOVED)))
+    stayed = frames.where("review is not null").select(*who, stage(2), *review(F.col("review")))
+    back = brought_back(found, config).select(*who, stage(3), *fate(True, text(KEPT_RECOVERED), text(None)), *says(boundary_recovery=F.lit(True), boundary_id=ordinal_id("boundary", F.col("boundary"))), *(review(text(RECOVERED_REVIEW)) if config.mark_recovered else []))
+    short = short_extra(found, config).select(*who, stage(4), *fate(True, text(KEPT_SHORT), text(None)), *review(text(SHORT_REVIEW)))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [reps, others, taken, left, stayed, back, short])
 
 
 def drifting(chosen: DataFrame, within_ms: int) -> DataFrame:

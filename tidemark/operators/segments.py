@@ -34,19 +34,36 @@ def roll_up(frames: DataFrame, config: SegmentConfig) -> DataFrame:
     return rolled.withColumns({"segment_id": ordinal_id("segment", F.col("seg")), "duration_ms": length, "segment_type": kind, "frame_ids": F.col("frames.frame_id")}).drop("frames")
 
 
-def representatives(frames: DataFrame, config: SegmentConfig) -> DataFrame:
-    """One frame a segment: the one nearest to the middle, away from the ends where there is such a frame."""
+def described(frames: DataFrame, config: SegmentConfig) -> DataFrame:
+    """assign() with what each frame's segment is: bounds, frames, type, and whether the frame is its representative.
+
+    The representative is the frame nearest to the middle, away from the ends where there is such a frame.
+    All of it is windows over the job's one exchange.
+    """
     seg = Window.partitionBy("job_id", "seg")
-    order = Window.partitionBy("job_id", "seg").orderBy("idx")
-    staged = assign(frames, config).withColumns({"st": F.min("ts_ms").over(seg), "en": F.max("ts_ms").over(seg), "size": F.count("*").over(seg), "pos": F.row_number().over(order)})
-    inner = F.when(F.col("ts_ms").between(F.col("st") + config.guard_ms, F.col("en") - config.guard_ms), 1).otherwise(0)
-    middle = F.floor((F.col("st") + F.col("en")) / 2)
-    ranked = staged.withColumns({"inner": inner, "far": F.coalesce(F.abs(F.col("ts_ms") - middle), F.lit(0)).cast("long")}).withColumn("any_inner", F.max("inner").over(seg))
-    at_end = (F.col("pos") == 1) | (F.col("pos") == F.col("size"))
-    tier = F.when(F.col("size") == 1, 0).when(F.col("any_inner") == 1, 1 - F.col("inner")).when((F.col("size") >= 3) & at_end, 1).otherwise(0)
-    best = F.row_number().over(Window.partitionBy("job_id", "seg").orderBy(tier, "far", "idx"))
-    chosen = ranked.withColumn("__n", best).where("__n = 1")
-    return chosen.select("job_id", "seg", "frame_id", "idx", "ts_ms", "st", "en", F.col("size").alias("n_frames"))
+    bound = lambda f, c: F.when(F.col("__timed"), f(c).over(seg))
+    staged = assign(frames, config).withColumns({
+        "start_index": F.min("idx").over(seg), "end_index": F.max("idx").over(seg), "start_ms": bound(F.min, "ts_ms"), "end_ms": bound(F.max, "ts_ms"),
+        "n_frames": F.count("*").over(seg), "__pos": F.row_number().over(seg.orderBy("idx")),
+    })
+    length = F.col("end_ms") - F.col("start_ms")
+    kind = F.when(F.col("n_frames") == 1, "single_frame").when(length.isNull(), "uncertain").when(length < config.short_ms, "short_stable").otherwise("stable")
+    inner = F.when(F.col("ts_ms").between(F.col("start_ms") + config.guard_ms, F.col("end_ms") - config.guard_ms), 1).otherwise(0)
+    middle = F.floor((F.col("start_ms") + F.col("end_ms")) / 2)
+    # Without times: the middle one of those that are not at an end, or of two the second.
+    slot = F.when(F.col("n_frames") >= 3, F.floor((F.col("n_frames") - 2) / 2) + 2).otherwise(F.floor(F.col("n_frames") / 2) + 1)
+    far = F.when(middle.isNull(), F.abs(F.col("__pos") - slot)).otherwise(F.coalesce(F.abs(F.col("ts_ms") - middle), F.lit(0))).cast("long")
+    ranked = staged.withColumns({"segment_type": kind, "__inner": inner, "__far": far}).withColumn("__any", F.max("__inner").over(seg))
+    at_end = (F.col("__pos") == 1) | (F.col("__pos") == F.col("n_frames"))
+    tier = F.when(F.col("n_frames") == 1, 0).when(F.col("__any") == 1, 1 - F.col("__inner")).when((F.col("n_frames") >= 3) & at_end, 1).otherwise(0)
+    best = F.row_number().over(seg.orderBy(tier, "__far", "idx"))
+    return ranked.withColumn("is_rep", best == 1).drop("__pos", "__inner", "__far", "__any")
+
+
+def representatives(frames: DataFrame, config: SegmentConfig) -> DataFrame:
+    """One frame a segment (see described())."""
+    chosen = described(frames, config).where("is_rep")
+    return chosen.select("job_id", "seg", "frame_id", "idx", "ts_ms", F.col("start_ms").alias("st"), F.col("end_ms").alias("en"), "n_frames")
 
 
 def warnings(frames: DataFrame, config: SegmentConfig) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.store import stored
 from tidemark.operators import boundaries, segments, timeline
 from tidemark.operators.manifest import NO_IMAGE
 
@@ -45,9 +46,10 @@ def segment_documents(frames: DataFrame, config: segments.SegmentConfig) -> Data
 
 def boundary_documents(frames: DataFrame, config: segments.SegmentConfig, bounds: boundaries.BoundaryConfig, zones: DataFrame | None = None) -> DataFrame:
     """The summary of each job and its boundaries with what became of their candidates."""
-    report = boundaries.report(frames, config, bounds, zones)
+    found = boundaries.analyse(frames, config, bounds, zones)
+    report = stored(boundaries.report_of(found, bounds))
     listed = report.groupBy("job_id").agg(_listed("bnd", *[c for c in report.columns if c not in ("job_id", "bnd")]).alias("boundaries"))
-    return boundaries.summary(frames, config, bounds, zones).join(listed, "job_id", "left").withColumn("version", F.lit(VERSION))
+    return boundaries.summary_of(found, bounds, report).join(listed, "job_id", "left").withColumn("version", F.lit(VERSION))
 
 
 #: The parts of an analysis that a session profile takes over.
