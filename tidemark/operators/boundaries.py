@@ -99,27 +99,67 @@ def detect(frames: DataFrame, segments: SegmentConfig, zones: DataFrame | None =
     return _bounds(described(frames, segments).where("is_rep"), zones)
 
 
-def touched(frames: DataFrame, bounds: DataFrame, edge_ms: int) -> DataFrame:
-    """Adds inside (some boundary of the job holds the frame's time) and near (some other one has an end within edge_ms)."""
-    start, end = F.col("start_ms"), F.col("end_ms")
+def _spans(start: Column, end: Column, edge_ms: int) -> Column:
+    """The intervals (lo, hi, inner) in which a time lies in a boundary, or near one of its ends."""
     interval = lambda lo, hi, inner: F.struct(lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), F.lit(inner).alias("inner"))
     whole = F.array(interval(start, end, True), interval(start - edge_ms, start - 1, False), interval(end + 1, end + edge_ms, False))
     # A boundary without one of its ends, or with ends in the wrong order, holds nothing.
     broken = F.array(interval(start - edge_ms, start + edge_ms, False), interval(end - edge_ms, end + edge_ms, False))
-    spans = bounds.select("job_id", F.explode(F.when(start <= end, whole).otherwise(broken)).alias("x")).where("x.lo is not null and x.lo <= x.hi")
-    row = F.struct(*[F.col(f"`{c}`") for c in frames.columns])
-    events = frames.select("job_id", F.col("ts_ms").alias("at"), F.lit(1).alias("turn"), row.alias("row"), F.lit(None).cast("long").alias("inner_end"), F.lit(None).cast("long").alias("near_end")).unionByName(
-        spans.select("job_id", F.col("x.lo").alias("at"), F.lit(0).alias("turn"), F.when(F.col("x.inner"), F.col("x.hi")).alias("inner_end"), F.when(~F.col("x.inner"), F.col("x.hi")).alias("near_end")), allowMissingColumns=True
-    )
-    so_far = Window.partitionBy("job_id").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return F.filter(F.when(start <= end, whole).otherwise(broken), lambda x: x["lo"].isNotNull() & (x["lo"] <= x["hi"]))
+
+
+def _event(at: Column, row: Column, inner_end: Column, near_end: Column) -> Column:
+    """Something at a time: a frame (row), or the begin of an interval and its end."""
+    return F.struct(at.alias("at"), row.alias("row"), inner_end.cast("long").alias("inner_end"), near_end.cast("long").alias("near_end"))
+
+
+def _begins(spans: Column, no_row: Column) -> Column:
+    return F.transform(spans, lambda x: _event(x["lo"], no_row, F.when(x["inner"], x["hi"]), F.when(~x["inner"], x["hi"])))
+
+
+def _met(events: DataFrame) -> DataFrame:
+    """The frames of events, with inside and near: an interval that began before is still open."""
+    so_far = Window.partitionBy("job_id").orderBy("at", F.col("row").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     still = lambda c: F.coalesce(F.max(c).over(so_far) >= F.col("at"), F.lit(False))
-    met = events.withColumns({"inside": still("inner_end"), "near": still("near_end")}).where("turn = 1")
-    return met.select("row.*", "inside", "near")
+    return events.withColumns({"inside": still("inner_end"), "near": still("near_end")}).where("row is not null").select("row.*", "inside", "near")
+
+
+def _rows_of(frames: DataFrame) -> tuple[Column, Column]:
+    row = F.struct(*[F.col(f"`{c}`") for c in frames.columns])
+    return row, F.when(F.lit(False), row)
+
+
+def _begun(frames: DataFrame, bounds: DataFrame, edge_ms: int) -> DataFrame:
+    none = F.lit(None).cast(frames.select(_rows_of(frames)[0].alias("row")).schema["row"].dataType)
+    spans = bounds.select("job_id", F.explode(_begins(_spans(F.col("start_ms"), F.col("end_ms"), edge_ms), none)).alias("x"))
+    return spans.select("job_id", "x.*")
+
+
+def touched(frames: DataFrame, bounds: DataFrame, edge_ms: int) -> DataFrame:
+    """Adds inside (some boundary of the job holds the frame's time) and near (some other one has an end within edge_ms)."""
+    nothing = F.lit(None)
+    own = frames.select("job_id", _event(F.col("ts_ms"), _rows_of(frames)[0], nothing, nothing).alias("x")).select("job_id", "x.*")
+    return _met(own.unionByName(_begun(frames, bounds, edge_ms)))
+
+
+def _touched_by_gaps(frames: DataFrame, zones: DataFrame | None, edge_ms: int) -> DataFrame:
+    """touched() of described() frames by their own gaps and by zones: the last frame of a segment brings the gap after it along, so that nothing is computed twice."""
+    by = Window.partitionBy("job_id").orderBy("idx")
+    row, no_row = _rows_of(frames)
+    nothing = F.lit(None)
+    after = frames.withColumns({"__row": row, "__seg": F.lead("seg").over(by), "__start": F.lead("start_ms").over(by)})
+    gap = _begins(_spans(F.col("end_ms"), F.col("__start"), edge_ms), no_row)
+    own = F.array(_event(F.col("ts_ms"), F.col("__row"), nothing, nothing))
+    events = after.select("job_id", F.explode(F.when((F.col("idx") == F.col("end_index")) & F.col("__seg").isNotNull(), F.concat(own, gap)).otherwise(own)).alias("x")).select("job_id", "x.*")
+    return _met(events if zones is None else events.unionByName(_begun(frames, zones, edge_ms)))
 
 
 def scored(frames: DataFrame, bounds: DataFrame, config: BoundaryConfig) -> DataFrame:
     """touched() with points (hundredths, at most 100), contaminated, hard and reason."""
-    found = touched(_with(frames), bounds, config.edge_ms)
+    return _scored(touched(_with(frames), bounds, config.edge_ms), config)
+
+
+def _scored(found: DataFrame, config: BoundaryConfig) -> DataFrame:
     high = [F.coalesce(F.col(c) >= config.high_motion, F.lit(False)) for c in ("motion_prev", "motion_next")]
     signs = [F.col("inside"), F.col("near"), *high, high[0] & high[1], F.coalesce(F.col("sharpness") < config.low_sharpness, F.lit(False))]
     points = F.least(reduce(Column.__add__, [F.when(c, n).otherwise(0) for c, (_, n) in zip(signs, SIGNS, strict=True)]), F.lit(100))
@@ -152,8 +192,7 @@ def judged(frames: DataFrame, segments: SegmentConfig, config: BoundaryConfig, z
         # Before the windows, so that they keep the exchange by job.
         marked = _with(frames).join(selected.select("job_id", "frame_id", F.lit(True).alias("__handed")), ["job_id", "frame_id"], "left")
         based, picked = described(marked, segments), picked & F.coalesce("__handed", F.lit(False))
-    bounds = _bounds(described(_with(frames), segments).where("is_rep"), zones)
-    rated = scored(based, bounds, config)
+    rated = _scored(_touched_by_gaps(based, zones, config.edge_ms), config)
     seg = Window.partitionBy("job_id", "seg")
     doubtful = F.col("inside") | F.col("near")
     middle = F.floor((F.col("start_ms") + F.col("end_ms")) / 2)
