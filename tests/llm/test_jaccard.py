@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -62,11 +63,9 @@ def test_near_duplicates_by_similarity(spark, source):
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), DATA).count() == 0
 
 
-@pytest.mark.parametrize("pairs, shard", [(2, 8192), (8, 4)])
-def test_large_shards(spark, monkeypatch, pairs, shard):
+@pytest.mark.parametrize("pairs, members, shard", [(2, 2048, 8192), (8, 16, 4), (48, 2048, 8192)])
+def test_large_shards(spark, pairs, members, shard):
     """Every shard counts as large, or is cut in parts: no near copy of a text is lost, and none is made up."""
-    monkeypatch.setattr(simhash, "PAIRS", pairs)
-    monkeypatch.setattr(jaccard, "SHARD_TEXTS", shard)
     rng = random.Random(2)
     base = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(200)]
     rows = [(0, " ".join(base))]
@@ -76,5 +75,43 @@ def test_large_shards(spark, monkeypatch, pairs, shard):
             other[at] = f"x{i}y{at}"
         rows.append((i, " ".join(other)))
     rows += [(1000 + i, f"own{i} " + " ".join(base[:60]) + " " + " ".join(f"z{i}w{k}" for k in range(100))) for i in range(60)]
-    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), 5, pairs, members, shard)
     assert sorted(r.doc_id for r in kept.collect()) == plain(rows) == [0, *range(1000, 1060)]
+
+
+@pytest.mark.parametrize("pairs, members, shard", [(48, 2048, 8192), (4, 8, 20)])
+def test_families_of_copies(spark, pairs, members, shard):
+    """Families of 60 texts: 30 bases and their copies, about as unlike as near copies may be, over one passage."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for f in range(12):
+        base = [word() for _ in range(200)]
+        for i in range(30):
+            one = list(base)
+            for at in rng.sample(range(200), 12):
+                one[at] = word()
+            other = list(one)
+            for at in rng.sample(range(200), rng.randrange(2, 5)):
+                other[at] = word()
+            rows += [(len(rows), " ".join(one)), (len(rows) + 1, " ".join(other))]
+    # Short texts, where a signature of few shingles is rough.
+    for i in range(40):
+        one = [word() for _ in range(rng.randrange(8, 14))]
+        rows += [(len(rows), " ".join(one)), (len(rows) + 1, " ".join([*one, word()]))]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(6).checkpoint(), 5, pairs, members, shard)
+    assert sorted(r.doc_id for r in kept.collect()) == plain(rows)
+
+
+def test_signatures_lose_no_near_pair():
+    """Sets of similarity 4/5 and a little more, of all sizes."""
+    rng = np.random.default_rng(4)
+    for n in (4, 5, 9, 30, 64, 120, 128, 140, 300, 2000):
+        for _ in range(60):
+            both = rng.integers(0, 2**64, n, dtype=np.uint64)
+            spare = n // 9
+            a, b = both[: n - (n - spare * 8) // 2] if n < 18 else both[spare:], both if n < 18 else both[: n - spare]
+            if 5 * len(np.intersect1d(a, b)) < 4 * len(np.union1d(a, b)):
+                continue
+            signed = tuple(np.array(v) for v in zip(*(jaccard.signatures(np.unique(v)) for v in (a, b)), strict=True))
+            assert jaccard.may_be_alike(signed, np.array([len(a), len(b)]), np.array([0]), np.array([1])).all()

@@ -74,7 +74,7 @@ class Frequent:
         return known, np.where(known, self.parts[at], 1)
 
 
-def frequent(docs: DataFrame, words: int) -> Frequent:
+def frequent(docs: DataFrame, words: int, shard_texts: int = SHARD_TEXTS) -> Frequent:
     """The shingles that stand in many texts, from a sample."""
     share = max(16, docs.count() // SAMPLE_TEXTS)
 
@@ -89,7 +89,7 @@ def frequent(docs: DataFrame, words: int) -> Frequent:
     top = counted.where(F.col("n") >= least_count(counted, FREQUENT_KEYS)).toArrow()
     x, n = top["x"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(x)
-    return Frequent(x[order], 1 + n[order] * share // SHARD_TEXTS)
+    return Frequent(x[order], 1 + n[order] * share // shard_texts)
 
 
 def prefix(shingles: np.ndarray, known: Frequent) -> tuple[np.ndarray, np.ndarray, int]:
@@ -113,6 +113,39 @@ def sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.select(F.col("text").cast("string").alias("text")).mapInArrow(made, "code long, shingles array<long>")
 
 
+#: Bits of a set's parity map and of its SimHash; both as words of 64.
+MAP_BITS = 128
+#: SimHashes of two sets of 4/5 are acos(8/9)/pi of their bits apart, 19 +- 4; more than so many with a probability below 1e-9.
+FAR_BITS = 48
+#: Shingles from which a SimHash is as good as its normal limit. (Parity maps tell smaller sets apart.)
+HASHED = 128
+
+
+def signatures(shingles: np.ndarray) -> np.ndarray:
+    """Two words of a set's parity map, and two of its SimHash (each shingle once)."""
+    parity = np.packbits((np.bincount((shingles >> np.uint64(7)).astype(np.int64) % MAP_BITS, minlength=MAP_BITS) & 1).astype(np.uint8)).view(np.uint64)
+    with np.errstate(over="ignore"):
+        mixed = shingles * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    counts = np.zeros(128, dtype=np.int64)
+    for at in range(0, len(shingles), 8192):
+        part = slice(at, at + 8192)
+        counts[:64] += np.unpackbits(shingles[part].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        counts[64:] += np.unpackbits(mixed[part].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return np.concatenate((parity, np.packbits(2 * counts > len(shingles)).view(np.uint64)))
+
+
+def may_be_alike(signed: tuple[np.ndarray, ...], n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets at places a and b can have a similarity of 4/5: by size and parity map for certain, large ones also by SimHash.
+
+    A shingle that only one of two sets has changes one bit of a parity map, so maps differ in no more bits than sets in shingles.
+    """
+    x, y = n[a], n[b]
+    apart = lambda i: np.bitwise_count((signed[i][a] ^ signed[i][b]).view(np.uint64)).astype(np.int64)
+    found = (5 * np.minimum(x, y) >= 4 * np.maximum(x, y)) & (9 * (apart(0) + apart(1)) <= x + y)
+    return found & ((np.minimum(x, y) < HASHED) | (apart(2) + apart(3) <= FAR_BITS))
+
+
 def alike(pairs: DataFrame) -> DataFrame:
     """The pairs (a, b, sa, sb) of a similarity of 4/5 or more, as (a, b)."""
     common = F.size(F.array_intersect("sa", "sb"))

@@ -192,14 +192,16 @@ def classes(docs: DataFrame, words: int, radius: int) -> DataFrame:
     return dealt_join(coded, rooted.join(smallest, "root").select("fp", "component_id"), ["fp"]).select("doc_id", "fp", "component_id")
 
 
-#: Near copies of a similarity of 4/5 have fingerprints 10 +- 3 bits apart, unlike texts 32 +- 4.
-NEAR_BITS = 20
-#: Growing radii of the trees of large shards.
-RADII = (4, 10, NEAR_BITS)
-#: Texts of a shard that are compared all with all; larger shards are searched by trees.
+#: Growing radii of the trees of large shards, in bits of a SimHash of 64.
+RADII = (4, 10, 20)
+#: Texts of a shard that are compared all with all at once; larger shards are searched by trees first.
 PAIRS = 48
+#: Texts of a component that one task holds to compare others with.
+MEMBERS = 2048
 #: Rows whose places are broadcast.
 BROADCAST_ROWS = 500_000
+#: Words of the signatures of a set (see jaccard.signatures).
+SIGNED = ("p0", "p1", "f0", "f1")
 
 
 def _profiles(rows: DataFrame, row: str, words: int, known: jaccard.Frequent) -> DataFrame:
@@ -222,6 +224,10 @@ def _profiles(rows: DataFrame, row: str, words: int, known: jaccard.Frequent) ->
     return rows.select("doc_id", row, F.col("text").cast("string").alias("text")).mapInArrow(made, f"doc_id {kind}, row long, code long, n int, common int, cut_up array<long>")
 
 
+SHARD = "x long, part int, parts int, code long, n int, common int, p0 long, p1 long, f0 long, f1 long"
+_SHARD_NAMES = [f.split(" ")[0] for f in SHARD.split(", ")]
+
+
 def _shards(rows: DataFrame, words: int, known: jaccard.Frequent) -> DataFrame:
     """A row for each shard (x, part) that a text is in: those of the prefix of its shingle set."""
     shared = rows.sparkSession.sparkContext.broadcast(known)
@@ -230,75 +236,171 @@ def _shards(rows: DataFrame, words: int, known: jaccard.Frequent) -> DataFrame:
         for batch in batches:
             held: list[tuple[np.ndarray, ...]] = []
             for text in batch.column("text"):
-                found = hashes(text.as_py(), words)
-                own = np.unique(found)
-                code, fp = (np.array(v, dtype=np.uint64) for v in (jaccard.code_of(own), of_hashes(found)))
+                own = np.unique(hashes(text.as_py(), words))
+                code = np.uint64(jaccard.code_of(own))
                 x, parts, common = jaccard.prefix(own, shared.value)
                 # A text meets other texts in the parts of other shards.
                 part = (((code ^ x) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % parts.astype(np.uint64)).astype(np.int32)
-                held.append((x.view(np.int64), part, *(np.full(len(x), v) for v in (code.view(np.int64), fp.view(np.int64))), *(np.full(len(x), v, dtype=np.int32) for v in (len(own), common))))
+                same = [np.full(len(x), v) for v in (code.view(np.int64), np.int32(len(own)), np.int32(common), *jaccard.signatures(own).view(np.int64))]
+                held.append((x.view(np.int64), part, parts.astype(np.int32), *same))
             if held:
-                names = ["x", "part", "code", "fp", "n", "common"]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], _SHARD_NAMES)
 
-    return rows.select(F.col("text").cast("string").alias("text")).mapInArrow(dealt, "x long, part int, code long, fp long, n int, common int")
+    return rows.select(F.col("text").cast("string").alias("text")).mapInArrow(dealt, SHARD)
 
 
-def shard_pairs(code: np.ndarray, fp: np.ndarray, n: np.ndarray, common: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shard_pairs(code: np.ndarray, n: np.ndarray, common: np.ndarray, signed: tuple[np.ndarray, ...], group: np.ndarray, pairs: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of candidate pairs, of rows in the order of their shards (group).
 
-    Small shards give all pairs whose sizes and fingerprints are near. Large ones give a star around
+    Shards of at most `pairs` texts give all pairs that may be alike. Larger ones give a star around
     the text with most frequent shingles (the one that others were made from, if it is there), and
     for growing radii the spanning links of a vantage-point tree: a number of links in proportion.
     """
     sizes = np.bincount(group)[group]
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    small = np.flatnonzero((sizes > 1) & (sizes <= PAIRS))
-    for step in range(1, PAIRS):
+    small = np.flatnonzero((sizes > 1) & (sizes <= pairs))
+    for step in range(1, pairs):
         small = small[small + step < len(group)]
         small = small[group[small] == group[small + step]]
         if not len(small):
             break
-        found.append((small, small + step))
-    large = np.flatnonzero(sizes > PAIRS)
+        near = jaccard.may_be_alike(signed, n, small, small + step)
+        found.append((small[near], small[near] + step))
+    large = np.flatnonzero(sizes > pairs)
     for own in np.split(large, np.flatnonzero(np.diff(group[large])) + 1) if len(large) else []:
         centre = own[np.lexsort((code[own], -common[own]))[0]]
         found.append((np.full(len(own), centre), own))
         for radius in RADII:
-            links = np.array(vantage_links(fp[own].view(np.uint64), radius), dtype=np.int64).reshape(-1, 2)
+            links = np.array(vantage_links(signed[2][own].view(np.uint64), radius), dtype=np.int64).reshape(-1, 2)
             found.append((own[links[:, 0]], own[links[:, 1]]))
     if not found:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-    near = (np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64)) <= NEAR_BITS) & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])) & (code[a] != code[b])
+    near = (code[a] != code[b]) & jaccard.may_be_alike(signed, n, a, b)
     return a[near], b[near]
 
 
-def candidates(shards: DataFrame) -> DataFrame:
-    """Pairs (a, b) of codes to be compared."""
+def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, ...], np.ndarray]:
+    """code, n, common, signatures and shard number of rows in the order of their shards."""
+    code, n, common, x, part, *signed = (table.column(c).to_numpy() for c in ("code", "n", "common", "x", "part", *SIGNED))
+    new = np.ones(len(code), dtype=bool)
+    new[1:] = (x[1:] != x[:-1]) | (part[1:] != part[:-1])
+    return code, n.astype(np.int64), common, tuple(signed), np.cumsum(new)
+
+
+def candidates(shards: DataFrame, pairs: int) -> DataFrame:
+    """Pairs (code, other) to be compared, in rows without x; and the rows of large shards (and cut ones), in which not all pairs are among them."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "x", "part"):
-            code, fp, n, common = (table.column(c).to_numpy() for c in ("code", "fp", "n", "common"))
-            new = np.ones(len(code), dtype=bool)
-            new[1:] = np.logical_or(*(np.diff(table.column(c).to_numpy()) != 0 for c in ("x", "part")))
-            a, b = shard_pairs(code, fp, n, common, np.cumsum(new))
-            if len(a):
-                pairs = np.unique(np.sort(np.stack((code[a], code[b]), axis=1), axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            code, n, common, signed, group = _columns(table)
+            a, b = shard_pairs(code, n, common, signed, group, pairs)
+            both = np.unique(np.sort(np.stack((code[a], code[b]), axis=1), axis=1), axis=0)
+            nothing = {f.name: pa.nulls(len(both), f.type) for f in table.schema}
+            yield pa.RecordBatch.from_arrays([*(nothing | {"code": pa.array(both[:, 0])}).values(), pa.array(both[:, 1])], [*table.column_names, "other"])
+            sizes = np.bincount(group)[group]
+            large = table.filter(pa.array((sizes > pairs) | (table.column("parts").to_numpy() > 1)))
+            yield from large.append_column("other", pa.nulls(large.num_rows, pa.int64())).to_batches()
+
+    return shards.repartition("x", "part").sortWithinPartitions("x", "part", "code").mapInArrow(search, SHARD + ", other long")
 
-    return shards.repartition("x", "part").sortWithinPartitions("x", "part", "code").mapInArrow(search, "a long, b long").distinct()
 
+def _apart(large: DataFrame, comps: DataFrame) -> DataFrame:
+    """(home, code, own) of the texts of large shards that may be alike to one of another component: home is the component that has more of the shard's texts, own whether the text is of it.
 
-def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
+    The parts of a cut shard are searched one by one; texts that are not of its main component are in all of them.
+    """
+    marked = large.join(comps.withColumnRenamed("node", "code"), "code", "left").withColumn("comp", F.coalesce("root", "code")).drop("root", "other")
+    # A shard of one component needs no search.
+    held = marked.groupBy("x", "comp").agg(F.count("*").alias("m"))
+    mains = held.groupBy("x").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    met = dealt_join(marked, mains.select("x", "main"), ["x"])
+    own = F.struct("part", F.lit(False).alias("guest"))
+    others = F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("part")), lambda p: F.struct(p.cast("int").alias("part"), F.lit(True).alias("guest")))
+    places = F.when((F.col("parts") > 1) & (F.col("comp") != F.col("main")), F.concat(F.array(own), others)).otherwise(F.array(own))
+    dealt = met.withColumn("place", F.explode(places)).withColumns({"part": F.col("place.part"), "guest": F.col("place.guest")}).drop("place", "main")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "x", "part"):
+            code, n, _, signed, group = _columns(table)
+            comp, guest = table.column("comp").to_numpy(), table.column("guest").to_numpy(zero_copy_only=False)
+            for rows in np.split(np.arange(len(code)), np.flatnonzero(np.diff(group)) + 1):
+                found, count = [], dict(zip(*(v.tolist() for v in np.unique(comp[rows], return_counts=True)), strict=True))
+                if len(count) < 2:
+                    continue
+                step = max(1, 2_000_000 // len(rows))
+                for at in range(0, len(rows), step):
+                    i, j = (v.ravel() for v in np.meshgrid(rows[at : at + step], rows, indexing="ij"))
+                    cross = (comp[i] != comp[j]) & (i < j) & ~(guest[i] & guest[j])
+                    i, j = i[cross], j[cross]
+                    near = jaccard.may_be_alike(signed, n, i, j)
+                    found.append(np.stack((i[near], j[near])))
+                i, j = np.concatenate(found, axis=1)
+                if not len(i):
+                    continue
+                size = np.array([count[c] for c in comp[rows].tolist()])
+                first, second = size[i - rows[0]], size[j - rows[0]]
+                home = np.where((first > second) | (first == second) & (comp[i] < comp[j]), comp[i], comp[j])
+                each = np.unique(np.concatenate((np.stack((home, code[i])), np.stack((home, code[j]))), axis=1), axis=1)
+                own = dict(zip(code[rows].tolist(), comp[rows].tolist(), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(each[0]), pa.array(each[1]), pa.array([own[c] == h for h, c in each.T.tolist()], pa.bool_())], ["home", "code", "own"])
+
+    kept = dealt.select(*_SHARD_NAMES, "comp", "guest").repartition("x", "part").sortWithinPartitions("x", "part", "code")
+    return kept.mapInArrow(search, "home long, code long, own boolean").distinct()
+
+
+def _links_across(apart: DataFrame, sets: DataFrame, members: int) -> DataFrame:
+    """Links (a, b) between components: for each text and each component that it may belong to, one that is exactly 4/5 or more alike, if there is any."""
+    sizes = apart.where("own").groupBy("home").agg(F.ceil(F.count("*") / members).cast("int").alias("parts"))
+    dealt = dealt_join(apart, sizes, ["home"])
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    part = F.explode(F.when(F.col("own"), F.array(F.pmod(F.xxhash64("code"), F.col("parts")).cast("int"))).otherwise(every))
+    rows = dealt_join(dealt.withColumn("part", part).select("home", "part", "own", "code"), sets, ["code"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, start, index = None, 0, None
+        codes: list[int] = []
+        held: list[np.ndarray] = []
+        for batch in batches:
+            found = []
+            for home, part, own, code, shingles in zip(*(batch.column(c).to_pylist() for c in ("home", "part", "own", "code")), batch.column("shingles"), strict=True):
+                if (home, part) != key:
+                    key, codes, held, index = (home, part), [], [], None
+                values = shingles.values.to_numpy()
+                if own:
+                    codes.append(code)
+                    held.append(values)
+                    continue
+                if not held:
+                    continue
+                if index is None:
+                    sizes = np.array([len(h) for h in held])
+                    flat, owner = np.concatenate(held), np.repeat(np.arange(len(held)), sizes)
+                    order = np.argsort(flat, kind="stable")
+                    index = (flat[order], owner[order], sizes)
+                flat, owner, sizes = index
+                lo, hi = np.searchsorted(flat, values, "left"), np.searchsorted(flat, values, "right")
+                start = np.repeat(lo - np.concatenate(([0], np.cumsum(hi - lo)[:-1])), hi - lo)
+                common = np.bincount(owner[start + np.arange(len(start))], minlength=len(sizes))
+                alike = np.flatnonzero(9 * common >= 4 * (sizes + len(values)))
+                if len(alike):
+                    found.append((code, codes[alike[0]]))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    ordered = rows.repartition("home", "part").sortWithinPartitions("home", "part", F.desc("own"))
+    return ordered.select("home", "part", "own", "code", "shingles").mapInArrow(search, "a long, b long")
+
+
+def keep_one(docs: DataFrame, words: int = 5, pairs: int = PAIRS, members: int = MEMBERS, shard_texts: int = jaccard.SHARD_TEXTS) -> DataFrame:
     """One row of each component of near copies, the one with the smallest doc_id (the first such row), with all columns.
 
-    Near copies have fingerprints at most NEAR_BITS apart and a Jaccard similarity of their shingle
-    sets of 4/5 or more, which is compared exactly. Shards hold the texts with a common shingle among
-    the first of their sets (see jaccard), so that no pair of that similarity is parted; inside a
-    shard the search is by fingerprint. Frequent shingles' shards are cut in parts, which are searched
-    one by one and meet through the star of the whole shard. In shards of over PAIRS texts not every
-    pair is compared: two texts there are linked by the star, by the trees' links, or by another shard.
+    Near copies have a Jaccard similarity of their shingle sets of 4/5 or more, which is compared exactly.
+    Shards hold the texts with a common shingle among the first of their sets (see jaccard), so that no pair
+    of that similarity is parted. In a shard of at most `pairs` texts all pairs that may be alike
+    (jaccard.may_be_alike) are compared. In a larger one a star and the links of vantage-point trees by
+    SimHash are compared first; then every text that may be alike to one of another component is compared
+    with all such texts of that component, in tasks of `members` of them, so that no link between
+    components is lost and no pair becomes a row. Frequent shingles' shards are cut in parts of about shard_texts.
 
     Rows are told apart by their place in the input, so docs must be a table that reads alike twice.
     """
@@ -306,7 +408,7 @@ def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
     while row in docs.columns:
         row += "_"
     placed = docs.withColumn(row, F.monotonically_increasing_id())
-    known = jaccard.frequent(docs, words)
+    known = jaccard.frequent(docs, words, shard_texts)
     coded = cut(_profiles(placed, row, words, known))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     own = cut(coded.groupBy("code").agg(F.min(place).alias("first"), *[F.first(c).alias(c) for c in ("n", "common", "cut_up")]))
@@ -316,19 +418,30 @@ def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
         firsts = codes.select(F.col("first.row").alias(row))
         return placed.join(F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts, row, "left_semi")
 
-    pairs = candidates(_shards(of_codes(own), words, known))
+    def sets_of(codes: DataFrame) -> DataFrame:
+        return cut(jaccard.sets(of_codes(own.join(codes, "code", "left_semi")), words))
+
+    searched = cut(candidates(_shards(of_codes(own), words, known), pairs))
+    large = searched.where("x is not null")
+    found = searched.where("x is null").select(F.col("code").alias("a"), F.col("other").alias("b")).distinct()
     if (known.parts > 1).any():
         # The parts of a shard meet through its centre, the text with most frequent shingles.
         whole = own.select("code", "n", "common", F.explode("cut_up").alias("x"))
         centres = whole.groupBy("x").agg(F.min_by(F.struct("code", "n"), F.struct(-F.col("common"), "code")).alias("c"))
         met = whole.join(F.broadcast(centres), "x").where("code <> c.code and 5 * least(n, c.n) >= 4 * greatest(n, c.n)")
-        pairs = pairs.unionByName(met.select(F.least("code", "c.code").alias("a"), F.greatest("code", "c.code").alias("b"))).distinct()
-    pairs = cut(pairs)
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("code")).distinct()
-    sets = cut(jaccard.sets(of_codes(own.join(involved, "code", "left_semi")), words))
+        found = found.unionByName(met.select(F.least("code", "c.code").alias("a"), F.greatest("code", "c.code").alias("b"))).distinct()
+    found = cut(found)
+    sets = sets_of(found.select(F.explode(F.array("a", "b")).alias("code")).distinct())
+    compared = found
     for side in "ab":
-        pairs = dealt_join(pairs, sets.select(F.col("code").alias(side), F.col("shingles").alias("s" + side)), [side])
-    roots = components(jaccard.alike(pairs))
+        compared = dealt_join(compared, sets.select(F.col("code").alias(side), F.col("shingles").alias("s" + side)), [side])
+    near = cut(jaccard.alike(compared))
+    roots = components(near)
+    if not large.isEmpty():
+        apart = cut(_apart(large, roots))
+        if not apart.isEmpty():
+            across = _links_across(apart, sets_of(apart.select("code").distinct()), members)
+            roots = components(near.unionByName(across))
     rooted = own.join(roots.withColumnRenamed("node", "code"), "code", "left").select("first", F.coalesce("root", "code").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.row")
     dropped = cut(coded.join(kept, "row", "left_anti").select(F.col("row").alias(row)))
