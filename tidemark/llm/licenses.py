@@ -5,10 +5,11 @@ templates (a fixed table, broadcast); the words of a match are compared too. A m
 text and place t of the template votes for the diagonal p - t, which is where the template would
 start. Votes are gathered by text, template and diagonal. A template stands word for word where its
 diagonal has all votes; this is how the phrases of the base list are found. Of the longer templates'
-other diagonals, neighbouring ones (at most SLACK apart, and no further from the first than a share of
-the template's length) are merged, as words put in or left out move a match to a neighbouring diagonal.
+other diagonals, neighbouring ones are merged, as words put in or left out move a match to a neighbouring diagonal:
+all that lie between any two diagonals that are at most a share of the template's length (or SLACK) apart, wherever
+they start, so that no stray match before or after a license moves its span.
 A merged span is verified: the words that match must be COVERAGE of the template's words, and as much
-of the text's words from the first of them to the last.
+of the text's words from the first of them to the last. Spans without half as many votes are not looked at.
 
 Defined results: a null or empty text has no words and no labels; repeated rows are scanned one by
 one; templates of one label, or at one place, each count, and the score is the best one's; a text of
@@ -18,7 +19,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.text import letter_words, whole_text
@@ -100,23 +101,44 @@ def votes(docs: DataFrame) -> DataFrame:
     return matched.groupBy("row", "doc_id", "n_words", "template", "label", "exact", "size", diagonal.alias("diagonal")).agg(F.collect_list("place").alias("places"))
 
 
+def _reach(size: Column) -> Column:
+    """How far apart the diagonals of one span may be."""
+    return F.greatest(F.lit(SLACK), F.floor(size / STRETCH)).cast("long")
+
+
+def _windows(loose: DataFrame) -> DataFrame:
+    """(row, template, low, high): diagonals of a text that are within reach, with enough votes between them to cover a template."""
+    need = COVERAGE * (F.col("size") + 1) / 2
+    most = max(SLACK, *[(len(text.split()) - 1) // STRETCH for _, text in TEMPLATES])
+    by = Window.partitionBy("row", "template").orderBy("diagonal")
+    n = F.size("places")
+    # Votes up to the farthest reach of any template tell where a span may begin and end.
+    near = loose.withColumns({"n": n, "up": F.sum(n).over(by.rangeBetween(0, most)), "down": F.sum(n).over(by.rangeBetween(-most, 0)), "so_far": F.sum(n).over(by)}).where((F.col("up") >= need) | (F.col("down") >= need))
+    listed = near.groupBy("row", "template", "size").agg(F.array_sort(F.collect_list(F.struct("diagonal", "so_far", "n", (F.col("down") >= need).alias("ends")))).alias("d"))
+    pairs = listed.select("row", "template", "size", F.explode("d").alias("low"), "d").select("row", "template", "low", F.explode(F.filter("d", lambda x: x["ends"] & x["diagonal"].between(F.col("low.diagonal"), F.col("low.diagonal") + _reach(F.col("size"))) & (x["so_far"] - F.col("low.so_far") + F.col("low.n") >= need))).alias("high"))
+    return pairs.select("row", "template", F.col("low.diagonal").alias("low"), F.col("high.diagonal").alias("high"))
+
+
 def spans(voted: DataFrame) -> DataFrame:
     """Verified spans, with `start` and `score`; and rows with null score, so that no text is lost."""
     whole = F.size("places") == F.col("size")
     verbatim = voted.withColumns({"start": F.col("diagonal"), "score": F.when(whole, F.lit(1.0))})
-    by = Window.partitionBy("row", "template").orderBy("diagonal")
-    chain = Window.partitionBy("row", "template", "chain")
-    stepped = voted.where(~F.col("exact") & ~whole).withColumn("new", F.when(F.col("diagonal") - F.lag("diagonal").over(by) <= SLACK, 0).otherwise(1)).withColumn("chain", F.sum("new").over(by))
-    reach = F.greatest(F.lit(SLACK), F.floor(F.col("size") / STRETCH)) + 1
-    dealt = stepped.withColumn("part", F.floor((F.col("diagonal") - F.min("diagonal").over(chain)) / reach))
-    pairs = dealt.select("row", "doc_id", "n_words", "template", "label", "exact", "size", "chain", "part", "diagonal", F.explode("places").alias("place")).withColumn("p", F.col("place") + F.col("diagonal"))
-    merged = pairs.groupBy("row", "doc_id", "n_words", "template", "label", "exact", "size", "chain", "part").agg(F.min("diagonal").alias("start"), F.collect_set("place").alias("places"), F.collect_set("p").alias("at"), (F.max("p") - F.min("p") + 2).alias("stretch"))
+    loose = voted.where(~F.col("exact") & ~whole)
+    met = loose.join(_windows(loose), ["row", "template"]).where("diagonal between low and high")
+    pairs = met.select("row", "doc_id", "n_words", "template", "label", "exact", "size", "low", "high", "diagonal", F.explode("places").alias("place")).withColumn("p", F.col("place") + F.col("diagonal"))
+    merged = pairs.groupBy("row", "doc_id", "n_words", "template", "label", "exact", "size", "low", "high").agg(F.collect_set("place").alias("places"), F.collect_set("p").alias("at"), (F.max("p") - F.min("p") + 2).alias("stretch"))
     # The words of a pair at x are x and x + 1.
     covered = lambda c: F.size(F.array_union(c, F.transform(c, lambda x: x + 1)))
     share = covered("places") / (F.col("size") + 1)
     verified = (share >= COVERAGE) & (covered("at") >= COVERAGE * F.col("stretch"))
+    scored = merged.withColumns({"start": F.col("low"), "score": F.when(verified, share)}).where("score is not null")
+    # Of spans of one license the best, of equal ones the shortest, then the first.
+    by = Window.partitionBy("row", "template")
+    apart = F.col("low") - F.lag("low").over(by.orderBy("low", "high")) > _reach(F.col("size"))
+    parted = scored.withColumn("new", F.when(apart, 1).otherwise(0)).withColumn("chain", F.sum("new").over(by.orderBy("low", "high")))
+    best = F.row_number().over(Window.partitionBy("row", "template", "chain").orderBy(F.desc("score"), F.col("high") - F.col("low"), "low"))
     same = ["row", "doc_id", "n_words", "label", "exact", "start", "score"]
-    return verbatim.select(same).unionByName(merged.withColumn("score", F.when(verified, share)).where("score is not null").select(same))
+    return verbatim.select(same).unionByName(parted.withColumn("best", best).where("best = 1").select(same))
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -52,11 +52,10 @@ p AS (SELECT r, i - 1 AS p, w[i] AS a, w[i + 1] AS b FROM (SELECT r, w, unnest(r
 hit AS (SELECT {found}, place, p, p - place AS diagonal FROM p JOIN tp USING (a, b)),
 full_match AS (SELECT {found}, diagonal FROM hit GROUP BY ALL HAVING count(*) = size),
 loose AS (SELECT DISTINCT {found}, diagonal FROM hit h WHERE NOT exact AND NOT EXISTS (SELECT 1 FROM full_match f WHERE f.r = h.r AND f.template = h.template AND f.diagonal = h.diagonal)),
-st AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) <= {SLACK} THEN 0 ELSE 1 END AS new FROM loose),
-ch AS (SELECT *, sum(new) OVER (PARTITION BY r, template ORDER BY diagonal) AS chain FROM st),
-gr AS (SELECT *, (diagonal - min(diagonal) OVER (PARTITION BY r, template, chain)) // (greatest({SLACK}, size // {STRETCH}) + 1) AS part FROM ch),
-both_words AS (SELECT g.*, h.place, h.p FROM gr g JOIN hit h USING (r, template, diagonal)),
-mg AS (SELECT {found}, chain, part, min(diagonal) AS start, len(list_distinct(list_concat(list(place), list(place + 1)))) AS placed, len(list_distinct(list_concat(list(p), list(p + 1)))) AS stood, max(p) - min(p) + 2 AS stretch FROM both_words GROUP BY ALL),
+win AS (SELECT a.r, a.template, a.label, a.exact, a.size, a.diagonal AS low, b.diagonal AS high FROM loose a JOIN loose b ON a.r = b.r AND a.template = b.template AND b.diagonal BETWEEN a.diagonal AND a.diagonal + greatest({SLACK}, a.size // {STRETCH})),
+enough AS (SELECT w.* FROM win w WHERE (SELECT count(*) FROM hit h WHERE h.r = w.r AND h.template = w.template AND h.diagonal BETWEEN w.low AND w.high) >= {COVERAGE} * (w.size + 1) / 2),
+both_words AS (SELECT w.*, h.place, h.p FROM enough w JOIN loose l ON l.r = w.r AND l.template = w.template AND l.diagonal BETWEEN w.low AND w.high JOIN hit h ON h.r = l.r AND h.template = l.template AND h.diagonal = l.diagonal),
+mg AS (SELECT {found}, low AS start, high, len(list_distinct(list_concat(list(place), list(place + 1)))) AS placed, len(list_distinct(list_concat(list(p), list(p + 1)))) AS stood, max(p) - min(p) + 2 AS stretch FROM both_words GROUP BY ALL),
 s AS (SELECT r, label, exact, diagonal AS start, 1.0::DOUBLE AS score FROM full_match
 UNION ALL SELECT r, label, exact, start, placed / (size + 1)::DOUBLE FROM mg WHERE placed / (size + 1)::DOUBLE >= {COVERAGE}::DOUBLE AND stood >= {COVERAGE}::DOUBLE * stretch),
 o AS (SELECT r, count(*) FILTER (exact) AS n_base, min(start) FILTER (exact) AS first_word, max(start) FILTER (exact) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM s GROUP BY r)
