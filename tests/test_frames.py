@@ -5,14 +5,16 @@ import zlib
 from itertools import product
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import pixels
+from tidemark.functions.expressions import strip
 from tidemark.functions.providers import classify
 from tidemark.operators import boundaries, dedup, manifest, motion, segments, stability, timeline
 from tidemark.operators import classify as answers
 from tidemark.plans import recording
-from tidemark.sources import sinks
+from tidemark.sources import image_tree, sinks, tables
 
 SECOND = segments.SegmentConfig()
 
@@ -178,7 +180,61 @@ def test_sinks(spark, tmp_path):
     shown = {r.parent: r for r in manifest.sections(manifest.tree(screens), "http://h").collect()}
     assert [x.url for x in shown["paywall"].images] == ["http://h/images/1/paywall__annual/000.jpg", "http://h/images/1/paywall__annual/001.jpg"] and shown["home"].title == "Home"
     sinks.write_images(manifest.placed(screens).withColumn("data", F.lit("x").cast("binary")), str(tmp_path / "images"))
-    assert {(r.folder, r.path) for r in spark.read.parquet(str(tmp_path / "images")).collect()} == {("paywall__annual", "paywall__annual/000.jpg"), ("paywall__annual", "paywall__annual/001.jpg"), ("home", "home/000.jpg")}
+    found = {str(p.relative_to(tmp_path / "images")) for p in (tmp_path / "images").rglob("*") if p.is_file()}
+    assert found == {"1/paywall__annual/000.jpg", "1/paywall__annual/001.jpg", "1/home/000.jpg"}
+
+
+def test_writes_of_two_jobs_and_the_way_back(spark, tmp_path):
+    """A second job, and a second write of the first, leave what is not theirs; what is read is what was written."""
+    rows = [("zeta/b", "Z"), ("alpha", "A"), ("zeta/a", "Y"), ("zeta", "X"), ("transition", ""), ("alpha/c", "B"), ("zeta/b", "W")]
+    shown = spark.createDataFrame([(j, i, label, text, [text], "s") for j in (1, 2) for i, (label, text) in enumerate(rows[j - 1 :])], "job_id long, idx long, label string, key_text string, components array<string>, state string")
+    analyses = spark.createDataFrame([(1, *"abcde")], "job_id long, " + ", ".join(f"{c} string" for c in sinks.ANALYSIS))
+    trees = sinks.manifest_documents(manifest.tree(shown), analyses)
+    folder = str(tmp_path / "manifests")
+    for job in (1, 2, 1):
+        sinks.write_documents(trees.where(F.col("job_id") == job), folder)
+    back = tables.manifests(spark, folder)
+    assert sorted(r.job_id for r in back.collect()) == [1, 2]
+    plain = lambda df: sorted((r.job_id, r.position, r.title, [(x.url, x.key_text, x.components, x.state) for x in r.images]) for r in df.collect())
+    direct = plain(manifest.sections(trees, "http://h"))
+    assert plain(manifest.sections(back, "http://h")) == direct
+    # As they first appear; a parent's own images before its children's.
+    assert [(t, [x[1] for x in images]) for job, _, t, images in direct if job == 1] == [("Zeta", ["X", "Z", "W", "Y"]), ("Alpha", ["A", "B"])]
+    views = {r.job_id: r for r in manifest.view(back, "http://h").collect()}
+    assert views[1].analysis["competitive_tier"] == "b" and views[2].analysis is None and [s.title for s in views[1].sections] == ["Zeta", "Alpha"]
+    profiles = sinks.session_documents(manifest.funnel(shown), analyses.unionByName(analyses.withColumn("job_id", F.lit(2).cast("long"))))
+    for job in (1, 2):
+        sinks.write_documents(profiles.where(F.col("job_id") == job), str(tmp_path / "sessions"))
+    listed = {r.job_id: r for r in manifest.session_list(tables.sessions(spark, str(tmp_path / "sessions"))).collect()}
+    assert {j: (r.competitive_tier, r.funnel_length) for j, r in listed.items()} == {1: ("b", 6), 2: ("b", 5)}
+    for job in (1, 2):
+        images = manifest.placed(shown.where(F.col("job_id") == job)).withColumn("data", F.concat(F.lit("image "), "key_text").cast("binary"))
+        sinks.write_images(images, str(tmp_path / "images"))
+    assert (tmp_path / "images/1/zeta__b/001.jpg").read_text() == "image W" and (tmp_path / "images/2/alpha/000.jpg").read_text() == "image A"
+    assert not [p for p in (tmp_path / "images").rglob(".*")]
+
+
+def test_image_files_of_a_failed_write_go(spark, tmp_path):
+    rows = spark.createDataFrame([(1, f"a/{i:03d}.jpg", b"x") for i in range(8)], "job_id long, path string, data binary").repartition(4)
+    folder = str(tmp_path / "images")
+    bad = rows.withColumn("data", F.when(F.col("path") == "a/005.jpg", F.raise_error(F.lit("no such image")).cast("binary")).otherwise(F.col("data")))
+    with pytest.raises(Exception, match="no such image"):
+        image_tree.write(bad, folder)
+    image_tree.write(rows, folder)
+    assert len(list((tmp_path / "images").rglob("*.jpg"))) == 8
+
+
+def test_odd_labels_and_numbers(spark):
+    raw = ['{"label": 0, "screen_type": "home"}', '{"label": false}', '{"label": "a/b", "frame_index": "2.7"}', '{"label": 7, "frame_index": 2.7}', '{"label": [], "screen_type": "", "frame_index": " 4 "}']
+    items = spark.createDataFrame(list(enumerate(raw)), "position long, raw string").withColumn("item", F.parse_json("raw"))
+    found = [(r.label, r.screen_type, r.frame_index) for r in answers.normalise(items).orderBy("position").collect()]
+    assert found == [("home", "home", 1), ("unsorted", "unsorted", 2), ("a/b", "a", 3), ("7", "7", 2), ("unsorted", "unsorted", 4)]
+
+
+def test_white_space_of_unicode(spark):
+    texts = ["\u00a0a\u3000", "\x1cb\x1f", " c d\n", "\u2009", ""]
+    shown = spark.createDataFrame([(t,) for t in texts], "t string").select(strip(F.col("t")))
+    assert [r[0] for r in shown.collect()] == [t.strip() for t in texts]
 
 
 def test_dedup(spark):

@@ -21,6 +21,7 @@ from tidemark.operators import motion as Mo
 from tidemark.operators import segments as S
 from tidemark.operators import stability as St
 from tidemark.operators import timeline as T
+from tidemark.sources.sinks import ANALYSIS, session_documents
 from tidemark.sources.sinks import classification_debug as classification_report
 from tidemark.sources.tables import hashed_frames, screens, table, timed_frames
 
@@ -555,6 +556,18 @@ def sections_view(spark, d):
     return found.select("job_id", "parent", "title", "x.url", "x.label", "x.key_text", F.array_join("x.components", ",").alias("components"), "x.state")
 
 
+@query(f"""WITH lb AS (SELECT lang AS job_id, doc_id AS idx, CASE doc_id % 3 WHEN 0 THEN source ELSE source || '/' || (doc_id % 5) END AS label FROM documents),
+pl AS (SELECT *, row_number() OVER (PARTITION BY job_id, label ORDER BY idx) - 1 AS number, split_part(label, '/', 1) AS parent, nullif(split_part(label, '/', 2), '') AS child FROM lb),
+fi AS (SELECT *, min(idx) OVER (PARTITION BY job_id, parent) AS first, min(idx) OVER (PARTITION BY job_id, label) AS child_first FROM pl)
+SELECT job_id, dense_rank() OVER (PARTITION BY job_id ORDER BY first) - 1 AS position, parent, row_number() OVER (PARTITION BY job_id, parent ORDER BY child IS NOT NULL, CASE WHEN child IS NOT NULL THEN child_first END, idx) - 1 AS place, '/images/' || job_id || '/' || replace(label, '/', '__') || '/' || lpad(CAST(number AS VARCHAR), greatest(3, length(CAST(number AS VARCHAR)))::INTEGER, '0') || '.jpg' AS url FROM fi""")
+def sections_in_order(spark, d):
+    i = F.col("doc_id") % 3
+    label = F.when(i == 0, F.col("source")).otherwise(F.concat("source", F.lit("/"), (F.col("doc_id") % 5).cast("string")))
+    shown = table(spark, d, "documents").select(F.col("lang").alias("job_id"), F.col("doc_id").alias("idx"), label.alias("label"))
+    found = M.sections(M.tree(shown)).select("job_id", "position", "parent", F.posexplode("images").alias("place", "x"))
+    return found.select("job_id", F.col("position").cast("long").alias("position"), "parent", F.col("place").cast("long").alias("place"), "x.url")
+
+
 @query(f"WITH {SCREENS} SELECT job_id, string_agg(DISTINCT label, ',' ORDER BY label) AS sections FROM sc GROUP BY job_id")
 def section_names(spark, d):
     return M.section_names(screens(spark, d)).withColumn("sections", F.array_join("sections", ","))
@@ -586,9 +599,13 @@ def funnel_profile(spark, d):
     return _profiles(spark, d).withColumn("sequence", F.array_join("sequence", ">"))
 
 
-@query(f"WITH {_FUNNEL} SELECT job_id, n AS steps, paywall_position IS NOT NULL AS has_paywall FROM fu")
+@query(f"WITH {_FUNNEL} SELECT job_id, repeat('tier ' || job_id || ' ', 12)[1:80] AS competitive_tier, n AS funnel_length, paywall_position, has_downsell FROM fu WHERE job_id % 4 <> 0")
 def session_list(spark, d):
-    return _profiles(spark, d).select("job_id", F.size("sequence").cast("long").alias("steps"), F.col("paywall_position").isNotNull().alias("has_paywall"))
+    # Three of four jobs have an analysis.
+    jobs = timed_frames(spark, d).select("job_id").distinct().where("job_id % 4 <> 0")
+    texts = {c: F.lit("x") for c in ANALYSIS} | {"competitive_tier": F.expr("repeat('tier ' || job_id || ' ', 12)")}
+    listed = M.session_list(session_documents(_profiles(spark, d), jobs.withColumns(texts)))
+    return listed.withColumn("funnel_length", F.col("funnel_length").cast("long"))
 
 
 @query(f"WITH {_FUNNEL} SELECT a.job_id AS job_a, b.job_id AS job_b, a.n AS steps_a, b.n AS steps_b, CAST(len(list_intersect(a.kinds, b.kinds)) AS BIGINT) AS shared_kinds, b.paywall_position - a.paywall_position AS paywall_shift FROM fu a JOIN fu b ON b.job_id = a.job_id + 1")

@@ -36,7 +36,8 @@ def ordinal_id(kind: str, n: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without white space at its ends, as Unicode has it, and the four separators of ASCII."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z", "")
 
 
 def any_keyword(text: Column, words: tuple[str, ...]) -> Column:

@@ -114,6 +114,19 @@ def _components(value: Column) -> Column:
     return F.coalesce(F.filter(found, lambda x: x.isNotNull() & (x != "")), F.array().cast("array<string>"))
 
 
+def _filled(value: Column) -> Column:
+    """Whether a value is one to go by: not null, false, zero or empty."""
+    kind, text = F.schema_of_variant(value), _get(value, "$", "string")
+    nothing = F.when(kind == "BOOLEAN", ~_get(value, "$", "boolean")).when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE)"), _get(value, "$", "double") == 0).otherwise(text.isin("", "[]", "{}"))
+    return F.coalesce(~nothing, F.lit(False))
+
+
+def _whole(value: Column) -> Column:
+    """A number without its fraction, or a text that is a whole number; else null."""
+    text = _get(value, "$", "string")
+    return F.when(F.schema_of_variant(value) == "STRING", F.when(text.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(text).try_cast("long"))).otherwise(_get(value, "$", "double").cast("long"))
+
+
 def normalise(items: DataFrame) -> DataFrame:
     """item (a variant, null if missing) and position (from 0) of each row as typed columns; any other columns stay.
 
@@ -121,14 +134,15 @@ def normalise(items: DataFrame) -> DataFrame:
     """
     item, whole = F.col("item"), _is_object(F.col("item"))
     get = lambda name: F.coalesce(_get(item, f"$.{name}", "string"), F.lit(""))
-    label = F.coalesce(F.nullif(get("label"), F.lit("")), F.nullif(get("screen_type"), F.lit("")), F.lit("unsorted"))
-    found = {"label": label, "screen_type": F.coalesce(F.nullif(get("screen_type"), F.lit("")), F.split(label, "/", 2)[0])}
+    told = lambda name: F.when(_filled(_get(item, f"$.{name}", "variant")), get(name))
+    label = F.coalesce(told("label"), told("screen_type"), F.lit("unsorted"))
+    found = {"label": label, "screen_type": F.coalesce(told("screen_type"), F.split(label, "/", 2)[0])}
     found |= {c: get(c) for c in TEXTS if c not in found}
     found |= {c: _truth(_get(item, f"$.{c}", "variant")) for c in FLAGS}
     found["is_scroll_state"] = found["is_scroll_state"] | (get("state") == "scrolled")
     found["conf"] = F.coalesce(_get(item, "$.conf", "double"), F.lit(0.0))
     found["components"] = _components(_get(item, "$.components", "variant"))
-    found["frame_index"] = F.coalesce(_get(item, "$.frame_index", "double").cast("long"), F.col("position") + 1)
+    found["frame_index"] = F.coalesce(_whole(_get(item, "$.frame_index", "variant")), F.col("position") + 1)
     why = F.when(item.isNull(), MISSING).otherwise(F.format_string(NO_OBJECT, "position"))
     empty = {"label": F.lit("unsorted"), "screen_type": F.lit("unsorted"), "conf": F.lit(0.0), "components": F.array().cast("array<string>"), "needs_review": F.lit(True), "review_reason": F.lit(FALLBACK_REASON), "uncertainty_reason": why, "frame_index": F.col("position") + 1}
     empty |= {c: F.lit("") for c in TEXTS if c not in empty} | {c: F.lit(False) for c in FLAGS if c not in empty}

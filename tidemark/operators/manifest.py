@@ -33,27 +33,36 @@ def _entry(screens: DataFrame) -> Column:
 
 
 def tree(screens: DataFrame) -> DataFrame:
-    """One row a job: manifest, a map from parent to its own images and a map of its children's."""
+    """One row a job: manifest, a map from parent to its own images and a map of its children's; parents and children in the order in which they first appear."""
     rows = placed(screens).select("job_id", parent(F.col("label")).alias("parent"), child(F.col("label")).alias("child"), _entry(screens).alias("image"))
-    leaves = rows.groupBy("job_id", "parent", "child").agg(F.array_sort(F.collect_list("image")).alias("images"))
+    leaves = rows.groupBy("job_id", "parent", "child").agg(F.array_sort(F.collect_list("image")).alias("images")).withColumn("first", F.col("images")[0]["idx"])
     own = F.flatten(F.collect_list(F.when(F.coalesce("child", F.lit("")) == "", F.col("images"))))
-    children = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("child") != "", F.struct("child", "images")))))
-    parents = leaves.groupBy("job_id", "parent").agg(F.struct(own.alias("images"), children.alias("children")).alias("node"))
-    return parents.groupBy("job_id").agg(F.map_from_entries(F.collect_list(F.struct("parent", "node"))).alias("manifest"))
+    by_first = lambda a, b: F.when(a["first"] < b["first"], -1).when(a["first"] > b["first"], 1).otherwise(0)
+    in_order = lambda when, *columns: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("first", *columns))), by_first), lambda x: F.struct(*[x[c].alias(c) for c in columns]))
+    children = F.map_from_entries(in_order(F.col("child") != "", "child", "images"))
+    parents = leaves.groupBy("job_id", "parent").agg(F.struct(own.alias("images"), children.alias("children")).alias("node"), F.min("first").alias("first"))
+    return parents.groupBy("job_id").agg(F.map_from_entries(in_order(F.lit(True), "parent", "node")).alias("manifest"))
 
 
 def sections(manifests: DataFrame, base: str = "") -> DataFrame:
-    """Back from trees to sections: a parent with a title and its images, its own before its children's, with URLs."""
-    shown = manifests.select("job_id", F.explode("manifest").alias("parent", "node")).where(~F.col("parent").startswith("_"))
-    # A map's values come in order of its keys, as tree() made it.
-    nested = F.concat(F.col("node.images"), F.flatten(F.map_values("node.children")))
+    """Back from trees to sections: position, parent with a title, and its images, its own before its children's, with URLs. Both in the order of the tree."""
+    shown = manifests.select("job_id", F.posexplode("manifest").alias("position", "parent", "node")).where(~F.col("parent").startswith("_"))
+    nested = F.concat(F.coalesce("node.images", F.array()), F.flatten(F.coalesce(F.map_values("node.children"), F.array())))
     url = lambda path: F.concat(F.lit(f"{base}/images/"), F.col("job_id").cast("string"), F.lit("/"), path)
     images = F.transform(nested, lambda x: F.struct(url(x["path"]).alias("url"), F.col("parent").alias("label"), x["key_text"].alias("key_text"), x["components"].alias("components"), x["state"].alias("state")))
     title = F.initcap(F.replace("parent", F.lit("_"), F.lit(" ")))
-    found = shown.select("job_id", "parent", title.alias("title"), images.alias("images"), F.array_sort(F.transform(nested, lambda x: x["path"])).alias("paths"))
+    found = shown.select("job_id", "position", "parent", title.alias("title"), images.alias("images"), F.array_sort(F.transform(nested, lambda x: x["path"])).alias("paths"))
     return found.where(F.size("images") > 0)
 
 
+def view(manifests: DataFrame, base: str = "") -> DataFrame:
+    """One row a job: its sections in order, and the analysis that its manifest has, null if none."""
+    listed = sections(manifests, base).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("position", "title", "images"))).alias("sections"))
+    analysis = F.col("analysis") if "analysis" in manifests.columns else F.lit(None).cast("map<string,string>").alias("analysis")
+    nothing = F.array().cast(listed.schema["sections"].dataType)
+    return manifests.select("job_id", analysis).join(listed, "job_id", "left").withColumn("sections", F.coalesce("sections", nothing))
+
+
 def section_names(screens: DataFrame) -> DataFrame:
     """Per job: the sorted labels, without transitions and unsorted ones."""
     return screens.where(~F.col("label").isin("transition", "unsorted")).groupBy("job_id").agg(F.array_sort(F.collect_set("label")).alias("sections"))

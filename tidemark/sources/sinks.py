@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from tidemark.functions.store import stored
 from tidemark.operators import boundaries, segments, timeline
 from tidemark.operators.manifest import NO_IMAGE
+from tidemark.sources import image_tree
 
 VERSION = 1
 
 
 def write_documents(documents: DataFrame, folder: str) -> None:
-    """One JSON document a job (its row), replacing what is in the folder."""
-    documents.repartition("job_id").write.mode("overwrite").partitionBy("job_id").json(folder, ignoreNullFields=False)
+    """One JSON document a job (its row), in place of that job's last one; those of other jobs stay."""
+    documents.repartition("job_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").json(folder, ignoreNullFields=False)
 
 
 def write_images(placed: DataFrame, folder: str) -> None:
-    """The images (data) of placed() screens with where they belong, by job and label."""
-    placed.where(~F.col("label").isin(*NO_IMAGE)).withColumn("folder", F.replace("label", F.lit("/"), F.lit("__"))).write.mode("overwrite").partitionBy("job_id", "folder").parquet(folder)
+    """The images (data) of placed() screens as files <job_id>/<label>/<number>.jpg; those of other jobs stay."""
+    image_tree.write(placed.where(~F.col("label").isin(*NO_IMAGE)), folder)
 
 
 def _listed(order: str, *columns: str) -> Column:

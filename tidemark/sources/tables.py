@@ -49,6 +49,26 @@ def image_frames(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("image.origin").alias("path"), ordinal.cast("long").alias("ordinal"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
 
 
-def manifests(spark: SparkSession, path: str) -> DataFrame:
-    """JSON documents of one file or a folder (manifests, session profiles, timelines), one row a file."""
-    return spark.read.json(path, multiLine=True)
+ENTRY = "struct<idx:bigint,path:string,key_text:string,components:array<string>,state:string>"
+#: Keys of the trees are data: maps, in the order of the document.
+MANIFEST = f"manifest map<string,struct<images:array<{ENTRY}>,children:map<string,array<{ENTRY}>>>>, analysis map<string,string>"
+SESSION = "funnel_sequence array<string>, paywall_position long, onboarding_count long, has_downsell boolean, strategy_coherence string, competitive_tier string, monetization_hypothesis string, onboarding_hypothesis string, feature_strategy_reasoning string"
+
+
+def documents(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """JSON documents as sinks.write_documents leaves them: job_id from the folder's name, and the columns of the schema."""
+    return spark.read.schema(f"{schema}, job_id {_job_kind(spark, folder)}").json(folder)
+
+
+def _job_kind(spark: SparkSession, folder: str) -> str:
+    return spark.read.text(folder).schema["job_id"].dataType.simpleString()
+
+
+def manifests(spark: SparkSession, folder: str) -> DataFrame:
+    """job_id, manifest and analysis of written manifests: what manifest.sections and manifest.view take."""
+    return documents(spark, folder, MANIFEST)
+
+
+def sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Written session profiles: what manifest.session_list takes."""
+    return documents(spark, folder, SESSION)
