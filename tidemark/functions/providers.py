@@ -7,6 +7,9 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.functions import pixels
 
 
 class Provider(Protocol):
@@ -22,14 +25,14 @@ class Unsorted:
         return [("unsorted", 0.0)] * len(frames)
 
 
-class ByBrightness:
-    """Labels from mean and spread of the pixels alone; functions.pixels.local_class has all rules."""
+class ByPixels:
+    """Labels from the pixels alone, which local_class has found as columns before."""
 
     def classify(self, frames: pd.DataFrame) -> list[tuple[str, float]]:
-        return [("unsorted", 0.1) if m < 20 else ("loading", 0.55) if s < 35 else ("home", 0.25) for m, s in zip(frames["mean"], frames["std"], strict=True)]
+        return list(zip(frames["__label"], frames["__conf"], strict=True))
 
 
-PROVIDERS = {"none": Unsorted, "pixels": ByBrightness}
+PROVIDERS = {"none": Unsorted, "pixels": ByPixels}
 
 
 def classify(frames: DataFrame, name: str, fallback: str = "none", tasks: int | None = None) -> DataFrame:
@@ -39,6 +42,11 @@ def classify(frames: DataFrame, name: str, fallback: str = "none", tasks: int |
     """
     provider, other = PROVIDERS.get(name, PROVIDERS[fallback])(), PROVIDERS[fallback]()
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema.fields) + ", label string, conf double"
+    columns = frames.columns
+    if isinstance(provider, ByPixels) or isinstance(other, ByPixels):
+        named = pixels.local_class(frames).select(*columns, F.col("label").alias("__label"), F.col("conf").alias("__conf"))
+    else:
+        named = frames
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -46,6 +54,6 @@ def classify(frames: DataFrame, name: str, fallback: str = "none", tasks: int |
                 found = provider.classify(batch)
             except Exception:  # noqa: BLE001  a provider is foreign code
                 found = other.classify(batch)
-            yield batch.assign(label=[x[0] for x in found], conf=[float(x[1]) for x in found])
+            yield batch[columns].assign(label=[x[0] for x in found], conf=[float(x[1]) for x in found])
 
-    return (frames.repartition(tasks) if tasks else frames).mapInPandas(run, schema)
+    return (named.repartition(tasks) if tasks else named).mapInPandas(run, schema)
