@@ -200,6 +200,8 @@ PAIRS = 48
 MEMBERS = 2048
 #: Rows whose places are broadcast.
 BROADCAST_ROWS = 500_000
+#: Rows that a task makes at a time, and pairs that it looks at.
+FLUSH, LOOKED_AT = 32_768, 250_000
 #: Words of the signatures of a set (see jaccard.signatures).
 SIGNED = ("p0", "p1", "f0", "f1")
 
@@ -233,18 +235,32 @@ def _shards(rows: DataFrame, words: int, known: jaccard.Frequent) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(known)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards: list[tuple[np.ndarray, ...]] = []
+        texts: list[tuple] = []
+        rows = 0
+
+        def flush() -> pa.RecordBatch:
+            lengths = [len(x) for x, _, _ in shards]
+            own = [np.repeat(np.array(c), lengths) for c in zip(*texts, strict=True)]
+            columns = [*(np.concatenate(c) for c in zip(*shards, strict=True)), *own]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * len(SIGNED)]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _SHARD_NAMES)
+
         for batch in batches:
-            held: list[tuple[np.ndarray, ...]] = []
             for text in batch.column("text"):
                 own = np.unique(hashes(text.as_py(), words))
                 code = np.uint64(jaccard.code_of(own))
                 x, parts, common = jaccard.prefix(own, shared.value)
                 # A text meets other texts in the parts of other shards.
                 part = (((code ^ x) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % parts.astype(np.uint64)).astype(np.int32)
-                same = [np.full(len(x), v) for v in (code.view(np.int64), np.int32(len(own)), np.int32(common), *jaccard.signatures(own).view(np.int64))]
-                held.append((x.view(np.int64), part, parts.astype(np.int32), *same))
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], _SHARD_NAMES)
+                shards.append((x.view(np.int64), part, parts.astype(np.int32)))
+                texts.append((code.view(np.int64), len(own), common, *jaccard.signatures(own).view(np.int64)))
+                rows += len(x)
+                if rows >= FLUSH:
+                    yield flush()
+                    shards, texts, rows = [], [], 0
+        if shards:
+            yield flush()
 
     return rows.select(F.col("text").cast("string").alias("text")).mapInArrow(dealt, SHARD)
 
@@ -328,7 +344,7 @@ def _apart(large: DataFrame, comps: DataFrame) -> DataFrame:
                 found, count = [], dict(zip(*(v.tolist() for v in np.unique(comp[rows], return_counts=True)), strict=True))
                 if len(count) < 2:
                     continue
-                step = max(1, 2_000_000 // len(rows))
+                step = max(1, LOOKED_AT // len(rows))
                 for at in range(0, len(rows), step):
                     i, j = (v.ravel() for v in np.meshgrid(rows[at : at + step], rows, indexing="ij"))
                     cross = (comp[i] != comp[j]) & (i < j) & ~(guest[i] & guest[j])
