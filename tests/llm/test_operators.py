@@ -452,16 +452,53 @@ def test_gram_counts(costs):
     assert 0 < sum(r.n_apart for r in counts) < sum(r.n_count for r in counts)
 
 
+def short_contexts(n):
+    """Counts of the short contexts from those of all grams."""
+    found = []
+    for order in range(1, mixing.SHARED + 1):
+        small = Counter()
+        for g, k in n.items():
+            small[g & ((1 << 8 * order + 8) - 1)] += k
+        found.append(mixing.Known.of(np.array(list(small), dtype=np.uint64), np.array(list(small.values()))))
+    return found
+
+
+def test_costs_end_to_end(spark, costs):
+    """What is learned in Spark, from all grams or a sample of contexts, against the same steps in one plain loop over the whole table."""
+    found, counts, _ = costs
+    stored = spark.createDataFrame([tuple(r) for r in counts], "gram long, n long, n_count long, n_apart long").repartition(3).checkpoint()
+    context = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit(0xFFFFFF))
+    mixed = {r.gram: r.mixed for r in stored.select("gram", F.xxhash64(context).alias("mixed")).collect()}
+    table = {r.gram: r for r in counts}
+    counted = short_contexts({g: r.n_count for g, r in table.items()})
+    for learn, costs_of in ((mixing.LEARN_GRAMS, found), (len(counts) // 3, {r.gram: r.cost for r in mixing.fit(stored, len(counts) // 3).collect()})):
+        share = -(-len(counts) // learn)
+        held, sizes = [], []
+        for shard in range(mixing.SHARDS):
+            own = sorted((mixed[g], g >> 8 & 0xFFFFFF, g) for g in table if mixed[g] % mixing.SHARDS == shard and ((mixed[g] & (2**64 - 1)) >> 8) % share == 0)
+            gram = np.array([g for _, _, g in own], dtype=np.uint64)
+            n_count, n_apart = (np.array([getattr(table[int(g)], c) for g in gram]) for c in ("n_count", "n_apart"))
+            x, level = mixing.odds(gram, n_count, counted)
+            mixer, used = mixing.Mixer.new(), np.flatnonzero(n_apart)
+            for at in range(0, len(used), mixing.STEP):
+                part = used[at : at + mixing.STEP]
+                mixer.learn(gram[part], n_apart[part], x[:, part], level[:, part])
+            held.append(mixer)
+            sizes.append(n_apart.sum())
+        weights, cells = (sum(getattr(m, c) * k for m, k in zip(held, sizes, strict=True)) / sum(sizes) for c in ("weights", "table"))
+        every = np.array(sorted(table), dtype=np.uint64)
+        total = {g: r.n_count + r.n_apart for g, r in table.items()}
+        plain = mixing.Mixer(weights, cells).cost(every, *mixing.odds(every, np.array([total[int(g)] for g in every]), short_contexts(total)))
+        assert [costs_of[int(g)] for g in every] == pytest.approx(plain.tolist(), rel=1e-9)
+
+
 def test_odds_are_those_of_the_counts(costs):
     _, counts, _ = costs
     n = {r.gram: r.n_count for r in counts}
-    gram = np.array([g for g in n if g >> 8 & 0xFFFF == 0x6520], dtype=np.uint64)
-    small = Counter()
-    for g, k in n.items():
-        small[g & 0xFFFF] += k
-    one = np.array(list(small), dtype=np.uint64), np.array(list(small.values()))
-    x, level = mixing.odds(gram, np.array([n[int(g)] for g in gram]), one)
-    for i in range(0, len(gram), 97):
+    gram = np.array([g for g in n if g >> 8 & 0xFFFFFF in (0x746865, 0x652074, 0x6E6420)], dtype=np.uint64)
+    assert len(gram) > 100
+    x, level = mixing.odds(gram, np.array([n[int(g)] for g in gram]), short_contexts(n))
+    for i in range(0, len(gram), 1 + len(gram) // 6):
         g = int(gram[i])
         for at in range(8):
             met = 0
@@ -482,8 +519,8 @@ def test_mixer_is_a_distribution():
     mixer.table += rng.normal(0, 0.3, mixer.table.shape)
     next_bytes = np.array([0x2074686500 | b for b in range(256)], dtype=np.uint64)
     n = rng.integers(0, 5, 256)
-    one = np.sort(rng.choice(65536, 500, replace=False)).astype(np.uint64), rng.integers(0, 9, 500)
-    assert (10.0 ** mixer.cost(next_bytes, *mixing.odds(next_bytes, n, one))).sum() == pytest.approx(1)
+    shared = [mixing.Known.of(rng.choice(2 ** (8 * o + 8), 500, replace=False).astype(np.uint64), rng.integers(0, 9, 500)) for o in (1, 2)]
+    assert (10.0 ** mixer.cost(next_bytes, *mixing.odds(next_bytes, n, shared))).sum() == pytest.approx(1)
 
 
 def test_mixer_trusts_the_predictor_that_is_right():
