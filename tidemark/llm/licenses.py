@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.components import cut
 from tidemark.llm.text import letter_words, whole_text
 
 SLACK = 3
@@ -120,7 +121,7 @@ def _windows(loose: DataFrame) -> DataFrame:
 
 
 def spans(voted: DataFrame) -> DataFrame:
-    """Verified spans, with `start` and `score`; and rows with null score, so that no text is lost."""
+    """Verified spans of a stored table of votes(), with `start` and `score`; and rows with null score, so that no text is lost."""
     whole = F.size("places") == F.col("size")
     verbatim = voted.withColumns({"start": F.col("diagonal"), "score": F.when(whole, F.lit(1.0))})
     loose = voted.where(~F.col("exact") & ~whole)
@@ -147,7 +148,7 @@ def scan(docs: DataFrame) -> DataFrame:
     base = hit & F.col("exact")
     named = lambda when: F.array_join(F.array_sort(F.collect_set(F.when(when, F.col("label")))), ",")
     return (
-        spans(votes(docs))
+        spans(cut(votes(docs)))
         .groupBy("row", "doc_id", "n_words")
         .agg(
             F.count_if(base).alias("n_base"),
