@@ -63,7 +63,7 @@ def test_near_duplicates_by_similarity(spark, source):
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), DATA).count() == 0
 
 
-@pytest.mark.parametrize("pairs, members, shard", [(2, 2048, 8192), (8, 16, 4), (48, 2048, 8192)])
+@pytest.mark.parametrize("pairs, members, shard", [(2, 2048, 8192), (8, 16, 4)])
 def test_large_shards(spark, pairs, members, shard):
     """Every shard counts as large, or is cut in parts: no near copy of a text is lost, and none is made up."""
     rng = random.Random(2)
