@@ -556,18 +556,31 @@ def sections_view(spark, d):
     return found.select("job_id", "parent", "title", "x.url", "x.label", "x.key_text", F.array_join("x.components", ",").alias("components"), "x.state")
 
 
+def _labelled(spark, d):
+    """Documents as screens whose labels are their sources, with children for two of three."""
+    i = F.col("doc_id") % 3
+    label = F.when(i == 0, F.col("source")).otherwise(F.concat("source", F.lit("/"), (F.col("doc_id") % 5).cast("string")))
+    return table(spark, d, "documents").select(F.col("lang").alias("job_id"), F.col("doc_id").alias("idx"), label.alias("label"))
+
+
 @query(f"""WITH lb AS (SELECT lang AS job_id, doc_id AS idx, CASE doc_id % 3 WHEN 0 THEN source ELSE source || '/' || (doc_id % 5) END AS label FROM documents),
 pl AS (SELECT *, row_number() OVER (PARTITION BY job_id, label ORDER BY idx) - 1 AS number, split_part(label, '/', 1) AS parent, nullif(split_part(label, '/', 2), '') AS child FROM lb),
 fi AS (SELECT *, min(idx) OVER (PARTITION BY job_id, parent) AS first, min(idx) OVER (PARTITION BY job_id, label) AS child_first FROM pl)
 SELECT job_id, dense_rank() OVER (PARTITION BY job_id ORDER BY first) - 1 AS position, parent, row_number() OVER (PARTITION BY job_id, parent ORDER BY child IS NOT NULL, CASE WHEN child IS NOT NULL THEN child_first END, idx) - 1 AS place, '/images/' || job_id || '/' || replace(label, '/', '__') || '/' || lpad(CAST(number AS VARCHAR), greatest(3, length(CAST(number AS VARCHAR)))::INTEGER, '0') || '.jpg' AS url FROM fi""")
 def sections_in_order(spark, d):
-    i = F.col("doc_id") % 3
-    label = F.when(i == 0, F.col("source")).otherwise(F.concat("source", F.lit("/"), (F.col("doc_id") % 5).cast("string")))
-    shown = table(spark, d, "documents").select(F.col("lang").alias("job_id"), F.col("doc_id").alias("idx"), label.alias("label"))
-    found = M.sections(M.tree(shown)).select("job_id", "position", "parent", F.posexplode("images").alias("place", "x"))
+    found = M.sections(M.tree(_labelled(spark, d))).select("job_id", "position", "parent", F.posexplode("images").alias("place", "x"))
     return found.select("job_id", F.col("position").cast("long").alias("position"), "parent", F.col("place").cast("long").alias("place"), "x.url")
 
 
+@query("""WITH lb AS (SELECT lang AS job_id, doc_id AS idx, CASE doc_id % 3 WHEN 0 THEN source ELSE source || '/' || (doc_id % 5) END AS label FROM documents),
+sc AS (SELECT job_id, min(idx) AS first, count(*) AS n FROM lb GROUP BY job_id, split_part(label, '/', 1)),
+w AS (SELECT *, n * 414 - 24 + 80 AS width FROM sc)
+SELECT job_id, row_number() OVER o - 1 AS position, 100 + CAST(coalesce(sum(width + 80) OVER (PARTITION BY job_id ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS x, width, CAST(976 AS BIGINT) AS height, (n - 1) * 414 + 40 AS last_card FROM w WINDOW o AS (PARTITION BY job_id ORDER BY first)""")
+def section_layout(spark, d):
+    found = M.layout(M.sections(M.tree(_labelled(spark, d))))
+    return found.select("job_id", F.col("position").cast("long").alias("position"), "x", "width", "height", F.element_at("cards", -1).cast("long").alias("last_card"))
+
+
 @query(f"WITH {SCREENS} SELECT job_id, string_agg(DISTINCT label, ',' ORDER BY label) AS sections FROM sc GROUP BY job_id")
 def section_names(spark, d):
     return M.section_names(screens(spark, d)).withColumn("sections", F.array_join("sections", ","))

@@ -63,6 +63,21 @@ def view(manifests: DataFrame, base: str = "") -> DataFrame:
     return manifests.select("job_id", analysis).join(listed, "job_id", "left").withColumn("sections", F.coalesce("sections", nothing))
 
 
+#: Measures of a page on which sections stand side by side.
+PAGE_PAD, SECTION_GAP, SECTION_PAD, CARD_WIDTH, CARD_HEIGHT, CARD_GAP, LABEL_HEIGHT = 100, 80, 40, 390, 844, 24, 52
+
+
+def layout(shown: DataFrame, start: int = PAGE_PAD) -> DataFrame:
+    """job_id, position, x, width, height and the x of each card of sections(), one row of cards a section, side by side from start."""
+    count = F.size("images")
+    width = count * (CARD_WIDTH + CARD_GAP) - CARD_GAP + 2 * SECTION_PAD
+    before = Window.partitionBy("job_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    x = F.coalesce(F.sum(width + SECTION_GAP).over(before), F.lit(0)) + start
+    cards = F.transform(F.sequence(F.lit(0), count - 1), lambda i: i * (CARD_WIDTH + CARD_GAP) + SECTION_PAD)
+    height = CARD_HEIGHT + LABEL_HEIGHT + 2 * SECTION_PAD
+    return shown.select("job_id", "position", x.cast("long").alias("x"), width.cast("long").alias("width"), F.lit(height).cast("long").alias("height"), cards.alias("cards"))
+
+
 def section_names(screens: DataFrame) -> DataFrame:
     """Per job: the sorted labels, without transitions and unsorted ones."""
     return screens.where(~F.col("label").isin("transition", "unsorted")).groupBy("job_id").agg(F.array_sort(F.collect_set("label")).alias("sections"))
