@@ -18,7 +18,9 @@ what the level before left open:
 3. Windows. Open intervals are cut into blocks of BLOCK windows at fixed distances from the
    minimiser. The windows of a block share a core, so only blocks of one core can hold equal windows;
    a block carries the few bytes on both sides of it. Blocks of a core are met in one task, which puts
-   their windows in suffix order and compares them byte for byte.
+   their windows in suffix order, takes from neighbours how many bytes they share, and finds the
+   longest previous factor of each (at most L) at the nearest smaller place before or after it. One
+   of L bytes is a repeat, and what it was found at is repeated.
 
 Minimisers and cores that very many rows share are known from a fixed share of the texts (HOT_SHARE).
 They are not grouped whole: their rows are dealt over SALTS parts, where all but the first of a part
@@ -152,10 +154,10 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
 
 
 def removable(run_starts: np.ndarray, keep: str) -> np.ndarray:
-    """Which suffixes, in suffix order and by position in each run, are removed.
+    """Which rows that are known to be equal or not, side by side and by position, are removed.
 
-    One that starts no run has the suffix before it as previous smaller position, and its longest
-    previous factor is L or more. With keep="none" it also gives its run's first suffix a later match.
+    One that starts no run has the row before it as previous smaller position, equal to its end. With
+    keep="none" it also gives its run's first row a later match.
     """
     has_earlier = ~run_starts
     if keep == "first":
@@ -164,6 +166,46 @@ def removable(run_starts: np.ndarray, keep: str) -> np.ndarray:
     return has_earlier | has_later
 
 
+def _previous_smaller(place: np.ndarray, common: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the nearest one before it with a smaller place, and the least of common between the two.
+
+    Rows of a group stand together and common is 0 where a group begins. A row without a smaller one
+    in its group gets length 0. Both are read off tables of the least values of 1, 2, 4, ... rows, as
+    many as the largest group asks for, so that no order of places makes it slow.
+    """
+    n = len(place)
+    longest = int(np.bincount(group).max()) if n else 0
+    # Row 0 stands for what is before the first one: smaller than all.
+    least = [np.concatenate(([-1], place))]
+    shared = [np.concatenate(([0], common))]
+    while (width := 1 << len(least)) <= longest:
+        half, (a, b) = width // 2, (least[-1], shared[-1])
+        back = np.maximum(np.arange(n + 1) - half, 0)
+        least.append(np.minimum(a, a[back]))
+        shared.append(np.minimum(b, b[back]))
+    at = np.arange(n)  # the row before, counted from 1
+    length = common.copy()
+    for k in reversed(range(len(least))):
+        step = np.nonzero(least[k][at] > place)[0]
+        length[step] = np.minimum(length[step], shared[k][at[step]])
+        at[step] = np.maximum(at[step] - (1 << k), 0)
+    return at - 1, length
+
+
+def longest_previous(place: np.ndarray, common: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The longest previous factor of suffixes in suffix order, and the row it is found at (-1: none).
+
+    place is where a suffix starts among all; common how many bytes it shares with the suffix before
+    it in this order (0 where a group of suffixes begins). The nearest suffixes with smaller places,
+    before and after it in this order, share most with it of all that start earlier.
+    """
+    source, before = _previous_smaller(place, common, group)
+    mirrored, after = _previous_smaller(place[::-1], np.concatenate(([0], common[1:][::-1]))[: len(common)], group[::-1])
+    mirrored, after = len(place) - 1 - mirrored[::-1], after[::-1]
+    found = np.maximum(before, after)
+    return found, np.where(found == 0, -1, np.where(before >= after, source, mirrored))
+
+
 #: The text's place among all: its smallest doc_id, and 128 bits of the text.
 PLACE = ("f", "t0", "t1")
 _KIND = "g long, part int, a long, b long, f long, t0 long, t1 long, s int, n int, o int"
@@ -231,7 +273,7 @@ def blocks(open_texts: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
 
 
 def _windows(sides: list[bytes], lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The windows of some blocks as two numbers each, equal where j and all bytes beside the core are; and which exist."""
+    """The windows of some blocks as 16 bytes each, j and the bytes beside the core in their order; and which exist."""
     side = BLOCK - 1
     flat = np.frombuffer(b"".join(sides), dtype=np.uint8).reshape(-1, 2 * side)
     key = np.zeros((len(sides), BLOCK, BLOCK), dtype=np.uint8)
@@ -239,7 +281,7 @@ def _windows(sides: list[bytes], lo: np.ndarray, hi: np.ndarray) -> tuple[np.nda
         key[:, j, 0] = j
         key[:, j, 1:] = flat[:, j : j + side]
     place = np.arange(BLOCK)
-    return key.view(np.uint64).reshape(-1, BLOCK, 2), (place >= lo[:, None]) & (place <= hi[:, None])
+    return key, (place >= lo[:, None]) & (place <= hi[:, None])
 
 
 def _runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -299,7 +341,25 @@ def _runs(rows: DataFrame, keep: str, dealt: bool) -> DataFrame:
     return found.where("size = 0").select(columns).unionByName(met.withColumns({"gone": gone, "open": F.col("at") == 1}).select(columns))
 
 
-def _window_runs(rows: DataFrame, keep: str) -> DataFrame:
+def window_factors(keys: np.ndarray, core: np.ndarray, row: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows in suffix order, their longest previous factors up to length, and where in this order each is found.
+
+    keys has 16 bytes a window (its place j in the block, then its bytes beside the core). Only windows
+    of one core and one j are compared: no others can be equal. Their places are their rows' order.
+    """
+    high, low = keys.view(">u8").reshape(-1, 2).T.astype(np.uint64)
+    order = np.lexsort((row, low, high, core))
+    keys, core = keys[order], core[order]
+    begins = _starts(core, keys[:, 0])
+    differs = np.ones((len(keys), BLOCK), dtype=bool)  # the last column: all is equal
+    differs[1:, :-1] = keys[1:, 1:] != keys[:-1, 1:]
+    at = differs.argmax(axis=1)
+    # The core stands between the BLOCK - 1 - j bytes on its left and the j on its right.
+    common = np.where(at < BLOCK - 1 - keys[:, 0], at, at + length - (BLOCK - 1)) * ~begins
+    return order, *longest_previous(row[order], common, np.cumsum(begins) - 1)
+
+
+def _window_runs(rows: DataFrame, length: int, keep: str) -> DataFrame:
     """The removed windows of blocks, as spans; all blocks of a core meet in a task."""
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,10 +371,12 @@ def _window_runs(rows: DataFrame, keep: str) -> DataFrame:
                 continue
             windows, held = _windows(group.column("sides").to_pylist(), *_numbers(group, "lo", "hi"))
             row, j = np.nonzero(held)
-            high, low = windows[row, j, 0], windows[row, j, 1]
-            order = np.lexsort((row, low, high, core[row]))  # rows are in order of their places
+            order, factor, source = window_factors(windows[row, j], core[row], row, length)  # rows are in order of their places
+            row, j, repeats = row[order], j[order], factor >= length
             gone = np.zeros(held.shape, dtype=bool)
-            gone[row[order], j[order]] = removable(_starts(core[row[order]], high[order], low[order]), keep)
+            gone[row[repeats], j[repeats]] = True
+            if keep == "none":  # what was matched goes as well
+                gone[row[source[repeats]], j[source[repeats]]] = True
             at, first, n = _runs_of(gone)
             start = _numbers(group, "s")[0][at] + first
             yield _batch(**{c: _numbers(group, c)[0][at] for c in PLACE}, s=start.astype(np.int32), n=n.astype(np.int32))
@@ -330,7 +392,7 @@ def _single_windows(rows: DataFrame) -> DataFrame:
             windows, held = _windows(batch.column("sides").to_pylist(), *_numbers(batch, "lo", "hi"))
             row, j = np.nonzero(held)
             core = np.stack(_numbers(batch, "a", "b"), axis=1)[row]
-            a, b = _digests([xxhash.xxh3_128_digest(x.tobytes()) for x in np.concatenate((core.view(np.uint64), windows[row, j]), axis=1)])
+            a, b = _digests([xxhash.xxh3_128_digest(x.tobytes()) for x in np.concatenate((core.view(np.uint8), windows[row, j]), axis=1)])
             place, s = {c: k[row] for c, k in zip(PLACE, _numbers(batch, *PLACE), strict=True)}, (_numbers(batch, "s")[0][row] + j).astype(np.int32)
             ones = np.ones(len(row), dtype=np.int32)
             yield _batch(g=a, part=_salt(place["t0"], s), a=a, b=b, **place, s=s, n=ones, o=0 * ones)
@@ -354,7 +416,7 @@ def repeated(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str
     hot_grams = _hot(sparse(sample, length, gram, nothing), "g")
     hot_cores = _hot(levels(sample, hot_grams, nothing)[1], "a")
     found, open_blocks = levels(texts, hot_grams, hot_cores)
-    found = found.unionByName(_window_runs(open_blocks.where("not hot"), keep))
+    found = found.unionByName(_window_runs(open_blocks.where("not hot"), length, keep))
     if len(hot_cores):
         found = found.unionByName(_runs(_single_windows(open_blocks.where("hot")), keep, True).where("gone").select(span))
     return found.groupBy("t0", "t1").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
