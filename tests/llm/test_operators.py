@@ -116,6 +116,58 @@ def test_labelers_are_told_apart(spark):
     assert masked[0] == "pay with [CARD] now" and masked[1] == asked[1] and masked[3] == asked[3] and "[SECRET]" in masked[2]
 
 
+def test_labelers_vote_on_all_kinds(spark):
+    """Base kinds too: the word before, what a span stands against and how it varies."""
+    texts = ["mail me@example.org", "release 1.2.3.4 is out", "pay with 4111 1111 1111 1111", "x9.9.9.9", "+1 111 111 1111", "Fax: +1 (202) 555-0147"]
+    text = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = text.select("doc_id", F.explode(pii.candidates(F.col("text"))).alias("x"))
+    votes = found.select("doc_id", "x.kind", *[v.alias(n) for n, v in pii._labelers(F.col("x")).items()]).collect()
+    assert {(r.doc_id, r.kind): (r.gazetteer, r.context, r.turns) for r in votes} == {
+        (0, "email"): (1, None, 1),
+        (1, "ip"): (0, None, 1),
+        (2, "card"): (1, None, 0),
+        (3, "ip"): (None, 0, 0),
+        (4, "phone"): (None, None, 0),
+        (5, "phone"): (1, 1, 1),
+    }
+
+
+def test_reliabilities_differ(spark):
+    model = pii.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert len(set(model.reliability.values())) == len(pii.LABELERS), model.reliability
+
+
+def test_longest_previous_factors():
+    """All values of whole texts' suffix orders, and those of windows, as brute force has them."""
+    rng = random.Random(11)
+
+    def shared(x, y):
+        return next((k for k, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+
+    for text in ["", "a", "a" * 70, "ab" * 40, *["".join(rng.choice("ab"[: rng.randrange(1, 3)] + "c") for _ in range(rng.randrange(2, 90))) for _ in range(60)]]:
+        order = sorted(range(len(text)), key=lambda i: text[i:])
+        common = np.array([0] + [shared(text[i:], text[k:]) for i, k in zip(order, order[1:], strict=False)][: len(order)], dtype=int)[: len(order)]
+        factor, source = lpf.longest_previous(np.array(order, dtype=int), common, np.zeros(len(order), dtype=int))
+        for r, i in enumerate(order):
+            assert factor[r] == max((shared(text[i:], text[k:]) for k in range(i)), default=0)
+            if factor[r]:
+                assert order[source[r]] < i and shared(text[i:], text[order[source[r]] :]) == factor[r]
+            else:
+                assert source[r] == -1
+
+    length, n = 40, 400
+    core = np.sort(np.array([rng.randrange(30) for _ in range(n)]))
+    row = np.arange(n)
+    keys = np.array([[rng.choice((0, 3, 15)), *[rng.choice((97, 97, 97, 200)) for _ in range(15)]] for _ in range(n)], dtype=np.uint8)
+    bytes_of = lambda i: bytes(keys[i, 1 : 16 - keys[i, 0]]) + b"=" * (length - 15) + bytes(keys[i, 16 - keys[i, 0] :])
+    order, factor, source = lpf.window_factors(keys, core, row, length)
+    for r, i in enumerate(order):
+        earlier = [k for k in range(i) if core[k] == core[i] and keys[k, 0] == keys[i, 0]]
+        assert len(bytes_of(i)) == length
+        assert factor[r] == max((shared(bytes_of(i), bytes_of(k)) for k in earlier), default=0)
+        assert factor[r] == 0 or order[source[r]] in earlier and shared(bytes_of(i), bytes_of(order[source[r]])) == factor[r]
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_repeated_strings(docs, rows, empty, hot, monkeypatch):
     if hot:  # every minimiser and core of more than one row is dealt over parts

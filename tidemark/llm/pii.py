@@ -4,8 +4,8 @@ Candidates are all matches of six patterns. Base kinds (email, ip, card, phone)
 passes an exact check, and stay whatever the method says; secrets and social-security numbers are
 kinds that the method adds. Matches that fail their check are candidates too: they are what false
 spans look like. Labelers vote on every candidate: regular expressions (the check, and the form that
-true ones mostly have), a gazetteer (the word before) and context (what stands before); each says 1
-or 0, or abstains where it has nothing to say. Expectation-maximisation over the counts of vote
+true ones mostly have), a gazetteer (the word before), context (what stands before) and how the
+characters vary; each says 1 or 0 of spans of any kind, or abstains where it has nothing to say. Expectation-maximisation over the counts of vote
 patterns (a table of at most 3 ** len(LABELERS) rows) estimates how often each labeler says 1 of true
 and of false spans. The posteriors then weigh the counts of a naive Bayes span classifier over
 features with few values. It decides on the added kinds, and in mask() on card numbers too, as one
@@ -46,6 +46,15 @@ BASE = ("email", "ip", "card", "phone")
 SURE = ("email", "ip", "phone")
 #: Words that stand before a credential or a number of a person.
 GAZETTEER = ("password", "passwd", "pwd", "pass", "token", "secret", "key", "apikey", "credential", "ssn", "social", "auth", "bearer", "card", "visa", "mastercard")
+#: Words that stand before a span of a base kind.
+GAZETTEERS = {
+    "email": ("email", "mail", "contact", "write", "address", "mailto"),
+    "ip": ("ip", "host", "server", "address", "gateway", "login"),
+    "card": ("card", "visa", "mastercard", "amex", "credit", "debit", "payment", "pay", "paid", "with"),
+    "phone": ("phone", "tel", "telephone", "call", "mobile", "cell", "fax", "dial"),
+}
+#: Words that stand before numbers of things.
+THINGS = ("version", "release", "section", "chapter", "page", "figure", "table", "isbn", "order", "invoice", "number", "serial", "item", "id")
 #: Characters before a span that labelers may look at.
 CONTEXT = 24
 ROUNDS = 8
@@ -111,12 +120,16 @@ def _labelers(x: Column) -> dict[str, Column]:
         .when(kind == "secret", says(value.rlike("^(?:AKIA|ASIA|ghp|gho|sk|pk|xox)[0-9A-Za-z]{12,}$") | value.rlike("^[0-9a-f]{16,64}$")))
         .when(kind == "ssn", says(~value.rlike("^(?:000|666|9)|-00-|-0000$")))
     )
+    named = reduce(lambda c, kw: c | ((kind == kw[0]) & last.isin(*kw[1])), GAZETTEERS.items(), F.lit(False))
+    # A mark says that a value follows, something joined that this is its middle; white space says nothing.
+    led = F.when(before.rlike(r"[=:(\[<][\x20]?[\x22\x27]?$"), 1).when(before.rlike(r"[^\x09-\x0D\x20]$"), 0)
+    varied = F.when(kind == "email", says(value.rlike("^[^@]*[A-Za-z]"))).otherwise(says(F.size(F.array_distinct(F.split(digits, ""))) >= 4))
     return {
         "check": F.when(~added, says(x["valid"])),
         "form": form,
-        "gazetteer": F.when(last.isin(*GAZETTEER), 1).when(added & (last != ""), 0),
-        "context": F.when(added, says(before.rlike(r"[=:][\x20]?[\x22\x27]?$"))),
-        "turns": F.when(kind == "secret", says(_turns(value) >= 3)),
+        "gazetteer": F.when(added, F.when(last.isin(*GAZETTEER), 1).when(last != "", 0)).when(named, 1).when(last.isin(*THINGS), 0),
+        "context": F.when(added, says(before.rlike(r"[=:][\x20]?[\x22\x27]?$"))).otherwise(led),
+        "turns": F.when(kind == "secret", says(_turns(value) >= 3)).when(~added, varied),
     }
 
 
