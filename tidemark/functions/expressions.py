@@ -20,10 +20,12 @@ def hamming(a: Column, b: Column) -> Column:
 def signature(values: Column) -> Column:
     """64 numbers as 64 bits: bit i is set where number i is above the median (the mean of the two middle ones)."""
     numbers = values.cast("array<double>")
-    ordered = F.array_sort(numbers)
-    middle = (ordered[31] + ordered[32]) / 2
-    bits = F.transform(numbers, lambda x, i: F.when(x > middle, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+    ordered = F.sort_array(F.array_compact(numbers))
+    middle = (F.get(ordered, F.lit(31)) + F.get(ordered, F.lit(32))) / 2
+    bit = lambda x, i, m: F.when(x > m, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
+    # A lambda binds the median, which is sorted for once a row and not once a number.
+    of = lambda m: F.aggregate(F.transform(numbers, lambda x, i: bit(x, i, m)), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+    return F.transform(F.array(middle), of)[0]
 
 
 def half(sig: Column, right: bool) -> Column:

@@ -25,9 +25,9 @@ def nearest(wanted: DataFrame, frames: DataFrame) -> DataFrame:
     one = frames.where("ts_ms is not null").groupBy("job_id", "ts_ms").agg(F.min_by(row, "frame_id").alias("there"))
     asked = wanted.select("job_id", F.col("ts_ms").alias("__at"), F.struct(*wanted.columns).alias("__asked"))
     both = asked.unionByName(one.select("job_id", F.col("ts_ms").alias("__at"), "there"), allowMissingColumns=True)
-    order = Window.partitionBy("job_id").orderBy("__at")
-    before = F.last("there", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("there", ignorenulls=True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    # Both ways the frame of a window only grows: one that ends with the job is gone through again for each row.
+    nearby = lambda order: F.last("there", ignorenulls=True).over(Window.partitionBy("job_id").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    before, after = nearby(F.asc("__at")), nearby(F.desc("__at"))
     met = both.withColumns({"__before": before, "__after": after}).where("__asked is not null")
     earlier = F.col("__after").isNull() | (F.col("__at") - F.col("__before.at") <= F.col("__after.at") - F.col("__at"))
     frame = F.when(F.col("__at").isNull(), None).when(F.col("__before").isNotNull() & earlier, F.col("__before.row")).otherwise(F.col("__after.row"))
