@@ -207,9 +207,7 @@ def dense_zone_scan(spark, d):
 
 
 def _flagged(spark, d):
-    frames = hashed_frames(spark, d)
-    inside = Mo.in_zone(frames, _zones(spark, d)).select("job_id", "idx", F.lit(True).alias("in_zone"))
-    return frames.join(inside, ["job_id", "idx"], "left").withColumn("in_zone", F.coalesce("in_zone", F.lit(False)))
+    return Mo.zone_flags(hashed_frames(spark, d), _zones(spark, d))
 
 
 # The high-rate source of a recording: five frames for each of the sparse ones, with some bits turned over.

@@ -51,9 +51,7 @@ def merged(scout: DataFrame, dense: DataFrame) -> DataFrame:
 
 def scouted(frames: DataFrame, zones: DataFrame, change: int, near: int) -> DataFrame:
     """The sparse frames that stay: those in zones as they are, of the others the stable ones that differ from the last one kept."""
-    inside = motion.in_zone(frames, zones).select("job_id", "idx", F.lit(True).alias("in_zone"))
-    flagged = frames.join(inside, ["job_id", "idx"], "left").withColumn("in_zone", F.coalesce("in_zone", F.lit(False)))
-    still = stability.scout(flagged, change).select(*frames.columns, "in_zone")
+    still = stability.scout(motion.zone_flags(frames, zones), change).select(*frames.columns, "in_zone")
     return still.join(dedup.consecutive_with_zones(still, near), ["job_id", "idx"], "left_semi").drop("in_zone")
 
 

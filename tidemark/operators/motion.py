@@ -89,11 +89,23 @@ def dense_rate(start: Column, end: Column) -> Column:
     return F.when(start.isNull() | end.isNull(), 15).when(length <= 400, 30).when(length <= 1500, 15).otherwise(8)
 
 
+def zone_flags(frames: DataFrame, zoned: DataFrame) -> DataFrame:
+    """Adds in_zone: whether the frame's idx lies in a zone of its job.
+
+    Frames and the starts of zones are put in one order, and the running maximum of the zones' ends tells if one is
+    still open, so that it does not grow with frames times zones.
+    """
+    own = frames.select("job_id", F.col("idx").cast("long").alias("__at"), F.struct(*[F.col(f"`{c}`") for c in frames.columns]).alias("__row"))
+    spans = zoned.where("job_id is not null and start_index is not null").select("job_id", F.col("start_index").cast("long").alias("__at"), F.col("end_index").cast("long").alias("__end"))
+    # A zone that starts at a frame holds it.
+    so_far = Window.partitionBy("job_id").orderBy("__at", F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = own.unionByName(spans, allowMissingColumns=True).withColumn("in_zone", F.coalesce(F.max("__end").over(so_far) >= F.col("__at"), F.lit(False)))
+    return met.where("__row is not null").select("__row.*", "in_zone")
+
+
 def in_zone(frames: DataFrame, zoned: DataFrame, inside: bool = True) -> DataFrame:
     """The frames whose idx lies in a zone of their job, or in none."""
-    spans = zoned.select(F.col("job_id").alias("z_job"), "start_index", "end_index")
-    meets = (F.col("job_id") == F.col("z_job")) & F.col("idx").between(F.col("start_index"), F.col("end_index"))
-    return frames.join(spans, meets, "left_semi" if inside else "left_anti")
+    return zone_flags(frames, zoned).where(F.col("in_zone") == inside).select(*[F.col(f"`{c}`") for c in frames.columns])
 
 
 def dense_times(zoned: DataFrame, least_ms: int = 50) -> DataFrame:

@@ -36,9 +36,7 @@ def held_frames(frames: DataFrame, config: StabilityConfig, moving: int, near: i
 def stable_frames(frames: DataFrame, config: MotionConfig, change: int, near: int, moving: int) -> DataFrame:
     """frames (job_id, frame_id, idx, sig): without unstable ones, near duplicates and the moving tail."""
     zones = motion.zones(motion.series(frames), config)
-    inside = motion.in_zone(frames, zones).select("job_id", "idx", F.lit(True).alias("in_zone"))
-    flagged = frames.join(inside, ["job_id", "idx"], "left").withColumn("in_zone", F.coalesce("in_zone", F.lit(False)))
-    scouted = stability.scout(flagged, change).select("job_id", "frame_id", "idx", "sig", "in_zone")
+    scouted = stability.scout(motion.zone_flags(frames, zones), change).select("job_id", "frame_id", "idx", "sig", "in_zone")
     thinned = scouted.join(dedup.consecutive_with_zones(scouted, near), ["job_id", "idx"], "left_semi")
     unique = thinned.join(dedup.leaders(thinned, near), ["job_id", "idx"], "left_semi")
     return stability.trim_tail(unique.select("job_id", "frame_id", "idx", "sig"), moving).select("job_id", "frame_id", "idx", "sig")
