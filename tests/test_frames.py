@@ -1,5 +1,7 @@
 """Hand-derived cases of FIXTURES.md, pixel features, providers and the whole recording plan."""
 
+import random
+import re
 import struct
 import zlib
 from itertools import product
@@ -9,9 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import pixels
-from tidemark.functions.expressions import strip
+from tidemark.functions.expressions import signature, strip
 from tidemark.functions.providers import classify
-from tidemark.operators import boundaries, dedup, manifest, motion, segments, stability, timeline
+from tidemark.operators import adaptive, boundaries, dedup, manifest, motion, segments, stability, timeline
 from tidemark.operators import classify as answers
 from tidemark.plans import recording
 from tidemark.sources import image_tree, sinks, tables
@@ -328,3 +330,46 @@ def test_side_by_side(spark):
     assert sorted(r.label for r in timeline.side_by_side(a, b).collect()) == ["l0", "l1"]
     paths = spark.createDataFrame([(1, "p"), (1, "q")], "job_id long, path string")
     assert timeline.all_paths(paths, paths.limit(1)).count() == 2
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_nearest_goes_through_a_job_once_each_way(spark):
+    rng = random.Random(3)
+    frames = [(1, i, rng.choice([None, *range(60)]), i * 7) for i in range(40)] + [(2, 5, 9, 1)]
+    wanted = [(job, t, t) for job in (1, 2, 3) for t in (None, *range(-2, 64))]
+    found = adaptive.nearest(spark.createDataFrame(wanted, "job_id long, ts_ms long, tag long"), spark.createDataFrame(frames, "job_id long, frame_id long, ts_ms long, sig long"))
+    assert "unboundedfollowing" not in _plan(found)
+    got = {(r.job_id, r.tag): r.frame and (r.frame.frame_id, r.frame.ts_ms, r.frame.sig) for r in found.collect()}
+
+    def plain(job, t):
+        own = [f for f in frames if f[0] == job and f[2] is not None]
+        return min(((abs(f[2] - t), f[2], f[1]), f[1:]) for f in own)[1] if own and t is not None else None
+
+    assert len(got) == len(wanted) and all(got[j, t] == plain(j, t) for j, t, _ in wanted)
+
+
+def test_zones_meet_frames_without_pairs(spark):
+    zones = [(1, 3, 5), (1, 4, 4), (1, 9, 20), (1, 10, 12), (2, 0, 0), (None, 0, 9)]
+    frames = [(job, i, "x") for job in (1, 2, 3, None) for i in (None, *range(25))]
+    given = spark.createDataFrame(frames, "job_id long, idx long, `a.b` string"), spark.createDataFrame(zones, "job_id long, start_index long, end_index long")
+    inside = {(j, i) for j, i, _ in frames if j is not None and i is not None and any(z[0] == j and z[1] <= i <= z[2] for z in zones)}
+    for which in (True, False):
+        found = motion.in_zone(*given, inside=which)
+        assert "join" not in _plan(found) and found.columns == ["job_id", "idx", "a.b"]
+        assert sorted(found.collect(), key=repr) == sorted([f for f in frames if ((f[0], f[1]) in inside) == which], key=repr)
+
+
+def test_signature_sorts_a_vector_once(spark):
+    rng = random.Random(5)
+    vectors = [[rng.choice([rng.gauss(0, 1), 0.0, 1.0]) for _ in range(64)] for _ in range(50)] + [[1.0] * 5, [None] * 40 + [2.0] * 24]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "i int, v array<float>").select("i", signature(F.col("v")).alias("s"))
+    assert len(re.findall("sort", _plan(frame))) <= 2
+    for row in frame.collect():
+        v = [None if x is None else struct.unpack("f", struct.pack("f", x))[0] for x in vectors[row.i]]
+        low = sorted(x for x in v if x is not None)
+        middle = (low[31] + low[32]) / 2 if len(low) > 32 else None
+        bits = sum(1 << i for i, x in enumerate(v) if middle is not None and x is not None and x > middle)
+        assert row.s & (2**64 - 1) == bits
