@@ -657,3 +657,14 @@ def test_texts_without_id_of_one_32_bit_hash_stay_apart(spark):
     found = sorted((r.n_removed, bytes(r.kept)) for r in lpf.remove(table).collect())
     # The suffixes share their first digit, which is thus repeated.
     assert found == [(301, b"45701"), (306, b""), (306, b"")]
+
+
+def test_windows_are_verified_where_the_words_are(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, None), (3, "x")], "doc_id long, text string")
+    texts = decontaminate.row_key(docs)
+    plan = decontaminate._shingled(texts, False)._jdf.queryExecution().optimizedPlan().toString()
+    # Shingles are made before they are exploded, in a step that compiles.
+    assert "posexplode(grams" in plan
+    found, _ = decontaminate.occurrences(docs, spark.createDataFrame([("i", "b c"), ("j", "c b"), ("k", "x")], "item_id string, text string"))
+    got = {r.doc_id: r.found and [(x.start, x.size, x.window) for x in r.found] for r in found.collect()}
+    assert got == {1: [(1, 2, "b c")], 2: None, 3: [(0, 1, "x")]}

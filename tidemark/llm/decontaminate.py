@@ -6,8 +6,8 @@ With full containment the necessary prefix of a window, in order of rarity, is i
 shingle. How often each shingle of the benchmark stands in the texts is counted over all texts; a
 window with a shingle that never does is dropped. Then all shingles of all texts are joined to the
 rarest ones. The shingle's place in the window gives where the window would start; starts before
-the text or ends beyond it are dropped (positional and length bounds). What is left is verified:
-the window's words are compared with the words of the text.
+the text or ends beyond it are dropped (positional and length bounds). What is left is verified in
+the same pass: the window's words are compared with the words of the text.
 
 The benchmark side is broadcast if it has at most BROADCAST_ROWS rows, which is checked; beyond
 that Spark joins by shuffle.
@@ -44,11 +44,15 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _shingled(texts: DataFrame, single: bool) -> DataFrame:
-    """(row, k0, k1, doc_id, n_words, p, gram), at least one row a text. single: one-word windows exist, so words are shingles too."""
+    """(row, k0, k1, doc_id, n_words, w, p, gram), at least one row a text. single: one-word windows exist, so words are shingles too."""
     words = texts.select(F.monotonically_increasing_id().alias("row"), "k0", "k1", "doc_id", letter_words(F.col("text")).alias("w"))
-    rows = words.select("row", "k0", "k1", "doc_id", F.size("w").cast("long").alias("n_words"), F.posexplode_outer(F.expr(_GRAMS)).alias("p", "gram"))
+    own = ["row", "k0", "k1", "doc_id", F.size("w").cast("long").alias("n_words"), "w"]
+    names = ["row", "k0", "k1", "doc_id", "n_words", "w"]
+    # Arrays are made one step before they are exploded, so that Spark compiles the step that has a row a shingle.
+    rows = words.select(*own, F.expr(_GRAMS).alias("grams")).select(*names, F.posexplode_outer("grams").alias("p", "gram"))
     if single:
-        rows = rows.unionByName(words.where("size(w) > 1").select("row", "k0", "k1", "doc_id", F.size("w").cast("long").alias("n_words"), F.posexplode(F.transform("w", lambda x: F.xxhash64(x))).alias("p", "gram")))
+        each = words.where("size(w) > 1").select(*own, F.transform("w", lambda x: F.xxhash64(x)).alias("grams"))
+        rows = rows.unionByName(each.select(*names, F.posexplode("grams").alias("p", "gram")))
     return rows
 
 
@@ -68,15 +72,12 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> tupl
 
     start = F.col("p") - F.col("place")
     fits = (start >= 0) & (start + F.col("size") <= F.col("n_words"))
-    matched = shingles.join(_small(prefix), "gram", "left").where(fits | F.col("window").isNull() & (F.coalesce("p", F.lit(0)) == 0) | (F.col("p") == 0))
-    held = F.collect_set(F.when(fits, F.struct(start.alias("start"), "size", "window")))
+    # Verified where the words are at hand; texts are not read again for it.
+    stands = F.coalesce(F.when(fits, F.expr("array_join(slice(w, p - place + 1, size), ' ') = window")), F.lit(False))
+    matched = shingles.join(_small(prefix), "gram", "left").where((F.coalesce("p", F.lit(0)) == 0) | stands)
     # One row a text: n_words is the text's, so the grouping has a row for each text, and the set is bounded by its length.
-    by_text = cut(matched.groupBy("row", "k0", "k1", "doc_id", "n_words").agg(held.alias("candidates")))
-
-    open_ends = by_text.where("size(candidates) > 0").select("k0", "k1", "candidates").dropDuplicates(["k0", "k1"])
-    read = texts.select("k0", "k1", "text").join(open_ends, ["k0", "k1"]).select("k0", "k1", "candidates", letter_words(F.col("text")).alias("w"))
-    verified = read.select("k0", "k1", F.expr("sort_array(filter(candidates, c -> array_join(slice(w, c.start + 1, c.size), ' ') = c.window))").alias("found")).where("size(found) > 0").dropDuplicates(["k0", "k1"])
-    return by_text.drop("candidates", "row").join(verified, ["k0", "k1"], "left"), items
+    by_text = matched.withColumn("held", F.when(stands, F.struct(start.alias("start"), "size", "window"))).groupBy("row", "k0", "k1", "doc_id", "n_words").agg(F.collect_set("held").alias("held"))
+    return by_text.select("k0", "k1", "doc_id", "n_words", F.when(F.size("held") > 0, F.sort_array("held")).alias("found")), items
 
 
 #: Words covered by sorted intervals (start, size).
