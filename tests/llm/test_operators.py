@@ -668,3 +668,15 @@ def test_windows_are_verified_where_the_words_are(spark):
     found, _ = decontaminate.occurrences(docs, spark.createDataFrame([("i", "b c"), ("j", "c b"), ("k", "x")], "item_id string, text string"))
     got = {r.doc_id: r.found and [(x.start, x.size, x.window) for x in r.found] for r in found.collect()}
     assert got == {1: [(1, 2, "b c")], 2: None, 3: [(0, 1, "x")]}
+
+
+def test_entries_of_words_make_those_of_the_text():
+    pieces = sentencepiece.load()
+    text = "Some words, some 😀 words... ▁ and\tmore; don't unbelievably"
+    words = sentencepiece.cut_words(text)
+    codes = sentencepiece.Codes({}, pieces)
+    ids, found = zip(*map(codes.__getitem__, words), strict=True)
+    # Words with punctuation at their ends are remembered too.
+    assert all(w in codes for w in words)
+    assert b"".join(found).decode() == " " + text
+    assert sentencepiece.decode_ids(np.frombuffer(b"".join(ids), dtype=np.int32).tolist(), sentencepiece.piece_bytes(pieces)) == text

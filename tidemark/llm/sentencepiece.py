@@ -24,11 +24,11 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -192,32 +192,43 @@ def piece_bytes(pieces: Pieces) -> dict[int, bytes]:
     return {i: p.replace(SPACE, " ").encode() for p, i in pieces.ids.items()} | {i: bytes([b]) for b, i in enumerate(pieces.byte_ids)}
 
 
+Entry = tuple[bytes, bytes]
+
+
+def entry(ids: list[int], names: dict[int, bytes]) -> Entry:
+    """Ids as 32-bit numbers, and what they decode to. Both of a text are those of its words in a row."""
+    return array("i", ids).tobytes(), b"".join(map(names.__getitem__, ids))
+
+
 class Codes(dict):
-    """The codes of words: the broadcast ones, and those that this task has met (at most REMEMBERED)."""
+    """The entries of words: the broadcast ones, and those that this task has met (at most REMEMBERED)."""
 
-    def __init__(self, known: dict[str, list[int]], pieces: Pieces):
+    def __init__(self, known: dict[str, Entry], pieces: Pieces):
         super().__init__(known)
-        self.known, self.pieces = known, pieces
+        self.known, self.pieces, self.names = known, pieces, piece_bytes(pieces)
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> Entry:
         bare = word.rstrip(PUNCTUATION)
         if self.pieces.ends_apart and bare != word and _CROSSING.search(word[len(bare) - 1 : len(bare) + 1] if bare else ""):
-            return self[bare] + self[word[len(bare) :]]
+            (ids, text), (more, rest) = self[bare], self[word[len(bare) :]]
+            found = ids + more, text + rest
+        else:
+            found = entry(encode_word(word, self.pieces), self.names)
         if len(self) >= REMEMBERED + len(self.known):
             self.clear()
             self.update(self.known)
-        self[word] = encode_word(word, self.pieces)
-        return self[word]
+        self[word] = found
+        return found
 
 
 def encode(docs: DataFrame, pieces: Pieces, hot: int = HOT) -> DataFrame:
     """doc_id, ids, n_pieces, n_words and round_trip (decoding gives the text again) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast((hot_table(docs, pieces, hot), pieces))
+    names = piece_bytes(pieces)
+    shared = docs.sparkSession.sparkContext.broadcast(({w: entry(ids, names) for w, ids in hot_table(docs, pieces, hot).items()}, pieces))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, own = shared.value
-        codes, names = Codes(known, own), piece_bytes(own)
-        code_of, bytes_of = codes.__getitem__, names.__getitem__
+        codes = Codes(*shared.value)
+        code_of = codes.__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -229,10 +240,10 @@ def encode(docs: DataFrame, pieces: Pieces, hot: int = HOT) -> DataFrame:
                         same.append(None)
                         continue
                     words = cut_words(text) if text else []
-                    ids = list(chain.from_iterable(map(code_of, words)))
-                    out.append(np.array(ids, dtype=np.int32))
+                    found = list(map(code_of, words))
+                    out.append(np.frombuffer(b"".join([ids for ids, _ in found]), dtype=np.int32))
                     sizes.append(len(words))
-                    same.append(b"".join(map(bytes_of, ids)) == (" " + text if text else "").encode())
+                    same.append(b"".join([own for _, own in found]) == (" " + text if text else "").encode())
                 column = pa.array(out, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), column, pa.array([0 if x is None else len(x) for x in out], pa.int64()), pa.array(sizes, pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_pieces", "n_words", "round_trip"])
 
