@@ -680,3 +680,31 @@ def test_entries_of_words_make_those_of_the_text():
     assert all(w in codes for w in words)
     assert b"".join(found).decode() == " " + text
     assert sentencepiece.decode_ids(np.frombuffer(b"".join(ids), dtype=np.int32).tolist(), sentencepiece.piece_bytes(pieces)) == text
+
+
+def test_mixer_learns_from_all_grams(spark, costs, monkeypatch):
+    """More grams than LEARN_GRAMS make more parts, and none is left out."""
+    _, counts, _ = costs
+    stored = spark.createDataFrame([tuple(r) for r in counts], "gram long, n long, n_count long, n_apart long").repartition(3).checkpoint()
+    monkeypatch.setattr(mixing, "LEARN_GRAMS", -(-len(counts) // 2))
+    monkeypatch.setattr(mixing, "AT_ONCE", 5)
+    got, parts = {r.gram: r.cost for r in mixing.fit(stored).collect()}, 2 * mixing.SHARDS
+    context = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit(0xFFFFFF))
+    mixed = {r.gram: r.mixed for r in stored.select("gram", F.xxhash64(context).alias("mixed")).collect()}
+    table = {r.gram: r for r in counts}
+    counted, held, sizes = short_contexts({g: r.n_count for g, r in table.items()}), [], []
+    for part in range(parts):
+        gram = np.array([g for _, _, g in sorted((mixed[g], g >> 8 & 0xFFFFFF, g) for g in table if mixed[g] % parts == part)], dtype=np.uint64)
+        n_count, n_apart = (np.array([getattr(table[int(g)], c) for g in gram]) for c in ("n_count", "n_apart"))
+        x, level = mixing.odds(gram, n_count, counted)
+        mixer, used = mixing.Mixer.new(), np.flatnonzero(n_apart)
+        for at in range(0, len(used), mixing.STEP):
+            own = used[at : at + mixing.STEP]
+            mixer.learn(gram[own], n_apart[own], x[:, own], level[:, own])
+        held.append(mixer)
+        sizes.append(n_apart.sum())
+    assert sum(sizes) == sum(r.n_apart for r in counts)
+    weights, cells = (sum(getattr(m, c) * k for m, k in zip(held, sizes, strict=True)) / sum(sizes) for c in ("weights", "table"))
+    every, total = np.array(sorted(table), dtype=np.uint64), {g: r.n_count + r.n_apart for g, r in table.items()}
+    plain = mixing.Mixer(weights, cells).cost(every, *mixing.odds(every, np.array([total[int(g)] for g in every]), short_contexts(total)))
+    assert [got[int(g)] for g in every] == pytest.approx(plain.tolist(), rel=1e-9)

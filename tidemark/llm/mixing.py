@@ -15,9 +15,9 @@ table of distinct grams, which grows with the corpus and stays in Spark:
    of APART, by a hash of the text), and in all rows.
 2. Mixing. Grams are grouped by the last three context bytes, so that a task has all counts of its
    contexts of three bytes and more; those of one and two bytes are tables that every task has (at most 2^16 and
-   2^24 rows, whatever the corpus; some hundred thousand in text). Of LEARN_GRAMS grams at most, those of
-   contexts chosen by a hash, SHARDS parts learn online from the rows held apart, against counts of the others,
-   in a fixed order and fixed steps from the same start; the weights are averaged in order of the shards.
+   2^24 rows, whatever the corpus; some hundred thousand in text). All grams are dealt by a hash of their context
+   to SHARDS parts for each LEARN_GRAMS of them, which learn online from the rows held apart, against counts of the
+   others, in a fixed order and fixed steps from the same start; the weights are averaged in order of the parts.
    No step depends on partitions, and no task of it grows with the corpus.
 3. Costs of every gram with the counts of all training rows.
 4. Scores. The most frequent grams and words (at most HOT_GRAMS and HOT) are broadcast and looked up
@@ -50,7 +50,7 @@ HOT = 1 << 18
 HOT_GRAMS = 1 << 21
 #: One of so many training texts is held apart for the mixer.
 APART = 8
-#: Parts that learn on their own, and distinct grams that all of them learn from: a sample, where there are more.
+#: Parts that learn on their own, and distinct grams that so many parts learn from: more grams make more parts.
 SHARDS = 8
 LEARN_GRAMS = 8_000_000
 #: Grams of an online step.
@@ -58,6 +58,8 @@ STEP = 128
 #: Orders whose counts every task has.
 SHARED = 2
 RATE = 0.1
+#: Parts whose weights the driver sums at a time.
+AT_ONCE = 64
 #: Cells of the adaptive table a gate, and the largest mixed odds.
 CELLS, LIMIT = 24, 12.0
 #: Bytes counted or scored at a time.
@@ -233,11 +235,15 @@ def _shared(counts: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray, np.n
     return found["g"].to_numpy().view(np.uint64), found["n_count"].to_numpy(), found["n_apart"].to_numpy()
 
 
-def fit(counts: DataFrame, learn_grams: int = LEARN_GRAMS) -> DataFrame:
-    """gram, n and cost (log10 of the probability of its byte) of every gram of a stored table of gram_counts()."""
+def fit(counts: DataFrame, learn_grams: int | None = None) -> DataFrame:
+    """gram, n and cost (log10 of the probability of its byte) of every gram of a stored table of gram_counts().
+
+    The mixer learns from all grams; given learn_grams, from a sample of that size.
+    """
     context = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit((1 << (8 * SHARED + 8)) - 1))
-    grouped = counts.select("*", context.alias("context"), F.xxhash64(context).alias("mixed")).withColumn("shard", F.pmod("mixed", F.lit(SHARDS)).cast("int"))
-    share = -(-counts.count() // learn_grams)
+    n_grams = counts.count()
+    shards, share = (SHARDS * max(1, -(-n_grams // LEARN_GRAMS)), 1) if learn_grams is None else (SHARDS, max(1, -(-n_grams // learn_grams)))
+    grouped = counts.select("*", context.alias("context"), F.xxhash64(context).alias("mixed")).withColumn("shard", F.pmod("mixed", F.lit(shards)).cast("int"))
     shared = counts.sparkSession.sparkContext.broadcast([_shared(counts, order) for order in range(1, SHARED + 1)])
 
     def columns(table: pa.Table) -> list[np.ndarray]:
@@ -282,11 +288,17 @@ def fit(counts: DataFrame, learn_grams: int = LEARN_GRAMS) -> DataFrame:
         if shard is not None:
             yield done()
 
-    sample = grouped.where(F.pmod(F.shiftrightunsigned("mixed", 8), F.lit(max(1, share))) == 0)
-    found = sample.repartition("shard").sortWithinPartitions("shard", "mixed", "context", "gram").mapInArrow(learned, "shard int, size long, v array<double>").toArrow().sort_by("shard")
-    mixer, sizes = Mixer.new(), found["size"].to_numpy()
-    if sizes.sum():
-        flat = sum(np.array(v.as_py()) * n for v, n in zip(found["v"], sizes, strict=True)) / sizes.sum()
+    used = grouped.where(F.pmod(F.shiftrightunsigned("mixed", 8), F.lit(share)) == 0)
+    parts = used.repartition(shards, "shard").sortWithinPartitions("shard", "mixed", "context", "gram").mapInArrow(learned, "shard int, size long, v array<double>")
+    # Sums in order of the parts, a slice of them at a time, so that the driver holds few vectors at once.
+    learnt = cut(parts)
+    mixer, flat, total = Mixer.new(), 0.0, 0
+    for first in range(0, shards, AT_ONCE):
+        found = learnt.where(F.col("shard").between(first, first + AT_ONCE - 1)).toArrow().sort_by("shard")
+        for n, v in zip(found["size"].to_pylist(), found["v"], strict=True):
+            flat, total = flat + v.values.to_numpy() * n, total + n
+    if total:
+        flat = flat / total
         mixer = Mixer(flat[: mixer.weights.size].reshape(mixer.weights.shape), flat[mixer.weights.size :].reshape(mixer.table.shape))
     fitted = counts.sparkSession.sparkContext.broadcast(mixer)
 
