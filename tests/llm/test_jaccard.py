@@ -115,3 +115,14 @@ def test_signatures_lose_no_near_pair():
                 continue
             signed = tuple(np.array(v) for v in zip(*(jaccard.signatures(np.unique(v)) for v in (a, b)), strict=True))
             assert jaccard.may_be_alike(signed, np.array([len(a), len(b)]), np.array([0]), np.array([1])).all()
+
+
+@pytest.mark.parametrize("choice", ["none", "half"])
+def test_any_frequent_shingles_give_the_same_rows(spark, monkeypatch, choice):
+    """The sample that frequent shingles are estimated from decides where texts meet, not which are alike."""
+    rows = made()
+    every = np.unique(np.concatenate([jaccard.hashes(t, 5) for _, t in rows]))
+    half = every[::2] if choice == "half" else every[:0]
+    monkeypatch.setattr(jaccard, "frequent", lambda *_: jaccard.Frequent(half, 1 + np.arange(len(half)) % 3))
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == plain(rows)
