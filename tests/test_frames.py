@@ -373,3 +373,13 @@ def test_signature_sorts_a_vector_once(spark):
         middle = (low[31] + low[32]) / 2 if len(low) > 32 else None
         bits = sum(1 << i for i, x in enumerate(v) if middle is not None and x is not None and x > middle)
         assert row.s & (2**64 - 1) == bits
+
+
+def test_recovered_frames_at_hand_are_not_looked_for_again(spark):
+    config = boundaries.BoundaryConfig()
+    found = boundaries.analyse(timed(spark, [0, 100, 900, 1000, 1600, 1700, 2600, 2700]), SECOND, config)
+    again = boundaries.brought_back(found, config).localCheckpoint()
+    for made in (boundaries.final_of, boundaries.changes):
+        plain, handed = made(found, config), made(found, config, again)
+        assert _plan(plain).count("join") > _plan(handed).count("join")
+        assert sorted(plain.collect(), key=repr) == sorted(handed.collect(), key=repr)

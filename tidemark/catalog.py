@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import half
+from tidemark.functions.store import stored
 from tidemark.operators import adaptive as Ad
 from tidemark.operators import boundaries as B
 from tidemark.operators import classify as C
@@ -459,9 +460,10 @@ def timeline_final(spark, d):
     path = F.concat(F.lit("in/frame_"), F.col("frame_id"), F.lit(".jpg"))
     frames = _moving(spark, d).withColumns({"path": path, "source": F.lit("filename")})
     found = B.analyse(frames, SEGMENTS, BOUNDS, _moved(spark, d))
-    told = T.apply_changes(T.items(found.frames.withColumn("label", F.lit(None))), B.changes(found, BOUNDS))
+    again = stored(B.brought_back(found, BOUNDS))
+    told = T.apply_changes(T.items(found.frames.withColumn("label", F.lit(None))), B.changes(found, BOUNDS, again))
     label = F.concat("label", F.lit("/"), (F.col("frame_id") % 3).cast("string"))
-    shown = B.final_of(found, BOUNDS).select("job_id", "frame_id", "place").join(found.frames.select("job_id", "frame_id", "path", label.alias("label")), ["job_id", "frame_id"])
+    shown = B.final_of(found, BOUNDS, again).select("job_id", "frame_id", "place").join(found.frames.select("job_id", "frame_id", "path", label.alias("label")), ["job_id", "frame_id"])
     classes = shown.select("job_id", F.col("place").alias("idx"), "path", "label", F.when(F.col("frame_id") % 2 == 0, "typed").alias("screen_type"), (F.col("frame_id") % 7).cast("string").alias("key_text"), F.array().cast("array<string>").alias("components"), F.lit("").alias("state"))
     return T.with_classes(told, D.first_of_meaning(classes), B.REMOVED_DUPLICATE, B.REMOVED_CONTAMINATED)
 

@@ -338,11 +338,12 @@ def final(frames: DataFrame, segments: SegmentConfig, config: BoundaryConfig, zo
     return final_of(analyse(frames, segments, config, zones, selected), config)
 
 
-def final_of(found: Analysis, config: BoundaryConfig) -> DataFrame:
+def final_of(found: Analysis, config: BoundaryConfig, again: DataFrame | None = None) -> DataFrame:
+    """final() of analysed frames; again: brought_back() of them, if it is at hand."""
     who = ["job_id", "frame_id", "idx", "ts_ms"]
     none = {"times": F.lit(0).cast("long"), "boundary": F.lit(None).cast("int")}
     kept = found.frames.where("chosen").withColumns(none).select(*who, "times", "boundary", "review", F.lit(0).alias("stage"))
-    back = brought_back(found, config).withColumn("review", F.lit(RECOVERED_REVIEW if config.mark_recovered else None).cast("string")).select(*who, "times", "boundary", "review", F.lit(1).alias("stage"))
+    back = (brought_back(found, config) if again is None else again).withColumn("review", F.lit(RECOVERED_REVIEW if config.mark_recovered else None).cast("string")).select(*who, "times", "boundary", "review", F.lit(1).alias("stage"))
     short = short_extra(found, config).withColumns(none).select(*who, "times", "boundary", F.lit(SHORT_REVIEW).alias("review"), F.lit(2).alias("stage"))
     # A short state that a boundary brings back too is there once; what is said last of it holds.
     job = Window.partitionBy("job_id", "frame_id")
@@ -356,8 +357,8 @@ KEPT_STABLE, KEPT_SINGLE, KEPT_RECOVERED, KEPT_SHORT = "stable_segment_represent
 REMOVED_REST, REMOVED_MOVED, REMOVED_CONTAMINATED, REMOVED_DUPLICATE = "non_representative_segment_frame", "representative_replaced_near_transition_boundary", "transition_contaminated", "duplicate_removed_by_classifier"
 
 
-def changes(found: Analysis, config: BoundaryConfig) -> DataFrame:
-    """What segments, the edge guard, recovery and short states each say of frames (see timeline.apply_changes): stage 1 to 4."""
+def changes(found: Analysis, config: BoundaryConfig, again: DataFrame | None = None) -> DataFrame:
+    """What segments, the edge guard, recovery and short states each say of frames (see timeline.apply_changes): stage 1 to 4; again: brought_back() of them, if it is at hand."""
     frames = found.frames
     says = lambda **values: [F.struct(v.alias("value")).alias(c) for c, v in values.items()]
     text = lambda v: F.lit(v).cast("string")
@@ -378,7 +379,7 @@ def changes(found: Analysis, config: BoundaryConfig) -> DataFrame:
     taken = guard.where("moved").select(*who, stage(2), *says(status=text("final"), is_final=F.lit(True), keep_reason=text(KEPT_STABLE), representative_for_segment=segment, replaced_representative_id=F.col("__rep")))
     left = guard.where("picked and __moved").select(*who, stage(2), *fate(False, text(None), text(REMOVED_MOVED)))
     stayed = frames.where("review is not null").select(*who, stage(2), *review(F.col("review")))
-    back = brought_back(found, config).select(*who, stage(3), *fate(True, text(KEPT_RECOVERED), text(None)), *says(boundary_recovery=F.lit(True), boundary_id=ordinal_id("boundary", F.col("boundary"))), *(review(text(RECOVERED_REVIEW)) if config.mark_recovered else []))
+    back = (brought_back(found, config) if again is None else again).select(*who, stage(3), *fate(True, text(KEPT_RECOVERED), text(None)), *says(boundary_recovery=F.lit(True), boundary_id=ordinal_id("boundary", F.col("boundary"))), *(review(text(RECOVERED_REVIEW)) if config.mark_recovered else []))
     short = short_extra(found, config).select(*who, stage(4), *fate(True, text(KEPT_SHORT), text(None)), *review(text(SHORT_REVIEW)))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [reps, others, taken, left, stayed, back, short])
 
