@@ -383,3 +383,20 @@ def test_recovered_frames_at_hand_are_not_looked_for_again(spark):
         plain, handed = made(found, config), made(found, config, again)
         assert _plan(plain).count("join") > _plan(handed).count("join")
         assert sorted(plain.collect(), key=repr) == sorted(handed.collect(), key=repr)
+
+
+def test_adaptive_passes_compute_their_frames_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rng = random.Random(6)
+    rows = [(job, i, i, f"frame_{i + 1:04d}.jpg", rng.getrandbits(62)) for job in (1, 2) for i in range(40)]
+    kind = "job_id long, frame_id long, idx long, path string, sig long"
+    frames = spark.createDataFrame(rows, kind).mapInArrow(counted, kind)
+    source = spark.createDataFrame([(j, i, i * 33, s) for j, i, _, _, s in rows], "job_id long, frame_id long, ts_ms long, sig long")
+    both, zones = adaptive.extract(frames, source, motion.MotionConfig(motion=37, anomaly=34), 33, 28)
+    assert both.count() > 0 and zones.count() > 0 and seen.value == len(rows)

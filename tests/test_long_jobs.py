@@ -107,3 +107,19 @@ def test_keys_of_text_and_other_columns(spark):
     for found in (dedup.consecutive(frame, 2, 16), dedup.leaders(frame, 2, 16)):
         assert {r.job_id for r in found.collect()} == {"a", "b"}
     assert dedup.near_pairs(frame.withColumn("own", F.lit(1)), 9).select("job_id").distinct().count() == 2
+
+
+@pytest.mark.parametrize("threshold", [0, 1, 3, 8, 9])
+def test_leaders_meet_only_those_that_agree_in_a_block(threshold):
+    """The index of blocks against all comparisons, also where very many signatures agree in all but one block."""
+    rng = np.random.default_rng(23)
+    crowd = [int(x) << 40 for x in rng.integers(-(2**23), 2**23, 300)]
+    sigs = drifting(rng, 500, 4) + crowd + drifting(rng, 200, 3) + [s ^ 1 for s in crowd[:50]]
+    held = dedup._Held(threshold)
+    assert [i for i, s in enumerate(sigs) if held.taken(s)] == plain_leaders([(i, s, False) for i, s in enumerate(sigs)], threshold)
+
+
+def test_jobs_are_walked_through_in_several_tasks(spark):
+    frame = spark.createDataFrame([(j, i, i * 77, False) for j in range(12) for i in range(5)], "job_id long, idx long, sig long, in_zone boolean")
+    for found in (dedup.leaders(frame, 3), dedup.consecutive_with_zones(frame, 3)):
+        assert found.rdd.getNumPartitions() > 1

@@ -2,7 +2,7 @@
 
 Which frame a dense pass takes for a time is a match of two series: frames and wanted times of a job are put
 in one order of time, and each time looks at the last frame before it and the first one after it. So nothing
-grows with frames times wanted times.
+grows with frames times wanted times. Frames, zones and what is merged of them are stored where steps fork from them.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.store import stored
 from tidemark.operators import dedup, motion, stability, timeline
 from tidemark.operators.motion import MotionConfig
 
@@ -51,16 +52,23 @@ def merged(scout: DataFrame, dense: DataFrame) -> DataFrame:
 
 def scouted(frames: DataFrame, zones: DataFrame, change: int, near: int) -> DataFrame:
     """The sparse frames that stay: those in zones as they are, of the others the stable ones that differ from the last one kept."""
-    still = stability.scout(motion.zone_flags(frames, zones), change).select(*frames.columns, "in_zone")
+    still = stored(stability.scout(motion.zone_flags(frames, zones), change).select(*frames.columns, "in_zone"))
     return still.join(dedup.consecutive_with_zones(still, near), ["job_id", "idx"], "left_semi").drop("in_zone")
 
 
+def unlike(both: DataFrame, near: int) -> DataFrame:
+    """The rows of merged() without near duplicates."""
+    # Counted, walked through and joined.
+    both = stored(both)
+    return both.join(dedup.leaders(both, near), ["job_id", "idx"], "left_semi")
+
+
 def extract(frames: DataFrame, source: DataFrame, config: MotionConfig, change: int, near: int) -> tuple[DataFrame, DataFrame]:
     """frames (job_id, frame_id, idx, path, sig at config.fps) and a source (job_id, frame_id, ts_ms, sig at any rate): the merged frames without near duplicates, and the zones."""
-    zones = motion.zones(motion.series(frames), config)
+    frames = stored(frames)
+    zones = stored(motion.zones(motion.series(frames), config))
     kept = scouted(frames, zones, change, near)
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     scout = kept.select("job_id", "path", timeline.time_of_name(name, config.fps).alias("ts_ms"), "sig")
     dense = dense_frames(zones, source).select("job_id", "path", "ts_ms", F.col("frame.sig").alias("sig"))
-    both = merged(scout, dense)
-    return both.join(dedup.leaders(both, near), ["job_id", "idx"], "left_semi"), zones
+    return unlike(merged(scout, dense), near), zones

@@ -25,7 +25,7 @@ from tidemark.functions.store import stored
 BLOCK = 65_536
 
 
-def _walk(frames: DataFrame, columns: list[str], rule: Callable[[], Callable[..., bool]]) -> DataFrame:
+def _walk(frames: DataFrame, columns: list[str], rule: Callable[[], Callable[..., bool]], jobs: int) -> DataFrame:
     """job_id and idx of the rows that a rule keeps; each job gets a rule of its own, which sees its rows in order."""
     kind = frames.schema["job_id"].dataType.simpleString()
 
@@ -39,7 +39,9 @@ def _walk(frames: DataFrame, columns: list[str], rule: Callable[[], Callable[...
                 chosen.append(keep(*values))
             yield batch.select(["job_id", "idx"]).filter(pa.array(chosen, pa.bool_()))
 
-    ordered = frames.select("job_id", F.col("idx").cast("long").alias("idx"), *columns).repartition("job_id").sortWithinPartitions("job_id", "idx")
+    # A number of its own, as jobs are few bytes and much work: by size they would all be put in one task.
+    tasks = max(1, min(3 * jobs, int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    ordered = frames.select("job_id", F.col("idx").cast("long").alias("idx"), *columns).repartition(tasks, "job_id").sortWithinPartitions("job_id", "idx")
     return ordered.mapInArrow(kept, f"job_id {kind}, idx long")
 
 
@@ -47,10 +49,11 @@ def _far(a: int, b: int, threshold: int) -> bool:
     return ((a ^ b) & (2**64 - 1)).bit_count() >= threshold
 
 
-def _long_jobs(rows: DataFrame, block: int) -> DataFrame | None:
-    """The jobs of more than block rows, if there are any."""
-    long = stored(rows.groupBy("job_id").agg(F.count("*").alias("n")).where(F.col("n") > block).select("job_id"))
-    return None if long.isEmpty() else long
+def _long_jobs(rows: DataFrame, block: int) -> tuple[int, DataFrame | None]:
+    """How many jobs there are, and those of more than block rows, if there are any."""
+    sizes = rows.groupBy("job_id").agg(F.count("*").alias("n"))
+    jobs, most = sizes.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
+    return jobs, stored(sizes.where(F.col("n") > block).select("job_id")) if most > block else None
 
 
 def consecutive(frames: DataFrame, threshold: int, block: int = BLOCK) -> DataFrame:
@@ -73,11 +76,11 @@ def consecutive_with_zones(frames: DataFrame, threshold: int, block: int = BLOCK
         return keep
 
     rows = frames.select("job_id", F.col("idx").cast("long").alias("idx"), "sig", "in_zone")
-    long = _long_jobs(rows, block)
+    jobs, long = _long_jobs(rows, block)
     if long is None:
-        return _walk(rows, ["sig", "in_zone"], rule)
+        return _walk(rows, ["sig", "in_zone"], rule, jobs)
     short = rows.join(long, "job_id", "left_anti")
-    return _walk(short, ["sig", "in_zone"], rule).unionByName(_chained(stored(rows.join(long, "job_id")), threshold, block))
+    return _walk(short, ["sig", "in_zone"], rule, jobs).unionByName(_chained(stored(rows.join(long, "job_id")), threshold, block))
 
 
 class _Chain:
@@ -171,8 +174,60 @@ def _chained(rows: DataFrame, threshold: int, block: int) -> DataFrame:
     return cut.groupBy("job_id", "k").cogroup(entered.groupBy("job_id", "k")).applyInArrow(walked, f"job_id {kind}, idx long")
 
 
+#: Bits up to which blocks of signatures that agree are a good key.
+BY_BLOCKS = 8
+#: Signatures that agree in a block, up to which they are compared one by one.
+FEW = 48
+
+
+class _Held:
+    """Signatures that were kept, and whether one of them is under threshold bits from another signature.
+
+    Signatures that differ in fewer than t bits agree in one of t blocks at least, so up to BY_BLOCKS bits only those
+    that agree in a block are compared, and the work does not grow with rows times leaders. Where more than
+    FEW agree, and above that threshold, all are compared, in vectors.
+    """
+
+    def __init__(self, threshold: int):
+        edges = [64 * i // max(1, threshold) for i in range(threshold + 1)] if threshold <= BY_BLOCKS else []
+        self.threshold, self.n, self.all = threshold, 0, np.zeros(64, dtype=np.int64)
+        self.blocks: list[tuple[int, int, dict[int, list[int]]]] = [(a, (1 << (b - a)) - 1, {}) for a, b in zip(edges, edges[1:], strict=False)]
+
+    def near(self, sig: int) -> bool:
+        met: list[int] = []
+        for shift, mask, found in self.blocks:
+            met += found.get(sig >> shift & mask, ())
+            if len(met) > FEW:
+                break
+        else:
+            if self.blocks:
+                return any(((sig ^ s) & (2**64 - 1)).bit_count() < self.threshold for s in met)
+        return bool((np.bitwise_count((self.all[: self.n] ^ sig).view(np.uint64)) < self.threshold).any())
+
+    def add(self, sig: int) -> None:
+        if self.n == len(self.all):
+            self.all = np.concatenate((self.all, np.zeros(self.n, dtype=np.int64)))
+        self.all[self.n] = sig
+        self.n += 1
+        for shift, mask, found in self.blocks:
+            like = found.setdefault(sig >> shift & mask, [])
+            # One more than FEW tells that all are to be compared.
+            if len(like) <= FEW:
+                like.append(sig)
+
+    def taken(self, sig: int) -> bool:
+        """Adds a signature that is near none; whether it was."""
+        if self.near(sig):
+            return False
+        self.add(sig)
+        return True
+
+
 def _led(sigs: np.ndarray, threshold: int) -> np.ndarray:
     """Places of the leaders of some signatures in order."""
+    if threshold <= BY_BLOCKS:
+        held = _Held(threshold)
+        return np.array([i for i, sig in enumerate(sigs.tolist()) if held.taken(sig)], dtype=np.int64)
     alive, kept = np.ones(len(sigs), dtype=bool), []
     i = 0
     while i < len(sigs):
@@ -188,27 +243,12 @@ def _led(sigs: np.ndarray, threshold: int) -> np.ndarray:
 
 def leaders(frames: DataFrame, threshold: int, block: int = BLOCK) -> DataFrame:
     """Keeps a frame at least threshold bits from every frame kept before. Returns job_id and idx."""
-
-    def rule() -> Callable[[int], bool]:
-        held, n = np.zeros(64, dtype=np.int64), 0
-
-        def keep(sig: int) -> bool:
-            nonlocal held, n
-            if n and (np.bitwise_count((held[:n] ^ sig).view(np.uint64)) < threshold).any():
-                return False
-            if n == len(held):
-                held = np.concatenate((held, np.zeros(n, dtype=np.int64)))
-            held[n] = sig
-            n += 1
-            return True
-
-        return keep
-
     rows = frames.select("job_id", F.col("idx").cast("long").alias("idx"), "sig")
-    long = _long_jobs(rows, block)
+    rule = lambda: _Held(threshold).taken
+    jobs, long = _long_jobs(rows, block)
     if long is None:
-        return _walk(rows, ["sig"], rule)
-    short = _walk(rows.join(long, "job_id", "left_anti"), ["sig"], rule)
+        return _walk(rows, ["sig"], rule, jobs)
+    short = _walk(rows.join(long, "job_id", "left_anti"), ["sig"], rule, jobs)
     return short.unionByName(_settled(stored(rows.join(long, "job_id")), threshold, block))
 
 
@@ -226,6 +266,11 @@ def _settled(todo: DataFrame, threshold: int, block: int) -> DataFrame:
     def thin(key, group, by):
         far = np.ones(group.num_rows, dtype=bool)
         sigs = group.column("sig").to_numpy()
+        if threshold <= BY_BLOCKS:
+            held = _Held(threshold)
+            for sig in by.column("sig").to_pylist():
+                held.add(sig)
+            return group.filter(pa.array([not held.near(sig) for sig in sigs.tolist()], pa.bool_()))
         for sig in by.column("sig").to_numpy():
             far &= np.bitwise_count((sigs ^ sig).view(np.uint64)) >= threshold
         return group.filter(pa.array(far))
@@ -244,8 +289,6 @@ def _settled(todo: DataFrame, threshold: int, block: int) -> DataFrame:
     return kept.select("job_id", "idx")
 
 
-#: Bits up to which blocks of signatures that agree are a good key.
-BY_BLOCKS = 8
 #: Signatures of a job that one task compares with as many others.
 CHUNK = 4096
 
