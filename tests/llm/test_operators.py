@@ -708,3 +708,27 @@ def test_mixer_learns_from_all_grams(spark, costs, monkeypatch):
     every, total = np.array(sorted(table), dtype=np.uint64), {g: r.n_count + r.n_apart for g, r in table.items()}
     plain = mixing.Mixer(weights, cells).cost(every, *mixing.odds(every, np.array([total[int(g)] for g in every]), short_contexts(total)))
     assert [got[int(g)] for g in every] == pytest.approx(plain.tolist(), rel=1e-9)
+
+
+def test_quality_model_counts_all_trusted_text_of_its_half(spark, monkeypatch):
+    """No bound on the words that the model learns from, and terms that are not broadcast count as much."""
+    ship(spark)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randrange(1, 90))), "en") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).localCheckpoint()
+    monkeypatch.setattr(kneser_ney, "TRAIN_WORDS", 40, raising=False)
+    fitted = []
+    fit = kneser_ney.fit
+    monkeypatch.setattr(kneser_ney, "fit", lambda texts: fitted.append(texts.count()) or fit(texts))
+    kneser_ney.judge(docs, docs.selectExpr("doc_id", "1 quality", "0 toxic"))
+    half = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < 0.5 * 1_000_003).count()
+    assert fitted == [half] and 40 < half < 80
+    texts = docs.where("doc_id < 60").select("text")
+    whole, few, none = fit(texts), fit(texts, 150), fit(texts, 0)
+    assert whole.cold is None and few.hot.count() <= 150 < few.cold.count() and none.hot.count() == 0
+    plain, *others = [sorted(kneser_ney.score(docs, m, "doc_id").collect()) for m in (whole, few, none)]
+    assert len(plain) == 120
+    for other in others:
+        for a, b in zip(plain, other, strict=True):
+            assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], rel=1e-9)

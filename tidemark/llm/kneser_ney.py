@@ -1,10 +1,12 @@
 """Quality by perplexity: an interpolated modified Kneser-Ney trigram model of trusted text.
 
-Trusted rows are those that the labels call good and not toxic. The model is fitted to a bounded,
-hash-chosen sample of them (TRAIN_WORDS words, about); its tables are therefore of bounded size and
-are broadcast after a check of their rows, and joined by shuffle if they should be larger. Every
-token of every text is joined to the tables by the 64-bit hashes of its trigram, bigrams and words,
-and the log probabilities are summed a document, by Spark before the shuffle. A document is kept
+Trusted rows are those that the labels call good and not toxic. The model counts every token of every
+trusted document of one half, fixed by a hash of its id; the other half sets the thresholds. The log probability
+of a token is a sum of terms of its trigram, its bigrams and its words, each of which is zero unless the model
+has met the n-gram, so all levels are one table of keys and terms. It grows with the trusted text:
+if it is small it is broadcast, else its most frequent n-grams are (HOT_ROWS), and the n-grams that are not
+among them meet the rest of the table by shuffle; no count is left out. The terms are summed a block of
+BLOCK tokens and a document, by Spark before the shuffle. A document is kept
 unless its perplexity, or that of its worst window of two blocks of BLOCK tokens, passes a high
 quantile of the same figure over the trusted documents of its language that the model has not seen.
 
@@ -17,17 +19,17 @@ tokens are equally unlikely and everything is kept.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.components import cut
+from tidemark.llm.components import cut, least_count
 from tidemark.llm.text import lower_ascii, space_words, whole_text
 
-#: Words of trusted text that the model is fitted to, about.
-TRAIN_WORDS = 1_000_000
-BROADCAST_ROWS = 3_000_000
+#: Rows of a table that are broadcast.
+HOT_ROWS = 3_000_000
 QUANTILE = 0.99
 #: Tokens of half a window.
 BLOCK = 16
@@ -59,68 +61,98 @@ def _discount(d: list[float]) -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    #: (uvw, a3), (vw, a2), (w, a1): discounted shares; (uv, l3), (v, l2): what is left to the shorter n-gram.
-    a3: DataFrame
-    l3: DataFrame
-    a2: DataFrame
-    l2: DataFrame
-    a1: DataFrame
-    l1: float
-
-
-def fit(texts: DataFrame) -> Model:
-    c3 = cut(tokens(texts).groupBy("uvw", "uv", "vw", "v", "w").agg(F.count("*").alias("n")))
-    c2 = cut(c3.groupBy("vw", "v", "w").agg(F.count("*").alias("n")))
-    c1 = cut(c2.groupBy("w").agg(F.count("*").alias("n")))
-
-    def level(counts: DataFrame, key: str, context: list[str], a: str, left: str) -> tuple[DataFrame, DataFrame | float]:
-        d = _discount(_discounts(counts))
-        if not context:
-            whole, off = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(d), F.lit(0.0))).first()
-            return cut(counts.select(key, ((F.col("n") - d) / whole).alias(a))), off / whole if whole else 1.0
-        contexts = counts.groupBy(*context).agg(F.sum("n").alias("whole"), F.sum(d).alias("off")).select(*context, "whole", (F.col("off") / F.col("whole")).alias(left))
-        return cut(counts.join(contexts, context).select(key, ((F.col("n") - d) / F.col("whole")).alias(a))), cut(contexts.select(*context, left))
-
-    a3, l3 = level(c3, "uvw", ["uv"], "a3", "l3")
-    a2, l2 = level(c2, "vw", ["v"], "a2", "l2")
-    a1, l1 = level(c1, "w", [], "a1", "l1")
-    return Model(a3, l3, a2, l2, a1, l1)
-
-
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    #: (key, p): the term of each n-gram; as a context an n-gram has the key with all bits turned over.
+    hot: DataFrame
+    #: The terms that are not in hot, if there are any.
+    cold: DataFrame | None
+    #: log10 of the probability of a token of which nothing is known.
+    unknown: float
+
+
+def fit(texts: DataFrame, hot_rows: int = HOT_ROWS) -> Model:
+    """The model of all tokens of the texts; no more than hot_rows of its terms, those of the most frequent n-grams, are hot."""
+    c3 = cut(tokens(texts).groupBy("uv", "v", "w").agg(F.count("*").alias("n")))
+    # n: different words before; times: occurrences.
+    c2 = cut(c3.groupBy("v", "w").agg(F.count("*").alias("n"), F.sum("n").alias("times")))
+    c1 = cut(c2.groupBy("w").agg(F.count("*").alias("n"), F.sum("times").alias("times")))
+    d3, d2, d1 = (_discount(_discounts(c)) for c in (c3, c2, c1))
+    contexts = lambda counts, key, times: counts.groupBy(key).agg(F.sum("n").alias("whole"), F.sum(d3 if key == "uv" else d2).alias("off"), F.sum(times).alias("seen")).select(key, "whole", (F.col("off") / F.col("whole")).alias("left"), "seen")
+
+    whole, off = c1.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(d1), F.lit(0.0))).first()
+    unknown = (off / whole if whole else 1.0) / UNSEEN
+    # What a level adds to what the shorter n-grams give: log10 of a probability over the share that is left to them.
+    p1 = c1.select("w", "times", (((F.col("n") - d1) / whole if whole else F.lit(0.0)) + unknown).alias("p1"))
+    l2 = cut(contexts(c2, "v", "times"))
+    p2 = cut(c2.join(l2, "v").join(p1.select("w", "p1"), "w").select("v", "w", "times", (F.col("left") * F.col("p1")).alias("less"), ((F.col("n") - d2) / F.col("whole")).alias("own")))
+    l3 = contexts(c3, "uv", "n")
+    p3 = c3.join(l3, "uv").join(p2.select("v", "w", (F.col("own") + F.col("less")).alias("p2")), ["v", "w"]).select("uv", "w", F.col("n").alias("times"), (F.col("left") * F.col("p2")).alias("less"), ((F.col("n") - d3) / F.col("whole")).alias("own"))
+    gain = F.log10((F.col("own") + F.col("less")) / F.col("less")).alias("p")
+    levels = [
+        p1.select(F.col("w").alias("key"), F.col("times").alias("n"), F.log10(F.col("p1") / unknown).alias("p")),
+        p2.select(F.xxhash64("v", "w").alias("key"), F.col("times").alias("n"), gain),
+        p3.select(F.xxhash64("uv", "w").alias("key"), F.col("times").alias("n"), gain),
+        l2.select(F.bitwise_not("v").alias("key"), F.col("seen").alias("n"), F.log10("left").alias("p")),
+        l3.select(F.bitwise_not("uv").alias("key"), F.col("seen").alias("n"), F.log10("left").alias("p")),
+    ]
+    terms = levels[0]
+    for level in levels[1:]:
+        terms = terms.unionByName(level)
+    terms = cut(terms)
+    least = least_count(terms, hot_rows) if terms.count() > hot_rows else 0
+    rest = lambda where: terms.where(where).select("key", "p")
+    return Model(rest(F.col("n") >= least), rest(F.col("n") < least) if least else None, math.log10(unknown))
+
+
+#: The terms of a token: its n-grams, and what is before it as contexts.
+_TERMS = {"w": F.col, "vw": F.col, "uvw": F.col, "v": F.bitwise_not, "uv": F.bitwise_not}
+
+
+def _met(rows: DataFrame, hot: DataFrame, *keep: str) -> DataFrame:
+    """keep, and for each term of a token k_ (its key) and p_ (its value, null if it is not hot)."""
+    keyed = rows.select(*keep, "block", *[make(c).alias(f"k_{c}") for c, make in _TERMS.items()])
+    for c in _TERMS:
+        keyed = keyed.join(F.broadcast(hot.select(F.col("key").alias(f"k_{c}"), F.col("p").alias(f"p_{c}"))), f"k_{c}", "left")
+    return keyed
 
 
 def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """keep, n_tokens, log10_prob and worst (the greatest perplexity of two blocks in a row) of every row."""
-    rows = tokens(docs.withColumn("__row", F.monotonically_increasing_id()), "__row", *keep)
-    joined = rows
-    for table, key in ((model.a3, "uvw"), (model.l3, "uv"), (model.a2, "vw"), (model.l2, "v"), (model.a1, "w")):
-        joined = joined.join(_small(table), key, "left")
-    zero, one = F.lit(0.0), F.lit(1.0)
-    p1 = F.coalesce("a1", zero) + F.lit(model.l1 / UNSEEN)
-    p2 = F.coalesce("a2", zero) + F.coalesce("l2", one) * p1
-    p3 = F.coalesce("a3", zero) + F.coalesce("l3", one) * p2
-    blocks = joined.groupBy("__row", *keep, "block").agg(F.count("*").alias("n"), F.sum(F.log10(p3)).alias("p"))
-    whole = blocks.groupBy("__row", *keep).agg(F.sum("n").alias("n_tokens"), F.sum("p").alias("log10_prob"), F.sort_array(F.collect_list(F.struct("block", "n", "p"))).alias("b"))
+    """keep, n_tokens, log10_prob and worst (the greatest perplexity of two blocks in a row) of every row.
+
+    Where the model has cold terms, docs are read several times, and have to be in the same partitions each time, as files are.
+    """
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    own = list(keep) if model.cold is None else []
+    met = _met(tokens(numbered, "__row", *own), model.hot, "__row", *own)
+    known = F.lit(model.unknown)
+    for c in _TERMS:
+        known = known + F.coalesce(f"p_{c}", F.lit(0.0))
+    each = met.select("__row", *own, "block", F.lit(1).cast("long").alias("n"), known.alias("p"))
+    if model.cold is not None:
+        missed = _met(tokens(numbered, "__row"), model.hot, "__row")
+        keys = F.array_compact(F.array(*[F.when(F.col(f"p_{c}").isNull(), F.col(f"k_{c}")) for c in _TERMS]))
+        found = missed.select("__row", "block", F.explode(keys).alias("key")).join(model.cold, "key")
+        each = each.unionByName(found.select("__row", "block", F.lit(0).cast("long").alias("n"), "p"))
+    blocks = each.groupBy("__row", *own, "block").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+    whole = blocks.groupBy("__row", *own).agg(F.sum("n").alias("n_tokens"), F.sum("p").alias("log10_prob"), F.sort_array(F.collect_list(F.struct("block", "n", "p"))).alias("b"))
     # A text of one block is a window of its own.
     worst = F.expr("array_max(transform(slice(b, 1, greatest(size(b) - 1, 1)), (x, i) -> pow(10D, -(x.p + coalesce(get(b, i + 1).p, 0D)) / (x.n + coalesce(get(b, i + 1).n, 0L)))))")
-    return whole.select(*keep, "n_tokens", "log10_prob", worst.alias("worst"))
+    judged = whole.select("__row", *own, "n_tokens", "log10_prob", worst.alias("worst"))
+    if model.cold is not None:
+        judged = judged.join(numbered.select("__row", *keep), "__row")
+    return judged.select(*keep, "n_tokens", "log10_prob", "worst")
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, n_tokens, log10_prob, perplexity, threshold, worst, worst_threshold and kept of every row."""
     trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id").where("doc_id is not null").distinct()
-    # Some six characters a word; the share of the trusted rows that gives TRAIN_WORDS of them.
-    size = docs.select("doc_id", F.length(whole_text(F.col("text"))).alias("size")).join(trusted, "doc_id", "left_semi").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    share = min(0.5, TRAIN_WORDS * 6 / size) if size else 0.5
-    learned = lambda doc_id: F.pmod(F.xxhash64(doc_id), F.lit(1_000_003)) < share * 1_000_003
+    # Half of the ids, whatever the size: thresholds are to come from texts that the model has not seen.
+    learned = lambda doc_id: F.pmod(F.xxhash64(doc_id), F.lit(1_000_003)) < 0.5 * 1_000_003
     model = fit(docs.where(learned(F.col("doc_id"))).select("doc_id", "text").join(trusted, "doc_id", "left_semi").select("text"))
     scored = cut(score(docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang_key"), "text"), model, "doc_id", "lang_key"))
     perplexity = F.pow(F.lit(10.0), -F.col("log10_prob") / F.col("n_tokens"))
     unseen = scored.where(~learned(F.col("doc_id"))).join(trusted, "doc_id", "left_semi").withColumn("perplexity", perplexity)
     # One row a language; joined by shuffle, the rows of a common language would meet in one task.
     limits = cut(unseen.groupBy("lang_key").agg(*[F.percentile_approx(c, QUANTILE, 10_000).alias(t) for c, t in (("perplexity", "threshold"), ("worst", "worst_threshold"))]))
-    out = scored.withColumn("perplexity", perplexity).join(_small(limits), "lang_key", "left")
+    out = scored.withColumn("perplexity", perplexity).join(F.broadcast(limits) if limits.count() <= HOT_ROWS else limits, "lang_key", "left")
     kept = F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")) & (F.col("worst") <= F.col("worst_threshold"))
     return out.select("doc_id", F.col("lang_key").alias("lang"), "n_tokens", "log10_prob", "perplexity", "threshold", "worst", "worst_threshold", kept.alias("kept"))
