@@ -732,3 +732,17 @@ def test_quality_model_counts_all_trusted_text_of_its_half(spark, monkeypatch):
     for other in others:
         for a, b in zip(plain, other, strict=True):
             assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], rel=1e-9)
+
+
+def test_rare_words_are_remembered_when_met_again(monkeypatch):
+    """A task's memory does not fill with words that stand once, and what it forgets is coded alike."""
+    pieces = sentencepiece.load()
+    monkeypatch.setattr(sentencepiece, "FREE", 20, raising=False)
+    monkeypatch.setattr(sentencepiece, "REMEMBERED", 60)
+    once, twice = [[f" {kind}{i}x" for i in range(n)] for kind, n in (("once", 5000), ("twice", 30))]
+    codes, names = sentencepiece.Codes({}, pieces), sentencepiece.piece_bytes(pieces)
+    most = 0
+    for word in [*twice, *once, *twice]:
+        assert codes[word] == sentencepiece.entry(sentencepiece.encode_word(word, pieces), names)
+        most = max(most, len(codes))
+    assert most <= 60 and all(w in codes for w in twice) and sum(w in codes for w in once) < 10

@@ -43,11 +43,18 @@ SPACE = "▁"
 HOT = 1 << 16
 #: Tasks that build their lattices; the words are few but each takes some steps.
 TASKS = 24
-#: Words whose codes a task remembers beyond the broadcast ones.
-REMEMBERED = 400_000
+#: Words whose codes a task remembers beyond the broadcast ones; after the first FREE of them only words that it meets again.
+REMEMBERED = 150_000
+FREE = 25_000
+#: Bits for the hashes of words that a task has met once; words that share one are remembered sooner.
+MET = 1 << 24
+#: Distinct words that a task counts before it hands them on; Spark sums them further before the shuffle.
+COUNTED = 100_000
 
 PUNCTUATION = ".,!?;:|*$%&#"
 _CROSSING = re.compile(f"[A-Za-zÀ-ÖØ-öø-ÿ][{re.escape(PUNCTUATION)}]")
+_NONE = (None, None, None)
+_LETTER = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]").match
 _WORD = re.compile(r"\n| ?[^ \n]+| ")
 
 
@@ -62,12 +69,12 @@ class Pieces:
 
     @cached_property
     def tree(self) -> dict:
-        """The pieces' beginnings as a tree: character -> (what follows, score and code where it is a piece)."""
+        """The pieces' beginnings as a tree: character -> (what follows, score and code; minus infinity and None where it is no piece)."""
         found: dict = {}
         for piece, i in self.ids.items():
             node = found
             for c in piece[:-1]:
-                node = node.setdefault(c, ({}, None, None))[0]
+                node = node.setdefault(c, ({}, -math.inf, None))[0]
             node[piece[-1]] = (node.get(piece[-1], ({},))[0], self.scores[piece], [i])
         return found
 
@@ -104,7 +111,7 @@ def encode_word(word: str, pieces: Pieces) -> list[int]:
     """The best path through the word's lattice."""
     form, n, tree = lattice_form(word), len(word), pieces.tree
     score = [0.0] + [-math.inf] * n
-    back: list = [None] * (n + 1)
+    back, codes = [0] * (n + 1), [[]] * (n + 1)
     for start in range(n):
         base, node, end = score[start], tree, start
         for c in form[start:]:
@@ -113,19 +120,18 @@ def encode_word(word: str, pieces: Pieces) -> list[int]:
                 break
             end += 1
             node, own, code = found
-            if code and base + own > score[end]:
-                score[end] = base + own
-                back[end] = (start, code)
-        if not tree.get(form[start], (0, 0, 0))[2]:  # the character is no piece: its bytes
+            if (total := base + own) > score[end]:
+                score[end], back[end], codes[end] = total, start, code
+            if not node:
+                break
+        if not tree.get(form[start], _NONE)[2]:  # the character is no piece: its bytes
             code = [pieces.byte_ids[b] for b in word[start].encode()]
-            total = base + len(code) * pieces.byte_score
-            if total > score[start + 1]:
-                score[start + 1] = total
-                back[start + 1] = (start, code)
+            if (total := base + len(code) * pieces.byte_score) > score[start + 1]:
+                score[start + 1], back[start + 1], codes[start + 1] = total, start, code
     path, at = [], n
     while at:
-        at, code = back[at]
-        path.append(code)
+        path.append(codes[at])
+        at = back[at]
     return [i for code in reversed(path) for i in code]
 
 
@@ -167,7 +173,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch.column("text"):
                 found.update(cut_words(text.as_py() or ""))
-                if len(found) > 500_000:
+                if len(found) > COUNTED:
                     yield flush()
         yield flush()
 
@@ -201,22 +207,33 @@ def entry(ids: list[int], names: dict[int, bytes]) -> Entry:
 
 
 class Codes(dict):
-    """The entries of words: the broadcast ones, and those that this task has met (at most REMEMBERED)."""
+    """The entries of words: the broadcast ones, and those that this task has met (at most REMEMBERED).
+
+    Most rare words stand once in a task, and entries of them all would be most of its memory. So
+    when FREE words are remembered, a word is coded twice before it is.
+    """
 
     def __init__(self, known: dict[str, Entry], pieces: Pieces):
         super().__init__(known)
-        self.known, self.pieces, self.names = known, pieces, piece_bytes(pieces)
+        self.known, self.pieces, self.names, self.met = known, pieces, piece_bytes(pieces), bytearray(MET // 8)
 
     def __missing__(self, word: str) -> Entry:
         bare = word.rstrip(PUNCTUATION)
-        if self.pieces.ends_apart and bare != word and _CROSSING.search(word[len(bare) - 1 : len(bare) + 1] if bare else ""):
+        if self.pieces.ends_apart and bare != word and bare and _LETTER(bare[-1]):
             (ids, text), (more, rest) = self[bare], self[word[len(bare) :]]
             found = ids + more, text + rest
         else:
             found = entry(encode_word(word, self.pieces), self.names)
-        if len(self) >= REMEMBERED + len(self.known):
+        remembered = len(self) - len(self.known)
+        if remembered >= FREE:
+            at, bit = divmod(hash(word) % MET, 8)
+            if not self.met[at] >> bit & 1:
+                self.met[at] |= 1 << bit
+                return found
+        if remembered >= REMEMBERED:
             self.clear()
             self.update(self.known)
+            self.met = bytearray(MET // 8)
         self[word] = found
         return found
 
