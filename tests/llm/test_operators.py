@@ -746,3 +746,17 @@ def test_rare_words_are_remembered_when_met_again(monkeypatch):
         assert codes[word] == sentencepiece.entry(sentencepiece.encode_word(word, pieces), names)
         most = max(most, len(codes))
     assert most <= 60 and all(w in codes for w in twice) and sum(w in codes for w in once) < 10
+
+
+def test_cold_terms_are_looked_up_once_an_n_gram(spark):
+    """A token asks for its word, bigram and trigram; as contexts these are asked for with the same rows, and only what is not hot is."""
+    texts = spark.createDataFrame([("a b c a b d " * 9,), ("b a d c",)], "text string")
+    docs = spark.createDataFrame([(1, "a b c a b x " * 12), (2, None), (3, " ".join("abcd"[i % 4] for i in range(31)))], "doc_id long, text string")
+    models = [kneser_ney.fit(texts, n) for n in (3_000_000, 12, 0)]
+    plain, *others = [sorted(kneser_ney.score(docs, m, "doc_id").collect()) for m in models]
+    assert [r.n_tokens for r in plain] == [73, 1, 32]
+    for other in others:
+        for a, b in zip(plain, other, strict=True):
+            assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], rel=1e-9)
+    keys = models[2].cold.where("not context").count()
+    assert models[2].cold.select("key").distinct().count() < models[2].cold.count() and keys > 8

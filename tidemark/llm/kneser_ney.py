@@ -37,13 +37,20 @@ BLOCK = 16
 UNSEEN = 1_000_000
 
 
-def tokens(docs: DataFrame, *keep: str) -> DataFrame:
-    """keep, and a row a token: hashes w, v, vw, uv, uvw of the token, the words before it, and their n-grams; and its block."""
+def _hashed(docs: DataFrame, *keep: str) -> DataFrame:
+    """keep, h (hashes of two starts, the words and the end) and p (those of each and the next): a bigram hash serves two steps."""
     padded = docs.select(*keep, F.concat(F.array(F.lit(1), F.lit(1)).cast("array<bigint>"), F.transform(space_words(lower_ascii(whole_text(F.col("text")))), lambda w: F.xxhash64(w)), F.array(F.lit(2)).cast("array<bigint>")).alias("h"))
-    # The step u v w of one position shares its bigram hash with the next, so bigrams are hashed once.
-    pairs = padded.select(*keep, "h", F.expr("transform(h, (x, i) -> xxhash64(x, get(h, i + 1)))").alias("p"))
-    each = pairs.select(*keep, F.inline(F.expr(f"transform(slice(h, 3, size(h) - 2), (x, i) -> named_struct('block', i div {BLOCK}, 'w', x, 'v', h[i + 1], 'vw', p[i + 1], 'uv', p[i], 'uvw', xxhash64(p[i], x)))")))
-    return each
+    return padded.select(*keep, "h", F.expr("transform(h, (x, i) -> xxhash64(x, get(h, i + 1)))").alias("p"))
+
+
+def tokens(docs: DataFrame) -> DataFrame:
+    """A row a token: hashes w, v and uv of the token, the word before it and the two words before it."""
+    return _hashed(docs).select(F.inline(F.expr("transform(slice(h, 3, size(h) - 2), (x, i) -> named_struct('w', x, 'v', h[i + 1], 'uv', p[i]))")))
+
+
+def grams(docs: DataFrame, *keep: str) -> DataFrame:
+    """keep, and a row a token and one for the start: its place (the start's is -1), and hashes w, vw, uvw of what ends there."""
+    return _hashed(docs, *keep).select(*keep, F.inline(F.expr("transform(slice(h, 2, size(h) - 1), (x, i) -> named_struct('at', i - 1, 'w', x, 'vw', p[i], 'uvw', xxhash64(get(p, i - 1), x)))")))
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -63,7 +70,7 @@ def _discount(d: list[float]) -> Column:
 class Model:
     #: (key, p): the term of each n-gram; as a context an n-gram has the key with all bits turned over.
     hot: DataFrame
-    #: The terms that are not in hot, if there are any.
+    #: (key, context, p): the terms that are not in hot, if there are any; a key is the same in both roles.
     cold: DataFrame | None
     #: log10 of the probability of a token of which nothing is known.
     unknown: float
@@ -86,35 +93,41 @@ def fit(texts: DataFrame, hot_rows: int = HOT_ROWS) -> Model:
     p2 = cut(c2.join(l2, "v").join(p1.select("w", "p1"), "w").select("v", "w", "times", (F.col("left") * F.col("p1")).alias("less"), ((F.col("n") - d2) / F.col("whole")).alias("own")))
     l3 = contexts(c3, "uv", "n")
     p3 = c3.join(l3, "uv").join(p2.select("v", "w", (F.col("own") + F.col("less")).alias("p2")), ["v", "w"]).select("uv", "w", F.col("n").alias("times"), (F.col("left") * F.col("p2")).alias("less"), ((F.col("n") - d3) / F.col("whole")).alias("own"))
-    gain = F.log10((F.col("own") + F.col("less")) / F.col("less")).alias("p")
+    gain = F.log10((F.col("own") + F.col("less")) / F.col("less"))
+    term = lambda level, key, n, p, context=False: level.select(key.alias("key"), F.lit(context).alias("context"), F.col(n).alias("n"), p.alias("p"))
     levels = [
-        p1.select(F.col("w").alias("key"), F.col("times").alias("n"), F.log10(F.col("p1") / unknown).alias("p")),
-        p2.select(F.xxhash64("v", "w").alias("key"), F.col("times").alias("n"), gain),
-        p3.select(F.xxhash64("uv", "w").alias("key"), F.col("times").alias("n"), gain),
-        l2.select(F.bitwise_not("v").alias("key"), F.col("seen").alias("n"), F.log10("left").alias("p")),
-        l3.select(F.bitwise_not("uv").alias("key"), F.col("seen").alias("n"), F.log10("left").alias("p")),
+        term(p1, F.col("w"), "times", F.log10(F.col("p1") / unknown)),
+        term(p2, F.xxhash64("v", "w"), "times", gain),
+        term(p3, F.xxhash64("uv", "w"), "times", gain),
+        term(l2, F.col("v"), "seen", F.log10("left"), True),
+        term(l3, F.col("uv"), "seen", F.log10("left"), True),
     ]
     terms = levels[0]
     for level in levels[1:]:
         terms = terms.unionByName(level)
     terms = cut(terms)
     least = least_count(terms, hot_rows) if terms.count() > hot_rows else 0
-    rest = lambda where: terms.where(where).select("key", "p")
-    return Model(rest(F.col("n") >= least), rest(F.col("n") < least) if least else None, math.log10(unknown))
+    hot = terms.where(F.col("n") >= least).select(F.when(F.col("context"), F.bitwise_not("key")).otherwise(F.col("key")).alias("key"), "p")
+    return Model(hot, terms.where(F.col("n") < least).select("key", "context", "p") if least else None, math.log10(unknown))
 
 
-#: The terms of a token: its n-grams, and what is before it as contexts.
-_TERMS = {"w": F.col, "vw": F.col, "uvw": F.col, "v": F.bitwise_not, "uv": F.bitwise_not}
+#: The terms that what ends at a place may have: of the token there, and, as contexts, of the next one.
+_OWN, _NEXT = ("w", "vw", "uvw"), ("w", "vw")
 
 
 def _met(rows: DataFrame, hot: DataFrame, *keep: str) -> DataFrame:
-    """keep, and for each term of a token k_ (its key) and p_ (its value, null if it is not hot)."""
-    keyed = rows.select(*keep, "block", *[make(c).alias(f"k_{c}") for c, make in _TERMS.items()])
-    for c in _TERMS:
-        keyed = keyed.join(F.broadcast(hot.select(F.col("key").alias(f"k_{c}"), F.col("p").alias(f"p_{c}"))), f"k_{c}", "left")
+    """rows with the value of each hot term: own_ of the token, next_ of the one after it; null if it is not hot."""
+    keyed = rows.select(*keep, "at", *_OWN, *[F.bitwise_not(c).alias(f"c_{c}") for c in _NEXT])
+    for key, value in [*((c, f"own_{c}") for c in _OWN), *((f"c_{c}", f"next_{c}") for c in _NEXT)]:
+        keyed = keyed.join(F.broadcast(hot.select(F.col("key").alias(key), F.col("p").alias(value))), key, "left")
     return keyed
 
 
+def _block(at: Column | str) -> Column:
+    """The block of a place; the start is counted to the first."""
+    return F.floor(F.greatest(at, F.lit(0)) / BLOCK)
+
+
 def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """keep, n_tokens, log10_prob and worst (the greatest perplexity of two blocks in a row) of every row.
 
@@ -122,17 +135,23 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
     own = list(keep) if model.cold is None else []
-    met = _met(tokens(numbered, "__row", *own), model.hot, "__row", *own)
-    known = F.lit(model.unknown)
-    for c in _TERMS:
-        known = known + F.coalesce(f"p_{c}", F.lit(0.0))
-    each = met.select("__row", *own, "block", F.lit(1).cast("long").alias("n"), known.alias("p"))
+    met = _met(grams(numbered, "__row", *own), model.hot, "__row", *own)
+    total = lambda kind, cs: sum((F.coalesce(f"{kind}_{c}", F.lit(0.0)) for c in cs), F.lit(0.0))
+    part = lambda block, n, p: F.struct(block.alias("block"), n.cast("long").alias("n"), p.alias("p"))
+    here, after = _block("at"), _block(F.col("at") + 1)
+    is_token = (F.col("at") >= 0).cast("long")
+    of_own, of_next = total("own", _OWN) + is_token * model.unknown, total("next", _NEXT)
+    parts = F.when(here == after, F.array(part(here, is_token, of_own + of_next))).otherwise(F.array(part(here, is_token, of_own), part(after, F.lit(0), of_next)))
+    each = met.select("__row", *own, F.inline(parts))
     if model.cold is not None:
-        missed = _met(tokens(numbered, "__row"), model.hot, "__row")
-        keys = F.array_compact(F.array(*[F.when(F.col(f"p_{c}").isNull(), F.col(f"k_{c}")) for c in _TERMS]))
-        found = missed.select("__row", "block", F.explode(keys).alias("key")).join(model.cold, "key")
-        each = each.unionByName(found.select("__row", "block", F.lit(0).cast("long").alias("n"), "p"))
-    blocks = each.groupBy("__row", *own, "block").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+        # An n-gram is looked up once for both of its terms; those that are hot are not in cold.
+        missed = _met(grams(numbered, "__row"), model.hot, "__row")
+        keys = F.array_compact(F.array(*[F.when(F.col(f"own_{c}").isNull() | (F.col(f"next_{c}").isNull() if c in _NEXT else F.lit(False)), F.col(c)) for c in _OWN]))
+        looked = missed.select("__row", "at", F.explode(keys).alias("key"))
+        found = looked.join(model.cold, "key")
+        each = each.unionByName(found.select("__row", _block(F.when(F.col("context"), F.col("at") + 1).otherwise(F.col("at"))).alias("block"), F.lit(0).cast("long").alias("n"), "p"))
+    # What would come after the end is in no block.
+    blocks = each.groupBy("__row", *own, "block").agg(F.sum("n").alias("n"), F.sum("p").alias("p")).where("n > 0")
     whole = blocks.groupBy("__row", *own).agg(F.sum("n").alias("n_tokens"), F.sum("p").alias("log10_prob"), F.sort_array(F.collect_list(F.struct("block", "n", "p"))).alias("b"))
     # A text of one block is a window of its own.
     worst = F.expr("array_max(transform(slice(b, 1, greatest(size(b) - 1, 1)), (x, i) -> pow(10D, -(x.p + coalesce(get(b, i + 1).p, 0D)) / (x.n + coalesce(get(b, i + 1).n, 0L)))))")
