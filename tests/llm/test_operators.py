@@ -760,3 +760,26 @@ def test_cold_terms_are_looked_up_once_an_n_gram(spark):
             assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], rel=1e-9)
     keys = models[2].cold.where("not context").count()
     assert models[2].cold.select("key").distinct().count() < models[2].cold.count() and keys > 8
+
+
+def test_new_words_of_texts_are_coded_at_once(monkeypatch):
+    """What encode_word says of each, without a call of it for each: only for words beyond LONG and those with a character that is no piece."""
+    pieces = sentencepiece.load()
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abehinorstuéßñA.,$9▁", k=rng.randrange(0, 14))) for _ in range(60)) for _ in range(8)]
+    texts += ["", "\n", "😀é \0 \n\n x. ...", "w" * 200 + " " + "nth" * 30 + "!", " a  b\n c"]
+    words = [sentencepiece.cut_words(t) if t else [] for t in texts]
+    plain = {w: sentencepiece.encode_word(w, pieces) for own in words for w in own}
+    ids, stops = sentencepiece.encode_words(list(plain), pieces)
+    assert [x.tolist() for x in np.split(ids, stops[:-1])] == list(plain.values())
+    one, called = sentencepiece.encode_word, []
+    monkeypatch.setattr(sentencepiece, "encode_word", lambda w, p: called.append(w) or one(w, p))
+    codes, names = sentencepiece.Codes({}, pieces), sentencepiece.piece_bytes(pieces)
+    runs = list(sentencepiece.together([None, *texts]))
+    assert [w for run in runs for w in run] == [None, *words]
+    found = codes.of_texts(words)
+    assert found == [[sentencepiece.entry(plain[w], names) for w in own] for own in words] == codes.of_texts(words)
+    met = [w for w in called if len(w) <= sentencepiece.LONG and all(c in pieces.ids for c in sentencepiece.lattice_form(w))]
+    assert len(plain) > 300 and len(met) < 60
+    monkeypatch.setattr(sentencepiece, "TOGETHER", 100)
+    assert [len(run) for run in sentencepiece.together(texts[:5])] == [2, 2, 1]

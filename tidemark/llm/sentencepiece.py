@@ -11,7 +11,8 @@ occurrences, the lattice is a Spark job: substrings are exploded, joined to the
 (broadcast; its size is the model's), grouped by word and folded by the higher-order aggregate. The
 table that comes out is of bounded size and is broadcast to the tasks that write the texts' codes.
 Words beyond it are rare and mostly stand once; shuffling their lattices' edges would take many
-times the input, so a task that meets one runs the same recurrence over its substrings itself.
+times the input, so a task runs the same recurrence over the substrings of those that it meets, all
+that are new in some texts at once.
 
 The path maximises the sum of the model's scores; a model that was trained for merges may cut some
 words otherwise than its own library does.
@@ -29,6 +30,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -44,20 +46,37 @@ HOT = 1 << 16
 #: Tasks that build their lattices; the words are few but each takes some steps.
 TASKS = 24
 #: Words whose codes a task remembers beyond the broadcast ones; after the first FREE of them only words that it meets again.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 FREE = 25_000
 #: Bits for the hashes of words that a task has met once; words that share one are remembered sooner.
 MET = 1 << 24
+#: Words of texts that a task codes together, but for a longer text.
+TOGETHER = 20_000
+#: Longer words are coded one by one.
+LONG = 64
+#: Bits of a character in the keys of the piece table.
+CHARACTER = 21
 #: Distinct words that a task counts before it hands them on; Spark sums them further before the shuffle.
 COUNTED = 100_000
 
 PUNCTUATION = ".,!?;:|*$%&#"
 _CROSSING = re.compile(f"[A-Za-zÀ-ÖØ-öø-ÿ][{re.escape(PUNCTUATION)}]")
+_CODES, _DECODED = itemgetter(0), itemgetter(1)
 _NONE = (None, None, None)
 _LETTER = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]").match
 _WORD = re.compile(r"\n| ?[^ \n]+| ")
 
 
+@dataclass
+class Table:
+    """Pieces' beginnings by number, the empty one is 0: sorted keys (beginning, next character) and where they lead; scores and ids by number."""
+
+    keys: np.ndarray
+    to: np.ndarray
+    scores: np.ndarray
+    ids: np.ndarray
+
+
 @dataclass
 class Pieces:
     """The piece table: ids and scores of pieces, the ids of bytes, and the score of a byte."""
@@ -83,6 +102,18 @@ class Pieces:
         """Whether no piece reaches from a letter into punctuation, so that a word can be cut there."""
         return not any(_CROSSING.search(p) for p in self.ids)
 
+    @cached_property
+    def table(self) -> Table:
+        """The same tree as arrays, for many places at once."""
+        nodes = {"": 0}
+        for piece in self.ids:
+            for n in range(1, len(piece) + 1):
+                nodes.setdefault(piece[:n], len(nodes))
+        steps = list(nodes)[1:]
+        keys = np.array([nodes[x[:-1]] << CHARACTER | ord(x[-1]) for x in steps], dtype=np.int64)
+        order = np.argsort(keys)
+        return Table(keys[order], order.astype(np.int32) + 1, np.array([self.scores.get(x, -math.inf) for x in nodes]), np.array([self.ids.get(x, -1) for x in nodes], dtype=np.int32))
+
     @property
     def longest(self) -> int:
         return max(map(len, self.ids), default=1)
@@ -135,6 +166,71 @@ def encode_word(word: str, pieces: Pieces) -> list[int]:
     return [i for code in reversed(path) for i in code]
 
 
+def encode_words(words: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """encode_word of all words, one after the other, and where each one ends.
+
+    All lattices are laid out together, and best paths go on a place of all words at a time.
+    """
+    whole, table = lattice_form("".join(words)), pieces.table
+    chars = np.frombuffer(whole.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    word = np.repeat(np.arange(len(words)), sizes)
+    ends = np.cumsum(sizes)
+    known = np.zeros(len(chars), dtype=bool)
+    alone = sizes > LONG
+    at = np.flatnonzero(~alone[word])
+    node, end, edges = np.zeros(len(at), dtype=np.int64), ends[word[at]], []
+    for n in range(1, pieces.longest + 1):
+        key = node << CHARACTER | chars[at + n - 1]
+        i = np.searchsorted(table.keys, key)
+        met = table.keys[np.minimum(i, len(table.keys) - 1)] == key
+        at, node, end = at[met], table.to[i[met]].astype(np.int64), end[met]
+        piece = table.ids[node] >= 0
+        edges.append((at[piece], np.full(piece.sum(), n), node[piece]))
+        if n == 1:
+            known[edges[0][0]] = True
+        more = at + n < end
+        at, node, end = at[more], node[more], end[more]
+        if not len(at):
+            break
+    # Bytes of characters that are no pieces: few words have any.
+    alone[word[~known]] = True
+    start, n, node = (np.concatenate(x) for x in zip(*edges, strict=True))
+    place = (start - (ends - sizes)[word[start]]).astype(np.uint16)
+    order = np.argsort(place, kind="stable")
+    bounds = np.searchsorted(place[order], np.arange(LONG + 1))
+    # A word has a place more than characters.
+    start, n, node = start[order] + word[start[order]], n[order], node[order]
+    reach, own = start + n, table.scores[node]
+    first = ends - sizes + np.arange(len(words))
+    score, back = np.full(len(chars) + len(words), -math.inf), np.zeros(len(chars) + len(words), dtype=np.int64)
+    score[first] = 0.0
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        total = score[start[a:b]] + own[a:b]
+        better = np.flatnonzero(total > score[reach[a:b]])
+        score[reach[a + better]] = total[better]
+        back[reach[a + better]] = a + better
+    going = np.flatnonzero(~alone)
+    last, taken, n_codes = first[going] + sizes[going], [], np.zeros(len(words), dtype=np.int64)
+    while len(going):
+        edge = back[last]
+        taken.append((going, table.ids[node[edge]]))
+        n_codes[going] += 1
+        last = start[edge]
+        more = last > first[going]
+        going, last = going[more], last[more]
+    others = {i: encode_word(words[i], pieces) for i in np.flatnonzero(alone).tolist()}
+    for i, codes in others.items():
+        n_codes[i] = len(codes)
+    stops = np.cumsum(n_codes)
+    out = np.empty(n_codes.sum(), dtype=np.int32)
+    for k, (at, codes) in enumerate(taken, 1):
+        out[stops[at] - k] = codes
+    for i, codes in others.items():
+        out[stops[i] - len(codes) : stops[i]] = codes
+    return out, stops
+
+
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     """(word, ids) for a table of distinct words, as a Spark job."""
     spark, longest = words.sparkSession, pieces.longest
@@ -217,25 +313,77 @@ class Codes(dict):
         super().__init__(known)
         self.known, self.pieces, self.names, self.met = known, pieces, piece_bytes(pieces), bytearray(MET // 8)
 
-    def __missing__(self, word: str) -> Entry:
+    def parts(self, word: str) -> tuple[str, str]:
+        """A word and the punctuation at its end, if no piece reaches from the one into the other."""
         bare = word.rstrip(PUNCTUATION)
-        if self.pieces.ends_apart and bare != word and bare and _LETTER(bare[-1]):
-            (ids, text), (more, rest) = self[bare], self[word[len(bare) :]]
-            found = ids + more, text + rest
+        return (bare, word[len(bare) :]) if self.pieces.ends_apart and bare and _LETTER(bare[-1]) else (word, "")
+
+    def coded(self, words: Iterable[str]) -> dict[str, Entry]:
+        """The entries of words that have none yet, all at once."""
+        found, new = {}, []
+        for word in words:
+            bare, rest = self.parts(word)
+            own = self.get(bare) if rest else None
+            if own:
+                more = self[rest]
+                found[word] = (own[0] + more[0], own[1] + more[1])
+            else:
+                new.append(word)
+        if new:
+            ids, stops = encode_words(new, self.pieces)
+            names, ids, at = list(map(self.names.__getitem__, ids.tolist())), ids.tobytes(), 0
+            for word, end in zip(new, stops.tolist(), strict=True):
+                found[word] = (ids[4 * at : 4 * end], b"".join(names[at:end]))
+                at = end
+        return found
+
+    def __missing__(self, word: str) -> Entry:
+        bare, rest = self.parts(word)
+        if rest:
+            (ids, text), (more, end) = self[bare], self[rest]
+            found = ids + more, text + end
         else:
             found = entry(encode_word(word, self.pieces), self.names)
+        self.remember(word, found)
+        return found
+
+    def remember(self, word: str, found: Entry) -> None:
         remembered = len(self) - len(self.known)
         if remembered >= FREE:
             at, bit = divmod(hash(word) % MET, 8)
             if not self.met[at] >> bit & 1:
                 self.met[at] |= 1 << bit
-                return found
+                return
         if remembered >= REMEMBERED:
             self.clear()
             self.update(self.known)
             self.met = bytearray(MET // 8)
         self[word] = found
-        return found
+
+    def of_texts(self, texts: list[list[str]]) -> list[list[Entry]]:
+        """The entries of the words of each text; what is new in them is coded at once."""
+        entries = [list(map(self.get, words)) for words in texts]
+        holes = [[i for i, x in enumerate(own) if x is None] if None in own else [] for own in entries]
+        found = self.coded({words[i] for words, own in zip(texts, holes, strict=True) for i in own})
+        for words, own, filled in zip(texts, holes, entries, strict=True):
+            for i in own:
+                filled[i] = found[words[i]]
+        for w, own in found.items():
+            self.remember(w, own)
+        return entries
+
+
+def together(texts: Iterable[str | None]) -> Iterator[list[list[str] | None]]:
+    """The words of the texts (None for a null), in runs of TOGETHER words or one text more."""
+    run, n = [], 0
+    for text in texts:
+        run.append(text if text is None else cut_words(text) if text else [])
+        n += len(run[-1] or ())
+        if n >= TOGETHER:
+            yield run
+            run, n = [], 0
+    if run:
+        yield run
 
 
 def encode(docs: DataFrame, pieces: Pieces, hot: int = HOT) -> DataFrame:
@@ -245,22 +393,24 @@ def encode(docs: DataFrame, pieces: Pieces, hot: int = HOT) -> DataFrame:
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes(*shared.value)
-        code_of = codes.__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
+                texts = part.column("text").to_pylist()
                 out, sizes, same = [], [], []
-                for text in part.column("text").to_pylist():
-                    if text is None:
-                        out.append(None)
-                        sizes.append(0)
-                        same.append(None)
-                        continue
-                    words = cut_words(text) if text else []
-                    found = list(map(code_of, words))
-                    out.append(np.frombuffer(b"".join([ids for ids, _ in found]), dtype=np.int32))
-                    sizes.append(len(words))
-                    same.append(b"".join([own for _, own in found]) == (" " + text if text else "").encode())
+                for run in together(texts):
+                    entries = iter(codes.of_texts([words for words in run if words is not None]))
+                    for words in run:
+                        text = texts[len(out)]
+                        if words is None:
+                            out.append(None)
+                            sizes.append(0)
+                            same.append(None)
+                            continue
+                        found = next(entries)
+                        out.append(np.frombuffer(b"".join(map(_CODES, found)), dtype=np.int32))
+                        sizes.append(len(words))
+                        same.append(b"".join(map(_DECODED, found)) == (" " + text if text else "").encode())
                 column = pa.array(out, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), column, pa.array([0 if x is None else len(x) for x in out], pa.int64()), pa.array(sizes, pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_pieces", "n_words", "round_trip"])
 
