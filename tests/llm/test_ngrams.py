@@ -97,12 +97,12 @@ def test_an_n_gram_is_sent_once_a_group_and_unknown_words_not_at_all(spark):
     for level in range(ngrams.LENGTHS):
         asked = chunks.each(tables.parts, list(answers), ngrams.questions)
         rows = asked.collect()
-        keys = sum(len(ngrams.climbed(q[-1])) for _, (_, q) in rows)
+        keys = sum(len(ngrams.decoded(q[-1])) for _, (_, q) in rows)
         assert len(rows) <= 2 * tables.parts
         assert sum(len(pickle.dumps(x)) for x in rows) <= 11 * keys + 200 * len(rows)
         if level:
             words = docs.where("doc_id < 300").select(F.size(F.split("text", " "))).groupBy().sum().first()[0]
-            assert keys < words + 600 and all(len(ngrams.climbed(q[-1])) for _, (_, q) in rows)
+            assert keys < words + 600 and all(len(ngrams.decoded(q[-1])) for _, (_, q) in rows)
         answers.append(tables.answers(level, asked, chunks.parts))
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import cut
-from tidemark.llm.ngrams import LENGTHS, VALUES, Chunk, Chunks, Group, Tables, questions, table
+from tidemark.llm.ngrams import LENGTHS, Chunk, Chunks, Group, Tables, occurrences, questions, table
 from tidemark.llm.text import lower_ascii, space_words, whole_text
 
 #: Rows of a table that are broadcast, and ids.
@@ -140,7 +140,7 @@ def _fit_in_parts(texts: DataFrame) -> Model:
 
     def rows(part: int, sent: Iterator, level: int) -> Iterator[tuple]:
         _, values, _ = table(list(sent))
-        for context, n in zip((False, True), (values[0], values[-1])[: len(values)], strict=False):
+        for context, n in zip((False, True), (values[0], occurrences(*values[1:])) if len(values) > 1 else values, strict=False):
             for rank in np.flatnonzero(n):
                 yield (int(rank) * parts + part) * 4 + level, context, int(n[rank])
 
@@ -202,24 +202,29 @@ def _score_by_parts(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     return docs.sparkSession.createDataFrame(rows, schema, verifySchema=False)
 
 
-def _scores(_p: int, _i: int, group: Group, **model) -> Iterator[tuple]:
+def _scores(_p: int, _i: int, group: Group, discounts: tuple[list[float], ...], whole: int, unknown: float) -> Iterator[tuple]:
     """Rows of score() of the texts of a group."""
+    # Of each n-gram: what is its own of the occurrences, and as a context one over these and the share that is left to shorter ones.
+    own, one, left = [], [], []
+    for level, values in enumerate(group.values):
+        n = values[0]
+        n -= np.array([0.0, *discounts[level]])[np.minimum(n, 3).astype(np.uint8)]
+        own.append(n)
+        if level + 1 < LENGTHS:
+            held, d = occurrences(*values[1:]), discounts[level + 1]
+            one.append(np.divide(1.0, held, out=np.zeros_like(held), where=held > 0))
+            left.append(np.where(held > 0, (d[0] * values[1] + d[1] * values[2] + d[2] * values[3]) * one[-1], 1.0))
+    group.values.clear()
     for chunk in group.chunks:
-        yield from _scored(group, chunk, **model)
+        p = own[0][chunk.places[0]] / max(whole, 1) + unknown
+        for level in range(1, LENGTHS):
+            before = chunk.places[level - 1][:-1]
+            p[1:] = own[level][chunk.places[level][1:]] * one[level - 1][before] + left[level - 1][before] * p[1:]
+        yield from _rows(chunk, p)
 
 
-def _scored(group: Group, chunk: Chunk, discounts: tuple[list[float], ...], whole: int, unknown: float) -> Iterator[tuple]:
-    value = partial(group.value, chunk)
-
-    def kept(level: int) -> np.ndarray:
-        n, d = value(level, "n"), np.array([0.0, *discounts[level]])
-        return n - d[np.minimum(n, 3).astype(np.int64)]
-
-    p = kept(0) / max(whole, 1) + unknown
-    for level in (1, 2):
-        context = {name: np.concatenate([[0], value(level - 1, name)[:-1]]) for name in VALUES[1:]}
-        off = sum(d * context[name] for d, name in zip(discounts[level], VALUES[1:4], strict=True))
-        p = np.where(context["whole"] > 0, (kept(level) + off * p) / np.maximum(context["whole"], 1), p)
+def _rows(chunk: Chunk, p: np.ndarray) -> Iterator[tuple]:
+    """Rows of score() of the texts of a chunk, of the probability of what stands at each place."""
     real = np.ones(len(p), dtype=bool)
     real[chunk.begins] = real[chunk.begins + 1] = False
     logs, sizes = np.log10(p[real]), chunk.counts + 1

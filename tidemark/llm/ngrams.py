@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 from tidemark.llm.text import whole_text
 
 #: Bytes of text of a chunk, about; a text is never parted. Chunks that ask together.
-CHUNK, GROUP = 1 << 20, 14
+CHUNK, GROUP = 1 << 20, 10
 #: Keys of the two places before a text and of the one after it.
 START, END = 1, 2
 #: Words, bigrams and trigrams.
 LENGTHS = 3
-#: What a table says of an n-gram: how often, and of those that it is the context of, how many stand once, twice, more often, and all occurrences.
-VALUES = ("n", "once", "twice", "more", "whole")
+#: What a table says of an n-gram: how often, and of those that it is the context of, how many stand once, twice, more often, and how often above three times.
+VALUES = ("n", "once", "twice", "more", "rest")
 #: The number of an n-gram that no table knows.
 NONE = np.uint32(0xFFFFFFFF)
 _LOW32 = np.uint64(0xFFFFFFFF)
@@ -86,6 +86,17 @@ def climbed(small: Small) -> np.ndarray:
     return np.cumsum(loosened(small), dtype=np.uint64)
 
 
+def coded(level: int, called: np.ndarray) -> tuple[int, Small]:
+    """What a part calls keys, in their order; pairs as if no second number were greater than the greatest of these."""
+    size = int((called & _LOW32).max(initial=0)) + 1 if level else 0
+    return size, steps((called >> np.uint64(32)) * np.uint64(size) + (called & _LOW32) if level else called)
+
+
+def decoded(small: tuple[int, Small]) -> np.ndarray:
+    keys, size = climbed(small[1]), np.uint64(small[0])
+    return (keys // size << np.uint64(32)) | keys % size if size else keys
+
+
 def dealt(level: int, keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of sorted keys: their order by parts, where each part begins, and what a part calls each. Bigrams and trigrams of one word go to all parts."""
     high, n = keys >> np.uint64(32), np.uint64(parts)
@@ -119,10 +130,14 @@ class Chunk:
         #: Of each length, where in the group's tables the n-gram is that ends at a place; -1 if it is not asked for.
         self.places: list[np.ndarray] = []
 
-    def pair(self, left: np.ndarray, right: np.ndarray) -> None:
-        """Goes on to n-grams of what ends before a place and the word there."""
+    def pair(self, left: np.ndarray, right: np.ndarray, placed: bool) -> None:
+        """Goes on to n-grams of what ends before a place and the word there; where they stand is found if that is to be known."""
         paired = (left != NONE) & (right != NONE)
-        self.keys, inverse = np.unique(left[paired].astype(np.uint64) << np.uint64(32) | right[paired], return_inverse=True)
+        pairs = left[paired].astype(np.uint64) << np.uint64(32) | right[paired]
+        if not placed:
+            self.keys, self.at = np.unique(pairs), None
+            return
+        self.keys, inverse = np.unique(pairs, return_inverse=True)
         self.at = np.full(len(left), len(self.keys), dtype=np.int32)
         self.at[paired] = inverse
 
@@ -134,7 +149,7 @@ class Group:
         self.chunks, self.parts, self.valued = [Chunk(x) for x in texts], parts, valued
         #: Of each length, a number and values for each n-gram asked for, and for none at the end.
         self.numbers: list[np.ndarray] = []
-        self.values: list[dict[str, np.ndarray]] = []
+        self.values: list[list[np.ndarray]] = []
         self.keys = self._keys()
 
     def _keys(self) -> np.ndarray:
@@ -147,13 +162,14 @@ class Group:
             own = order[begins[part] : begins[part + 1]]
             yield int(part), own, called[own]
 
-    def answered(self, answers: dict[int, tuple]) -> None:
+    def answered(self, answers: dict[int, tuple], placed: bool = True) -> None:
         """Takes the answers to asked(), and goes on to n-grams one longer."""
         level, size = len(self.numbers), len(self.keys) + 1
         numbers = np.full(size, NONE)
         # Of trigrams there is a count alone.
         names = () if not self.valued else VALUES if level + 1 < LENGTHS else VALUES[:1]
-        values = {name: np.zeros(size, dtype=np.uint64 if name in ("n", "whole") else np.uint32) for name in names}
+        # The middle ones count n-grams, which are fewer than 2^32.
+        values = [np.zeros(size, dtype=np.float64 if name in ("n", "rest") else np.uint32) for name in names]
         for part, own, called in self.asked():
             n, total, known, ranks, found = answers[part]
             if (n, total) != (len(called), int(called.sum(dtype=np.uint64))):
@@ -163,8 +179,8 @@ class Group:
             if which.max(initial=0) >= NONE:
                 raise RuntimeError("more than 2^32 n-grams of one length")
             numbers[hit] = which
-            for name, column in zip(names, found, strict=self.valued):
-                values[name][hit] = loosened(column)
+            for row, column in zip(values, found, strict=self.valued):
+                row[hit] = loosened(column)
         self.numbers.append(numbers)
         self.values.append(values)
         for c in self.chunks:
@@ -175,16 +191,12 @@ class Group:
                 right[left == NONE] = NONE
                 left = np.concatenate([[NONE], left[:-1]])
                 left[c.begins] = NONE
-                c.pair(left, right)
+                c.pair(left, right, placed)
             else:
                 c.keys = c.at = None
         if level + 1 < LENGTHS:
             self.keys = self._keys()
 
-    def value(self, chunk: Chunk, level: int, name: str) -> np.ndarray:
-        """What the table of a level says of the n-gram that ends at each place; 0 if it does not know it."""
-        return self.values[level][name][chunk.places[level]].astype(np.float64)
-
 
 class Chunks:
     """The texts of a table in chunks: an RDD with one list a partition."""
@@ -206,8 +218,11 @@ class Chunks:
         self.rdd = docs.select(*keep, whole_text(F.col("text")).cast("binary")).rdd.mapPartitions(cut).glom()
         self.parts = max(1, self.rdd.getNumPartitions())
 
-    def each(self, parts: int, answers: list[RDD], f: Callable[[int, int, Group], Iterable]) -> RDD:
-        """f of number of partition, number in it and group, for all groups, which have got the answers so far; values only if these are all."""
+    def each(self, parts: int, answers: list[RDD], f: Callable[[int, int, Group], Iterable], placed: bool = False) -> RDD:
+        """f of number of partition, number in it and group, for all groups, which have got the answers so far; values only if these are all.
+
+        placed: f asks where the n-grams stand that were not answered yet.
+        """
 
         lengths = len(answers)
 
@@ -220,7 +235,7 @@ class Chunks:
                     group = Group(texts[i : i + GROUP], parts, lengths == LENGTHS)
                     texts[i : i + GROUP] = [None] * len(group.chunks)
                     for level in range(lengths):
-                        group.answered(by.pop((level, i), {}))
+                        group.answered(by.pop((level, i), {}), placed or level + 1 < lengths)
                     yield from f(p, i, group)
 
         if not answers:
@@ -254,12 +269,12 @@ HOLD, TELL, COUNT, ASK = range(4)
 def questions(p: int, i: int, group: Group, kind: int = ASK) -> Iterator[tuple]:
     level = len(group.numbers)
     for part, _, called in group.asked():
-        yield part, (kind, (p, level, i, steps(called)))
+        yield part, (kind, (p, level, i, coded(level, called)))
 
 
 def answer(question: tuple, part: int, keys: np.ndarray, values: Iterable[np.ndarray]) -> tuple:
     p, level, i, small = question
-    called = climbed(small)
+    called = decoded(small)
     at = np.searchsorted(keys, called)
     known = np.zeros(len(called), dtype=bool)
     known[at < len(keys)] = keys[at[at < len(keys)]] == called[at < len(keys)]
@@ -292,7 +307,7 @@ def _counted(_p: int, _i: int, group: Group) -> Iterator[tuple]:
         times[at] += np.bincount(c.at[asked], minlength=len(c.keys))
         ends[at[c.at[asked]]] = group.numbers[1][c.places[1][asked]]
     for part, own, called in group.asked():
-        yield part, (COUNT, (steps(called), squeezed(times[own]), squeezed(ends[own])))
+        yield part, (COUNT, (coded(2, called), squeezed(times[own]), squeezed(ends[own])))
 
 
 def table(sent: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -300,12 +315,12 @@ def table(sent: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0, dtype=np.uint64)
     counted = [x for _, (kind, x) in sent if kind == COUNT]
     if counted:
-        keys, times, ends = (np.concatenate([f(x[k]) for x in counted]) for k, f in ((0, climbed), (1, loosened), (2, loosened)))
+        keys, times, ends = (np.concatenate([f(x[k]) for x in counted]) for k, f in ((0, decoded), (1, loosened), (2, loosened)))
         order = np.argsort(keys)
         keys, times, ends = keys[order], times[order], ends[order]
         first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
         return keys[first], np.add.reduceat(times, first)[None], ends[first]
-    keys = np.unique(np.concatenate([none, *[climbed(x[-1]) for _, (kind, x) in sent if kind == HOLD]]))
+    keys = np.unique(np.concatenate([none, *[decoded(x[-1]) for _, (kind, x) in sent if kind == HOLD]]))
     values = np.zeros((len(VALUES), len(keys)), dtype=np.uint64)
     for _, (kind, x) in sent:
         if kind == TELL:
@@ -325,7 +340,7 @@ class Tables:
         for _ in range(LENGTHS - 1):
             held.append(gathered(texts.each(parts, list(answers), partial(questions, kind=HOLD)), parts))
             answers.append(gathered(held[-1].mapPartitionsWithIndex(_numbered), parts))
-        counted = gathered(texts.each(parts, answers, _counted), parts)
+        counted = gathered(texts.each(parts, answers, _counted, placed=True), parts)
 
         def of_trigrams(part: int, sent: Iterator) -> Iterator[tuple]:
             keys, values, ends = table(list(sent))
@@ -344,11 +359,16 @@ class Tables:
         return gathered(beside(self.levels[level], gathered(asked, self.parts)).mapPartitionsWithIndex(_answers), partitions)
 
 
+def occurrences(once: np.ndarray, twice: np.ndarray, more: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Of all n-grams with a context."""
+    return rest + once + 2.0 * twice + 3.0 * more
+
+
 def _told(ends: np.ndarray, contexts: np.ndarray, times: np.ndarray, parts: int) -> Iterator[tuple]:
     """What n-grams (sorted by contexts) tell of the shorter ones: each is one more that ends with its own, and counts for its context."""
     own, n = np.unique(ends, return_counts=True)
     first = np.flatnonzero(np.diff(contexts, prepend=~contexts[:1]))
-    held = [np.add.reduceat(x.astype(np.uint64), first) if len(first) else x[:0] for x in (times == 1, times == 2, times > 2, times)]
+    held = [np.add.reduceat(x.astype(np.uint64), first) if len(first) else x[:0] for x in (times == 1, times == 2, times > 2, np.maximum(times, 3) - 3)]
     for rows, numbers, columns in ((VALUES[:1], own, [n]), (VALUES[1:], contexts[first], held)):
         by = numbers % np.uint64(parts)
         order = np.argsort(by, kind="stable")
